@@ -7,7 +7,7 @@ leaves are served by a single join after it has settled.  Each round is a
 written table, so lineage stays flat and the planner sees real sizes.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quercus import schema as S
@@ -16,6 +16,7 @@ from quercus.sources.kernel import Kernel
 from quercus.workspace import Workspace
 
 SMALL_BACKBONE_ROWS = 200_000
+FACT = "artifact_id string, node string, value string"
 EDGE = ["artifact_id", "child", "parent"]
 
 
@@ -77,32 +78,18 @@ def propagate(links: DataFrame, ws: Workspace) -> DataFrame:
     flagged = links.join(parents, ["artifact_id", "child"], "left").select(
         *EDGE, "value", F.coalesce("inner", F.lit(False)).alias("inner")
     )
-    path, _ = ws.write(flagged, "links", partition_by="inner")
-    stored = spark.read.schema(links.select(*EDGE, "value").schema.add("inner", "boolean")).parquet(path)
-    inner = stored.where("inner")
-    steps = inner.where("parent IS NOT NULL").select(*EDGE)
-    fact_schema = "artifact_id string, node string, value string"
-
-    new = inner.where("value IS NOT NULL").select(
-        "artifact_id", F.col("child").alias("node"), "value"
+    size = Observation()
+    path, _ = ws.write(
+        flagged.observe(size, F.count_if("inner").alias("inner")), "links", partition_by="inner"
     )
-    round_path, n = ws.write(new.distinct(), "round")
-    rounds, total = [round_path], n
-    while n:
-        delta = spark.read.schema(fact_schema).parquet(round_path)
-        seen = spark.read.schema(fact_schema).parquet(*rounds)
-        # A small backbone is cheap to climb several steps per job.
-        reach = _descend(delta, steps, hops=3 if total <= SMALL_BACKBONE_ROWS else 1)
-        new = reach.distinct().join(seen, ["artifact_id", "node", "value"], "left_anti")
-        round_path, n = ws.write(new, "round")
-        rounds.append(round_path)
-        total += n
-    backbone = spark.read.schema(fact_schema).parquet(*rounds)
-
+    stored = spark.read.schema(links.select(*EDGE, "value").schema.add("inner", "boolean")).parquet(path)
+    backbone = _settle(stored.where("inner"), size.get["inner"], ws)
     leaves = stored.where("NOT inner")
     own = leaves.where("value IS NOT NULL").select(
         "artifact_id", F.col("child").alias("node"), "value"
     )
+    if backbone is None:
+        return own.distinct()
     inherited = (
         leaves.where("parent IS NOT NULL")
         .select("artifact_id", F.col("child"), F.col("parent").alias("node"))
@@ -112,16 +99,56 @@ def propagate(links: DataFrame, ws: Workspace) -> DataFrame:
     return backbone.union(own.union(inherited).distinct())
 
 
+def _settle(inner: DataFrame, n_links: int, ws: Workspace):
+    """Run the loop over the backbone; None when it holds no fact.
+
+    Rows carry ``far``: the fact sits at the end of its chain of joins, so its
+    children have not been looked at yet.  Only those go into the next round.
+    """
+    if n_links == 0:
+        return None
+    spark = inner.sparkSession
+    steps = inner.where("parent IS NOT NULL").select(*EDGE)
+    # A small backbone is cheap to descend several steps per job.
+    hops, levels = (3, 2) if n_links <= SMALL_BACKBONE_ROWS else (2, 1)
+    delta = inner.where("value IS NOT NULL").select(
+        "artifact_id", F.col("child").alias("node"), "value", F.lit(True).alias("far")
+    )
+    rounds = []
+    while True:
+        new = delta
+        for _ in range(levels):
+            new = _descend(new, steps, hops)
+        if rounds:
+            seen = spark.read.schema(FACT).parquet(*rounds)
+            new = new.join(seen, ["artifact_id", "node", "value"], "left_anti")
+        far = Observation()
+        path, n = ws.write(new.observe(far, F.count_if("far").alias("n")), "round")
+        if n:
+            rounds.append(path)
+        if far.get["n"] == 0:
+            break
+        delta = spark.read.schema(FACT + ", far boolean").parquet(path).where("far")
+    return spark.read.schema(FACT).parquet(*rounds) if rounds else None
+
+
 def _descend(facts: DataFrame, steps: DataFrame, hops: int) -> DataFrame:
-    """Facts moved 1..hops steps down, in one chain of joins."""
-    out = facts.select("artifact_id", "value", F.col("node").alias("n0"))
+    """Far facts moved up to ``hops`` steps down in one chain of joins; the others kept."""
+    out = facts.select("artifact_id", "value", "node", F.when(F.col("far"), F.col("node")).alias("n0"))
     for i in range(hops):
         step = steps.select(
             "artifact_id", F.col("parent").alias(f"n{i}"), F.col("child").alias(f"n{i + 1}")
         )
-        out = out.join(step, ["artifact_id", f"n{i}"], "inner" if i == 0 else "left")
-    reached = F.explode(F.array(*[f"n{i + 1}" for i in range(hops)]))
-    return out.select("artifact_id", reached.alias("node"), "value").where("node IS NOT NULL")
+        out = out.join(step, ["artifact_id", f"n{i}"], "left")
+    reached = [F.struct(F.col("node"), F.lit(False).alias("far"))] + [
+        F.struct(F.col(f"n{i}").alias("node"), F.lit(i == hops).alias("far")) for i in range(1, hops + 1)
+    ]
+    return (
+        out.select("artifact_id", "value", F.inline(F.array(*reached)))
+        .where("node IS NOT NULL")
+        .groupBy("artifact_id", "node", "value")
+        .agg(F.bool_or("far").alias("far"))
+    )
 
 
 def entry_points(edges: DataFrame, ws: Workspace) -> DataFrame:

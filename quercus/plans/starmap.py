@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quercus import schema as S
 from quercus.sources.kernel import KERNEL_NS
+from quercus.workspace import Workspace
 
 EX = "http://example.org/"
 UP = S.UPPER_PREFIX
@@ -209,5 +210,21 @@ def abox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.union(ordered).union(contents).union(items).union(declared).union(segments)
 
 
+_LOADED = {}
+
+
+def load(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
+    """The ``tbox`` or ``abox`` triples as a written table, loaded once per session.
+
+    Rows are sorted by predicate inside each file, so that class-level operators
+    skip the row groups of assertions.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, family)
+    if key not in _LOADED:
+        rows = {"tbox": tbox, "abox": abox}[family](spark, sf_dir)
+        _LOADED[key] = Workspace(spark).table(rows.sortWithinPartitions("p", "o"), family)
+    return _LOADED[key]
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tbox(spark, sf_dir).union(abox(spark, sf_dir))
+    return load(spark, sf_dir, "tbox").union(load(spark, sf_dir, "abox"))
