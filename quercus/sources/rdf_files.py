@@ -1,0 +1,284 @@
+"""RDF/XML and Turtle artifacts: one file per row, parsed inside tasks.
+
+Both syntaxes can only be read from the top, so the unit of work is a file and a
+corpus of files spreads over the cluster.  A graph too big for that should come
+as N-Triples.  The readers below cover what ontology files use; anything else
+goes to the dead-letter table rather than being guessed at.
+"""
+
+import io
+import re
+import xml.etree.ElementTree as ET
+from urllib.parse import urljoin
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quercus import schema as S
+from quercus.functions.names import extension
+from quercus.sources.formats import candidate_formats
+
+ROWS_PER_BATCH = 20_000
+COLUMNS = [*S.TRIPLES.fieldNames(), "error"]
+SUPPORTED = ("xml", "turtle", "nt")
+RDF = "{" + S.RDF + "}"
+XML = "{http://www.w3.org/XML/1998/namespace}"
+
+
+def _rdfxml(data: bytes, base: str):
+    """Triples (s, s_kind, p, o, o_kind, datatype, lang) of an RDF/XML document."""
+    counter = iter(range(1 << 60))
+
+    def blank(label=None):
+        return ("_:" + (f"n{label}" if label else f"b{next(counter)}"), "bnode")
+
+    def iri(tag):
+        return tag[1:].replace("}", "", 1)
+
+    def node(el, base):
+        base = el.get(XML + "base", base)
+        if el.get(RDF + "about") is not None:
+            subject = (urljoin(base, el.get(RDF + "about")), "iri")
+        elif el.get(RDF + "ID") is not None:
+            subject = (urljoin(base, "#" + el.get(RDF + "ID")), "iri")
+        else:
+            subject = blank(el.get(RDF + "nodeID"))
+        if el.tag != RDF + "Description":
+            yield (*subject, S.TYPE, iri(el.tag), "iri", None, None)
+        for name, value in el.attrib.items():
+            if not name.startswith((RDF, XML)):
+                yield (*subject, iri(name), value, "literal", S.XSD + "string", None)
+        for prop in el:
+            yield from statement(subject, prop, base)
+        return subject
+
+    def statement(subject, prop, base):
+        p, kind = iri(prop.tag), prop.get(RDF + "parseType")
+        children = list(prop)
+        if prop.get(RDF + "resource") is not None:
+            yield (*subject, p, urljoin(base, prop.get(RDF + "resource")), "iri", None, None)
+        elif prop.get(RDF + "nodeID") is not None:
+            yield (*subject, p, *blank(prop.get(RDF + "nodeID")), None, None)
+        elif kind == "Collection":
+            cells = [blank() for _ in children] + [(S.NIL, "iri")]
+            yield (*subject, p, *cells[0], None, None)
+            for here, after, child in zip(cells, cells[1:], children):
+                member = yield from node(child, base)
+                yield (*here, S.FIRST, *member, None, None)
+                yield (*here, S.REST, *after, None, None)
+        elif kind == "Resource":
+            inner = blank()
+            yield (*subject, p, *inner, None, None)
+            for child in children:
+                yield from statement(inner, child, base)
+        elif kind is not None:
+            raise ValueError(f"rdf:parseType {kind} is not supported")
+        elif children:
+            value = yield from node(children[0], base)
+            yield (*subject, p, *value, None, None)
+        else:
+            lang = prop.get(XML + "lang")
+            datatype = None if lang else prop.get(RDF + "datatype", S.XSD + "string")
+            yield (*subject, p, prop.text or "", "literal", datatype, lang)
+
+    root = ET.parse(io.BytesIO(data)).getroot()
+    if root.tag != RDF + "RDF":
+        raise ValueError(f"root element {root.tag} is not rdf:RDF")
+    base = root.get(XML + "base", base)
+    for child in root:
+        yield from node(child, base)
+
+
+TURTLE_TOKEN = re.compile(
+    r"""\s+|\#[^\n]*
+    |(?P<iri><[^<>"{}|^`\\\x00-\x20]*>)
+    |(?P<long>\"{3}(?:[^"\\]|\\.|"(?!""))*\"{3})
+    |(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
+    |(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)
+    |(?P<num>[+-]?(?:\d+\.\d+|\.\d+|\d+)(?:[eE][+-]?\d+)?)
+    |(?P<bnode>_:[\w][\w\-]*)
+    |(?P<name>[A-Za-z_][\w\-.]*(?<!\.):[\w\-.%]*(?<!\.)|[A-Za-z_][\w\-]*:|:[\w\-.%]*(?<!\.)|:)
+    |(?P<word>[A-Za-z]+)
+    |(?P<mark>\^\^|[.;,\[\]()])""",
+    re.X,
+)
+
+
+def _turtle(text: str, base: str):
+    """Triples of a Turtle document, by one pass over its tokens."""
+    tokens, at = [], 0
+    while at < len(text):
+        m = TURTLE_TOKEN.match(text, at)
+        if not m:
+            raise ValueError(f"unexpected character at {at}: {text[at:at + 20]!r}")
+        if m.lastgroup:
+            tokens.append((m.lastgroup, m.group()))
+        at = m.end()
+    tokens.append(("end", ""))
+    prefixes, counter, pos, out = {}, iter(range(1 << 60)), 0, []
+
+    def take(value=None):
+        nonlocal pos
+        token = tokens[pos]
+        if value is not None and token[1] != value:
+            raise ValueError(f"expected {value!r}, found {token[1]!r}")
+        pos += 1
+        return token
+
+    def expand(token):
+        kind, value = token
+        if kind == "iri":
+            return urljoin(base, value[1:-1])
+        prefix, _, local = value.partition(":")
+        if kind != "name" or prefix not in prefixes:
+            raise ValueError(f"unbound name {value!r}")
+        return prefixes[prefix] + local
+
+    def term():
+        kind, value = token = take()
+        if kind in ("iri", "name"):
+            return (expand(token), "iri", None, None)
+        if kind == "bnode":
+            return ("_:n" + value[2:], "bnode", None, None)
+        if value == "[":
+            inner = (f"_:b{next(counter)}", "bnode", None, None)
+            if tokens[pos][1] != "]":
+                predicates(inner)
+            take("]")
+            return inner
+        if value == "(":
+            cells, members = [], []
+            while tokens[pos][1] != ")":
+                members.append(term())
+                cells.append((f"_:b{next(counter)}", "bnode", None, None))
+            take(")")
+            chain = [*cells, (S.NIL, "iri", None, None)]
+            for here, after, member in zip(chain, chain[1:], members):
+                out.append((*here[:2], S.FIRST, *member))
+                out.append((*here[:2], S.REST, *after))
+            return chain[0]
+        if kind in ("str", "long"):
+            body = value[3:-3] if kind == "long" else value[1:-1]
+            body = re.sub(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", _escape, body)
+            if tokens[pos][0] == "lang":
+                return (body, "literal", None, take()[1][1:])
+            if tokens[pos][1] == "^^":
+                take()
+                return (body, "literal", expand(take()), None)
+            return (body, "literal", S.XSD + "string", None)
+        if kind == "num":
+            kind = "double" if re.search("[eE]", value) else "decimal" if "." in value else "integer"
+            return (value, "literal", S.XSD + kind, None)
+        if value in ("true", "false"):
+            return (value, "literal", S.XSD + "boolean", None)
+        raise ValueError(f"unexpected {value!r}")
+
+    def predicates(subject):
+        while True:
+            p = S.TYPE if tokens[pos] == ("word", "a") and take() else expand(take())
+            while True:
+                out.append((*subject[:2], p, *term()))
+                if tokens[pos][1] != ",":
+                    break
+                take(",")
+            while tokens[pos][1] == ";":
+                take(";")
+                more = tokens[pos][1] not in (";", ".", "]", "")
+            if tokens[pos - 1][1] != ";" or not more:
+                return
+
+    while tokens[pos][0] != "end":
+        word = tokens[pos][1].lower()
+        if word in ("@prefix", "prefix", "@base", "base"):
+            take()
+            if word.endswith("prefix"):
+                name = take()[1]
+                prefixes[name[:-1]] = urljoin(base, take()[1][1:-1])
+            else:
+                base = urljoin(base, take()[1][1:-1])
+            if word.startswith("@"):
+                take(".")
+            continue
+        opened = tokens[pos][1] == "["
+        subject = term()
+        if not (opened and tokens[pos][1] == "."):
+            predicates(subject)
+        take(".")
+        yield from out
+        out.clear()
+
+
+def _escape(m):
+    code = m.group(1)
+    if code[0] in "uU" and len(code) > 1:
+        return chr(int(code[1:], 16))
+    return {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}.get(code, code)
+
+
+def _read(artifact: str, content: bytes, formats):
+    """Rows of the first format that fits, or one row that says why none did."""
+    tried, last = [], None
+    for fmt in formats:
+        tried.append(fmt)
+        if fmt not in SUPPORTED:
+            last = f"format {fmt} is not read here"
+            continue
+        try:
+            if fmt == "xml":
+                found = list(_rdfxml(content, artifact))
+            else:  # N-Triples is a subset of Turtle
+                found = list(_turtle(content.decode("utf-8"), artifact))
+        except (ValueError, ET.ParseError) as exc:
+            last = str(exc)
+            continue
+        for s, s_kind, p, o, o_kind, datatype, lang in found:
+            s = f"_:{artifact}/{s[2:]}" if s_kind == "bnode" else s
+            o = f"_:{artifact}/{o[2:]}" if o_kind == "bnode" else o
+            yield (artifact, s, s_kind, p, o, o_kind, datatype, lang, None)
+        return
+    yield (artifact, *[None] * 7, f"could not parse {artifact} (tried {tried}): {last}")
+
+
+def _read_files(batches):
+    for batch in batches:
+        rows = []
+        for row in batch.itertuples(index=False):
+            for r in _read(row.artifact_id, row.content, row.formats):
+                rows.append(r)
+                if len(rows) >= ROWS_PER_BATCH:
+                    yield pd.DataFrame(rows, columns=COLUMNS)
+                    rows = []
+        yield pd.DataFrame(rows, columns=COLUMNS)
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """``files(artifact_id, content, formats)`` -> triples columns plus ``error``."""
+    return files.select("artifact_id", "content", "formats").mapInPandas(
+        _read_files, _with_error()
+    )
+
+
+def _with_error():
+    fields = ", ".join(f"{f.name} string" for f in S.TRIPLES.fields)
+    return fields + ", error string"
+
+
+def split_errors(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(triples as a set, dead letters)."""
+    triples = parsed.where("error IS NULL").drop("error").distinct()
+    errors = parsed.where("error IS NOT NULL").select(
+        "artifact_id", F.lit("E_PARSE").alias("code"), F.col("error").alias("message")
+    )
+    return triples, errors
+
+
+def read_rdf_files(spark: SparkSession, path: str) -> DataFrame:
+    """Parsed rows of every file under ``path``; pass on to ``split_errors``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return parse_files(
+        files.select(
+            F.element_at(F.split("path", "/"), -1).alias("artifact_id"), "content",
+            candidate_formats(extension(F.col("path"))).alias("formats"),
+        )
+    )
