@@ -7,7 +7,8 @@ from quercus.schema import XSD
 
 IRI = r"<[^<>\"{}|^`\\\x00-\x20]*>"
 BNODE = r"_:[\w][\w.\-]*"
-LITERAL = r'"(?:[^"\\\n\r]|\\.)*"(?:\^\^' + IRI + r"|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?"
+# Possessive loops: a literal may be millions of characters long, and they match without recursion.
+LITERAL = r'"[^"\\\n\r]*+(?:\\.[^"\\\n\r]*+)*+"(?:\^\^' + IRI + r"|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?"
 LINE = (
     rf"^\s*({IRI}|{BNODE})\s*({IRI})\s*({IRI}|{BNODE}|{LITERAL})\s*({IRI}|{BNODE})?\s*\.\s*(?:#.*)?$"
 )
@@ -40,15 +41,21 @@ def _value(term: Column, artifact: Column) -> Column:
 
 def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``lines(artifact_id, value)`` -> (triples, dead letters with code E_PARSE)."""
-    part = [F.regexp_extract("value", LINE, i) for i in range(1, 5)]
-    cut = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$")).select(
-        "artifact_id", "value", part[0].alias("s0"), part[1].alias("p0"), part[2].alias("o0")
+    # One match per line: the three terms come back joined by a control character.
+    terms = F.split(F.regexp_replace("value", LINE, "$1\u0001$2\u0001$3"), "\u0001")
+    cut = (
+        lines.where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+        .select("artifact_id", "value", terms.alias("t"))
+        .select(
+            "artifact_id", "value", F.get("t", F.lit(0)).alias("s0"),
+            F.get("t", F.lit(1)).alias("p0"), F.get("t", F.lit(2)).alias("o0"),
+        )
     )
     a, o0 = F.col("artifact_id"), F.col("o0")
     literal = _kind(o0) == "literal"
     datatype = F.regexp_extract(o0, LITERAL_PARTS, 2)
     lang = F.regexp_extract(o0, LITERAL_PARTS, 3)
-    triples = cut.where("s0 <> ''").select(
+    triples = cut.where("o0 IS NOT NULL").select(
         "artifact_id",
         _value(F.col("s0"), a).alias("s"),
         _kind(F.col("s0")).alias("s_kind"),
@@ -58,7 +65,7 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(literal & (lang == ""), F.when(datatype == "", XSD + "string").otherwise(datatype)).alias("o_datatype"),
         F.when(literal & (lang != ""), lang).alias("o_lang"),
     )
-    errors = cut.where("s0 = ''").select(
+    errors = cut.where("o0 IS NULL").select(
         "artifact_id", F.lit("E_PARSE").alias("code"),
         F.concat(F.lit("could not parse line (tried [nt]): "), "value").alias("message"),
     )
