@@ -586,3 +586,506 @@ PROFILE_SQL = f"""SELECT x.artifact_id, coalesce(h.iri, '') AS ontology_iri, coa
 @query("A7_W11_profile", sql(PROFILE_SQL, "triples"))
 def a7(spark, d):
     return P.profile(corpus(spark, d))
+
+
+# == gate =================================================================================
+
+ONE = "'' AS iri, '' AS suggested_rewrite"
+TBOX_COUNTS = COUNT_SQL.replace("triples", "tbox")
+STRUCTURAL_SQL = f"""SELECT artifact_id, 'A' AS stage, code, message, {ONE} FROM (
+  SELECT artifact_id, 'E_NO_AXIOMS' AS code, 'Artifact has 0 logical axioms (declarations and labels do not count).' AS message FROM cnt WHERE axioms <= 0
+  UNION ALL SELECT artifact_id, 'E_FLAT', 'No non-trivial rdfs:subClassOf axioms.' FROM cnt WHERE "subClassOf" <= 0
+  UNION ALL SELECT artifact_id, 'E_FLAT', 'No owl:ObjectProperty declared.' FROM cnt WHERE "objectProperties" <= 0
+  UNION ALL SELECT artifact_id, 'E_FLAT', 'Object properties are declared but never used in any axiom or assertion (declarations alone do not satisfy A3).' FROM cnt WHERE "objectProperties" > 0 AND "objectPropertyAxioms" <= 0
+  UNION ALL SELECT artifact_id, 'E_BLOATED', classes || ' classes exceeds kernel x max_factor (10 x 4 = 40).' FROM cnt WHERE classes > 40)"""
+ANCHOR_SQL = f"""SELECT artifact_id, 'A' AS stage, 'E_NO_BFO' AS code, 'BFO anchor(s) absent or unpopulated: ' || missing || '. Bare BFO fragment stubs with nothing under them fail A4.' AS message, {ONE} FROM ({MISSING_SQL})"""
+ANTI_SQL = f"""SELECT artifact_id, 'A' AS stage, 'E_ANTIPATTERN' AS code, CASE kind WHEN 'privation' THEN '''' || name || ''' names a privation class. Failure/absence must be a typology instance, not a named class.'
+  ELSE '''' || name || ''' is a compound class bundling several concepts; decompose it.' END AS message, name AS iri, CASE kind WHEN 'privation' THEN 'instance of a contradiction/failure type, not class ' || name ELSE '' END AS suggested_rewrite
+  FROM (SELECT artifact_id, name, CASE WHEN {PRIVATE} THEN 'privation' WHEN {COMPOUND} THEN 'compound' END AS kind FROM (SELECT artifact_id, {short('cls')} AS name FROM declared)) WHERE kind IS NOT NULL"""
+
+
+@query("GA1_GA5_structure", sql(f"WITH cnt AS ({TBOX_COUNTS}) {STRUCTURAL_SQL}", "tbox"))
+def ga15(spark, d):
+    g = gate_inputs(spark, d)
+    return G.structural_findings(g.counts, g.kernel)
+
+
+@query("GA_structure_of_corpus", sql(f"WITH cnt AS ({COUNT_SQL}) {STRUCTURAL_SQL}", "triples"))
+def ga_corpus(spark, d):
+    return G.structural_findings(C.counts(corpus(spark, d)), builtin_kernel())
+
+
+@query("GA4_anchor_findings", sql(ANCHOR_SQL, "entry_k", "declared", "up_anc"))
+def ga4(spark, d):
+    g = gate_inputs(spark, d)
+    return G.anchor_findings(G.missing_anchors(g.counts.select("artifact_id"), G.populated_anchors(g.triples, g.entries, g.upper)))
+
+
+@query("GA6_antipatterns", sql(ANTI_SQL, "declared"))
+def ga6(spark, d):
+    return G.antipattern_findings(gate_inputs(spark, d).classes)
+
+
+EMPTY_MSG = "SELECT artifact_id, 'C' AS stage, 'E_INCONSISTENT' AS code, 'Class is unsatisfiable (equivalent to owl:Nothing): ' || cls AS message, cls AS iri, '' AS suggested_rewrite FROM empty_k WHERE NOT ends_with(cls, 'Nothing')"
+# Entailed over artifact, kernel and upper ontology, less what the asserted closure holds.
+NOVEL = (f"novel AS (SELECT DISTINCT x.artifact_id, x.child AS cls, x.ancestor FROM (SELECT * FROM ruled_k_clo UNION SELECT r.artifact_id, r.child, u.ancestor FROM ruled_k_clo r JOIN up_anc u ON u.iri = r.ancestor) x "
+         "JOIN declared dc ON dc.artifact_id = x.artifact_id AND dc.cls = x.child WHERE x.child <> x.ancestor AND NOT ends_with(x.ancestor, 'Thing') "
+         "AND NOT EXISTS (SELECT 1 FROM clo_k c WHERE c.artifact_id = x.artifact_id AND c.child = x.child AND c.ancestor = x.ancestor))")
+NOVEL_NEEDS = ("ruled_k_clo", "clo_k", "declared", "up_anc")
+
+
+def hierarchy_k(spark, d):
+    def build():
+        g = gate_inputs(spark, d)
+        ruled = g.ws.table(M.rule_edges(g.triples, g.ws, g.edges).select(*W.EDGE), "ruled")
+        return ruled, g.ws.table(W.closure(ruled, g.ws), "entailed")
+
+    return shared(spark, d, "hierarchy_k", build)
+
+
+@query("GC1_unsatisfiable_findings", sql(EMPTY_MSG, "empty_k"))
+def gc1(spark, d):
+    return G.stage_c(gate_inputs(spark, d))
+
+
+@query("GC2_novel_subsumptions", sql(f"WITH {NOVEL} SELECT artifact_id, count(*) AS novel, count(*) FILTER (WHERE NOT {IS_UP.format('ancestor')}) AS novel_below_upper FROM novel GROUP BY artifact_id", *NOVEL_NEEDS))
+def gc2(spark, d):
+    g = gate_inputs(spark, d)
+    n = G.novel_subsumptions(hierarchy_k(spark, d)[1], g.edges, g.classes, g.upper, g.ws)
+    return n.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("novel"), F.count_if(~N.is_upper(F.col("ancestor"))).alias("novel_below_upper"))
+
+
+@query("W6_novelty_examples", sql(f"WITH {NOVEL} SELECT artifact_id, cls, string_agg(ancestor, ' ' ORDER BY ancestor) AS inferred FROM (SELECT *, dense_rank() OVER (PARTITION BY artifact_id ORDER BY cls) AS dr, "
+       "row_number() OVER (PARTITION BY artifact_id, cls ORDER BY ancestor) AS rn FROM novel) WHERE dr <= 5 AND rn <= 3 GROUP BY artifact_id, cls", *NOVEL_NEEDS))
+def w6(spark, d):
+    g = gate_inputs(spark, d)
+    n = G.novel_subsumptions(hierarchy_k(spark, d)[1], g.edges, g.classes, g.upper, g.ws)
+    return G.novelty_examples(n).select("artifact_id", "cls", F.array_join("inferred", " ").alias("inferred"))
+
+
+D4_SQL = f"""SELECT artifact_id, 'D' AS stage, 'E_ANTIPATTERN' AS code, 'D4 - no AbsenceOf*/Lack*/Failure* named class (failure must be an instance): ' || cls AS message, cls AS iri, '' AS suggested_rewrite FROM
+  (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY cls) AS rn FROM (SELECT DISTINCT artifact_id, s AS cls FROM tbox WHERE p = {q(S.TYPE)} AND o = {q(S.CLASS)} AND s_kind = 'iri'
+  AND regexp_matches({short('s')}, {q(G.D4_NAMES)}))) WHERE rn <= 25"""
+
+
+@query("GD_W5_competency", sql(D4_SQL, "tbox"))
+def gd(spark, d):
+    return G.competency_findings(gate_inputs(spark, d))[0]
+
+
+@query("GD1_norm_individuals", sql(f"SELECT a.artifact_id, count(*) AS norm_individuals, 0::BIGINT AS violations FROM abox a JOIN (SELECT DISTINCT artifact_id, s FROM abox WHERE p = {q(S.SUBCLASS)} AND o = {q(KERNEL_NS + 'Norm')}) n "
+       f"ON a.artifact_id = n.artifact_id AND a.o = n.s WHERE a.p = {q(S.TYPE)} GROUP BY a.artifact_id", "abox"))
+def gd1(spark, d):
+    def build():
+        ws, t = Workspace(spark), abox(spark, d)
+        return G.GateInputs(t, t.select("artifact_id").distinct(), builtin_kernel(), builtin_upper(), ws)
+
+    g = shared(spark, d, "gate_abox", build)
+    norm = g.reach.where(F.col("target") == G.NORM).select("artifact_id", F.col("cls").alias("o"))
+    typed = g.triples.where(F.col("p") == S.TYPE).join(norm, ["artifact_id", "o"], "left_semi")
+    bad = G.norms_are_dependent(g).groupBy("artifact_id").agg(F.count(F.lit(1)).alias("v"))
+    n = typed.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("norm_individuals"))
+    return n.join(bad, "artifact_id", "left").select("artifact_id", "norm_individuals", F.coalesce("v", F.lit(0)).cast("bigint").alias("violations"))
+
+
+@query("GDx_shapes", sql(f"SELECT artifact_id, s AS offender, {q(CONTAINS)} AS path, 'maxCount' AS constraint FROM abox WHERE p = {q(CONTAINS)} GROUP BY artifact_id, s HAVING count(*) > 6 "
+       f"UNION ALL SELECT a.artifact_id, a.s, {q(CONTAINS)}, 'minCount' FROM abox a WHERE a.p = {q(S.TYPE)} AND a.o IN ({', '.join(q(EX + 'status/' + x) for x in 'FOP')}) AND NOT EXISTS (SELECT 1 FROM abox b WHERE b.p = {q(CONTAINS)} AND b.artifact_id = a.artifact_id AND b.s = a.s) "
+       f"UNION ALL SELECT a.artifact_id, a.s, {q(PLACED_BY)}, 'class' FROM abox a JOIN abox t ON t.artifact_id = a.artifact_id AND t.s = a.s AND t.p = {q(S.TYPE)} AND t.o = {q(EX + 'status/P')} WHERE a.p = {q(PLACED_BY)} AND NOT EXISTS "
+       f"(SELECT 1 FROM abox c WHERE c.artifact_id = a.artifact_id AND c.s = a.o AND c.p = {q(S.TYPE)} AND c.o = {q(EX + 'segment/BUILDING')})", "abox"))
+def gdx(spark, d):
+    t = abox(spark, d)
+    rows = [(EX + "status/" + x, CONTAINS, 1, 6, None, None, None) for x in "FOP"] + [(EX + "status/P", PLACED_BY, None, None, EX + "segment/BUILDING", None, None)]
+    shapes = spark.createDataFrame(rows, "target_class string, path string, min_count int, max_count int, value_class string, datatype string, pattern string")
+    types = t.where((F.col("p") == S.TYPE) & (F.col("s_kind") == "iri")).select("artifact_id", F.col("s").alias("ind"), F.col("o").alias("cls"))
+    return G.shape_violations(t, shapes, types)
+
+
+def fixed(spark, d):
+    def build():
+        ws, t = Workspace(spark), tbox(spark, d)
+        out, removed = R.fix_all(t, lint(spark, d))
+        return ws.table(out, "fixed"), ws.table(removed, "removed")
+
+    return shared(spark, d, "fixed", build)
+
+
+GONE = "gone AS (SELECT DISTINCT l.artifact_id, l.class_iri AS cls, l.drop_iri FROM lint l JOIN edges e ON e.artifact_id = l.artifact_id AND e.child = l.class_iri AND e.parent = l.drop_iri)"
+
+
+@query("GE_delta_unlogged", sql(f"WITH {GONE}, base AS ({TBOX_COUNTS}) SELECT artifact_id, 'E' AS stage, 'E_OVER_RELAXED' AS code, 'Axiom count dropped from ' || axioms || ' to ' || (axioms - n) || ', more than the 0 logged removal(s) account for (floor ' || axioms || ').' AS message, {ONE} "
+       "FROM base JOIN (SELECT artifact_id, count(*) AS n FROM gone GROUP BY artifact_id) USING (artifact_id)", "lint", "edges"))
+def ge(spark, d):
+    after = C.counts(fixed(spark, d)[0])
+    none = spark.createDataFrame([], "artifact_id string, n_logged bigint, n_property bigint")
+    return G.delta_findings(after, gate_inputs(spark, d).counts, none)
+
+
+@query("GE_delta_logged", sql("SELECT artifact_id, 'E' AS stage, '' AS code, '' AS message, '' AS iri, '' AS suggested_rewrite FROM tbox WHERE 1 = 0", "tbox"))
+def ge_logged(spark, d):
+    out, removed = fixed(spark, d)
+    return R.delta_guard(tbox(spark, d), out, R.quarantine(removed))
+
+
+def gate_run(spark, d):
+    return shared(spark, d, "gate_run", lambda: GP.check(tbox(spark, d), all_stages=True))
+
+
+@query("Grun_stages_halted", sql(f"WITH a AS ({ANTI_SQL}), bad AS (SELECT DISTINCT artifact_id FROM a) SELECT b.artifact_id, v.stage, v.stage <> 'A' AS passed, CASE v.stage WHEN 'A' THEN '' WHEN 'E' THEN {q(GP.NO_BASELINE)} ELSE 'halted at A' END AS skipped FROM bad b, (VALUES ('A'),('B'),('C'),('D'),('E')) AS v(stage)", "declared"))
+def grun(spark, d):
+    # Every artifact carries an anti-pattern class, so all of them stop at A.
+    return GP.check(tbox(spark, d)).stages
+
+
+FAILURES = f"""fails AS (SELECT artifact_id, stage, code, count(*) AS n FROM (
+  SELECT artifact_id, stage, code FROM ({STRUCTURAL_SQL}) UNION ALL SELECT artifact_id, stage, code FROM ({ANCHOR_SQL}) UNION ALL SELECT artifact_id, stage, code FROM ({ANTI_SQL})
+  UNION ALL SELECT artifact_id, 'B', 'E_ORPHAN' FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY cls) AS rn FROM {ORPHANS}) WHERE rn <= 50
+  UNION ALL SELECT artifact_id, 'B', 'E_DISJOINT' FROM pairs_k JOIN domain USING (artifact_id, cls)
+  UNION ALL SELECT artifact_id, 'B', 'E_MISTYPED' FROM ({ORACLES['J11_mistyped'][ORACLES['J11_mistyped'].index("SELECT c.artifact_id, 'B' AS stage"):]})
+  UNION ALL SELECT artifact_id, stage, code FROM ({EMPTY_MSG}) UNION ALL SELECT artifact_id, stage, code FROM ({D4_SQL})) GROUP BY artifact_id, stage, code)"""
+FAIL_NEEDS = ("entry_k", "declared", "up_anc", "domain", "pairs_k", "clo_k", "kernel_class", "kernel_edge", "up_class", "up_clash", "empty_k")
+
+
+@query("Grun_failures", sql(f"WITH cnt AS ({TBOX_COUNTS}), {FAILURES} SELECT * FROM fails", *FAIL_NEEDS))
+def grun_failures(spark, d):
+    return gate_run(spark, d).failures()
+
+
+@query("A13_verdicts", sql(f"WITH cnt AS ({TBOX_COUNTS}), {FAILURES} SELECT artifact_id, 'fail' AS verdict FROM fails GROUP BY artifact_id", *FAIL_NEEDS))
+def a13(spark, d):
+    return gate_run(spark, d).verdicts()
+
+
+@query("A14_suggested_rewrites", sql(f"SELECT artifact_id, iri AS key, suggested_rewrite AS rewrite FROM ({ANTI_SQL}) WHERE suggested_rewrite <> '' UNION ALL "
+       f"SELECT artifact_id, cls, 'add subClassOf to the BFO category that fits ' || {short('cls')} FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY cls) AS rn FROM {ORPHANS}) WHERE rn <= 50", "declared", "domain", "entry_k"))
+def a14(spark, d):
+    return gate_run(spark, d).suggested_rewrites()
+
+
+@query("A14_antipattern_hits", sql(f"SELECT artifact_id, iri AS name FROM ({ANTI_SQL})", "declared"))
+def a14_hits(spark, d):
+    return gate_run(spark, d).antipattern_hits()
+
+
+@query("S10_reports_json", sql(f"WITH cnt AS ({TBOX_COUNTS}) SELECT artifact_id, 'kernel/0.1' AS kernel_version, 'fail' AS verdict, classes, axioms FROM cnt", "tbox"))
+def s10(spark, d):
+    from quercus.sources.sinks import write_reports
+
+    ws = Workspace(spark)
+    out = ws.path("reports")
+    reports = gate_run(spark, d).reports()
+    write_reports(reports, out)
+    back = spark.read.schema(reports.schema).json(out)
+    return back.select("artifact_id", "kernel_version", "verdict", "counts.classes", "counts.axioms")
+
+
+@query("Gtax_failures_by_description", sql(f"WITH cnt AS ({TBOX_COUNTS}), {FAILURES}, tax AS (SELECT * FROM (VALUES {', '.join(f'({q(c)}, {q(t)}, {q(s)})' for c, t, s in G.TAXONOMY)}) AS v(code, description, home)) "
+       "SELECT code, description, home AS stage, coalesce(sum(n), 0)::BIGINT AS failures FROM tax LEFT JOIN fails USING (code) GROUP BY ALL", *FAIL_NEEDS))
+def gtax(spark, d):
+    f = gate_run(spark, d).failures().groupBy("code").agg(F.sum("n").alias("n"))
+    return G.taxonomy(spark).join(f, "code", "left").select("code", "description", "stage", F.coalesce("n", F.lit(0)).cast("bigint").alias("failures"))
+
+
+# == repair ===================================================================================
+
+
+@query("R1_drop_choices", sql("SELECT DISTINCT artifact_id, category_a_iri, category_b_iri, drop_iri FROM lint", "lint"))
+def r1(spark, d):
+    return lint(spark, d).select("artifact_id", "category_a_iri", "category_b_iri", "drop_iri").distinct()
+
+
+REQUESTS = f"""req AS (SELECT p_brand AS artifact_id, {q(EX + 'part/P')} || p_partkey AS cls, CASE p_type WHEN 'LARGE' THEN {q(EX + 'type/LARGE')} WHEN 'ECONOMY' THEN {q(UP + '0000040')} WHEN 'SMALL' THEN {q(UP + '0000029')} ELSE {q(UP + '0000016')} END AS drop_iri FROM part
+  UNION ALL SELECT DISTINCT artifact_id, class_iri, drop_iri FROM lint WHERE category_a = 'process')"""
+
+
+@query("R2_J19_requested_drops", sql(f"WITH {REQUESTS} SELECT r.artifact_id, r.cls, r.drop_iri, CASE WHEN NOT {IS_UP.format('r.drop_iri')} THEN {q(R.NOT_UPPER)} "
+       "WHEN NOT EXISTS (SELECT 1 FROM lint l WHERE l.artifact_id = r.artifact_id AND l.class_iri = r.cls AND r.drop_iri IN (l.category_a_iri, l.category_b_iri)) THEN 'No matching straddle finding' "
+       f"WHEN NOT EXISTS (SELECT 1 FROM edges e WHERE e.artifact_id = r.artifact_id AND e.child = r.cls AND e.parent = r.drop_iri) THEN {q(R.NOT_THERE)} ELSE '' END AS reason FROM req r", "lint", "edges"))
+def r2(spark, d):
+    found = lint(spark, d)
+    drop = F.expr(f"CASE p_type WHEN 'LARGE' THEN '{EX}type/LARGE' WHEN 'ECONOMY' THEN '{UP}0000040' WHEN 'SMALL' THEN '{UP}0000029' ELSE '{UP}0000016' END")
+    asked = read(spark, d, "part").select(F.col("p_brand").alias("artifact_id"), F.concat(F.lit(EX + "part/P"), "p_partkey").alias("cls"), drop.alias("drop_iri"))
+    more = found.where("category_a = 'process'").select("artifact_id", F.col("class_iri").alias("cls"), "drop_iri").distinct()
+    return R.judge_requests(asked.union(more), tbox(spark, d), found)
+
+
+@query("R3_fix_all", sql(f"WITH {GONE} SELECT artifact_id, cls, drop_iri FROM gone", "lint", "edges"))
+def r3(spark, d):
+    return fixed(spark, d)[1].select("artifact_id", "cls", "drop_iri")
+
+
+@query("R3_fixed_edges", sql(f"WITH {GONE} SELECT artifact_id, child, parent FROM edges e WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.artifact_id = e.artifact_id AND g.cls = e.child AND g.drop_iri = e.parent)", "lint", "edges"))
+def r3_edges(spark, d):
+    return W.subclass_edges(fixed(spark, d)[0])
+
+
+@query("R4_W10_budgeted_removals", sql(f"""WITH base AS ({TBOX_COUNTS}), first AS (SELECT l.artifact_id, l.class_iri AS cls, l.drop_iri, min((l.category_a_iri, l.category_b_iri)) AS f FROM lint l JOIN edges e ON e.artifact_id = l.artifact_id AND e.child = l.class_iri AND e.parent = l.drop_iri GROUP BY ALL)
+  SELECT f.artifact_id, cls, drop_iri, rn AS rank, bound, n_findings FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY cls, f) AS rn FROM first) f
+  JOIN (SELECT artifact_id, greatest(1, floor(axioms * 0.02))::BIGINT AS bound FROM base) b USING (artifact_id) JOIN (SELECT artifact_id, count(*) AS n_findings FROM lint GROUP BY artifact_id) USING (artifact_id) WHERE rn <= bound""", "lint", "edges"))
+def r4(spark, d):
+    out = R.budgeted_removals(tbox(spark, d), lint(spark, d), gate_inputs(spark, d).counts, Workspace(spark))
+    return out.select("artifact_id", "cls", "drop_iri", "rank", "bound", "n_findings")
+
+
+@query("S11_quarantine_notes", sql(f"WITH {GONE} SELECT artifact_id, 'SubClassOf(' || {short('cls')} || ' ' || {short('drop_iri')} || ')' AS axiom, 'subclass_edge' AS kind, cls || ' ' || {q(S.SUBCLASS)} || ' ' || drop_iri AS axiom_iri FROM gone", "lint", "edges"))
+def s11(spark, d):
+    from quercus.sources.sinks import append_quarantine
+
+    out = Workspace(spark).path("quarantine")
+    append_quarantine(R.quarantine(fixed(spark, d)[1]), out)
+    return spark.read.parquet(out).select("artifact_id", "axiom", "kind", F.array_join("axiom_iri", " ").alias("axiom_iri"))
+
+
+@query("R4_repair_status", sql("SELECT DISTINCT artifact_id, 'unchanged' AS status FROM tbox", "tbox"))
+def r4_status(spark, d):
+    # All artifacts stop at stage A here, and repair leaves such artifacts alone.
+    return R.repair(tbox(spark, d), builtin_upper(), Workspace(spark)).status.select("artifact_id", "status")
+
+
+@query("R6_relint_after_fix")
+def r6(spark, d):
+    return L.straddle_lint(fixed(spark, d)[0], builtin_upper(), Workspace(spark))
+
+
+# == rules ======================================================================================
+
+
+@query("M1_class_hierarchy", sql("SELECT artifact_id, child, ancestor FROM ruled_clo WHERE child <> ancestor", "ruled_clo"))
+def m1(spark, d):
+    return M.class_hierarchy(tbox(spark, d), Workspace(spark))
+
+
+INFERRED = (f"SELECT artifact_id, child, ancestor FROM ruled_clo r WHERE child <> ancestor AND NOT {IS_UP.format('child')} AND ancestor <> {q(S.THING)} "
+            "AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.artifact_id = r.artifact_id AND e.child = r.child AND e.parent = r.ancestor)")
+
+
+@query("J14_M6_inferred_axioms", sql(f"SELECT artifact_id, 'SubClassOf' AS axiom_type, {local('child')} || ' ⊑ ' || {local('ancestor')} AS description, 'scm-sco' AS rule, 'rules' AS origin, child, ancestor FROM ({INFERRED})", "ruled_clo"))
+def j14(spark, d):
+    return M.derivations(M.inferred_subsumptions(tbox(spark, d), Workspace(spark)))
+
+
+@query("J15_hierarchy_diff", sql(f"SELECT DISTINCT artifact_id, {local('child')} AS name, {local('ancestor')} AS parent FROM ruled_clo r WHERE child <> ancestor AND NOT EXISTS "
+       f"(SELECT 1 FROM edges e WHERE e.artifact_id = r.artifact_id AND {local('e.child')} = {local('r.child')} AND {local('e.parent')} = {local('r.ancestor')})", "ruled_clo"))
+def j15(spark, d):
+    def named(df, up):
+        return df.select("artifact_id", N.local_name(F.col("child")).alias("name"), N.local_name(F.col(up)).alias("parent")).distinct()
+
+    t = tbox(spark, d)
+    after = named(M.class_hierarchy(t, Workspace(spark)), "ancestor")
+    return after.join(named(W.subclass_edges(t), "parent"), ["artifact_id", "name", "parent"], "left_anti")
+
+
+CAP = 40
+
+
+@query("W7_capped_inferences", sql(f"WITH inf AS ({INFERRED}) SELECT artifact_id, child, ancestor, total FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY child, ancestor) AS rn, count(*) OVER (PARTITION BY artifact_id) AS total FROM inf) WHERE rn <= {CAP}", "ruled_clo"))
+def w7(spark, d):
+    ws = Workspace(spark)
+    found = ws.table(M.inferred_subsumptions(tbox(spark, d), ws), "inferred")
+    top = RK.first_per_group(found, ["artifact_id"], ["child", "ancestor"], CAP).drop("rn")
+    return top.join(found.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("total")), "artifact_id").select("artifact_id", "child", "ancestor", "total")
+
+
+ABOX_EDGES = f"ae AS (SELECT DISTINCT artifact_id, s AS child, o AS parent FROM abox WHERE {NAMED_EDGE})"
+ENTAILED = f"""ent AS (SELECT artifact_id, s, p, o, min(rule) AS rule FROM (
+  SELECT artifact_id, s, p, o, 'asserted' AS rule FROM abox WHERE p IN ({q(CONTAINS)}, {q(PLACED_BY)})
+  UNION ALL SELECT artifact_id, s, {q(EX + 'prop#involves')}, o, 'prp-spo1' FROM abox WHERE p = {q(PLACED_BY)}
+  UNION ALL SELECT artifact_id, o, {q(EX + 'prop#containedIn')}, s, 'prp-inv' FROM abox WHERE p = {q(CONTAINS)}) GROUP BY ALL)"""
+TYPES = f"""typ AS (SELECT artifact_id, ind, cls, min(rule) AS rule FROM (
+  SELECT artifact_id, s AS ind, o AS cls, 'asserted' AS rule FROM abox WHERE p = {q(S.TYPE)} AND NOT starts_with(o, {q(S.OWL)})
+  UNION ALL SELECT a.artifact_id, a.s, e.parent, 'cax-sco' FROM abox a JOIN ae e ON e.artifact_id = a.artifact_id AND e.child = a.o WHERE a.p = {q(S.TYPE)}
+  UNION ALL SELECT artifact_id, o, {q(UP + '0000040')}, 'prp-rng' FROM ent WHERE p IN ({q(CONTAINS)}, {q(PLACED_BY)})
+  UNION ALL SELECT artifact_id, s, {q(UP + '0000015')}, 'prp-dom' FROM ent WHERE p = {q(CONTAINS)}) GROUP BY artifact_id, ind, cls)"""
+
+
+def entailed(spark, d):
+    def build():
+        ws = Workspace(spark)
+        return ws.table(M.entailed_assertions(abox(spark, d), ws), "entailed")
+
+    return shared(spark, d, "entailed", build)
+
+
+@query("M2_entailed_assertions", sql(f"WITH {ENTAILED} SELECT p, rule, count(*) AS n, count(DISTINCT s) AS subjects, count(DISTINCT o) AS objects FROM ent GROUP BY p, rule", "abox"))
+def m2(spark, d):
+    return entailed(spark, d).groupBy("p", "rule").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("s").alias("subjects"), F.countDistinct("o").alias("objects"))
+
+
+@query("M2_entailed_types", sql(f"WITH {ABOX_EDGES}, {ENTAILED}, {TYPES} SELECT artifact_id, ind, cls, rule FROM typ", "abox"))
+def m2_types(spark, d):
+    return M.entailed_types(abox(spark, d), Workspace(spark), entailed(spark, d))
+
+
+@query("M3_J13_unsatisfiable_classes", sql("WITH " + ROOTS + f""", msg AS (SELECT artifact_id, class_name, arg_max(message, class_iri || ' ' || category_a_iri || ' ' || category_b_iri) AS text FROM ({LINT_SQL}) GROUP BY artifact_id, class_name)
+  SELECT e.artifact_id, e.cls, {short('e.cls')} AS name, coalesce(m.text, {q(M.NOT_JUSTIFIED)}) AS justification FROM empty e LEFT JOIN msg m ON m.artifact_id = e.artifact_id AND m.class_name = {short('e.cls')}""", "lint", "up_anc", "empty"))
+def m3(spark, d):
+    return M.justified(unsat(spark, d), lint(spark, d))
+
+
+@query("M3_unsatisfiable_reasons", sql("SELECT artifact_id, cls, reason FROM empty", "empty"))
+def m3_reasons(spark, d):
+    return unsat(spark, d)
+
+
+BAD_IND = f"bad AS (SELECT DISTINCT l.artifact_id, l.ind, 'cax-dw' AS rule FROM typ l JOIN typ r ON l.artifact_id = r.artifact_id AND l.ind = r.ind JOIN up_clash c ON c.a = l.cls AND c.b = r.cls)"
+
+
+@query("M4_inconsistent_individuals", sql(f"WITH {ABOX_EDGES}, {ENTAILED}, {TYPES}, {BAD_IND} SELECT artifact_id, ind, rule FROM bad", "abox", "up_clash"))
+def m4(spark, d):
+    return M.inconsistent_individuals(abox(spark, d), builtin_upper(), Workspace(spark))
+
+
+@query("M5_coherence", sql(f"WITH {ABOX_EDGES}, {ENTAILED}, {TYPES}, {BAD_IND} SELECT a.artifact_id, coalesce(b.n, 0) AS inconsistent_individuals, coalesce(u.n, 0) AS unsatisfiable_classes, "
+       "CASE WHEN b.n > 0 THEN 'inconsistent' WHEN u.n > 0 THEN 'incoherent' ELSE 'coherent' END AS coherence_status, 'rules' AS method FROM (SELECT DISTINCT artifact_id FROM triples) a "
+       "LEFT JOIN (SELECT artifact_id, count(*) AS n FROM bad GROUP BY artifact_id) b USING (artifact_id) LEFT JOIN (SELECT artifact_id, count(*) AS n FROM empty GROUP BY artifact_id) u USING (artifact_id)", "triples", "up_clash", "empty"))
+def m5(spark, d):
+    bad = M.inconsistent_individuals(abox(spark, d), builtin_upper(), Workspace(spark))
+    return M.coherence(corpus(spark, d).select("artifact_id").distinct(), unsat(spark, d), bad)
+
+
+@query("M8_analysis_rows", sql(f"SELECT p.artifact_id, p.classes, p.axiom_count, p.expressivity, coalesce(l.n, 0) AS lint_findings, coalesce(u.n, 0) AS unsatisfiable_classes, coalesce(i.n, 0) AS inferred_axioms, "
+       f"CASE WHEN u.n > 0 THEN 'incoherent' ELSE 'coherent' END AS coherence_status FROM ({PROFILE_SQL.replace('triples', 'tbox')}) p LEFT JOIN (SELECT artifact_id, count(*) AS n FROM lint GROUP BY artifact_id) l USING (artifact_id) "
+       f"LEFT JOIN (SELECT artifact_id, count(*) AS n FROM empty GROUP BY artifact_id) u USING (artifact_id) LEFT JOIN (SELECT artifact_id, count(*) AS n FROM ({INFERRED}) GROUP BY artifact_id) i USING (artifact_id)", "tbox", "lint", "empty", "ruled_clo"))
+def m8(spark, d):
+    from quercus.plans.analysis import analyse
+
+    rows = analyse(tbox(spark, d), builtin_upper(), Workspace(spark)).rows
+    return rows.select("artifact_id", "classes", "axiom_count", "expressivity", "lint_findings", "unsatisfiable_classes", "inferred_axioms", "coherence_status")
+
+
+@query("S13_S14_analysis_history", sql(f"SELECT artifact_id, classes, axiom_count FROM ({PROFILE_SQL.replace('triples', 'tbox')})", "tbox"))
+def s13(spark, d):
+    from quercus.sources.sinks import replace_analyses
+
+    out = Workspace(spark).path("analyses")
+    rows = P.profile(tbox(spark, d)).select("artifact_id", "classes", "axiom_count")
+    replace_analyses(rows, out)
+    replace_analyses(rows, out)  # the second run replaces the first
+    return spark.read.parquet(out).select("artifact_id", "classes", "axiom_count")
+
+
+# == theory ========================================================================================
+
+TH_CLASSES = f"""tc AS (SELECT DISTINCT artifact_id, iri FROM (SELECT artifact_id, s AS iri FROM tbox WHERE p = {q(S.TYPE)} AND o = {q(S.CLASS)} AND s_kind = 'iri' UNION ALL SELECT artifact_id, child FROM edges UNION ALL SELECT artifact_id, parent FROM edges)
+   WHERE {local('iri')} NOT IN ('Thing', 'Nothing', 'Class') UNION SELECT artifact_id, member FROM dis_group),
+  tl AS (SELECT tc.*, coalesce(u.label, {local('tc.iri')}) AS label FROM tc LEFT JOIN up_class u ON u.iri = tc.iri),
+  tk AS (SELECT artifact_id, iri, bool_or(ancestor = '{UP}0000002') AS c, bool_or(ancestor = '{UP}0000003') AS o FROM (SELECT e.artifact_id, e.cls AS iri, a.ancestor FROM entry e JOIN up_anc a ON a.iri = e.upper_iri WHERE NOT {IS_UP.format('e.cls')}
+    UNION ALL SELECT tc.artifact_id, tc.iri, a.ancestor FROM tc JOIN up_anc a ON a.iri = tc.iri) GROUP BY artifact_id, iri),
+  kinds AS (SELECT tl.artifact_id, tl.iri, tl.label, CASE WHEN c AND NOT o THEN 'continuant' WHEN o AND NOT c THEN 'occurrent' ELSE 'unknown' END AS kind FROM tl LEFT JOIN tk USING (artifact_id, iri)),
+  tdis AS (SELECT artifact_id, a, b, 'asserted' AS origin FROM dis_pair UNION ALL SELECT l.artifact_id, x.a, x.b, 'bfo' FROM (SELECT DISTINCT artifact_id, parent AS c FROM edges) l JOIN up_clash x ON x.a = l.c JOIN (SELECT DISTINCT artifact_id, parent AS c FROM edges) r ON r.artifact_id = l.artifact_id AND r.c = x.b
+    WHERE NOT EXISTS (SELECT 1 FROM dis_pair p WHERE p.artifact_id = l.artifact_id AND p.a = x.a AND p.b = x.b)),
+  named AS (SELECT artifact_id, iri, label, 0 AS isp FROM tl UNION ALL SELECT DISTINCT artifact_id, s, {local('s')}, 1 FROM tbox WHERE p = {q(S.TYPE)} AND o = {q(S.OBJECT_PROPERTY)}),
+  based AS (SELECT *, CASE WHEN b = '' THEN 'c' WHEN regexp_matches(b, '^[a-z]') THEN b ELSE 'c_' || b END AS base FROM (SELECT *, lower(regexp_replace(regexp_replace(label, '[^0-9a-zA-Z_]', '_', 'g'), '^_+|_+$', '', 'g')) AS b FROM named)),
+  symd AS (SELECT artifact_id, iri, isp, label, CASE WHEN rn = 1 THEN base ELSE base || '_' || rn END AS sym FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id, base ORDER BY isp, iri) AS rn FROM based)),
+  th AS (SELECT k.*, s.sym FROM kinds k JOIN symd s ON s.artifact_id = k.artifact_id AND s.iri = k.iri AND s.isp = 0)"""
+TH_NEEDS = ("edges", "dis_group", "dis_pair", "entry", "up_anc", "up_class", "up_clash")
+
+
+@query("F1_F2_W9_theory_classes", sql(f"WITH {TH_CLASSES} SELECT artifact_id, iri, label, sym, kind FROM th", *TH_NEEDS))
+def f1(spark, d):
+    return theory(spark, d).classes.select("artifact_id", "iri", "label", "sym", "kind")
+
+
+@query("F3_subsumptions", sql("SELECT artifact_id, child AS sub, parent AS sup FROM edges", "edges"))
+def f3(spark, d):
+    return theory(spark, d).subsumptions
+
+
+@query("F4_F5_disjoint_pairs", sql(f"WITH {TH_CLASSES} SELECT artifact_id, a, b, origin FROM tdis", *TH_NEEDS))
+def f4(spark, d):
+    return theory(spark, d).disjoints
+
+
+@query("F6_properties", sql(f"WITH {TH_CLASSES} SELECT artifact_id, iri, label, sym FROM symd WHERE isp = 1", *TH_NEEDS))
+def f6(spark, d):
+    return theory(spark, d).properties.select("artifact_id", "iri", "label", "sym")
+
+
+@query("A9_theory_stats", sql(f"WITH {TH_CLASSES} SELECT artifact_id, count(*) AS classes, count(*) FILTER (WHERE kind = 'continuant') AS continuants, count(*) FILTER (WHERE kind = 'occurrent') AS occurrents, count(*) FILTER (WHERE kind = 'unknown') AS unknown_kind, "
+       "any_value(s.n) AS subsumptions, any_value(x.n) AS disjoint_axioms, any_value(p.n) AS properties FROM th JOIN (SELECT artifact_id, count(*) AS n FROM edges GROUP BY 1) s USING (artifact_id) JOIN (SELECT artifact_id, count(*) AS n FROM tdis GROUP BY 1) x USING (artifact_id) "
+       "JOIN (SELECT artifact_id, count(*) AS n FROM symd WHERE isp = 1 GROUP BY 1) p USING (artifact_id) GROUP BY artifact_id", *TH_NEEDS))
+def a9(spark, d):
+    return TH.stats(theory(spark, d))
+
+
+def _lines(syntax, align):
+    """SQL text of the rendered subsumption and disjointness lines."""
+    def memb(alias, ar):
+        if syntax == "prover9":
+            return f"'instance_of_at(X,' || {alias}.sym || ')'" if ar == 2 else f"'instance_of(X,' || {alias}.sym || ',T)'"
+        return f"'(instance_of_at x ' || {alias}.sym || ')'" if ar == 2 else f"'(instance_of x ' || {alias}.sym || ' t)'"
+
+    def text(kind, ar):
+        l, r = memb("l", ar), memb("r", ar)
+        if syntax == "prover9":
+            head = "'  all X ('" if ar == 2 else "'  all X all T ('"
+            return f"{head} || {l} || ' -> ' || {r} || ').'" if kind == "sub" else f"{head} || '-(' || {l} || ' & ' || {r} || ')).'"
+        head = "'  (forall (x) '" if ar == 2 else "'  (forall (x t) '"
+        return f"{head} || '(if ' || {l} || ' ' || {r} || '))'" if kind == "sub" else f"{head} || '(not (and ' || {l} || ' ' || {r} || ')))'"
+
+    both = "false" if align else "l.kind = 'occurrent' AND r.kind = 'occurrent'"
+    case = lambda k: f"CASE WHEN {both} THEN {text(k, 2)} ELSE {text(k, 3)} END"
+    note = "''"
+    if syntax == "prover9" and not align:
+        note = f"CASE WHEN l.kind <> r.kind AND 'unknown' NOT IN (l.kind, r.kind) THEN {q(TH.MISMATCH)} ELSE '' END"
+    tag = "CASE origin WHEN 'bfo' THEN 'BFO' ELSE 'asserted' END"
+    tail = f"'  % ' || {tag} || ': ' || l.label || ' / ' || r.label" if syntax == "prover9" else f"'  ;; ' || {tag}"
+    return (f"WITH {TH_CLASSES} SELECT e.artifact_id, 2 AS section, e.child || ' ' || e.parent AS sort_key, {case('sub')} || {note} AS line FROM edges e JOIN th l ON l.artifact_id = e.artifact_id AND l.iri = e.child JOIN th r ON r.artifact_id = e.artifact_id AND r.iri = e.parent "
+            f"UNION ALL SELECT e.artifact_id, 4, e.a || ' ' || e.b, {case('dis')} || {tail} FROM tdis e JOIN th l ON l.artifact_id = e.artifact_id AND l.iri = e.a JOIN th r ON r.artifact_id = e.artifact_id AND r.iri = e.b")
+
+
+for _name, _syntax, _align in (("F7_prover9_lines", "prover9", False), ("F7_prover9_aligned", "prover9", True), ("F8_clif_lines", "clif", False), ("F8_clif_aligned", "clif", True)):
+    def _render(spark, d, syntax=_syntax, align=_align):
+        return TH.render(theory(spark, d), syntax, align).where("section IN (2, 4)")
+
+    query(_name, sql(_lines(_syntax, _align), *TH_NEEDS))(_render)
+
+
+# A node of the Horn theory is (predicate arity, class).
+HORN = f"""hedge AS (SELECT e.artifact_id, CASE WHEN l.kind = 'occurrent' AND r.kind = 'occurrent' THEN 2 ELSE 3 END AS ar, e.child, e.parent FROM edges e JOIN kinds l ON l.artifact_id = e.artifact_id AND l.iri = e.child JOIN kinds r ON r.artifact_id = e.artifact_id AND r.iri = e.parent),
+  hclo(artifact_id, ar, cls, node) AS (SELECT artifact_id, CASE kind WHEN 'occurrent' THEN 2 ELSE 3 END, iri, iri FROM kinds WHERE NOT {IS_UP.format('iri')} UNION SELECT h.artifact_id, h.ar, h.cls, e.parent FROM hclo h JOIN hedge e ON e.artifact_id = h.artifact_id AND e.ar = h.ar AND e.child = h.node),
+  hdis AS (SELECT t.artifact_id, t.a, t.b, CASE WHEN l.kind = 'occurrent' AND r.kind = 'occurrent' THEN 2 ELSE 3 END AS ar FROM tdis t JOIN kinds l ON l.artifact_id = t.artifact_id AND l.iri = t.a JOIN kinds r ON r.artifact_id = t.artifact_id AND r.iri = t.b),
+  hempty AS (SELECT DISTINCT x.artifact_id, x.cls FROM hclo x JOIN hclo y ON x.artifact_id = y.artifact_id AND x.cls = y.cls AND x.ar = y.ar JOIN hdis h ON h.artifact_id = x.artifact_id AND h.ar = x.ar AND h.a = x.node AND h.b = y.node),
+  verdicts AS (SELECT k.artifact_id, k.iri, k.label, CASE WHEN e.cls IS NULL THEN 'satisfiable' ELSE 'unsatisfiable' END AS verdict FROM kinds k LEFT JOIN hempty e ON e.artifact_id = k.artifact_id AND e.cls = k.iri WHERE NOT {IS_UP.format('k.iri')})"""
+
+
+def verdicts(spark, d):
+    def build():
+        ws = Workspace(spark)
+        return ws.table(TH.empty_classes(theory(spark, d), builtin_upper(), ws), "verdicts")
+
+    return shared(spark, d, "verdicts", build)
+
+
+@query("F10_class_emptiness", sql(f"WITH {TH_CLASSES}, {HORN} SELECT artifact_id, iri, label, verdict FROM verdicts", *TH_NEEDS))
+def f10(spark, d):
+    return verdicts(spark, d)
+
+
+TESTED = "tested AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY lower(label), iri) AS rn FROM verdicts) WHERE rn <= 60)"
+
+
+@query("W8_tested_classes", sql(f"WITH {TH_CLASSES}, {HORN}, {TESTED} SELECT artifact_id, iri, verdict FROM tested", *TH_NEEDS))
+def w8(spark, d):
+    return TH.tested_classes(verdicts(spark, d)).select("artifact_id", "iri", "verdict")
+
+
+SIDES = f"""pv AS (SELECT DISTINCT artifact_id, label AS name FROM tested WHERE verdict = 'unsatisfiable'), rv AS (SELECT DISTINCT artifact_id, {local('cls')} AS name FROM empty),
+  sides AS (SELECT artifact_id, name, CASE WHEN p IS NULL THEN 'only_reasoner' WHEN r IS NULL THEN 'only_prover' ELSE 'both' END AS side FROM (SELECT *, true AS p FROM pv) FULL JOIN (SELECT *, true AS r FROM rv) USING (artifact_id, name))"""
+
+
+def reasoner_names(spark, d):
+    return unsat(spark, d).select("artifact_id", N.local_name(F.col("cls")).alias("name"))
+
+
+@query("J18_divergence", sql(f"WITH {TH_CLASSES}, {HORN}, {TESTED}, {SIDES} SELECT artifact_id, name, side FROM sides", *TH_NEEDS, "empty"))
+def j18(spark, d):
+    prover = TH.tested_classes(verdicts(spark, d)).where("verdict = 'unsatisfiable'").select("artifact_id", F.col("label").alias("name"))
+    return TH.divergence(prover, reasoner_names(spark, d))
+
+
+@query("F11_cross_check", sql(f"WITH {TH_CLASSES}, {HORN}, {TESTED}, {SIDES} SELECT v.artifact_id, least(count(*), 60) AS tested, count(*) > 60 AS capped, coalesce(any_value(p), 0) AS prover_unsatisfiable, coalesce(any_value(r), 0) AS reasoner_unsatisfiable, coalesce(any_value(op), 0) AS only_prover, "
+       "coalesce(any_value(orr), 0) AS only_reasoner, CASE WHEN count(*) <= 60 THEN coalesce(any_value(op), 0) = 0 AND coalesce(any_value(orr), 0) = 0 END AS agree FROM verdicts v LEFT JOIN (SELECT artifact_id, count(*) FILTER (WHERE side <> 'only_reasoner') AS p, count(*) FILTER (WHERE side <> 'only_prover') AS r, "
+       "count(*) FILTER (WHERE side = 'only_prover') AS op, count(*) FILTER (WHERE side = 'only_reasoner') AS orr FROM sides GROUP BY artifact_id) USING (artifact_id) GROUP BY v.artifact_id", *TH_NEEDS, "empty"))
+def f11(spark, d):
+    return TH.cross_check(verdicts(spark, d), reasoner_names(spark, d))
