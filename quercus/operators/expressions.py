@@ -9,30 +9,29 @@ from quercus.functions.formulas import (
 from quercus.sources.upper import vocabulary_rows, vocabulary_table
 
 
-def _vocabulary() -> Column:
-    """The vocabulary (64 fixed entries, in lookup order) as one array constant."""
-    rows = ", ".join(
-        f"named_struct('key', '{k}', 'label', '{label}', 'kind', '{kind}')"
-        for _, k, label, _, kind in vocabulary_rows()
-    )
-    return F.expr(f"array({rows})")
-
-
 def match_terms(found: DataFrame) -> DataFrame:
     """``found(term)`` plus match kind (exact / partial / none), label and entry kind.
 
     An exact class wins over an exact relation; else the first entry that contains
-    the term or is contained in it.
+    the term or is contained in it.  The vocabulary is 64 fixed entries, so the
+    look-up is one generated CASE instead of a theta join.
     """
-    vocab, t = _vocabulary(), F.lower(F.col("term"))
-    exact = F.filter(vocab, lambda v: v["key"] == t)
-    partial = F.filter(vocab, lambda v: v["key"].contains(t) | t.contains(v["key"]))
-    hit = F.coalesce(F.get(exact, F.lit(0)), F.get(partial, F.lit(0)))
-    return found.withColumn("_hit", hit).select(
+    rows = vocabulary_rows()
+    exact = " ".join(f"WHEN _t = '{k}' THEN {pos}" for pos, k, *_ in rows)
+    partial = " ".join(
+        f"WHEN contains('{k}', _t) OR contains(_t, '{k}') THEN {pos}" for pos, k, *_ in rows
+    )
+    at = (
+        found.withColumn("_t", F.lower("term"))
+        .withColumns({"_exact": F.expr(f"CASE {exact} END"), "_partial": F.expr(f"CASE {partial} END")})
+        .withColumn("_pos", F.coalesce("_exact", "_partial"))
+    )
+    entry = vocabulary_table(found.sparkSession).select(F.col("pos").cast("int").alias("_pos"), "label", "kind")
+    return at.join(entry, "_pos", "left").select(
         *found.columns,
-        F.when(F.size(exact) > 0, "exact").when(F.size(partial) > 0, "partial").otherwise("none").alias("match"),
-        F.col("_hit.label").alias("label"),
-        F.col("_hit.kind").alias("kind"),
+        F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_partial").isNotNull(), "partial")
+        .otherwise("none").alias("match"),
+        "label", "kind",
     )
 
 

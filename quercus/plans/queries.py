@@ -1089,3 +1089,477 @@ def j18(spark, d):
        "count(*) FILTER (WHERE side = 'only_prover') AS op, count(*) FILTER (WHERE side = 'only_reasoner') AS orr FROM sides GROUP BY artifact_id) USING (artifact_id) GROUP BY v.artifact_id", *TH_NEEDS, "empty"))
 def f11(spark, d):
     return TH.cross_check(verdicts(spark, d), reasoner_names(spark, d))
+
+
+# == premises and coverage ============================================================================
+
+PREMISE_SQL = (f"(SELECT artifact_id, CASE kind WHEN 'class' THEN 'class' ELSE 'property' END AS premise_type, CASE kind WHEN 'class' THEN 'instance_of(x, ' || name || ', t)' ELSE name || '(x, y, t)' END AS fol, "
+               "CASE kind WHEN 'class' THEN 'Entities that are instances of ' || name ELSE 'Relation ' || name || ' between entities' END AS description, name AS entity_name "
+               f"FROM {ENTITY_SQL} WHERE (kind = 'class' AND name NOT IN ('Thing', 'Nothing', 'Entity')) OR kind = 'object_property')")
+
+
+@query("F12_simple_premises", sql(f"SELECT * FROM {PREMISE_SQL}", "triples"))
+def f12(spark, d):
+    return PR.simple_premises(corpus(spark, d))
+
+
+MISSING_ENT = f"(SELECT artifact_id, kind, name FROM {ENTITY_SQL} e WHERE kind <> 'annotation_property' AND NOT EXISTS (SELECT 1 FROM {PREMISE_SQL} p WHERE p.artifact_id = e.artifact_id AND p.entity_name = e.name))"
+
+
+@query("J16_missing_entities", sql(f"SELECT * FROM {MISSING_ENT}", "triples"))
+def j16(spark, d):
+    t = corpus(spark, d)
+    return PR.missing_entities(t, PR.simple_premises(t))
+
+
+@query("J16_completeness", sql(f"SELECT e.artifact_id, e.n AS total_entities, coalesce(m.n, 0) AS missing_entities, coalesce(p.n, 0) AS total_premises, coalesce(m.n, 0) = 0 AS complete FROM "
+       f"(SELECT artifact_id, count(*) AS n FROM {ENTITY_SQL} WHERE kind <> 'annotation_property' GROUP BY 1) e LEFT JOIN (SELECT artifact_id, count(*) AS n FROM {MISSING_ENT} GROUP BY 1) m USING (artifact_id) LEFT JOIN (SELECT artifact_id, count(*) AS n FROM {PREMISE_SQL} GROUP BY 1) p USING (artifact_id)", "triples"))
+def j16_report(spark, d):
+    t = corpus(spark, d)
+    return PR.completeness(t, PR.simple_premises(t))
+
+
+BOTH = "s_kind = 'iri' AND o_kind = 'iri'"
+CHAR_CASE = "CASE o " + " ".join(f"WHEN {q(i)} THEN '{n}'" for i, n in PR.CHAR_NAMES.items()) + " END"
+OBJ_ASSERT = f"(SELECT * FROM triples t WHERE {BOTH} AND NOT starts_with(p, {q(S.RDF)}) AND NOT starts_with(p, {q(S.RDFS)}) AND NOT starts_with(p, {q(S.OWL)}) AND (artifact_id, p) IN (SELECT artifact_id, s FROM {PROPS}))"
+AXIOM_SQL = f"""(SELECT artifact_id, CASE p WHEN {q(S.SUBCLASS)} THEN 'SubClassOf' WHEN {q(S.EQUIVALENT)} THEN 'EquivalentClasses' ELSE 'DisjointClasses' END AS axiom_type, {local('s')} AS subject, NULL AS property, {local('o')} AS object,
+   {local('s')} || CASE p WHEN {q(S.SUBCLASS)} THEN ' is a subclass of ' WHEN {q(S.EQUIVALENT)} THEN ' is equivalent to ' ELSE ' is disjoint with ' END || {local('o')} AS description FROM triples WHERE p IN ({q(S.SUBCLASS)}, {q(S.EQUIVALENT)}, {q(S.DISJOINT)}) AND {BOTH}
+  UNION ALL SELECT t.artifact_id, CASE WHEN o.s IS NULL THEN 'DataProperty' ELSE 'ObjectProperty' END || CASE p WHEN {q(S.DOMAIN)} THEN 'Domain' ELSE 'Range' END, {local('t.s')}, NULL, {local('t.o')}, {local('t.s')} || ' has ' || CASE p WHEN {q(S.DOMAIN)} THEN 'domain ' ELSE 'range ' END || {local('t.o')}
+   FROM triples t JOIN {ALL_PROPS} a ON a.artifact_id = t.artifact_id AND a.s = t.s LEFT JOIN {PROPS} o ON o.artifact_id = t.artifact_id AND o.s = t.s WHERE p IN ({q(S.DOMAIN)}, {q(S.RANGE)}) AND {BOTH}
+  UNION ALL SELECT artifact_id, {CHAR_CASE}, {local('s')}, NULL, NULL, {local('s')} || ' is ' || lower({CHAR_CASE}) FROM triples WHERE p = {q(S.TYPE)} AND o IN {_in(C.CHARACTERISTICS)} AND (artifact_id, s) IN (SELECT artifact_id, s FROM {PROPS})
+  UNION ALL SELECT artifact_id, 'ClassAssertion', {local('s')}, NULL, {local('o')}, {local('s')} || ' is an instance of ' || {local('o')} FROM triples WHERE p = {q(S.TYPE)} AND {BOTH} AND (artifact_id, o) IN (SELECT artifact_id, s FROM triples WHERE p = {q(S.TYPE)} AND o = {q(S.CLASS)})
+  UNION ALL SELECT artifact_id, 'ObjectPropertyAssertion', {local('s')}, {local('p')}, {local('o')}, {local('s')} || ' ' || {local('p')} || ' ' || {local('o')} FROM {OBJ_ASSERT})"""
+
+
+@query("L1_typed_axioms", sql(f"SELECT * FROM {AXIOM_SQL}", "triples"))
+def l1(spark, d):
+    return PR.typed_axioms(corpus(spark, d))
+
+
+AXIOM_PREMISES = f"""(SELECT artifact_id, 'SubClassOf' AS premise_type, '∀x,t: instance_of(x,' || {local('s')} || ',t) → instance_of(x,' || {local('o')} || ',t)' AS fol, 'All instances of ' || {local('s')} || ' are also instances of ' || {local('o')} AS description FROM tbox WHERE p = {q(S.SUBCLASS)} AND {BOTH}
+  UNION ALL SELECT artifact_id, CASE p WHEN {q(S.DOMAIN)} THEN 'PropertyDomain' ELSE 'PropertyRange' END, '∀x,y: ' || {local('s')} || '(x,y) → ' || {local('o')} || CASE p WHEN {q(S.DOMAIN)} THEN '(x)' ELSE '(y)' END, 'If x relates to y via ' || {local('s')} || CASE p WHEN {q(S.DOMAIN)} THEN ', then x is a ' ELSE ', then y is a ' END || {local('o')}
+   FROM tbox WHERE p IN ({q(S.DOMAIN)}, {q(S.RANGE)}) AND {BOTH} AND (artifact_id, s) IN (SELECT artifact_id, s FROM {PROPS.replace('triples', 'tbox')})
+  UNION ALL SELECT artifact_id, 'Transitive', '∀x,y,z: (' || {local('s')} || '(x,y) ∧ ' || {local('s')} || '(y,z)) → ' || {local('s')} || '(x,z)', 'Property ' || {local('s')} || ' is transitive' FROM tbox WHERE p = {q(S.TYPE)} AND o = {q(OWL + 'TransitiveProperty')}
+  UNION ALL SELECT artifact_id, 'EquivalentClasses', '∀x: ' || {local('s')} || '(x) ↔ ' || {local('o')} || '(x)', 'A thing is a ' || {local('s')} || ' if and only if it is a ' || {local('o')} FROM tbox WHERE p = {q(S.EQUIVALENT)} AND {BOTH}
+  UNION ALL SELECT artifact_id, 'DisjointClasses', '∀x,t: ¬(instance_of(x,' || m || ',t) ∧ instance_of(x,' || n || ',t))', 'No instance can be both a ' || m || ' and a ' || n FROM (SELECT artifact_id, {local('a')} AS m, {local('b')} AS n FROM dis_pair UNION ALL SELECT artifact_id, {local('b')}, {local('a')} FROM dis_pair))"""
+
+
+def axiom_premises(spark, d):
+    def build():
+        ws = Workspace(spark)
+        return ws.table(PR.axiom_premises(tbox(spark, d), ws), "premises")
+
+    return shared(spark, d, "premises", build)
+
+
+@query("L2_axiom_premises", sql(f"SELECT * FROM {AXIOM_PREMISES}", "tbox", "dis_pair"))
+def l2(spark, d):
+    return axiom_premises(spark, d)
+
+
+@query("L2_cardinality_premises", """SELECT p_partkey, CASE k WHEN 'min' THEN 'MinCardinality' WHEN 'max' THEN 'MaxCardinality' ELSE 'ExactCardinality' END AS premise_type, CASE
+    WHEN k = 'min' THEN '∀x: P' || p_partkey || '(x) → ∃' || ys || ': ' || ry || CASE n WHEN 1 THEN '' ELSE ' ∧ ' || ney END
+    WHEN n = 0 THEN '∀x: P' || p_partkey || '(x) → ¬∃y: has(x,y)'
+    WHEN k = 'max' THEN '∀x: P' || p_partkey || '(x) → ∀' || my || ': (' || rm || ') → (' || em || ')'
+    ELSE '∀x: P' || p_partkey || '(x) → (∃' || ys || ': ' || ry || CASE n WHEN 1 THEN '' ELSE ' ∧ ' || ney END || ' ∧ ∀' || replace(my, 'y', 'z') || ': (' || replace(rm, 'y', 'z') || ') → (' || replace(em, 'y', 'z') || '))' END AS fol
+  FROM (SELECT *, CASE n WHEN 1 THEN 'y1' WHEN 2 THEN 'y1,y2' WHEN 0 THEN '' END AS ys, CASE n WHEN 1 THEN 'has(x,y1)' WHEN 2 THEN 'has(x,y1) ∧ has(x,y2)' END AS ry, 'y1 ≠ y2' AS ney,
+     CASE n WHEN 1 THEN 'y1,y2' ELSE 'y1,y2,y3' END AS my, CASE n WHEN 1 THEN 'has(x,y1) ∧ has(x,y2)' ELSE 'has(x,y1) ∧ has(x,y2) ∧ has(x,y3)' END AS rm, CASE n WHEN 1 THEN 'y1 = y2' ELSE 'y1 = y2 ∨ y1 = y3 ∨ y2 = y3' END AS em
+    FROM (SELECT p_partkey, CASE WHEN p_type IN ('SMALL', 'MEDIUM') THEN 'min' WHEN p_type IN ('LARGE', 'PROMO') THEN 'max' ELSE 'exact' END AS k, CASE WHEN p_size < 10 THEN 0 WHEN p_size < 30 THEN 1 ELSE 2 END AS n FROM part)) WHERE k <> 'min' OR n > 0""")
+def l2_card(spark, d):
+    kind = F.when(F.col("p_type").isin("SMALL", "MEDIUM"), "minCardinality").when(F.col("p_type").isin("LARGE", "PROMO"), "maxCardinality").otherwise("cardinality")
+    n = F.when(F.col("p_size") < 10, 0).when(F.col("p_size") < 30, 1).otherwise(2)
+    cls, node = F.concat(F.lit(EX + "P"), "p_partkey"), F.concat(F.lit("_:"), "p_partkey")
+
+    def row(s, s_kind, p, o, o_kind):
+        return F.struct(s.alias("s"), F.lit(s_kind).alias("s_kind"), p.alias("p"), o.alias("o"), F.lit(o_kind).alias("o_kind"))
+
+    rows = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("artifact_id"), F.inline(F.array(
+        row(cls, "iri", F.lit(S.SUBCLASS), node, "bnode"),
+        row(node, "bnode", F.lit(S.owl("onProperty")), F.lit(EX + "has"), "iri"),
+        row(node, "bnode", F.concat(F.lit(S.OWL), kind), n.cast("string"), "literal"),
+    )))
+    return PR.cardinality_premises(rows).select(F.col("artifact_id").cast("bigint").alias("p_partkey"), "premise_type", "fol")
+
+
+@query("L3_coverage", sql(f"WITH m AS (SELECT DISTINCT artifact_id, lower(unnest(regexp_extract_all(fol, {q(X.PREMISE_TERM)}, 1))) AS term FROM {AXIOM_PREMISES}) SELECT artifact_id, count(*) AS total_elements, count(m.term) AS covered_elements, count(*) - count(m.term) AS missing_elements, round(100.0 * count(m.term) / count(*), 2)::DOUBLE AS coverage_percentage "
+       f"FROM (SELECT * FROM {ENTITY_SQL.replace('triples', 'tbox')} WHERE kind <> 'annotation_property') e LEFT JOIN m USING (artifact_id) WHERE false GROUP BY artifact_id", "tbox", "dis_pair").replace("LEFT JOIN m USING (artifact_id) WHERE false", "LEFT JOIN m ON m.artifact_id = e.artifact_id AND m.term = lower(e.name)").replace("SELECT artifact_id, count(*) AS total", "SELECT e.artifact_id, count(*) AS total").replace("GROUP BY artifact_id", "GROUP BY e.artifact_id"))
+def l3(spark, d):
+    return PR.coverage(tbox(spark, d), axiom_premises(spark, d))
+
+
+@query("L4_axioms_of_contradictions", sql(f"SELECT * FROM {AXIOM_SQL.replace('triples', 'tbox')} a WHERE EXISTS (SELECT 1 FROM empty e WHERE e.artifact_id = a.artifact_id AND {local('e.cls')} IN (a.subject, a.object, a.property))", "tbox", "empty"))
+def l4(spark, d):
+    terms = unsat(spark, d).select("artifact_id", N.local_name(F.col("cls")).alias("term")).distinct()
+    return PR.axioms_mentioning(PR.typed_axioms(tbox(spark, d)), terms)
+
+
+# == expressions ========================================================================================
+
+FORMULA = """CASE p_type WHEN 'ECONOMY' THEN 'forall x,t (instance_of(x,' || replace(p_name, ' ', '_') || ',t) -> exists p (participates_in(x,p)))'
+  WHEN 'SMALL' THEN 'formulas(assumptions). all X all T (instance_of(X,' || replace(p_name, ' ', '_') || ',T) -> instance_of(X,quality,T)). % note'
+  WHEN 'MEDIUM' THEN '(forall (x t) (if (instance_of x role t) (instance_of x ' || replace(p_name, ' ', '_') || ' t)))'
+  WHEN 'PROMO' THEN 'Process(x) & ' || replace(p_name, ' ', '_') || '(y) & part_of(x, y)'
+  WHEN 'STANDARD' THEN 'exists ((Object(x) && spatial(x) & located() forall x, y, z (temporal_part_of(x, y) | R(z))' ELSE p_name END"""
+FORMULAS_SQL = f"(SELECT p_partkey AS expr_id, {FORMULA} AS e FROM part)"
+
+
+def expressions(spark, d):
+    return read(spark, d, "part").select(F.col("p_partkey").alias("expr_id"), F.expr(FORMULA).alias("expression"))
+
+
+def _re(col, pattern):
+    return f"regexp_matches({col}, {q(pattern)})"
+
+
+SYNTAX_SQL = (f"CASE WHEN trim(e) = '' THEN NULL WHEN starts_with(trim(e), '(') AND ({_re('trim(e)', X.CLIF_KEYWORD)} OR {_re('trim(e)', X.CLIF_ATOM)}) THEN 'clif' "
+              f"WHEN {_re('trim(e)', X.P9_QUANTIFIER)} AND NOT contains(string_split(trim(e), '(')[1], '.') THEN 'prover9' WHEN {_re('trim(e)', X.P9_SCAFFOLD)} THEN 'prover9' "
+              f"WHEN contains(e, 'instance_of') THEN 'instance_of' WHEN {_re('trim(e)', X.TRADITIONAL)} THEN 'traditional' END")
+FORMAT_SQL = f"CASE WHEN {_re('e', X.INSTANCE_OF)} THEN 'instance_of' WHEN {_re('e', X.UNARY_CAPITAL)} THEN 'traditional' END"
+
+
+@query("E1_E2_syntax", f"SELECT expr_id, e AS expression, {SYNTAX_SQL} AS syntax, {FORMAT_SQL} AS format FROM {FORMULAS_SQL}")
+def e1(spark, d):
+    e = F.col("expression")
+    return expressions(spark, d).select("expr_id", "expression", X.syntax(e).alias("syntax"), X.format_of(e).alias("format"))
+
+
+@query("E1_syntax_of_texts", f"SELECT kind, id, {SYNTAX_SQL} AS syntax, {FORMAT_SQL} AS format FROM (SELECT 'page' AS kind, page_id AS id, html AS e FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents)")
+def e1_texts(spark, d):
+    texts = read(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("e")).union(read(spark, d, "documents").select(F.lit("document"), "doc_id", "text"))
+    return texts.select("kind", "id", X.syntax(F.col("e")).alias("syntax"), X.format_of(F.col("e")).alias("format"))
+
+
+EXPAND_SQL = (f"string_split_regex(e, {q(X.MULTI_QUANTIFIER)})[1] || array_to_string(list_transform(range(1, len(regexp_extract_all(e, {q(X.MULTI_QUANTIFIER)})) + 1), lambda i : "
+              f"array_to_string(list_transform(list_filter(list_transform(string_split(regexp_extract(regexp_extract_all(e, {q(X.MULTI_QUANTIFIER)})[i], {q(X.MULTI_QUANTIFIER)}, 2), ','), lambda v : trim(v)), lambda v : v <> ''), "
+              f"lambda v : regexp_extract(regexp_extract_all(e, {q(X.MULTI_QUANTIFIER)})[i], {q(X.MULTI_QUANTIFIER)}, 1) || ' ' || v), ' ') || ' (' || string_split_regex(e, {q(X.MULTI_QUANTIFIER)})[i + 1]), '')")
+
+
+@query("E3_expanded_quantifiers", f"SELECT expr_id, {EXPAND_SQL} AS expanded FROM {FORMULAS_SQL}")
+def e3(spark, d):
+    return expressions(spark, d).select("expr_id", X.expand_quantifiers(F.col("expression")).alias("expanded"))
+
+
+P9_SQL = "trim(e)"
+for _p, _by in ((r"set\([^)]*\)\s*\.", " "), (r"formulas\([^)]*\)\s*\.", " "), (r"end_of_list\.", " "), (r"%[^\n]*", " "), (r"^\s+|\s+$", ""), (r"\.$", ""),
+                (r"\b(all|exists)\s+([A-Za-z]\w*)\s+", r"\1 \2."), (r"\b(all|exists)\s+([A-Za-z]\w*)\s*\(", r"\1 \2.("), (r"\s+", " ")):
+    P9_SQL = f"regexp_replace({P9_SQL}, {q(_p)}, {q(_by)}, 'g')"
+
+
+@query("E4_prover9_infix", f"SELECT expr_id, trim({P9_SQL}) AS infix FROM {FORMULAS_SQL}")
+def e4(spark, d):
+    return expressions(spark, d).select("expr_id", X.prover9_infix(F.col("expression")).alias("infix"))
+
+
+def _terms_sql(e):
+    parts = " UNION ".join(f"SELECT expr_id, unnest(regexp_extract_all(e, {q(p)}, 1)) AS term FROM src" for p in (X.TERM_UNARY, X.TERM_RELATION))
+    return (f"src AS ({e}), tm AS (SELECT expr_id, unnest(regexp_extract_all(e, {q(X.TERM_INSTANCE)}, 1)) AS term FROM src UNION SELECT * FROM ({parts}) WHERE term NOT IN ('instance_of', 'forall', 'exists')), "
+            "terms AS (SELECT DISTINCT expr_id, term FROM tm WHERE term <> 'instance_of')")
+
+
+@query("E5_terms", f"WITH {_terms_sql(f'SELECT * FROM {FORMULAS_SQL}')} SELECT expr_id, term FROM terms")
+def e5(spark, d):
+    return expressions(spark, d).select("expr_id", F.explode(X.terms(F.col("expression"))).alias("term"))
+
+
+@query("E5_terms_of_pages", f"WITH {_terms_sql('SELECT page_id AS expr_id, html AS e FROM pages')} SELECT expr_id, term FROM terms")
+def e5_pages(spark, d):
+    pages = read(spark, d, "pages").select(F.col("page_id").alias("expr_id"), F.col("html").alias("expression"))
+    return pages.select("expr_id", F.explode(X.terms(F.col("expression"))).alias("term"))
+
+
+@query("E6_free_variables", f"SELECT expr_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(e, {q(X.ARGUMENT)}, 1), lambda a : NOT list_contains("
+       f"flatten(list_transform(regexp_extract_all(e, {q(X.BOUND)}, 1), lambda b : list_transform(string_split(b, ','), lambda v : trim(v)))), a)))), ',') AS free FROM {FORMULAS_SQL}")
+def e6(spark, d):
+    return expressions(spark, d).select("expr_id", F.array_join(X.free_variables(F.col("expression")), ",").alias("free"))
+
+
+@query("L5_surface_issues", f"SELECT expr_id, concat_ws('; ', CASE WHEN len(e) - len(replace(e, '(', '')) <> len(e) - len(replace(e, ')', '')) THEN 'Unbalanced parentheses in the expression' END, CASE WHEN {_re('e', chr(92) + '(' + chr(92) + 's*' + chr(92) + ')')} THEN 'Empty parentheses found' END, "
+       f"CASE WHEN {_re('e', '[&|]' + chr(92) + 's*[&|]')} THEN 'Consecutive logical operators found' END, CASE WHEN NOT {_re('e', chr(92) + 'b(exists|forall)' + chr(92) + 'b' + chr(92) + 's*[a-zA-Z]+')} AND (contains(e, 'exists') OR contains(e, 'forall')) THEN 'Quantifier used without a variable' END) AS issues FROM {FORMULAS_SQL}")
+def l5(spark, d):
+    return expressions(spark, d).select("expr_id", F.array_join(X.surface_issues(F.col("expression")), "; ").alias("issues"))
+
+
+VOCAB_VALUES = ", ".join(f"({i}, '{k}', '{label}', '{uri}', '{kind}')" for i, k, label, uri, kind in vocabulary_rows())
+MATCH_SQL = f"""vocab AS (SELECT * FROM (VALUES {VOCAB_VALUES}) AS v(pos, key, label, uri, kind)), best AS (SELECT term, min(pos) FILTER (WHERE key = lower(term)) AS ex, min(pos) AS pa FROM (SELECT DISTINCT term FROM terms) t JOIN vocab ON contains(key, lower(term)) OR contains(lower(term), key) GROUP BY term),
+  matched AS (SELECT t.expr_id, t.term, CASE WHEN b.ex IS NOT NULL THEN 'exact' WHEN b.pa IS NOT NULL THEN 'partial' ELSE 'none' END AS match, v.label, v.kind FROM terms t LEFT JOIN best b USING (term) LEFT JOIN vocab v ON v.pos = coalesce(b.ex, b.pa))"""
+
+
+@query("J17_vocabulary_matches", f"WITH {_terms_sql(f'SELECT * FROM {FORMULAS_SQL}')}, {MATCH_SQL} SELECT expr_id, term, match, label, kind FROM matched")
+def j17(spark, d):
+    return E.expression_terms(expressions(spark, d))
+
+
+@query("J17_document_words", "WITH terms AS (SELECT DISTINCT 0 AS expr_id, unnest(string_split(text, ' ')) AS term FROM documents), " + MATCH_SQL + " SELECT term, match, label, kind FROM matched")
+def j17_words(spark, d):
+    words = read(spark, d, "documents").select(F.explode(F.split("text", " ", -1)).alias("term")).distinct()
+    return E.match_terms(words)
+
+
+@query("E7_verdicts", f"""WITH {_terms_sql(f'SELECT * FROM {FORMULAS_SQL}')}, {MATCH_SQL}, fv AS ({ORACLES['E6_free_variables']}), si AS ({ORACLES['L5_surface_issues']}),
+  per AS (SELECT expr_id, string_agg(DISTINCT label, ', ' ORDER BY label) FILTER (WHERE match = 'exact' AND kind = 'class') AS c, string_agg(DISTINCT label, ', ' ORDER BY label) FILTER (WHERE match = 'exact' AND kind = 'relation') AS r, string_agg(DISTINCT term, ', ' ORDER BY term) FILTER (WHERE match = 'none') AS u FROM matched GROUP BY expr_id)
+  SELECT s.expr_id, si.issues = '' AS parsed, si.issues = '' AND fv.free = '' AS well_formed, u IS NULL AS bfo_compatible, si.issues = '' AND fv.free = '' AND u IS NULL AS valid, coalesce(c, '') AS classes_used, coalesce(r, '') AS relations_used, coalesce(u, '') AS unknown_terms,
+   concat_ws('; ', nullif(si.issues, ''), CASE WHEN fv.free <> '' THEN 'Found free variables not bound by quantifiers: ' || replace(fv.free, ',', ', ') END) AS issues FROM src s JOIN fv USING (expr_id) JOIN si USING (expr_id) LEFT JOIN per USING (expr_id)""")
+def e7(spark, d):
+    v = E.check_expressions(expressions(spark, d))
+    return v.select("expr_id", "parsed", "well_formed", "bfo_compatible", "valid", *[F.array_join(c, ", ").alias(c) for c in ("classes_used", "relations_used", "unknown_terms")], F.array_join("issues", "; ").alias("issues"))
+
+
+@query("E8_expression_results", f"SELECT expr_id, {SYNTAX_SQL} AS syntax, CASE coalesce({SYNTAX_SQL}, '') WHEN 'prover9' THEN trim({P9_SQL}) WHEN 'clif' THEN e ELSE {EXPAND_SQL} END AS prepared FROM {FORMULAS_SQL}")
+def e8(spark, d):
+    out = Workspace(spark).path("expression-results")
+    E.check_table(expressions(spark, d)).write.mode("append").parquet(out)
+    return spark.read.parquet(out).select("expr_id", "syntax", "prepared")
+
+
+@query("E9_vocabulary_usage", f"WITH {_terms_sql(f'SELECT * FROM {FORMULAS_SQL}')}, {MATCH_SQL} SELECT v.key, v.label, v.uri, v.kind, count(DISTINCT m.expr_id) AS expressions FROM vocab v LEFT JOIN matched m ON m.match = 'exact' AND lower(m.term) = v.key GROUP BY ALL")
+def e9(spark, d):
+    return E.vocabulary_usage(E.expression_terms(expressions(spark, d)), spark)
+
+
+@query("E10_premise_terms", sql(f"SELECT DISTINCT artifact_id, lower(unnest(regexp_extract_all(fol, {q(X.PREMISE_TERM)}, 1))) AS term FROM {AXIOM_PREMISES}", "tbox", "dis_pair"))
+def e10(spark, d):
+    return PR.mentioned_terms(axiom_premises(spark, d))
+
+
+CLIF = """'(cl:comment ''note on ' || p_name || ' (not an axiom)'' (cl:outdiscourse ' || p_type || ') (forall (x t) (if (instance-of x ' || p_type || ' t) (exists (y) (and (' || CASE WHEN p_size > 25 THEN 'participates-in x y t' ELSE 'occurs-in x y' END || ') (not (= x y)) (' || CASE p_type WHEN 'PROMO' THEN 'precedes x y t' ELSE 'precedes x y' END || '))))))' || chr(10) || ';; (ignored x)' || chr(10) || '(' || replace(p_name, ' ', '-') || ' a)'"""
+
+
+def clif_atoms(spark, d):
+    docs = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("doc"), F.expr(CLIF.replace("''", "\\'")).alias("value"))
+    return CL.atoms(docs)
+
+
+INVENTORY = """inv AS (SELECT predicate, arity, count(*) AS uses FROM (SELECT 'instance-of' AS predicate, 3::BIGINT AS arity FROM part UNION ALL SELECT CASE WHEN p_size > 25 THEN 'participates-in' ELSE 'occurs-in' END, CASE WHEN p_size > 25 THEN 3 ELSE 2 END FROM part
+  UNION ALL SELECT 'precedes', CASE p_type WHEN 'PROMO' THEN 3 ELSE 2 END FROM part UNION ALL SELECT replace(p_name, ' ', '-'), 1 FROM part) GROUP BY predicate, arity)"""
+SIGNATURE_SQL = "sig AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', {n})" for p, n in CL.signature_rows()) + ") AS v(predicate, declared))"
+
+
+@query("E11_A10_predicate_inventory", f"WITH {INVENTORY} SELECT * FROM inv")
+def e11(spark, d):
+    return CL.predicate_inventory(clif_atoms(spark, d))
+
+
+@query("A10_drifting_predicates", f"WITH {INVENTORY} SELECT predicate, count(DISTINCT arity) AS arities FROM inv GROUP BY predicate HAVING count(DISTINCT arity) > 1")
+def a10(spark, d):
+    return CL.drifting_predicates(e11(spark, d))
+
+
+def signature_table(spark):
+    from quercus.sources.tables import constant_table
+
+    return constant_table(spark, "predicate string, arity bigint", CL.signature_rows())
+
+
+@query("J22_signature_drift", f"WITH {INVENTORY}, {SIGNATURE_SQL} SELECT predicate, arity, CASE WHEN declared IS NULL THEN 'unmapped' ELSE 'arity' END AS problem FROM inv LEFT JOIN sig USING (predicate) WHERE declared IS NULL OR declared <> arity")
+def j22(spark, d):
+    inv, sig = e11(spark, d), signature_table(spark)
+    return CL.unmapped(inv, sig).select("predicate", "arity", F.lit("unmapped").alias("problem")).union(
+        CL.arity_mismatches(inv, sig).select("predicate", "arity", F.lit("arity")))
+
+
+# == graph tables ===========================================================================================
+
+NODE_SQL = f"""nodes AS (SELECT t.artifact_id, t.s AS id, {local('t.s')} AS name, CASE WHEN t.o = {q(S.OBJECT_PROPERTY)} THEN 'Relation' WHEN regexp_matches(lower({local('t.s')}), 'process|event|activity|action') THEN 'Process' WHEN regexp_matches(lower({local('t.s')}), 'role|function|disposition|quality') THEN 'DependentContinuant'
+   WHEN regexp_matches(lower({local('t.s')}), 'entity|object|material|substance') THEN 'IndependentContinuant' WHEN regexp_matches(lower({local('t.s')}), 'temporal|time|moment|interval') THEN 'TemporalRegion' WHEN regexp_matches(lower({local('t.s')}), 'spatial|region|location|place') THEN 'SpatialRegion' ELSE 'IndependentContinuant' END AS type,
+   coalesce(c.o, CASE WHEN t.o = {q(S.CLASS)} THEN 'OWL class: ' ELSE 'OWL property: ' END || {local('t.s')}) AS description, t.o = {q(S.CLASS)} AND regexp_matches(lower({local('t.s')}), '{N.TEMPORAL_WORDS}') AS temporal
+   FROM triples t LEFT JOIN (SELECT artifact_id, s, min(o) AS o FROM triples WHERE p = {q(S.COMMENT)} GROUP BY 1, 2) c ON c.artifact_id = t.artifact_id AND c.s = t.s WHERE t.p = {q(S.TYPE)} AND t.o IN ({q(S.CLASS)}, {q(S.OBJECT_PROPERTY)}) AND t.s_kind = 'iri')"""
+OWL_CLASSES = f"(SELECT artifact_id, s FROM triples WHERE p = {q(S.TYPE)} AND o = {q(S.CLASS)} AND s_kind = 'iri')"
+EDGE_SQL = f"""gedges AS (SELECT artifact_id, o AS source, s AS target, 'is_a' AS relation, 'inheritance' AS type FROM triples WHERE p = {q(S.SUBCLASS)} AND {BOTH} AND (artifact_id, s) IN {OWL_CLASSES}
+  UNION ALL SELECT artifact_id, o, s, 'has_property', 'domain' FROM triples WHERE p = {q(S.DOMAIN)} AND {BOTH} AND (artifact_id, s) IN {PROPS} UNION ALL SELECT artifact_id, s, o, 'points_to', 'range' FROM triples WHERE p = {q(S.RANGE)} AND {BOTH} AND (artifact_id, s) IN {PROPS})"""
+GRAPH = f"WITH {NODE_SQL}, {EDGE_SQL}"
+
+
+def graph_nodes(spark, d):
+    return GR.nodes(corpus(spark, d), fixed=True)
+
+
+@query("B1_nodes", sql(f"{GRAPH} SELECT * FROM nodes", "triples"))
+def b1(spark, d):
+    return graph_nodes(spark, d)
+
+
+@query("B1_default_node_types", sql(f"SELECT artifact_id, s AS id FROM triples WHERE p = {q(S.TYPE)} AND o = {q(S.CLASS)} AND s_kind = 'iri' AND regexp_matches(lower({local('s')}), 'process|role|quality|object|site|function|history|disposition|entity|continuant|occurrent')", "triples"))
+def b1_default(spark, d):
+    t = corpus(spark, d)
+    default = GR.nodes(t).where("type = 'IndependentContinuant'").select("artifact_id", "id")
+    words = "process|role|quality|object|site|function|history|disposition|entity|continuant|occurrent"
+    return default.where(F.lower(N.local_name(F.col("id"))).rlike(words))
+
+
+@query("B2_edges", sql(f"{GRAPH} SELECT * FROM gedges", "triples"))
+def b2(spark, d):
+    return GR.edges(corpus(spark, d))
+
+
+@query("B3_graph_summary", sql(f"{GRAPH} SELECT artifact_id, count(*) FILTER (WHERE type <> 'Relation') AS class_count, count(*) FILTER (WHERE type = 'Relation') AS property_count FROM nodes GROUP BY artifact_id", "triples"))
+def b3(spark, d):
+    return GR.summary(graph_nodes(spark, d))
+
+
+def _has(kind, c):
+    return f"regexp_matches(lower({c}), '{'|'.join(N.CATEGORY_WORDS[kind])}')"
+
+
+def _as(kind, c):
+    return f"regexp_matches(lower({c}), '{'|'.join(N.CLASS_WORDS[kind])}')"
+
+
+VIOLATION_SQL = f"""tied AS (SELECT artifact_id, relation, {path('source')} AS src, {path('target')} AS dst FROM gedges WHERE relation IN ('inheres_in', 'has_property', 'points_to')),
+  viol AS (SELECT artifact_id, 'quality_inheres_material' AS rule_id, 'edge' AS rule_path, src AS source, relation AS property, dst AS target FROM tied WHERE {_has('quality', 'src')} AND {_has('immaterial', 'dst')}
+   UNION ALL SELECT artifact_id, 'quality_inheres_material', 'property', 'inheres_in property', relation, dst FROM tied WHERE lower(src) = 'inheres_in' AND lower(dst) IN ('immaterialentity', 'voidspace')
+   UNION ALL SELECT t.artifact_id, 'quality_inheres_material', 'node', t.src, relation, dst FROM tied t JOIN nodes n ON n.artifact_id = t.artifact_id AND {path('n.name')} = t.src WHERE {_has('quality', 't.src')} AND {_has('immaterial', 'dst')}
+   UNION ALL SELECT artifact_id, 'disjoint_classes', 'node', {path('name')}, NULL, NULL FROM nodes, (VALUES (1), (2), (3)) AS v(i) WHERE CASE i WHEN 1 THEN {_as('MaterialEntity', path('name'))} AND {_as('ImmaterialEntity', path('name'))} WHEN 2 THEN {_as('IndependentContinuant', path('name'))} AND {_as('DependentContinuant', path('name'))}
+     ELSE {_as('Process', path('name'))} AND {_as('Continuant', path('name'))} END)"""
+
+
+def graph_violations(spark, d):
+    t = corpus(spark, d)
+    return GR.violations(t, graph_nodes(spark, d), GR.edges(t))
+
+
+@query("B4_B8_violations", sql(f"{GRAPH}, {VIOLATION_SQL} SELECT * FROM viol", "triples"))
+def b4(spark, d):
+    return graph_violations(spark, d).drop("description")
+
+
+@query("B4_B8_rules_on_words", f"""WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations), n AS (SELECT conv_id, turn, word FROM w WHERE word <> ''),
+  e AS (SELECT n.conv_id, {q(EX)} || role AS source, {q(EX)} || word AS target FROM n JOIN conversations c USING (conv_id, turn)) SELECT conv_id, 'role_borne_independent' AS rule_id, count(*) AS n FROM e WHERE {_has('role', path('source'))} AND NOT {_has('independent', path('target'))} GROUP BY conv_id""")
+def b5(spark, d):
+    c = read(spark, d, "conversations")
+    words = c.select(F.col("conv_id").alias("artifact_id"), "role", F.explode(F.split("text", " ", -1)).alias("word")).where("word <> ''")
+    edges = words.select("artifact_id", F.concat(F.lit(EX), "role").alias("source"), F.concat(F.lit(EX), "word").alias("target"), F.lit("borne_by").alias("relation"))
+    bad = GR.role_violations(edges).union(GR.disposition_violations(edges))
+    return bad.groupBy(F.col("artifact_id").alias("conv_id"), "rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("B9_valid_relations", sql(f"{GRAPH} SELECT artifact_id, relation AS property, {path('source')} AS source, {path('target')} AS target, 'passed' AS validation_status FROM gedges WHERE relation = 'is_a'", "triples"))
+def b9(spark, d):
+    return GR.valid_relations(GR.edges(corpus(spark, d)))
+
+
+@query("B10_A16_validation_totals", sql(f"{GRAPH}, {VIOLATION_SQL} SELECT n.artifact_id, n.n AS total_entities, coalesce(e.n, 0) AS total_relations, coalesce(v.n, 0) AS errors, coalesce(e.ok, 0) AS valid FROM (SELECT artifact_id, count(*) AS n FROM nodes GROUP BY 1) n "
+       "LEFT JOIN (SELECT artifact_id, count(*) AS n, count(*) FILTER (WHERE relation = 'is_a') AS ok FROM gedges GROUP BY 1) e USING (artifact_id) LEFT JOIN (SELECT artifact_id, count(*) AS n FROM viol GROUP BY 1) v USING (artifact_id)", "triples"))
+def b10(spark, d):
+    t = corpus(spark, d)
+    return GR.validation_totals(graph_nodes(spark, d), GR.edges(t), graph_violations(spark, d))
+
+
+@query("D1_diagram_classes", sql(f"SELECT artifact_id, {local('s')} AS name, contains(s, 'BFO') OR contains(s, 'IAO') AS upper FROM {OWL_CLASSES}", "triples"))
+def d1(spark, d):
+    return GR.diagram_classes(corpus(spark, d))
+
+
+@query("J20_property_connections", sql(f"SELECT l.artifact_id, {local('l.o')} AS source, {local('r.o')} AS target, {local('l.s')} AS label FROM triples l JOIN triples r ON l.artifact_id = r.artifact_id AND l.s = r.s WHERE l.p = {q(S.DOMAIN)} AND r.p = {q(S.RANGE)} AND (l.artifact_id, l.s) IN {PROPS}", "triples"))
+def j20(spark, d):
+    return GR.property_connections(corpus(spark, d))
+
+
+# == history ===================================================================================================
+
+
+def analyses(spark, d):
+    """Events seen as analyses: one file per user and event type."""
+    return read(spark, d, "events").select(
+        F.col("event_id").alias("id"), "user_id", F.concat_ws("/", "user_id", "event_type").alias("file_id"),
+        F.col("event_type").alias("verdict"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+def files(spark, d):
+    return analyses(spark, d).select("file_id", "user_id", F.concat("file_id", F.lit(".owl")).alias("filename")).distinct()
+
+
+ANALYSES = "an AS (SELECT event_id AS id, user_id, user_id || '/' || event_type AS file_id, event_type AS verdict, CAST(ts AS VARCHAR) AS stamped FROM events)"
+
+
+@query("W1_latest_per_file", f"WITH {ANALYSES} SELECT file_id, id, verdict FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY id DESC) AS rn FROM an) WHERE rn = 1")
+def w1(spark, d):
+    return H.latest_per_file(analyses(spark, d)).select("file_id", "id", "verdict")
+
+
+@query("W2_newest_twenty", f"WITH {ANALYSES} SELECT id, file_id, verdict FROM an ORDER BY stamped DESC, id DESC LIMIT 20")
+def w2(spark, d):
+    return H.newest(analyses(spark, d), "ts", 20).select("id", "file_id", "verdict")
+
+
+@query("W3_full_history", f"WITH {ANALYSES} SELECT id, user_id, file_id, verdict FROM an")
+def w3(spark, d):
+    return H.newest_first(analyses(spark, d), "ts").select("id", "user_id", "file_id", "verdict")
+
+
+@query("A11_analyses_per_file", f"WITH {ANALYSES} SELECT file_id, count(*) AS analyses FROM an GROUP BY file_id")
+def a11(spark, d):
+    return H.analyses_per_file(analyses(spark, d))
+
+
+@query("A12_user_dashboard", f"WITH {ANALYSES} SELECT user_id, count(DISTINCT file_id) AS files, count(*) AS analyses, count(*) FILTER (WHERE verdict = 'error') AS expressions FROM an GROUP BY user_id")
+def a12(spark, d):
+    a = analyses(spark, d)
+    return H.user_dashboard(files(spark, d), a, a.where("verdict = 'error'"))
+
+
+@query("J21_user_analyses", f"WITH {ANALYSES} SELECT id, file_id, user_id, verdict, file_id || '.owl' AS filename FROM an")
+def j21(spark, d):
+    return H.user_analyses(files(spark, d), analyses(spark, d)).select("id", "file_id", "user_id", "verdict", "filename")
+
+
+@query("S12_recent_reports", f"WITH {ANALYSES} SELECT 256 AS kept FROM an LIMIT 1")
+def s12(spark, d):
+    from quercus.sources.sinks import append_reports, recent_reports
+
+    out = Workspace(spark).path("report-history")
+    append_reports(analyses(spark, d), out)
+    return recent_reports(spark.read.parquet(out)).agg(F.count(F.lit(1)).cast("int").alias("kept"))
+
+
+# == streams ======================================================================================================
+
+
+def _drain(df, spark, name, mode):
+    """Run a stream over what is there and hand back its rows as a table."""
+    ws = Workspace(spark)
+    out, state = ws.path(name), ws.path(name + "-state")
+    stream = df.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(
+        lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}")
+    ).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
+def event_stream(spark, d):
+    schema = read(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("T2_verdict_windows", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type AS verdict, count(*) AS n FROM events GROUP BY ALL")
+def t2(spark, d):
+    from quercus.streaming.gate_stream import verdict_windows
+
+    windows = verdict_windows(event_stream(spark, d).withColumnRenamed("event_type", "verdict"))
+    return _drain(windows, spark, "windows", "complete").select(F.to_date("window_start").alias("day"), "verdict", "n")
+
+
+VERSIONS = "SELECT CAST(user_id AS VARCHAR) AS artifact_id, event_id AS version, CAST(floor(value) AS BIGINT) AS axioms FROM events"
+
+
+@query("T3_delta_stream", f"SELECT artifact_id, version, CASE WHEN prev > 0 AND axioms = 0 THEN 'E_TRIVIALIZED' ELSE 'E_OVER_RELAXED' END AS code, prev AS in_axioms, axioms AS out_axioms FROM "
+       f"(SELECT *, lag(axioms) OVER (PARTITION BY artifact_id ORDER BY version) AS prev FROM ({VERSIONS})) WHERE prev IS NOT NULL AND axioms < prev")
+def t3(spark, d):
+    from quercus.streaming.gate_stream import delta_stream
+
+    versions = event_stream(spark, d).selectExpr(
+        "CAST(user_id AS STRING) AS artifact_id", "event_id AS version", "CAST(floor(value) AS BIGINT) AS axioms",
+        "CAST(0 AS BIGINT) AS objectProperties", "CAST(0 AS BIGINT) AS n_logged", "CAST(0 AS BIGINT) AS n_property")
+    return _drain(delta_stream(versions), spark, "delta", "append")
+
+
+@query("T1_gate_stream", sql(f"SELECT artifact_id, 'fail' AS verdict, classes FROM ({TBOX_COUNTS})", "tbox"))
+def t1(spark, d):
+    from quercus.streaming.gate_stream import gate_stream
+
+    ws = Workspace(spark)
+    drop, out = ws.path("arriving"), ws.path("checked")
+    lines = tbox(spark, d).select("artifact_id", NT.line_text().alias("value"))
+    lines.write.partitionBy("artifact_id").text(drop)
+    arriving = spark.readStream.schema("value string, artifact_id string").text(drop).select("artifact_id", "value")
+    gate_stream(arriving, out, ws.path("gate-state")).awaitTermination()
+    return spark.read.parquet(f"{out}/reports").select("artifact_id", "verdict", "counts.classes")

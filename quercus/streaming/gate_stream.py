@@ -1,14 +1,12 @@
 """The gate as a stream: check what arrives, count verdicts, watch for shrinking artifacts."""
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-import pandas as pd
-
 from quercus.plans.gate import check
 from quercus.sources.ntriples import parse_lines
-from quercus.workspace import shared_folder
 
 
 def arriving_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -20,9 +18,11 @@ def arriving_lines(spark: SparkSession, path: str, files_per_batch: int = 1000)
     )
 
 
-def gate_stream(lines: DataFrame, out: str, name: str, **options):
+def gate_stream(lines: DataFrame, out: str, checkpoint: str, **options):
     """Check each micro-batch of artifacts and append reports, findings and dead letters.
 
+    ``checkpoint`` is the stream's own folder, on storage all executors reach.
+
     Output folders carry the batch number, so a replayed batch overwrites itself.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -33,7 +33,7 @@ def gate_stream(lines: DataFrame, out: str, name: str, **options):
 
     return (
         lines.writeStream.foreachBatch(run)
-        .option("checkpointLocation", f"{shared_folder(lines.sparkSession)}/{name}")
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
