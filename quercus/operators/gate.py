@@ -428,10 +428,10 @@ def shape_violations(triples: DataFrame, shapes: DataFrame, types: DataFrame) ->
     with nulls for what a shape does not ask; ``types(artifact_id, ind, cls)``.
     Value counts are pre-aggregated per (subject, path) before they meet the shapes.
     """
-    focus = types.join(F.broadcast(shapes), F.col("cls") == F.col("target_class")).select(
+    focus = types.join(shapes, F.col("cls") == F.col("target_class")).select(
         "artifact_id", F.col("ind").alias("s"), *shapes.columns
     )
-    values = triples.join(F.broadcast(shapes.select(F.col("path").alias("p")).distinct()), "p")
+    values = triples.join(shapes.select(F.col("path").alias("p")).distinct(), "p")
     n = values.groupBy("artifact_id", "s", F.col("p").alias("path")).agg(F.count(F.lit(1)).alias("n"))
     counted = focus.join(n, ["artifact_id", "s", "path"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     card = counted.where("n < min_count OR n > max_count").select(

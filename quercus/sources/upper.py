@@ -195,17 +195,14 @@ def upper_from_triples(spark: SparkSession, triples: DataFrame) -> Upper:
         "iri", F.coalesce("label", fallback).alias("label")
     )
     edges = triples.where((F.col("p") == S.SUBCLASS) & is_up("s") & is_up("o")).select("s", "o")
-    groups = disjoint_groups(triples).where(is_up("member")).groupBy("group_id").agg(
-        F.sort_array(F.collect_set("member")).alias("members")
-    )
+    members = {}
+    listed = disjoint_groups(triples).where(is_up("member")).select("group_id", "member")
+    for group, member in _bounded(listed, "upper disjointness"):
+        members.setdefault(group, set()).add(member)
     parents = {}
     for c, p in _bounded(edges.distinct(), "upper edges"):
         parents[c] = parents.get(c, ()) + (p,)
-    pairs = {
-        pair
-        for row in _bounded(groups, "upper disjointness")
-        for pair in combinations(row["members"], 2)
-    }
+    pairs = {pair for group in members.values() for pair in combinations(sorted(group), 2)}
     return Upper(
         labels={r["iri"]: r["label"] for r in _bounded(named, "upper classes")},
         parents=parents,
