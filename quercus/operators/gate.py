@@ -460,9 +460,13 @@ def shape_violations(triples: DataFrame, shapes: DataFrame, types: DataFrame) ->
 # -- stage E: delta invariant ------------------------------------------------------
 
 
-def delta_findings(counts: DataFrame, baseline: DataFrame, removals: DataFrame) -> DataFrame:
+def delta_findings(
+    counts: DataFrame, baseline: DataFrame, removals: DataFrame, properties: bool = True
+) -> DataFrame:
     """Compare counts with a baseline, less the logged removals.
 
+    ``properties=False`` leaves the object-property comparison out.
+
     ``baseline`` has the same columns as ``counts``; ``removals(artifact_id, n_logged,
     n_property)``.  Artifacts without a baseline are not judged.
     """
@@ -504,7 +508,7 @@ def delta_findings(counts: DataFrame, baseline: DataFrame, removals: DataFrame)
                     "Object properties dropped from %d to %d with only %d logged.",
                     c("in_props"), c("objectProperties"), c("n_property"),
                 ),
-                ~gutted & (c("objectProperties") < c("in_props") - c("n_property")),
+                F.lit(properties) & ~gutted & (c("objectProperties") < c("in_props") - c("n_property")),
             ),
         ],
     )

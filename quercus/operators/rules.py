@@ -10,7 +10,7 @@ from quercus import schema as S
 from quercus.functions.names import is_upper, local_name, short_name
 from quercus.operators.disjointness import disjoint_groups, list_members
 from quercus.operators.lint import straddle_pairs
-from quercus.operators.walks import EDGE, closure, entry_points, propagate, subclass_edges
+from quercus.operators.walks import EDGE, closure, propagate, subclass_edges
 from quercus.sources.upper import Upper
 from quercus.workspace import Workspace
 
@@ -75,12 +75,12 @@ def class_hierarchy(triples: DataFrame, ws: Workspace) -> DataFrame:
     return closure(rule_edges(triples, ws).select(*EDGE), ws).where("child <> ancestor")
 
 
-def inferred_subsumptions(triples: DataFrame, ws: Workspace) -> DataFrame:
+def inferred_subsumptions(triples: DataFrame, ws: Workspace, hierarchy: DataFrame | None = None) -> DataFrame:
     """Entailed but not asserted subsumptions between named classes outside the upper ontology."""
     asserted = subclass_edges(triples).select("artifact_id", "child", F.col("parent").alias("ancestor"))
+    hierarchy = class_hierarchy(triples, ws) if hierarchy is None else hierarchy.where("child <> ancestor")
     return (
-        class_hierarchy(triples, ws)
-        .where(~is_upper(F.col("child")) & (F.col("ancestor") != S.THING))
+        hierarchy.where(~is_upper(F.col("child")) & (F.col("ancestor") != S.THING))
         .join(asserted, ["artifact_id", "child", "ancestor"], "left_anti")
     )
 
@@ -278,14 +278,17 @@ def entailed_assertions(triples: DataFrame, ws: Workspace) -> DataFrame:
         known = known.union(fresh.select(known.columns))
 
 
-def entailed_types(triples: DataFrame, ws: Workspace, properties: DataFrame | None = None) -> DataFrame:
+def entailed_types(
+    triples: DataFrame, ws: Workspace, properties: DataFrame | None = None, hierarchy: DataFrame | None = None
+) -> DataFrame:
     """(artifact_id, ind, cls, rule): asserted and entailed types of named individuals.
 
     prp-dom / prp-rng on entailed assertions (pre-aggregated to distinct subject or
     object per property), ``someValuesFrom`` / ``hasValue`` on the subclass side,
     then cax-sco through the closed hierarchy.
     """
-    hierarchy = closure(rule_edges(triples, ws).select(*EDGE), ws)
+    if hierarchy is None:
+        hierarchy = closure(rule_edges(triples, ws).select(*EDGE), ws)
     props = entailed_assertions(triples, ws) if properties is None else properties
     declared = triples.where((F.col("p") == S.TYPE) & (F.col("s_kind") == "iri") & (F.col("o_kind") == "iri"))
     own = declared.where(
@@ -346,14 +349,18 @@ def restriction_types(triples: DataFrame, props: DataFrame, types: DataFrame):
     return [by_some, by_value]
 
 
-def inconsistent_individuals(triples: DataFrame, upper: Upper, ws: Workspace) -> DataFrame:
+def inconsistent_individuals(
+    triples: DataFrame, upper: Upper, ws: Workspace, hierarchy: DataFrame | None = None
+) -> DataFrame:
     """(artifact_id, ind, rule): individuals the rules find contradictory.
 
     cax-dw: typed to both sides of a disjointness, upper or asserted;
     prp-irp / prp-asyp: irreflexive and asymmetric properties.
     """
     props = ws.table(entailed_assertions(triples, ws), "entailed-assertions")
-    types = ws.table(entailed_types(triples, ws, props).select("artifact_id", "ind", "cls"), "entailed-types")
+    types = ws.table(
+        entailed_types(triples, ws, props, hierarchy).select("artifact_id", "ind", "cls"), "entailed-types"
+    )
     under = types.where(is_upper(F.col("cls"))).select(
         "artifact_id", F.col("ind").alias("cls"), F.col("cls").alias("upper_iri")
     )

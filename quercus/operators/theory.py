@@ -350,6 +350,6 @@ def cross_check(verdicts: DataFrame, reasoner: DataFrame, limit: int = CLASSES_T
     return out.withColumn("agree", F.when(~F.col("capped"), same))
 
 
-def exports(theory: Theory, upper: Upper, ws: Workspace, align_bfo: bool = False):
+def exports(theory: Theory, align_bfo: bool = False) -> dict:
     """Both renderings and the statistics."""
     return {s: render(theory, s, align_bfo) for s in TEMPLATES} | {"stats": stats(theory)}

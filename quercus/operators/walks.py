@@ -109,8 +109,10 @@ def _settle(inner: DataFrame, n_links: int, ws: Workspace):
         return None
     spark = inner.sparkSession
     steps = inner.where("parent IS NOT NULL").select(*EDGE)
-    # A small backbone is cheap to descend several steps per job.
-    hops, levels = (3, 2) if n_links <= SMALL_BACKBONE_ROWS else (2, 1)
+    # A small backbone is cheap to descend several steps per job.  A big one goes one
+    # step at a time: in a longer chain the facts that ran out of children would all
+    # meet on a null key.
+    hops, levels = (3, 2) if n_links <= SMALL_BACKBONE_ROWS else (1, 1)
     delta = inner.where("value IS NOT NULL").select(
         "artifact_id", F.col("child").alias("node"), "value", F.lit(True).alias("far")
     )

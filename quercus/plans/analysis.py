@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from quercus.operators.lint import lint_findings
 from quercus.operators.profile import profile
 from quercus.operators.rules import (
-    coherence, inconsistent_individuals, inferred_subsumptions, justified, unsatisfiable_classes,
+    coherence, inconsistent_individuals, inferred_subsumptions, justified, rule_edges, unsatisfiable_classes,
 )
-from quercus.operators.walks import entry_points, subclass_edges
+from quercus.operators.walks import EDGE, closure, entry_points, subclass_edges
 from quercus.sources.upper import Upper
 from quercus.workspace import Workspace
 
@@ -26,11 +26,12 @@ class Analysis:
 def analyse(triples: DataFrame, upper: Upper, ws: Workspace) -> Analysis:
     """Lists that grow with an artifact stay in their own tables next to ``rows``."""
     findings = ws.table(lint_findings(entry_points(subclass_edges(triples), ws), upper), "findings")
-    unsat = ws.table(unsatisfiable_classes(triples, upper, ws), "unsat")
-    inferred = ws.table(inferred_subsumptions(triples, ws), "inferred")
-    status = coherence(
-        triples.select("artifact_id").distinct(), unsat, inconsistent_individuals(triples, upper, ws)
-    )
+    ruled = ws.table(rule_edges(triples, ws).select(*EDGE), "ruled")
+    hierarchy = ws.table(closure(ruled, ws), "hierarchy")
+    unsat = ws.table(unsatisfiable_classes(triples, upper, ws, ruled, hierarchy), "unsat")
+    inferred = ws.table(inferred_subsumptions(triples, ws, hierarchy), "inferred")
+    bad = inconsistent_individuals(triples, upper, ws, hierarchy)
+    status = coherence(triples.select("artifact_id").distinct(), unsat, bad)
     rows = profile(triples).join(status, "artifact_id")
     zero = F.lit(0).cast("bigint")
     for df, name in ((findings, "lint_findings"), (inferred, "inferred_axioms")):

@@ -10,7 +10,9 @@ from quercus.operators.gate import (
     Competency, GateInputs, competency_findings, delta_findings, novel_subsumptions, stage_b,
 )
 from quercus.operators.lint import straddle_lint
-from quercus.operators.rules import coherence, inconsistent_individuals, rule_edges, unsatisfiable_classes
+from quercus.operators.rules import (
+    coherence, entailed_assertions, entailed_types, inconsistent_individuals, rule_edges, unsatisfiable_classes,
+)
 from quercus.operators.walks import EDGE, closure
 from quercus.plans.gate import check
 from quercus.sources.kernel import Kernel, builtin_kernel, kernel_from_triples
@@ -140,6 +142,46 @@ def test_transitive_and_characteristic_rules(graph, upper, ws):
     assert bad == {(x, "prp-irp") for x in "ijk"}
 
 
+def test_class_expression_rules(graph, ws):
+    ex = X.EX
+
+    def listing(name, *members):
+        cells = [f"_:{name}{i}" for i in range(len(members))] + [S.NIL]
+        return [t for c, n, m in zip(cells, cells[1:], members) for t in ((c, S.FIRST, m), (c, S.REST, n))]
+
+    t = graph({"a": [
+        (ex + "C", S.EQUIVALENT, "_:i"), ("_:i", S.owl("intersectionOf"), "_:x0"), *listing("x", ex + "A", ex + "B"),
+        (ex + "U", S.EQUIVALENT, "_:u"), ("_:u", S.owl("unionOf"), "_:y0"), *listing("y", ex + "A", ex + "D"),
+        (ex + "V", S.SUBCLASS, "_:v"), ("_:v", S.owl("unionOf"), "_:z0"), *listing("z", ex + "A", ex + "D"),
+        (ex + "P", S.EQUIVALENT, ex + "Q"),
+    ]})
+    rows = {(r["child"][-1], r["parent"][-1], r["rule"]) for r in rule_edges(t, ws).collect()}
+    assert rows == {
+        ("C", "A", "scm-int"), ("C", "B", "scm-int"), ("A", "U", "scm-uni"), ("D", "U", "scm-uni"),
+        ("P", "Q", "scm-eqc"), ("Q", "P", "scm-eqc"),
+    }
+
+
+def test_individual_rules(graph, ws):
+    ex = X.EX
+    prop = lambda *names: [(ex + n, S.TYPE, S.OBJECT_PROPERTY) for n in names]
+    t = graph({"a": prop("p", "q", "r", "s") + [
+        (ex + "p", S.owl("inverseOf"), ex + "q"), (ex + "q", S.SUBPROPERTY, ex + "r"),
+        (ex + "s", S.TYPE, S.owl("SymmetricProperty")), (ex + "r", S.DOMAIN, ex + "D"), (ex + "D", S.SUBCLASS, ex + "E"),
+        (ex + "F", S.EQUIVALENT, "_:f"), ("_:f", S.owl("onProperty"), ex + "p"), ("_:f", S.owl("someValuesFrom"), ex + "G"),
+        (ex + "H", S.EQUIVALENT, "_:h"), ("_:h", S.owl("onProperty"), ex + "s"), ("_:h", S.owl("hasValue"), ex + "j"),
+        (ex + "i", ex + "p", ex + "j"), (ex + "i", ex + "s", ex + "k"), (ex + "k", ex + "s", ex + "j"), (ex + "j", S.TYPE, ex + "G"),
+    ]})
+    facts = {(r["s"][-1], r["p"][-1], r["o"][-1]) for r in entailed_assertions(t, ws).collect()}
+    assert facts == {
+        ("i", "p", "j"), ("j", "q", "i"), ("j", "r", "i"), ("i", "s", "k"), ("k", "s", "i"), ("k", "s", "j"), ("j", "s", "k"),
+    }
+    types = {(r["ind"][-1], r["cls"][-1], r["rule"]) for r in entailed_types(t, ws).collect()}
+    assert types == {
+        ("j", "G", "asserted"), ("j", "D", "prp-dom"), ("j", "E", "cax-sco"), ("i", "F", "cls-svf1"), ("k", "H", "cls-hv2"),
+    }
+
+
 def test_kernel_from_triples(spark, graph):
     kernel = builtin_kernel()
     assert kernel.size == 10 and len(kernel.categories) == 7 and len(kernel.contradiction_types) == 3
