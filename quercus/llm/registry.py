@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quercus.llm import decontamination, substring_dedup
+from quercus.llm import decontamination, jaccard_join, substring_dedup
 from quercus.workspace import Workspace
 
 
@@ -19,6 +19,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes and link counts by MinHash banding."""
+    return jaccard_join.classes_and_links(table(spark, sf_dir, "documents"), Workspace(spark))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 13 words that a document with a smaller id holds too, by FM-index."""
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
@@ -26,6 +31,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
+    "op7_jaccard_join": op7_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
