@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quercus.llm import decontamination, jaccard_join, substring_dedup
+from quercus.llm import decontamination, jaccard_join, packing, substring_dedup, token_counts, token_orc
 from quercus.workspace import Workspace
 
 
@@ -12,6 +12,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents written as ORC and read back."""
+    ws = Workspace(spark)
+    path = ws.path("token-ids")
+    token_orc.write(table(spark, sf_dir, "documents"), path)
+    return token_orc.digest(spark, path, ws)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4,096 tokens."""
+    return packing.piece_digests(packing.packed(table(spark, sf_dir, "documents")))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files."""
+    return token_counts.document_counts(table(spark, sf_dir, "documents"), Workspace(spark))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in every document, by FM-index."""
     return decontamination.contamination(
@@ -30,6 +48,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_orc": op1_token_orc,
+    "op2_packing": op2_packing,
+    "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
