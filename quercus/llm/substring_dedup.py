@@ -15,9 +15,9 @@ interval of its window, and the smallest document id in it decides.
 
 Hot passages: a task ships of equal segments in its input only the smallest id's; the others
 are decided on the spot (a smaller id holds the same words), so a shard gets each passage once
-per task, however many documents hold it. Words that occur in one document of a shard cannot
-lie in a repeated window; they become the separator symbol, and segments without a window
-left are not indexed: an exact pruning, no limit.
+per task, however many documents hold it. Three words in a row that only one document of
+a shard holds cannot lie in a repeated window; segments are cut at them, and pieces shorter than a window are not
+indexed: an exact pruning, no limit.
 
 Defined cases: null and empty texts have no words. A null doc_id is neither smaller nor
 larger than any: its rows stay whole and remove nothing. Rows with one doc_id are one
@@ -31,6 +31,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +47,15 @@ WINDOW = 13
 ANCHOR = 2
 #: A longer run of windows with one anchor is cut, so that no search is long.
 RUN = 64
+#: Words of a run that has to be common before a window over it is indexed, and bits of the table of runs.
+PROBE = 3
+SLOT_BITS = 23
+#: Words used more often in a task's input are numbered first.
+FREQUENT = 12
 #: Text bytes per shard of the corpus.
 SHARD_BYTES = 8 << 20
 #: Text bytes that a task looks at together.
-MAP_BYTES = 16 << 20
+MAP_BYTES = 14 << 20
 
 SPANS = "doc_id long, text_key long, start int, stop int"
 
@@ -99,6 +105,39 @@ def _strings(array: pa.Array):
     return np.diff(offsets).astype(np.int32), data.to_pybytes()[offsets[0] : offsets[-1]] if data is not None else b""
 
 
+def _front_coded(lengths: np.ndarray, text: bytes):
+    """Every word as the number of first bytes that it shares with the word before, and the rest."""
+    data, ends = np.frombuffer(text, np.uint8), np.cumsum(lengths, dtype=np.int64)
+    starts = ends - lengths
+    shared = np.zeros(len(lengths), np.int64)
+    open_ = np.arange(1, len(lengths))
+    for k in range(255):
+        open_ = open_[(lengths[open_] > k) & (lengths[open_ - 1] > k)]
+        open_ = open_[data[starts[open_] + k] == data[starts[open_ - 1] + k]]
+        if not len(open_):
+            break
+        shared[open_] = k + 1
+    return shared.astype(np.uint8), (lengths - shared).astype(np.int32), data[ranges(starts + shared, lengths - shared)].tobytes()
+
+
+def _unfolded(shared, rest, text: bytes):
+    """The lengths and bytes that ``_front_coded`` took."""
+    shared = shared.astype(np.int64)
+    lengths = shared + rest
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    out[ranges(starts + shared, rest.astype(np.int64))] = np.frombuffer(text, np.uint8)
+    # a shared byte is the one at its place in the word before; chains end at a word that spells it
+    source = np.arange(len(lengths))
+    for k in range(int(shared.max()) if len(shared) else 0):
+        copied = shared > k
+        origin = np.maximum.accumulate(np.where(copied, 0, source))
+        has = np.flatnonzero(copied)
+        out[starts[has] + k] = out[starts[origin[has]] + k]
+    return lengths, out.tobytes()
+
+
 def _router(shards: int):
     def route(batches):
         for table in chunks(batches, most=MAP_BYTES):
@@ -139,6 +178,11 @@ def _route(table: pa.Table, shards: int):
     ride = np.argsort(via, kind="stable")
     decided, via = decided[ride], via[ride]
     rides = np.searchsorted(via, np.arange(shards + 1))
+    # a shard's words: frequent ones first, in order of appearance, then the others by spelling, which compresses well
+    uses = np.bincount(words.codes, minlength=len(words.vocab))
+    spelled = np.zeros(len(words.vocab), np.int64)
+    spelled[pc.array_sort_indices(words.vocab).to_numpy()] = np.arange(len(words.vocab))
+    place = np.where(uses > FREQUENT, np.arange(len(words.vocab)), len(words.vocab) + spelled)
     remap = np.zeros(len(words.vocab), np.int64)
     names, blobs = [], []
     for s in range(shards):
@@ -149,6 +193,7 @@ def _route(table: pa.Table, shards: int):
         used = np.zeros(len(words.vocab), bool)
         used[codes] = True
         local = np.flatnonzero(used)
+        local = local[np.argsort(place[local])]
         remap[local] = np.arange(len(local))
         codes = remap[codes].astype(np.uint32)
         docs, at = np.unique(np.concatenate((doc[mine], doc[aside])), return_inverse=True)
@@ -157,7 +202,7 @@ def _route(table: pa.Table, shards: int):
         blobs.append(
             _pack(
                 {
-                    "vocab": (lengths.astype(np.uint16) if len(lengths) and lengths.max() < 65536 else lengths, text),
+                    "vocab": _front_coded(lengths, text),
                     "codes": ((codes & 255).astype(np.uint8), (codes >> 8 & 255).astype(np.uint8), (codes >> 16).astype(np.uint16)),
                     "count": count[mine].astype(np.uint8),
                     "start": begin[mine].astype(np.int32),
@@ -201,7 +246,7 @@ def _search(blobs):
         doc, begin, count = x["decided"]
         if len(doc):
             yield _span_batch(x["ids"][doc], x["keys"][doc], begin, begin + count.astype(np.int64) + WINDOW - 1)
-        lengths, text = x["vocab"]
+        lengths, text = _unfolded(*x["vocab"])
         offsets.append(size + np.cumsum(lengths, dtype=np.int64))
         size += len(text)
         texts.append(text)
@@ -226,31 +271,44 @@ def _search(blobs):
 
 def _matching(codes, sigma, counts, starts, ids, keys):
     lengths = counts + WINDOW - 1
-    # words of one document only cannot repeat
+    # a run of PROBE words of one document only cannot repeat; runs that share a slot pass as common
     owner = np.repeat(ids, lengths)
-    last = np.zeros(sigma, np.int64)
-    last[codes] = owner
-    shared = np.zeros(sigma, bool)
-    shared[codes[last[codes] != owner]] = True
-    del owner, last
-    dead = np.concatenate(([0], np.cumsum(~shared[codes])))
+    slot = codes.astype(np.uint64)
+    run = slot[: len(slot) - PROBE + 1].copy()
+    for k in range(1, PROBE):
+        run = run * np.uint64(0x9E3779B97F4A7C15) + slot[k : len(slot) - PROBE + 1 + k]
+    slot = (run * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+    del run
+    last = np.zeros(1 << SLOT_BITS, np.int64)
+    last[slot] = owner[: len(slot)]
+    shared = np.zeros(1 << SLOT_BITS, bool)
+    shared[slot[last[slot] != owner[: len(slot)]]] = True
+    dead = np.concatenate((np.zeros(1, np.int32), np.cumsum(~shared[slot], dtype=np.int32)))
+    del owner, last, shared, slot
     at = np.cumsum(lengths) - lengths
     window = ranges(at, counts)
-    alive = dead[window + WINDOW] == dead[window]
-    live = np.flatnonzero(np.logical_or.reduceat(alive, np.cumsum(counts) - counts))
-    del dead, window, alive
-    if not len(live):
+    alive = dead[window + WINDOW - PROBE + 1] == dead[window]
+    # what is indexed are the runs of windows without such words
+    inner = np.repeat(np.arange(len(counts)), counts)
+    head = alive.copy()
+    head[1:] &= ~alive[:-1] | (inner[1:] != inner[:-1])
+    tail = alive.copy()
+    tail[:-1] &= ~alive[1:] | (inner[1:] != inner[:-1])
+    first, count, inner = window[head], np.flatnonzero(tail) - np.flatnonzero(head) + 1, inner[head]
+    del dead, window, alive, head, tail
+    if not len(first):
         return
-    codes = codes[ranges(at[live], lengths[live])]
-    lengths, starts, ids, keys = lengths[live], starts[live], ids[live], keys[live]
-    used = shared.copy()
-    used[:] = False
-    used[codes[shared[codes]]] = True
-    symbol = np.where(used, np.cumsum(used), 0)
-    sigma = int(used.sum()) + 1
+    starts = starts[inner] + first - at[inner]
+    ids, keys, lengths = ids[inner], keys[inner], count + WINDOW - 1
+    codes = codes[ranges(first, lengths)]
+    used = np.zeros(sigma, bool)
+    used[codes] = True
+    symbol = np.cumsum(used)
+    sigma = int(symbol[-1]) + 1
     at = np.cumsum(lengths) - lengths + np.arange(1, len(lengths) + 1)  # a separator before each, and one at the end
     symbols = np.zeros(len(codes) + len(lengths) + 1, np.int64)
     symbols[ranges(at, lengths)] = symbol[codes]
+    del codes, symbol, used
     index = FMIndex(symbols, sigma, keep=8)
     sa, by8, n = index.sa, index.kept, len(symbols)
     owner = np.full(n, np.iinfo(np.int64).max)
@@ -270,29 +328,24 @@ def _matching(codes, sigma, counts, starts, ids, keys):
     del by8, sa, owner, head
     index.sa = index.kept = index.rank = None
     order = np.argsort(-lengths, kind="stable")
-    low, high = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-    matched = np.zeros(len(order), np.int64)
     hits = np.zeros(n + 1, np.int64)
     longest = lengths[order]
     for t in range(int(longest[0])):
         active = np.searchsorted(-longest, -t, "left")  # segments longer than t
         place = at[order[:active]] + longest[:active] - 1 - t
         symbol = symbols[place]
-        begin = (matched[:active] == 0) & (symbol > 0)
-        go = np.flatnonzero((matched[:active] > 0) & (symbol > 0))
-        matched[:active][symbol == 0] = 0
-        start = np.flatnonzero(begin)
-        low[start], high[start], matched[start] = index.first[symbol[start]], index.first[symbol[start] + 1], 1
-        if not len(go):
+        if not t:
+            low, high = index.first[symbol], index.first[symbol + 1]
+            continue
+        low, high = low[:active], high[:active]
+        if t >= WINDOW:
+            row = parent[low]
+            low, high = parents[row], parents[row + 1]
+        step = index.wavelet.step(np.concatenate((symbol, symbol)), np.concatenate((low, high)))
+        low, high = step[:active], step[active:]
+        if t < WINDOW - 1:
             continue
-        full = go[matched[go] == WINDOW]
-        row = parent[low[full]]
-        low[full], high[full] = parents[row], parents[row + 1]
-        step = index.wavelet.step(np.concatenate((symbol[go], symbol[go])), np.concatenate((low[go], high[go])))
-        low[go], high[go] = step[: len(go)], step[len(go) :]
-        matched[go] = np.minimum(matched[go] + 1, WINDOW)
-        full = go[matched[go] == WINDOW]
-        repeated = full[smallest[group[low[full]]] < ids[order[full]]]
+        repeated = np.flatnonzero(smallest[group[low]] < ids[order[:active]])
         np.add.at(hits, place[repeated], 1)
         np.add.at(hits, place[repeated] + WINDOW, -1)
     gone = np.cumsum(hits[:-1]) > 0
