@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quercus.llm import decontamination, jaccard_join, packing, substring_dedup, token_counts, token_orc
+from quercus.llm import decontamination, jaccard_join, packing, substring_dedup, token_counts, token_orc, toxicity
 from quercus.workspace import Workspace
 
 
@@ -42,6 +42,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes_and_links(table(spark, sf_dir, "documents"), Workspace(spark))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by its nearest labelled examples."""
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 13 words that a document with a smaller id holds too, by FM-index."""
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_toxicity": op8_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
