@@ -243,11 +243,11 @@ def cut(text: str, edges, word=WORD) -> str:
 
 def _cut_batches(batches):
     for batch in batches:
-        texts, edges = batch.column("text"), batch.column("edges")
+        texts, edges = batch.column("text"), batch.column("_quercus_edges")
         out = texts.to_pylist()
         for i in np.flatnonzero(edges.is_valid().to_numpy(zero_copy_only=False)):
             out[i] = cut(out[i], edges[i].as_py())
-        names = [n for n in batch.schema.names if n != "edges"]
+        names = [n for n in batch.schema.names if n != "_quercus_edges"]
         yield pa.record_batch([pa.array(out, texts.type) if n == "text" else batch.column(n) for n in names], names=names)
 
 
@@ -255,16 +255,16 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, ws: Workspace, wi
     """``documents`` with the hit words cut out of their texts; a document of which no word is left goes."""
     index = build_index(documents, ws)
     hits = removal_spans(index, benchmark, ws, width).select(
-        F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "edges", "n_hit"
+        F.col("doc_id").alias("_quercus_id"), F.col("text_key").alias("_quercus_key"), F.col("edges").alias("_quercus_edges"), "n_hit"
     )
     sizes = index.select(F.explode(F.arrays_zip("doc_id", "text_key", "n_words")).alias("d")).select("d.*")
     hits = (
-        hits.join(sizes.distinct(), F.col("hit_id").eqNullSafe(F.col("doc_id")) & (F.col("hit_key") == F.col("text_key")))
-        .select("hit_id", "hit_key", "edges", (F.col("n_hit") >= F.col("n_words")).alias("gone"))
+        hits.join(sizes.distinct(), F.col("_quercus_id").eqNullSafe(F.col("doc_id")) & (F.col("_quercus_key") == F.col("text_key")))
+        .select("_quercus_id", "_quercus_key", "_quercus_edges", (F.col("n_hit") >= F.col("n_words")).alias("_quercus_gone"))
     )
-    keyed = documents.withColumn("hit_text_key", text_key())
+    keyed = documents.withColumn("_quercus_row_key", text_key())
     joined = keyed.join(
-        hits, keyed.doc_id.eqNullSafe(hits.hit_id) & (keyed.hit_text_key == hits.hit_key), "left"
-    ).where(F.coalesce(~F.col("gone"), F.lit(True)))
-    kept = joined.select(*documents.columns, "edges").mapInArrow(_cut_batches, documents.schema)
+        hits, keyed.doc_id.eqNullSafe(hits._quercus_id) & (keyed._quercus_row_key == hits._quercus_key), "left"
+    ).where(F.coalesce(~F.col("_quercus_gone"), F.lit(True)))
+    kept = joined.select(*documents.columns, "_quercus_edges").mapInArrow(_cut_batches, documents.schema)
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in documents.columns else kept

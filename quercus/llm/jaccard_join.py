@@ -297,6 +297,6 @@ def classes_and_links(documents: DataFrame, ws: Workspace, threshold: float = TH
 
 def one_of_each(documents: DataFrame, ws: Workspace, threshold: float = THRESHOLD) -> DataFrame:
     """``documents`` with the smallest doc_id of each class; rows without an id stay."""
-    keep = classes_and_links(documents, ws, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    kept = documents.join(keep, F.col("doc_id") == F.col("keep_id"), "left_semi").dropDuplicates(["doc_id"])
+    keep = classes_and_links(documents, ws, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("_quercus_id")).distinct()
+    kept = documents.join(keep, F.col("doc_id") == F.col("_quercus_id"), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(documents.where("doc_id IS NULL"))

@@ -369,13 +369,13 @@ def repeated_spans(documents: DataFrame, shard_bytes: int = SHARD_BYTES) -> Data
 def _with_spans(documents: DataFrame, *columns: str) -> DataFrame:
     spans = (
         repeated_spans(documents)
-        .groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
-        .agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+        .groupBy(F.col("doc_id").alias("_quercus_id"), F.col("text_key").alias("_quercus_key"))
+        .agg(F.collect_list(F.struct("start", "stop")).alias("_quercus_spans"))
     )
-    keyed = documents.withColumn("text_key_of_row", text_key())
+    keyed = documents.withColumn("_quercus_row_key", text_key())
     return keyed.join(
-        spans, (F.col("doc_id").cast("long") == F.col("gone_id")) & (F.col("text_key_of_row") == F.col("gone_key")), "left"
-    ).select(*columns, "spans")
+        spans, (F.col("doc_id").cast("long") == F.col("_quercus_id")) & (F.col("_quercus_row_key") == F.col("_quercus_key")), "left"
+    ).select(*columns, "_quercus_spans")
 
 
 def _mask(n: int, spans) -> np.ndarray:
@@ -386,7 +386,7 @@ def _mask(n: int, spans) -> np.ndarray:
 
 def _digest(batches):
     for batch in batches:
-        texts, spans = batch.column("text"), batch.column("spans")
+        texts, spans = batch.column("text"), batch.column("_quercus_spans")
         has = spans.is_valid().to_numpy(zero_copy_only=False)
         many, gone, sha = [], [], []
         for i, text in enumerate(texts.to_pylist()):
@@ -412,7 +412,7 @@ def digest(documents: DataFrame) -> DataFrame:
 def _cutter(names):
     def apply(batches):
         for batch in batches:
-            texts, spans = batch.column("text"), batch.column("spans")
+            texts, spans = batch.column("text"), batch.column("_quercus_spans")
             out, keep = texts.to_pylist(), np.ones(batch.num_rows, bool)
             for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)):
                 n = len(out[i].encode().split())
