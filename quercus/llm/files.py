@@ -8,9 +8,13 @@ a wrong result.
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from quercus.workspace import Workspace
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -37,7 +41,7 @@ class TaskFile:
         self.url = f"{folder}/{name}"
         fs, path = opened(self.url)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
-        self.stream, self.size = fs.open_output_stream(path), 0
+        self.stream, self.size = fs.open_output_stream(path, compression=None), 0
 
     def write(self, data) -> int:
         """Append; returns where the data begin."""
@@ -48,3 +52,25 @@ class TaskFile:
 
     def close(self):
         self.stream.close()
+
+
+def byte_ranges(files: DataFrame, block: int, ws: Workspace, unit: int = 1) -> DataFrame:
+    """(file, start, bytes): the distinct files of column ``file`` cut in blocks of whole units, one per task."""
+    step = max(1, block // unit) * unit
+
+    def cut(batches):
+        for batch in batches:
+            for url in batch.column("file").to_pylist():
+                fs, path = opened(url)
+                size = fs.get_file_info(path).size // unit * unit
+                starts = np.arange(0, size, step)
+                yield pa.record_batch(
+                    [
+                        pa.array([url] * len(starts), pa.string()), pa.array(starts, pa.int64()),
+                        pa.array(np.minimum(step, size - starts), pa.int64()),
+                    ],
+                    names=["file", "start", "bytes"],
+                )
+
+    ranges = ws.table(files.select("file").distinct().mapInArrow(cut, "file string, start long, bytes long"), "ranges")
+    return ranges.repartition(max(1, ranges.count()))

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quercus.llm import decontamination, jaccard_join, packing, substring_dedup, token_counts, token_orc, toxicity
+from quercus.llm import decontamination, jaccard_join, packing, substring_dedup, token_counts, token_orc, toxicity, warc
 from quercus.workspace import Workspace
 
 
@@ -37,6 +37,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back by byte ranges."""
+    return warc.round_trip(table(spark, sf_dir, "pages"), Workspace(spark))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes and link counts by MinHash banding."""
     return jaccard_join.classes_and_links(table(spark, sf_dir, "documents"), Workspace(spark))
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
+    "op5_warc": op5_warc,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_toxicity": op8_toxicity,
     "op10_substring_dedup": op10_substring_dedup,

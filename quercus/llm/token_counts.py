@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quercus.llm.files import TaskFile, opened, qualified
+from quercus.llm.files import TaskFile, byte_ranges, opened, qualified
 from quercus.llm.tokens import default_vocabulary, encoded
 from quercus.llm.words import column
 from quercus.workspace import Workspace
@@ -55,23 +55,6 @@ def write(documents: DataFrame, ws: Workspace, vocabulary: str | None = None, se
     )
 
 
-def _blocks(block: int, width: int):
-    step = max(1, block // width) * width
-
-    def run(batches):
-        for batch in batches:
-            for url in batch.column("file").to_pylist():
-                fs, path = opened(url)
-                size = fs.get_file_info(path).size // width * width
-                starts = np.arange(0, size, step)
-                yield pa.record_batch(
-                    [pa.array([url] * len(starts), pa.string()), pa.array(starts, pa.int64()), pa.array(np.minimum(step, size - starts), pa.int64())],
-                    names=["file", "start", "bytes"],
-                )
-
-    return run
-
-
 def _scanner(separator: int, width: int):
     def run(batches):
         for batch in batches:
@@ -94,10 +77,8 @@ def _scanner(separator: int, width: int):
 
 def counts(spark: SparkSession, files: DataFrame, ws: Workspace, separator: int = SEPARATOR, width: int = 2, block: int = BLOCK_BYTES) -> DataFrame:
     """(file, ordinal, start, n_tokens) of every document in ``files`` (column file), separators not counted."""
-    listed = ws.table(files.select("file").distinct().mapInArrow(_blocks(block, width), "file string, start long, bytes long"), "blocks")
-    dealt = listed.repartition(max(1, listed.count()))
     scanned = ws.table(
-        dealt.mapInArrow(_scanner(separator, width), "file string, at long, ends long, tail long, lengths array<long>"), "scanned"
+        byte_ranges(files, block, ws, width).mapInArrow(_scanner(separator, width), "file string, at long, ends long, tail long, lengths array<long>"), "scanned"
     )
     order = Window.partitionBy("file").orderBy("at")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
