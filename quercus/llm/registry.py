@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quercus.llm import decontamination, jaccard_join, packing, substring_dedup, token_counts, token_orc, toxicity, warc
+from quercus.llm import decontamination, jaccard_join, packing, quality, substring_dedup, token_counts, token_orc, toxicity, warc
 from quercus.workspace import Workspace
 
 
@@ -42,6 +42,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), Workspace(spark))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by its latent-semantic neighbours."""
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes and link counts by MinHash banding."""
     return jaccard_join.classes_and_links(table(spark, sf_dir, "documents"), Workspace(spark))
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
+    "op6_quality": op6_quality,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_toxicity": op8_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
