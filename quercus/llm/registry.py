@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quercus.llm import decontamination, jaccard_join, packing, quality, substring_dedup, token_counts, token_orc, toxicity, warc
+from quercus.llm import bm25, decontamination, jaccard_join, packing, quality, substring_dedup, token_counts, token_orc, toxicity, warc
 from quercus.workspace import Workspace
 
 
@@ -57,6 +57,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark))
 
 
+def op9_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 100."""
+    documents, ws = table(spark, sf_dir, "documents"), Workspace(spark)
+    return bm25.search(bm25.build_index(documents, ws), documents.where("doc_id % 100 = 0"), ws)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 13 words that a document with a smaller id holds too, by FM-index."""
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_toxicity": op8_toxicity,
+    "op9_bm25": op9_bm25,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
