@@ -209,10 +209,15 @@ def _verifier(threshold: float):
     return verify_units
 
 
+def _node():
+    """What a text is known by."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
 def links(documents: DataFrame, ws: Workspace, threshold: float = THRESHOLD, recall: float = RECALL):
     """(one row per document with its text's MD5, one row per linked text with links and component)."""
     bands, rows = choose_bands(threshold, recall)
-    keyed = documents.where("doc_id IS NOT NULL").select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), "text")
+    keyed = documents.where("doc_id IS NOT NULL").select("doc_id", _node().alias("node"), "text")
     id_type = dict(documents.dtypes)["doc_id"]
     sketches = ws.table(
         keyed.mapInArrow(_sketcher(bands, rows), f"doc_id {id_type}, node binary, n_words int, bands array<long>"), "sketches"
@@ -282,21 +287,34 @@ def links(documents: DataFrame, ws: Workspace, threshold: float = THRESHOLD, rec
     return sketches.select("doc_id", "node", "n_words"), rooted.join(named, "root").select("node", "class_id", "n_links")
 
 
-def classes_and_links(documents: DataFrame, ws: Workspace, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: its class (the smallest doc_id it is linked to, over any number of links) and its links."""
+def _classed(documents: DataFrame, ws: Workspace, threshold: float) -> DataFrame:
+    """(doc_id, node, class_id, n_links) of the rows with an id."""
     docs, texts = links(documents, ws, threshold)
-    linked = docs.join(texts, "node").select(
+    return docs.join(texts, "node").select(
         "doc_id",
+        "node",
         F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(F.col("n_words") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
     )
+
+
+def classes_and_links(documents: DataFrame, ws: Workspace, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: its class (the smallest doc_id it is linked to, over any number of links) and its links."""
     id_type = dict(documents.dtypes)["doc_id"]
-    left_out = documents.where("doc_id IS NULL").select("doc_id", F.lit(None).cast(id_type).alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return linked.unionByName(left_out)
+    left_out = documents.where("doc_id IS NULL").select(
+        "doc_id", F.lit(None).cast(id_type).alias("class_id"), F.lit(0).cast("long").alias("n_links")
+    )
+    return _classed(documents, ws, threshold).drop("node").unionByName(left_out)
 
 
 def one_of_each(documents: DataFrame, ws: Workspace, threshold: float = THRESHOLD) -> DataFrame:
-    """``documents`` with the smallest doc_id of each class; rows without an id stay."""
-    keep = classes_and_links(documents, ws, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("_quercus_id")).distinct()
-    kept = documents.join(keep, F.col("doc_id") == F.col("_quercus_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(documents.where("doc_id IS NULL"))
+    """``documents`` with the smallest doc_id of each class, once; rows without an id stay."""
+    keep = (
+        _classed(documents, ws, threshold).where("doc_id = class_id")
+        .select(F.col("doc_id").alias("_quercus_id"), F.col("node").alias("_quercus_node")).distinct()
+    )
+    keyed = documents.withColumn("_quercus_key", _node())
+    kept = keyed.join(
+        keep, (F.col("doc_id") == F.col("_quercus_id")) & (F.col("_quercus_key") == F.col("_quercus_node")), "left_semi"
+    ).dropDuplicates(["doc_id", "_quercus_key"])
+    return kept.drop("_quercus_key").unionByName(documents.where("doc_id IS NULL"))
