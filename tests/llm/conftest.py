@@ -7,7 +7,6 @@ from pyspark.sql import types as T
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 
-SF = "/root/testdata/sf0.001"
 # extra columns carry names that the operators use inside
 DOCS = T.StructType(
     [

@@ -8,3 +8,8 @@ def folded_words(text):
 
 def blank_words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+#: Tables large enough to learn from.
+SF_ACCURACY = "/root/testdata/sf0.01"
+SF_SMALL = "/root/testdata/sf0.001"
