@@ -7,8 +7,8 @@ all shards, so every shard scores with the same numbers and its best k can be me
 
 In a shard, a query's rare terms are its essential lists and are scored outright. Its common terms
 (in more than one document of ``COMMON``) are skipped dynamically: blocks of ``BLOCK`` documents hold the
-largest weight of each, and only documents whose rare score plus their block's bound can reach
-the k-th best score so far are scored on them. The threshold carries over between a task's shards.
+largest weight of each, and only blocks of which a document's rare score plus the bound can reach
+the k-th best score so far are scored on them, as a matrix product over the queries they are alive for. The threshold carries over between a task's shards.
 No document that belongs in the result is passed over.
 
 Words are lower-cased runs of 0-9, a-z and non-ASCII. A query term counts as often as the query
@@ -36,6 +36,9 @@ QUERY_BYTES = 8 << 20
 BLOCK = 64
 COMMON = 24
 DIGITS = 9
+#: Queries scored together, and the relative error allowed to single precision.
+GROUP = 256
+SLACK = 1e-4
 NO_ID = -(1 << 63)
 
 INDEX = "index binary, docs long, words long"
@@ -136,10 +139,11 @@ class Shard:
         for c, term in enumerate(self.common):
             doc, weight = self._list(np.array([term]))
             self.dense[doc, c] = weight
-        blocks = -(-self.n // BLOCK)
-        padded = np.zeros((blocks * BLOCK, len(self.common)))
+        self.blocks = -(-self.n // BLOCK)
+        padded = np.zeros((self.blocks * BLOCK, len(self.common)))
         padded[: self.n] = self.dense
-        self.bounds = padded.reshape(blocks, BLOCK, len(self.common)).max(1)
+        self.bounds = padded.reshape(self.blocks, BLOCK, len(self.common)).max(1)
+        self.single = self.dense.astype(np.float32)
 
     def _list(self, terms):
         """Documents and BM25 weights (without idf) of the terms' lists, one behind the other."""
@@ -148,31 +152,38 @@ class Shard:
         doc, count = self.doc[at], self.count[at]
         return doc, count * (K1 + 1) / (count + self.norm[doc])
 
-    def search(self, terms, weights, best: Best):
-        """Let the shard's documents compete."""
-        few = self.sparse[terms]
-        partial = np.zeros(self.n)
-        if few.any():
-            doc, weight = self._list(terms[few])
-            place = self.place[terms[few]]
-            weight *= np.repeat(weights[few], self.first[place + 1] - self.first[place])
-            partial = np.bincount(doc, weight, self.n)
-        column = self.column[terms]
-        pull = np.zeros(len(self.common))
-        pull[column[column >= 0]] = weights[column >= 0]
-        bound = partial + np.repeat(self.bounds @ pull, BLOCK)[: self.n]
-        bound += 1e-9 * bound  # sums in another order
-        lead = np.argpartition(-bound, best.k)[: best.k] if self.n > best.k else np.arange(self.n)
-        self._score(lead, partial, pull, bound, best)
-        rest = np.flatnonzero(bound >= best.bar)
-        self._score(rest[~np.isin(rest, lead)], partial, pull, bound, best)
-
-    def _score(self, docs, partial, pull, bound, best):
-        docs = docs[(bound[docs] > 0) & (bound[docs] >= best.bar)]
-        if len(docs):
-            score = partial[docs] + self.dense[docs] @ pull
-            has = score > 0
-            best.add(score[has], self.ids[docs[has]])
+    def search(self, asked, idf, found: list[Best]):
+        """Let the shard's documents compete for a group of queries."""
+        partial, pull = np.zeros((len(asked), self.blocks * BLOCK)), np.zeros((len(self.common), len(asked)))
+        for q, (_, terms, counts) in enumerate(asked):
+            weights = idf[terms] * counts
+            few = self.sparse[terms]
+            if few.any():
+                doc, weight = self._list(terms[few])
+                place = self.place[terms[few]]
+                weight *= np.repeat(weights[few], self.first[place + 1] - self.first[place])
+                partial[q] = np.bincount(doc, weight, self.blocks * BLOCK)
+            column = self.column[terms]
+            pull[column[column >= 0], q] = weights[column >= 0]
+        bar = np.array([best.bar for best in found])
+        # a block is alive for a query if its best document could enter
+        reach = partial.reshape(len(asked), self.blocks, BLOCK).max(2) + (self.bounds @ pull).T
+        alive = (reach > 0) & (reach * (1 + SLACK) >= bar[:, None])
+        rough, narrow = np.full(partial.shape, -np.inf, np.float32), pull.astype(np.float32)
+        for b in range(self.blocks):
+            q = np.flatnonzero(alive[:, b])
+            rows = slice(b * BLOCK, min((b + 1) * BLOCK, self.n))
+            if len(q):
+                rough[q, rows] = partial[q, rows] + (self.single[rows] @ narrow[:, q]).T
+        for q, best in enumerate(found):
+            if not alive[q].any():
+                continue
+            # what single precision cannot tell from the k-th best is scored again in double
+            score = rough[q, : self.n]
+            cut = np.partition(score, self.n - best.k)[self.n - best.k] if self.n > best.k else -np.inf
+            docs = np.flatnonzero((score > 0) & (score * (1 + SLACK) >= max(cut, best.bar)))
+            if len(docs):
+                best.add(partial[q, docs] + self.dense[docs] @ pull[:, q], self.ids[docs])
 
 
 def _searcher(queries, vocab: list[str], idf: np.ndarray, average: float, k: int):
@@ -182,8 +193,8 @@ def _searcher(queries, vocab: list[str], idf: np.ndarray, average: float, k: int
             if len(state[1]) < 2:
                 continue
             shard = Shard(state, terms_, average)
-            for (_, terms, counts), best in zip(queries, found, strict=True):
-                shard.search(terms, idf[terms] * counts, best)
+            for at in range(0, len(queries), GROUP):
+                shard.search(queries[at : at + GROUP], idf, found[at : at + GROUP])
         for (query, _, _), best in zip(queries, found, strict=True):
             if len(best.ids):
                 n = len(best.ids)
