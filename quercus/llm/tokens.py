@@ -27,8 +27,8 @@ KEPT_WORDS = 300_000
 CHUNK_BYTES = 12 << 20
 #: Marks that are neither letters, digits, white space, apostrophes nor part of an added token's name.
 MARKS = ".,!?;:%$&*#"
-#: First character behind the Latin letters.
-BEYOND_LATIN = "\u0250"
+#: Anything but ASCII and the composed Latin letters up to U+01FF, on which lower-casing is one to one (U+0130 is not).
+BEYOND_LATIN = "[^\\x00-\\x{12F}\\x{131}-\\x{1FF}]"
 
 
 def default_vocabulary() -> str:
@@ -59,42 +59,52 @@ class Encoder:
         steps = json.dumps(parts.get("pre_tokenizer") or {})
         self.by_piece = '"invert": true' in steps and "\\\\s" in steps and '"ByteLevel"' in steps
         self.by_word = self.by_piece and '"Lowercase"' in json.dumps(parts.get("normalizer") or {})
-        self.letters = _byte_letters()
+        self.spelling = dict(enumerate(_byte_letters()))
         self.words, self.tails = {}, {}
 
+    def _whole(self, texts: list[str]) -> list:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _word(self, word: str):
-        got = self.words.get(word)
-        if got is None:
-            spelled = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
-            got = self.words[word] = tuple(t.id for t in self.tokenizer.model.tokenize(spelled))
-        return got
-
-    def _tail(self, tail: str):
-        got = self.tails.get(tail)
-        if got is None:
-            got = tuple(self.tokenizer.encode(tail, add_special_tokens=False).ids)
-            if len(self.tails) < KEPT_WORDS:
-                self.tails[tail] = got
-        return got
-
-    def _pieces(self, pieces: list[str]) -> list:
-        """Ids of each piece."""
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        out, rest = [None] * len(pieces), []
-        for i, piece in enumerate(pieces):
-            if self.by_word and "<" not in piece:
-                low = piece.lower() if piece.isascii() else self.tokenizer.normalizer.normalize_str(piece)
-                word = low.rstrip(MARKS)
-                if word.isalpha() and (word.isascii() or max(word) < BEYOND_LATIN):
-                    tail = low[len(word) :]
-                    out[i] = self._word(word) + self._tail(tail) if tail else self._word(word)
-                    continue
-            rest.append(i)
-        got = self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)
-        for i, e in zip(rest, got, strict=True):
-            out[i] = e.ids
-        return out
+        """Ids of a lower-case word of Latin letters; bytes beyond ASCII stand under their letters."""
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.spelling)
+        return [t.id for t in self.tokenizer.model.tokenize(spelled)]
+
+    def _known(self, kept: dict, names: list[str], ids_of) -> list:
+        if len(kept) > KEPT_WORDS:
+            kept.clear()
+        fresh = [n for n in names if n not in kept]
+        kept.update(zip(fresh, ids_of(fresh), strict=True))
+        return [kept[n] for n in names]
+
+    def _pieces(self, pieces: pa.Array):
+        """Flat ids and lengths of each piece."""
+        n = len(pieces)
+        if not self.by_word:
+            units, first, second = self._whole(pieces.to_pylist()), np.arange(n), np.full(n, -1)
+        else:
+            low = pc.utf8_lower(pieces)
+            word = pc.utf8_rtrim(low, MARKS)
+            plain = pc.and_(pc.utf8_is_alpha(word), pc.invert(pc.match_substring_regex(pieces, BEYOND_LATIN)))
+            is_plain = plain.to_numpy(zero_copy_only=False)
+            found = word.filter(plain).dictionary_encode()
+            units = self._known(self.words, found.dictionary.to_pylist(), lambda new: [self._word(w) for w in new])
+            first, second = np.zeros(n, np.int64), np.full(n, -1)
+            first[is_plain] = found.indices.to_numpy(zero_copy_only=False)
+            tail = np.where(is_plain, pc.subtract(pc.utf8_length(low), pc.utf8_length(word)).to_numpy(zero_copy_only=False), 0)
+            for size in np.unique(tail[tail > 0]).tolist():
+                has = np.flatnonzero(tail == size)
+                found = pc.utf8_slice_codeunits(low.take(pa.array(has)), -size).dictionary_encode()
+                second[has] = len(units) + found.indices.to_numpy(zero_copy_only=False)
+                units = units + self._known(self.tails, found.dictionary.to_pylist(), self._whole)
+            rest = np.flatnonzero(~is_plain)
+            first[rest] = len(units) + np.arange(len(rest))
+            units = units + self._whole(pieces.take(pa.array(rest)).to_pylist())
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        flat = np.fromiter(chain.from_iterable(units), np.uint32, int(sizes.sum()))
+        starts, sizes = np.append(np.cumsum(sizes) - sizes, 0), np.append(sizes, 0)  # unit -1 is empty
+        pair = np.stack((first, second), 1).ravel()
+        return flat[ranges(starts[pair], sizes[pair])], sizes[first] + sizes[second]
 
     def encode(self, texts: pa.Array, end: int):
         """(flat ids, offsets) of the texts, each closed by ``end``. A null text is empty."""
@@ -105,10 +115,7 @@ class Encoder:
         else:
             values, offsets = texts, np.arange(len(texts) + 1)
         encoded = values.dictionary_encode()
-        ids = self._pieces(encoded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        del ids
+        flat, sizes = self._pieces(encoded.dictionary)
         starts = np.cumsum(sizes) - sizes
         codes = encoded.indices.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
         lengths = sizes[codes]

@@ -176,3 +176,11 @@ def test_warc_skips_what_is_no_record():
 def test_warc_empty(spark, ws):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(pages, ws).count() == 0
+
+
+def test_encoder_on_every_latin_letter():
+    encoder = Encoder(default_vocabulary())
+    texts = [t for c in range(0x21, 0x250) for t in (chr(c), "a" + chr(c), chr(c) + "b", "x" + chr(c) + "y.", chr(c) + "!", "a.́" + chr(c))]
+    ids, offsets = encoder.encode(pa.array(texts), 2)
+    for i, t in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2], t
