@@ -4,34 +4,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quercus import schema as S
-from quercus.operators.walks import propagate
 from quercus.workspace import Workspace
 
-# Lists up to this length may be spelled out as pairs (at most 2,016 per list).
-PAIRABLE_MEMBERS = 64
-
 
 def list_members(triples: DataFrame, heads: DataFrame, ws: Workspace | None = None) -> DataFrame:
-    """Members of RDF lists: ``heads(artifact_id, owner, head)`` -> (artifact_id, owner, member).
+    """Members of RDF lists: ``heads(artifact_id, owner, head)`` -> (artifact_id, owner, member, member_kind).
 
-    The ``rdf:rest`` chain is walked like any hierarchy: each cell hands its
-    owner on to the next one.
+    By pointer doubling: round k knows every cell within 2^k steps of its head and
+    where 2^k steps lead from any cell, so a list of n cells takes log2(n) rounds. Lists that
+    share a tail or run in a circle end like any other, when a round brings nothing new.
     """
     ws = ws or Workspace(triples.sparkSession)
-    seed = heads.select(
-        "artifact_id", F.col("head").alias("child"),
-        F.lit(None).cast("string").alias("parent"), F.col("owner").alias("value"),
-    )
-    rest = triples.where((F.col("p") == S.REST) & (F.col("o") != S.NIL)).select(
-        "artifact_id", F.col("o").alias("child"), F.col("s").alias("parent"),
-        F.lit(None).cast("string").alias("value"),
-    )
-    cells = propagate(seed.union(rest), ws)
+    spark = triples.sparkSession
+    kept = "artifact_id string, owner string, node string"
+    jump = triples.where((F.col("p") == S.REST) & (F.col("o") != S.NIL)).select(
+        "artifact_id", F.col("s").alias("node"), F.col("o").alias("next")
+    ).distinct()
+    jump = ws.table(jump, "rest")
+    path, n = ws.write(heads.select("artifact_id", "owner", F.col("head").alias("node")).distinct(), "cells")
+    paths = [path]
+    while n:
+        cells = spark.read.schema(kept).parquet(*paths)
+        ahead = cells.join(jump, ["artifact_id", "node"]).select("artifact_id", "owner", F.col("next").alias("node")).distinct()
+        path, n = ws.write(ahead.join(cells, ["artifact_id", "owner", "node"], "left_anti"), "cells")
+        if n:
+            paths.append(path)
+            second = jump.select("artifact_id", F.col("node").alias("next"), F.col("next").alias("beyond"))
+            jump = ws.table(
+                jump.join(second, ["artifact_id", "next"]).select("artifact_id", "node", F.col("beyond").alias("next")).distinct(), "rest"
+            )
     first = triples.where(F.col("p") == S.FIRST).select(
         "artifact_id", F.col("s").alias("node"), F.col("o").alias("member"), "o_kind"
     )
-    return cells.join(first, ["artifact_id", "node"]).select(
-        "artifact_id", F.col("value").alias("owner"), "member", F.col("o_kind").alias("member_kind")
+    return spark.read.schema(kept).parquet(*paths).join(first, ["artifact_id", "node"]).select(
+        "artifact_id", "owner", "member", F.col("o_kind").alias("member_kind")
     )
 
 
@@ -59,22 +65,12 @@ def disjoint_groups(triples: DataFrame, ws: Workspace | None = None) -> DataFram
 
 
 def asserted_pairs(groups: DataFrame) -> DataFrame:
-    """Disjoint pairs a < b of every group short enough to spell out.
+    """Every disjoint pair a < b of every group, of whatever length.
 
-    Longer groups stay as ``disjoint_groups`` rows: see ``long_groups``.  Clash
-    tests never need pairs, they count the group's members a class falls under.
+    The list of pairs is the result asked for here, so its size is the square of a group's;
+    it is a join on the group, which the planner splits where one group is large.  Clash tests
+    never need pairs, they count the group's members a class falls under.
     """
-    sized = groups.groupBy("artifact_id", "group_id").agg(F.count("member").alias("n"))
-    short = groups.join(sized.where(F.col("n") <= PAIRABLE_MEMBERS), ["artifact_id", "group_id"])
-    members = short.groupBy("artifact_id", "group_id").agg(F.collect_set("member").alias("members"))
-    left = members.select("artifact_id", "members", F.explode("members").alias("a"))
-    return left.select(
-        "artifact_id", "a", F.explode(F.filter("members", lambda m: m > F.col("a"))).alias("b")
-    ).distinct()
-
-
-def long_groups(groups: DataFrame) -> DataFrame:
-    sized = groups.groupBy("artifact_id", "group_id").agg(F.count("member").alias("n"))
-    return groups.join(
-        sized.where(F.col("n") > PAIRABLE_MEMBERS), ["artifact_id", "group_id"], "left_semi"
-    )
+    left = groups.select("artifact_id", "group_id", F.col("member").alias("a"))
+    right = groups.select("artifact_id", "group_id", F.col("member").alias("b"))
+    return left.join(right, ["artifact_id", "group_id"]).where("a < b").select("artifact_id", "a", "b").distinct()

@@ -6,7 +6,7 @@ Findings: (artifact_id, stage, code, message, iri, suggested_rewrite).
 from dataclasses import dataclass, field
 from typing import Callable
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +40,8 @@ TAXONOMY = [
     ("E_PARSE", "artifact could not be parsed", "A"),
 ]
 MAX_FACTOR = 4
-ORPHANS_LISTED = 50
-OFFENDERS_LISTED = 25
+#: How many orphans a report shows; the findings hold all of them.
+ORPHANS_SHOWN = 50
 NORM, DEPENDENT = KERNEL_NS + "Norm", S.UPPER_PREFIX + "0000020"
 FINDING = "artifact_id string, stage string, code string, message string, iri string, suggested_rewrite string"
 # Fixed value: names of classes that stand for an absence (competency check D4).
@@ -210,20 +210,18 @@ def orphans(domain_classes: DataFrame, entries: DataFrame) -> DataFrame:
     return domain_classes.join(entries, ["artifact_id", "cls"], "left_anti")
 
 
-def orphan_findings(lost: DataFrame, listed: int = ORPHANS_LISTED) -> DataFrame:
-    """At most ``listed`` rows per artifact; ``orphan_notes`` has the exact number."""
-    w = Window.partitionBy("artifact_id").orderBy("cls")
-    top = lost.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= listed)
+def orphan_findings(lost: DataFrame) -> DataFrame:
+    """A finding per orphan; ``orphan_notes`` says how many a display would leave out."""
     name = short_name(F.col("cls"))
     return _finding(
-        top, "B", "E_ORPHAN",
+        lost, "B", "E_ORPHAN",
         F.format_string("'%s' does not reach any BFO upper category via subClassOf*.", name),
         F.col("cls"),
         F.concat(F.lit("add subClassOf to the BFO category that fits "), name),
     )
 
 
-def orphan_notes(lost: DataFrame, listed: int = ORPHANS_LISTED) -> DataFrame:
+def orphan_notes(lost: DataFrame, listed: int = ORPHANS_SHOWN) -> DataFrame:
     n = F.count(F.lit(1))
     return lost.groupBy("artifact_id").agg(
         n.alias("orphan_count"), F.greatest(n - listed, F.lit(0)).cast("bigint").alias("orphans_truncated")
@@ -346,8 +344,10 @@ def stage_c(g: GateInputs) -> DataFrame:
 class Competency:
     """A check: rows (artifact_id, offender) are violations.
 
-    ``query`` is a function of the gate inputs, or Spark SQL over the views
-    ``triples`` and ``subclass_star`` (reflexive-transitive subclass pairs).
+    ``query`` is a function of the gate inputs, or Spark SQL that reads ``{triples}``
+    (the artifact's triples and the kernel's) and ``{subclass_star}`` (artifact_id, child,
+    ancestor: reflexive-transitive subclass pairs). Without a column ``offender`` the
+    artifact itself is at fault.
     """
 
     name: str
@@ -380,12 +380,11 @@ def no_privation_classes(g: GateInputs) -> DataFrame:
         "artifact_id", F.col("s").alias("offender")
     )
     hit = short_name(F.col("offender")).rlike(D4_NAMES)
-    from_kernel = g.spark.range(0).selectExpr("CAST(NULL AS STRING) AS artifact_id", "'' AS offender")
-    bad = constant_table(g.spark, "offender string", [(c,) for c in sorted(g.kernel.labels)]).where(hit)
-    offending = [r[0] for r in bad.collect()]  # a handful of kernel constants
-    if offending:
-        from_kernel = g.counts.select("artifact_id", F.explode(F.array(*map(F.lit, offending))).alias("offender"))
-    return own.where(hit).union(from_kernel).distinct()
+    kernel = sorted(g.kernel.labels)
+    if not kernel:
+        return own.where(hit).distinct()
+    every = g.counts.select("artifact_id", F.explode(F.array(*map(F.lit, kernel))).alias("offender"))
+    return own.union(every).where(hit).distinct()
 
 
 BUILTIN_CHECKS = [
@@ -400,24 +399,48 @@ BUILTIN_CHECKS = [
 ]
 
 
-def competency_findings(g: GateInputs, checks=None, listed: int = OFFENDERS_LISTED):
-    """(findings, query_errors): a check that does not analyse is a note, not a pass."""
+def kernel_triples(artifacts: DataFrame, kernel: Kernel) -> DataFrame:
+    """The kernel's classes and edges as triples of every artifact."""
+    rows = [(c, S.TYPE, S.CLASS) for c in sorted(kernel.labels)] + [(c, S.SUBCLASS, p) for c, p in sorted(set(kernel.edges))]
+    if not rows:
+        return artifacts.sparkSession.createDataFrame([], S.TRIPLES)
+    cells = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(p).alias("p"), F.lit(o).alias("o")) for s, p, o in rows])
+    iri, none = F.lit("iri"), F.lit(None).cast("string")
+    return artifacts.select("artifact_id", F.inline(cells)).select(
+        "artifact_id", "s", iri.alias("s_kind"), "p", "o", iri.alias("o_kind"), none.alias("o_datatype"), none.alias("o_lang")
+    )
+
+
+def _sql_rows(g: GateInputs, query: str) -> DataFrame:
+    """Rows of a SQL check; the tables it names get views of their own for this one statement."""
+    names = {}
+    artifacts = g.counts.select("artifact_id").distinct()
+    if "{triples}" in query:
+        names["triples"] = g.triples.unionByName(kernel_triples(artifacts, g.kernel))
+    if "{subclass_star}" in query:
+        nodes = g.edges.select("artifact_id", F.explode(F.array("child", "parent")).alias("child")).union(g.classes)
+        loops = nodes.distinct().select("artifact_id", "child", F.col("child").alias("ancestor"))
+        names["subclass_star"] = closure(g.edges, g.ws).union(loops).distinct()
+    rows = g.spark.sql(query, **names)
+    if "offender" not in rows.columns:
+        rows = rows.withColumn("offender", F.lit(""))
+    return rows
+
+
+def competency_findings(g: GateInputs, checks=None):
+    """(findings, query_errors): a check that fails to analyse or to run is a note, not a pass."""
     out, errors = g.spark.createDataFrame([], FINDING), {}
-    w = Window.partitionBy("artifact_id").orderBy("offender")
     for check in BUILTIN_CHECKS if checks is None else checks:
         try:
-            if callable(check.query):
-                rows = check.query(g)
-            else:
-                g.triples.createOrReplaceTempView("triples")
-                rows = g.spark.sql(check.query)
-            rows = rows.select("artifact_id", "offender")
-        except AnalysisException as exc:
+            rows = check.query(g) if callable(check.query) else _sql_rows(g, check.query)
+            rows = rows.select("artifact_id", F.coalesce(F.col("offender").cast("string"), F.lit("")).alias("offender"))
+            if checks is not None:  # somebody else's check: what it does at run time is not known before
+                rows = g.ws.table(rows, "check")
+        except PySparkException as exc:
             errors[check.name] = str(exc)
             continue
-        top = rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= listed)
         text = F.concat(F.lit((check.description or check.name) + ": "), "offender")
-        out = out.union(_finding(top, "D", check.code, text, F.col("offender")))
+        out = out.union(_finding(rows, "D", check.code, text, F.col("offender")))
     return out, errors
 
 

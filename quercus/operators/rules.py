@@ -128,7 +128,7 @@ def unsatisfiable_classes(
         .select("artifact_id", "cls", F.lit("asserted").alias("reason"))
     )
     direct = clash.union(own).distinct()
-    fillers = required_fillers(triples)
+    fillers = required_fillers(triples, ws)
     links = (
         edges.union(fillers)
         .withColumn("value", none)
@@ -138,22 +138,29 @@ def unsatisfiable_classes(
     reasons = direct.groupBy("artifact_id", "cls").agg(F.max("reason").alias("reason"))
     return (
         spread.join(reasons, ["artifact_id", "cls"], "left")
-        .where(~is_upper(F.col("cls")))
+        .where(~is_upper(F.col("cls")) & ~F.col("cls").startswith("_:"))
         .select("artifact_id", "cls", F.coalesce("reason", F.lit("inherited")).alias("reason"))
     )
 
 
-def required_fillers(triples: DataFrame) -> DataFrame:
-    """(artifact_id, child, parent): child requires something of class parent (someValuesFrom)."""
-    uses = triples.where(
-        F.col("p").isin(S.SUBCLASS, S.EQUIVALENT)
-        & (F.col("s_kind") == "iri")
-        & (F.col("o_kind") == "bnode")
-    ).select("artifact_id", F.col("s").alias("child"), F.col("o").alias("node"))
-    some = triples.where((F.col("p") == S.owl("someValuesFrom")) & (F.col("o_kind") == "iri")).select(
-        "artifact_id", F.col("s").alias("node"), F.col("o").alias("parent")
+def required_fillers(triples: DataFrame, ws: Workspace) -> DataFrame:
+    """(artifact_id, child, parent): nothing can be a child if nothing can be a parent.
+
+    Class expressions (blank nodes) take part like classes: a class needs the expressions it
+    falls under, an intersection its members, a restriction its filler, to any depth.
+    """
+    uses = triples.where(F.col("p").isin(S.SUBCLASS, S.EQUIVALENT) & (F.col("o_kind") == "bnode"))
+    some = triples.where(F.col("p") == S.owl("someValuesFrom"))
+    direct = uses.union(some).where(F.col("o_kind").isin("iri", "bnode")).select(
+        "artifact_id", F.col("s").alias("child"), F.col("o").alias("parent")
     )
-    return uses.join(some, ["artifact_id", "node"]).select(*EDGE).distinct()
+    heads = triples.where((F.col("p") == S.owl("intersectionOf")) & (F.col("s_kind") == "bnode")).select(
+        "artifact_id", F.col("s").alias("owner"), F.col("o").alias("head")
+    )
+    if not heads.isEmpty():
+        members = list_members(triples, heads, ws).where("member_kind IN ('iri', 'bnode')")
+        direct = direct.union(members.select("artifact_id", "owner", "member"))
+    return direct.distinct()
 
 
 def justified(unsat: DataFrame, findings: DataFrame) -> DataFrame:
@@ -307,17 +314,39 @@ def entailed_types(
     scoped = ends.join(scope, ["artifact_id", "p", "domain"]).select(
         "artifact_id", "ind", "cls", F.when(F.col("domain"), "prp-dom").otherwise("prp-rng").alias("rule")
     )
-    direct = own.union(scoped)
-    for extra in restriction_types(triples, props, own.select("artifact_id", "ind", "cls")):
-        direct = direct.union(extra)
-    lifted = direct.join(
-        hierarchy.select("artifact_id", F.col("child").alias("cls"), "ancestor"), ["artifact_id", "cls"]
-    ).select("artifact_id", "ind", F.col("ancestor").alias("cls"), F.lit("cax-sco").alias("rule"))
-    return direct.union(lifted).groupBy("artifact_id", "ind", "cls").agg(F.min("rule").alias("rule"))
+    some, has = restrictions(triples)
+    above = hierarchy.select("artifact_id", F.col("child").alias("cls"), "ancestor")
+    key = ["artifact_id", "ind", "cls"]
+
+    def lifted(direct):
+        up = direct.join(above, ["artifact_id", "cls"]).select(
+            "artifact_id", "ind", F.col("ancestor").alias("cls"), F.lit("cax-sco").alias("rule")
+        )
+        return direct.union(up).groupBy(*key).agg(F.min("rule").alias("rule"))
+
+    by_value = props.join(has, ["artifact_id", "p"]).where("o = filler").select(
+        "artifact_id", F.col("s").alias("ind"), F.col("result").alias("cls"), F.lit("cls-hv2").alias("rule")
+    )
+    first = lifted(own.union(scoped).union(by_value))
+    some = ws.table(some, "restrictions")
+    if some.isEmpty():
+        return first
+    # a new type may be the filler that another restriction waits for: only what is new goes round again
+    linked = ws.table(props.join(some, ["artifact_id", "p"]).select("artifact_id", "s", "o", "filler", "result"), "restricted")
+    known = delta = ws.table(first, "types")
+    while True:
+        hit = linked.join(
+            delta.select("artifact_id", F.col("ind").alias("o"), F.col("cls").alias("filler")), ["artifact_id", "o", "filler"]
+        ).select("artifact_id", F.col("s").alias("ind"), F.col("result").alias("cls"), F.lit("cls-svf1").alias("rule"))
+        path, n = ws.write(lifted(hit.distinct()).join(known, key, "left_anti"), "types")
+        if n == 0:
+            return known
+        delta = triples.sparkSession.read.schema(known.schema).parquet(path)
+        known = known.union(delta.select(known.columns))
 
 
-def restriction_types(triples: DataFrame, props: DataFrame, types: DataFrame):
-    """Types by restrictions equivalent to a named class (cls-svf1, cls-hv2)."""
+def restrictions(triples: DataFrame):
+    """(artifact_id, p, result, filler) of the restrictions equivalent to a named class: cls-svf1, cls-hv2."""
     on = triples.where(F.col("p") == S.owl("onProperty")).select(
         "artifact_id", F.col("s").alias("node"), F.col("o").alias("p")
     )
@@ -326,27 +355,13 @@ def restriction_types(triples: DataFrame, props: DataFrame, types: DataFrame):
     ).select("artifact_id", F.col("s").alias("result"), F.col("o").alias("node"))
     shaped = on.join(named, ["artifact_id", "node"])
 
-    def filler(p):
-        return triples.where((F.col("p") == S.owl(p)) & (F.col("o_kind") == "iri")).select(
+    def of(p):
+        filler = triples.where((F.col("p") == S.owl(p)) & (F.col("o_kind") == "iri")).select(
             "artifact_id", F.col("s").alias("node"), F.col("o").alias("filler")
         )
+        return shaped.join(filler, ["artifact_id", "node"]).select("artifact_id", "p", "result", "filler")
 
-    some = shaped.join(filler("someValuesFrom"), ["artifact_id", "node"])
-    has = shaped.join(filler("hasValue"), ["artifact_id", "node"])
-    by_some = (
-        props.join(some, ["artifact_id", "p"])
-        .join(
-            types.select("artifact_id", F.col("ind").alias("o"), F.col("cls").alias("filler")),
-            ["artifact_id", "o", "filler"],
-        )
-        .select("artifact_id", F.col("s").alias("ind"), F.col("result").alias("cls"), F.lit("cls-svf1").alias("rule"))
-    )
-    by_value = (
-        props.join(has, ["artifact_id", "p"])
-        .where("o = filler")
-        .select("artifact_id", F.col("s").alias("ind"), F.col("result").alias("cls"), F.lit("cls-hv2").alias("rule"))
-    )
-    return [by_some, by_value]
+    return of("someValuesFrom"), of("hasValue")
 
 
 def inconsistent_individuals(

@@ -14,8 +14,6 @@ from quercus.operators.walks import entry_points, propagate, subclass_edges
 from quercus.sources.upper import CONTINUANT, OCCURRENT, Upper
 from quercus.workspace import Workspace
 
-CLASSES_TESTED = 60
-
 
 @dataclass
 class Theory:
@@ -53,19 +51,29 @@ def class_kinds(entries: DataFrame, classes: DataFrame, upper: Upper) -> DataFra
 def symbols(named: DataFrame, ws: Workspace) -> DataFrame:
     """Unique symbols: ``named(artifact_id, iri, label, is_property)`` plus ``sym``.
 
-    The nth holder of a base symbol, classes first and by IRI, gets ``_n``.  A
-    suffixed symbol that meets somebody's own base is suffixed once more.
+    The nth holder of a base symbol, classes first and by IRI, gets ``_n``.  Where a suffixed
+    symbol meets another one, the owner of the plain base keeps it and the others are
+    suffixed again, until no two in an artifact are alike.
     """
     based = named.withColumn("base", logic_symbol(F.col("label")))
     ranked = grouped_rank(based, ["artifact_id", "base"], ["is_property", "iri"], ws)
-    first = ranked.withColumn(
-        "sym", F.when(F.col("rank") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("rank").cast("string")))
-    )
-    taken = based.select("artifact_id", F.col("base").alias("sym")).distinct().withColumn("taken", F.lit(True))
-    return first.join(taken, ["artifact_id", "sym"], "left").select(
-        "artifact_id", "iri", "label", "is_property",
-        F.when((F.col("rank") > 1) & F.col("taken"), F.concat("sym", F.lit("_2"))).otherwise(F.col("sym")).alias("sym"),
+    keep = ["artifact_id", "iri", "label", "is_property", "given", "sym"]
+    suffixed = F.concat_ws("_", "base", F.col("rank").cast("string"))
+    now = ws.table(
+        ranked.withColumn("given", F.col("rank") > 1)
+        .withColumn("sym", F.when(F.col("given"), suffixed).otherwise(F.col("base"))).select(*keep),
+        "symbols",
     )
+    while not now.groupBy("artifact_id", "sym").count().where("count > 1").isEmpty():
+        ranked = grouped_rank(now, ["artifact_id", "sym"], ["given", "is_property", "iri"], ws)
+        again = F.col("rank") > 1
+        now = ws.table(
+            ranked.withColumn("given", F.col("given") | again)
+            .withColumn("sym", F.when(again, F.concat_ws("_", "sym", F.col("rank").cast("string"))).otherwise(F.col("sym")))
+            .select(*keep),
+            "symbols",
+        )
+    return now.drop("given")
 
 
 def build_theory(triples: DataFrame, upper: Upper, ws: Workspace) -> Theory:
@@ -306,10 +314,12 @@ def empty_classes(theory: Theory, upper: Upper, ws: Workspace) -> DataFrame:
     )
 
 
-def tested_classes(verdicts: DataFrame, limit: int = CLASSES_TESTED) -> DataFrame:
-    """First ``limit`` classes per artifact by lower-cased label, ties by IRI."""
+def tested_classes(verdicts: DataFrame, limit: int | None = None, ws: Workspace | None = None) -> DataFrame:
+    """Every class, or the first ``limit`` per artifact by lower-cased label, ties by IRI."""
+    if limit is None:
+        return verdicts
     keyed = verdicts.withColumn("key", F.lower("label"))
-    return first_per_group(keyed, ["artifact_id"], ["key", "iri"], limit).drop("key")
+    return first_per_group(keyed, ["artifact_id"], ["key", "iri"], limit, ws or Workspace(verdicts.sparkSession)).drop("key")
 
 
 def divergence(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -325,8 +335,9 @@ def divergence(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def cross_check(verdicts: DataFrame, reasoner: DataFrame, limit: int = CLASSES_TESTED) -> DataFrame:
-    """Agreement per artifact; NULL when more classes exist than were tested."""
+def cross_check(verdicts: DataFrame, reasoner: DataFrame, limit: int | None = None) -> DataFrame:
+    """Agreement per artifact over all classes; with ``limit``, NULL where more exist than were tested."""
+    capped = F.lit(False) if limit is None else F.col("candidates") > limit
     totals = verdicts.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("candidates"))
     tested = tested_classes(verdicts, limit)
     prover = tested.where("verdict = 'unsatisfiable'").select("artifact_id", F.col("label").alias("name"))
@@ -339,8 +350,8 @@ def cross_check(verdicts: DataFrame, reasoner: DataFrame, limit: int = CLASSES_T
     zero = F.lit(0).cast("bigint")
     out = totals.join(sides, "artifact_id", "left").select(
         "artifact_id",
-        F.least(F.col("candidates"), F.lit(limit)).cast("bigint").alias("tested"),
-        (F.col("candidates") > limit).alias("capped"),
+        F.when(capped, F.lit(limit)).otherwise(F.col("candidates")).cast("bigint").alias("tested"),
+        capped.alias("capped"),
         *[
             F.coalesce(c, zero).alias(c)
             for c in ("prover_unsatisfiable", "reasoner_unsatisfiable", "only_prover", "only_reasoner")

@@ -30,7 +30,6 @@ from quercus.plans.starmap import CONTAINS, EX, PLACED_BY, corpus, load, read
 from quercus.sources import common_logic as CL
 from quercus.sources import formats as FM
 from quercus.sources import ntriples as NT
-from quercus.sources import rdf_files as RF
 from quercus.sources import relational as RL
 from quercus.sources.kernel import ANCHORS, KERNEL_NS, builtin_kernel
 from quercus.sources.upper import builtin_upper, vocabulary_rows
@@ -133,46 +132,6 @@ def s1_text(spark, d):
     return triples.select("artifact_id", "o", "o_lang")
 
 
-XML_HEAD = f'<rdf:RDF xmlns:rdf="{S.RDF}" xmlns:rdfs="{S.RDFS}" xmlns:owl="{S.OWL}">'
-
-
-@query("S2_rdfxml_files", "SELECT 'part-' || p_partkey AS artifact_id, p, o FROM (SELECT p_partkey, "
-       f"unnest([{q(S.TYPE)}, {q(S.LABEL)}, {q(S.SUBCLASS)}, {q(S.TYPE)}, {q(S.FIRST)}, {q(S.FIRST)}]) AS p, "
-       f"unnest([{q(S.CLASS)}, p_name, {q(EX)} || p_type, {q(S.RESTRICTION)}, {q(EX)} || p_brand, {q(EX)} || p_type]) AS o FROM part)")
-def s2(spark, d):
-    doc = F.concat(
-        F.lit(f'<?xml version="1.0"?>{XML_HEAD}<owl:Class rdf:about="{EX}P'), "p_partkey",
-        F.lit('"><rdfs:label>'), "p_name", F.lit(f'</rdfs:label><rdfs:subClassOf rdf:resource="{EX}'), "p_type",
-        F.lit('"/><rdfs:subClassOf><owl:Restriction/></rdfs:subClassOf>'
-              f'<owl:unionOf rdf:parseType="Collection"><rdf:Description rdf:about="{EX}'), "p_brand",
-        F.lit(f'"/><rdf:Description rdf:about="{EX}'), "p_type", F.lit('"/></owl:unionOf></owl:Class></rdf:RDF>'),
-    )
-    files = read(spark, d, "part").select(
-        F.concat(F.lit("part-"), "p_partkey").alias("artifact_id"), doc.cast("binary").alias("content"),
-        FM.candidate_formats(F.lit("owl")).alias("formats"),
-    )
-    triples, _ = RF.split_errors(RF.parse_files(files))
-    named = (F.col("o_kind") != "bnode") & ~F.col("p").isin(S.REST)
-    return triples.where(named).select("artifact_id", "p", "o")
-
-
-@query("S2_turtle_files", "SELECT 'c-' || c_custkey AS artifact_id, p, o FROM (SELECT c_custkey, "
-       f"unnest([{q(S.TYPE)}, {q(S.LABEL)}, {q(EX + 'balance')}, {q(EX + 'nation')}]) AS p, "
-       f"unnest([{q(EX)} || c_mktsegment, c_name, CAST(c_custkey AS VARCHAR), CAST(c_nationkey AS VARCHAR)]) AS o FROM customer)")
-def s2_turtle(spark, d):
-    doc = F.concat(
-        F.lit(f"@prefix ex: <{EX}> .\n@prefix rdfs: <{S.RDFS}> .\n# one customer\nex:C"), "c_custkey",
-        F.lit(" a ex:"), "c_mktsegment", F.lit(' ;\n rdfs:label "'), "c_name", F.lit('"@en ;\n ex:balance '),
-        "c_custkey", F.lit(" ; ex:home [ ex:nation "), "c_nationkey", F.lit(" ] .\n"),
-    )
-    files = read(spark, d, "customer").select(
-        F.concat(F.lit("c-"), "c_custkey").alias("artifact_id"), doc.cast("binary").alias("content"),
-        FM.candidate_formats(F.lit("ttl")).alias("formats"),
-    )
-    triples, _ = RF.split_errors(RF.parse_files(files))
-    return triples.where("o_kind <> 'bnode'").select("artifact_id", "p", "o")
-
-
 FILE_NAME = "p_name || CASE p_type WHEN 'ECONOMY' THEN '.ttl' WHEN 'SMALL' THEN '.OWL' WHEN 'MEDIUM' THEN '.nt' WHEN 'PROMO' THEN '.txt' WHEN 'LARGE' THEN '.jsonld' ELSE '' END"
 
 
@@ -448,7 +407,7 @@ def j9(spark, d):
 
 
 @query("W4_orphan_findings", sql(f"SELECT artifact_id, 'B' AS stage, 'E_ORPHAN' AS code, '''' || {short('cls')} || ''' does not reach any BFO upper category via subClassOf*.' AS message, "
-       f"cls AS iri, 'add subClassOf to the BFO category that fits ' || {short('cls')} AS suggested_rewrite FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY cls) AS rn FROM {ORPHANS}) WHERE rn <= 50", "domain", "entry_k"))
+       f"cls AS iri, 'add subClassOf to the BFO category that fits ' || {short('cls')} AS suggested_rewrite FROM {ORPHANS}", "domain", "entry_k"))
 def w4(spark, d):
     return G.orphan_findings(j9(spark, d))
 
@@ -664,8 +623,8 @@ def w6(spark, d):
 
 
 D4_SQL = f"""SELECT artifact_id, 'D' AS stage, 'E_ANTIPATTERN' AS code, 'D4 - no AbsenceOf*/Lack*/Failure* named class (failure must be an instance): ' || cls AS message, cls AS iri, '' AS suggested_rewrite FROM
-  (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY cls) AS rn FROM (SELECT DISTINCT artifact_id, s AS cls FROM tbox WHERE p = {q(S.TYPE)} AND o = {q(S.CLASS)} AND s_kind = 'iri'
-  AND regexp_matches({short('s')}, {q(G.D4_NAMES)}))) WHERE rn <= 25"""
+  (SELECT DISTINCT artifact_id, s AS cls FROM tbox WHERE p = {q(S.TYPE)} AND o = {q(S.CLASS)} AND s_kind = 'iri'
+  AND regexp_matches({short('s')}, {q(G.D4_NAMES)}))"""
 
 
 @query("GD_W5_competency", sql(D4_SQL, "tbox"))
@@ -738,7 +697,7 @@ def grun(spark, d):
 
 FAILURES = f"""fails AS (SELECT artifact_id, stage, code, count(*) AS n FROM (
   SELECT artifact_id, stage, code FROM ({STRUCTURAL_SQL}) UNION ALL SELECT artifact_id, stage, code FROM ({ANCHOR_SQL}) UNION ALL SELECT artifact_id, stage, code FROM ({ANTI_SQL})
-  UNION ALL SELECT artifact_id, 'B', 'E_ORPHAN' FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY cls) AS rn FROM {ORPHANS}) WHERE rn <= 50
+  UNION ALL SELECT artifact_id, 'B', 'E_ORPHAN' FROM {ORPHANS}
   UNION ALL SELECT artifact_id, 'B', 'E_DISJOINT' FROM pairs_k JOIN domain USING (artifact_id, cls)
   UNION ALL SELECT artifact_id, 'B', 'E_MISTYPED' FROM ({ORACLES['J11_mistyped'][ORACLES['J11_mistyped'].index("SELECT c.artifact_id, 'B' AS stage"):]})
   UNION ALL SELECT artifact_id, stage, code FROM ({EMPTY_MSG}) UNION ALL SELECT artifact_id, stage, code FROM ({D4_SQL})) GROUP BY artifact_id, stage, code)"""
@@ -756,7 +715,7 @@ def a13(spark, d):
 
 
 @query("A14_suggested_rewrites", sql(f"SELECT artifact_id, iri AS key, suggested_rewrite AS rewrite FROM ({ANTI_SQL}) WHERE suggested_rewrite <> '' UNION ALL "
-       f"SELECT artifact_id, cls, 'add subClassOf to the BFO category that fits ' || {short('cls')} FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY cls) AS rn FROM {ORPHANS}) WHERE rn <= 50", "declared", "domain", "entry_k"))
+       f"SELECT artifact_id, cls, 'add subClassOf to the BFO category that fits ' || {short('cls')} FROM {ORPHANS}", "declared", "domain", "entry_k"))
 def a14(spark, d):
     return gate_run(spark, d).suggested_rewrites()
 
@@ -874,14 +833,15 @@ def j15(spark, d):
     return after.join(named(W.subclass_edges(t), "parent"), ["artifact_id", "name", "parent"], "left_anti")
 
 
-CAP = 40
+# The list of inferred axioms that a client is sent.
+CAP = 5000
 
 
 @query("W7_capped_inferences", sql(f"WITH inf AS ({INFERRED}) SELECT artifact_id, child, ancestor, total FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY child, ancestor) AS rn, count(*) OVER (PARTITION BY artifact_id) AS total FROM inf) WHERE rn <= {CAP}", "ruled_clo"))
 def w7(spark, d):
     ws = Workspace(spark)
     found = ws.table(M.inferred_subsumptions(tbox(spark, d), ws), "inferred")
-    top = RK.first_per_group(found, ["artifact_id"], ["child", "ancestor"], CAP).drop("rn")
+    top = RK.first_per_group(found, ["artifact_id"], ["child", "ancestor"], CAP, ws).drop("rn")
     return top.join(found.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("total")), "artifact_id").select("artifact_id", "child", "ancestor", "total")
 
 
@@ -1062,7 +1022,7 @@ def f10(spark, d):
     return verdicts(spark, d)
 
 
-TESTED = "tested AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY lower(label), iri) AS rn FROM verdicts) WHERE rn <= 60)"
+TESTED = "tested AS (SELECT * FROM verdicts)"
 
 
 @query("W8_tested_classes", sql(f"WITH {TH_CLASSES}, {HORN}, {TESTED} SELECT artifact_id, iri, verdict FROM tested", *TH_NEEDS))
@@ -1084,8 +1044,8 @@ def j18(spark, d):
     return TH.divergence(prover, reasoner_names(spark, d))
 
 
-@query("F11_cross_check", sql(f"WITH {TH_CLASSES}, {HORN}, {TESTED}, {SIDES} SELECT v.artifact_id, least(count(*), 60) AS tested, count(*) > 60 AS capped, coalesce(any_value(p), 0) AS prover_unsatisfiable, coalesce(any_value(r), 0) AS reasoner_unsatisfiable, coalesce(any_value(op), 0) AS only_prover, "
-       "coalesce(any_value(orr), 0) AS only_reasoner, CASE WHEN count(*) <= 60 THEN coalesce(any_value(op), 0) = 0 AND coalesce(any_value(orr), 0) = 0 END AS agree FROM verdicts v LEFT JOIN (SELECT artifact_id, count(*) FILTER (WHERE side <> 'only_reasoner') AS p, count(*) FILTER (WHERE side <> 'only_prover') AS r, "
+@query("F11_cross_check", sql(f"WITH {TH_CLASSES}, {HORN}, {TESTED}, {SIDES} SELECT v.artifact_id, count(*) AS tested, false AS capped, coalesce(any_value(p), 0) AS prover_unsatisfiable, coalesce(any_value(r), 0) AS reasoner_unsatisfiable, coalesce(any_value(op), 0) AS only_prover, "
+       "coalesce(any_value(orr), 0) AS only_reasoner, coalesce(any_value(op), 0) = 0 AND coalesce(any_value(orr), 0) = 0 AS agree FROM verdicts v LEFT JOIN (SELECT artifact_id, count(*) FILTER (WHERE side <> 'only_reasoner') AS p, count(*) FILTER (WHERE side <> 'only_prover') AS r, "
        "count(*) FILTER (WHERE side = 'only_prover') AS op, count(*) FILTER (WHERE side = 'only_reasoner') AS orr FROM sides GROUP BY artifact_id) USING (artifact_id) GROUP BY v.artifact_id", *TH_NEEDS, "empty"))
 def f11(spark, d):
     return TH.cross_check(verdicts(spark, d), reasoner_names(spark, d))
@@ -1239,10 +1199,8 @@ def e3(spark, d):
     return expressions(spark, d).select("expr_id", X.expand_quantifiers(F.col("expression")).alias("expanded"))
 
 
-P9_SQL = "trim(e)"
-for _p, _by in ((r"set\([^)]*\)\s*\.", " "), (r"formulas\([^)]*\)\s*\.", " "), (r"end_of_list\.", " "), (r"%[^\n]*", " "), (r"^\s+|\s+$", ""), (r"\.$", ""),
-                (r"\b(all|exists)\s+([A-Za-z]\w*)\s+", r"\1 \2."), (r"\b(all|exists)\s+([A-Za-z]\w*)\s*\(", r"\1 \2.("), (r"\s+", " ")):
-    P9_SQL = f"regexp_replace({P9_SQL}, {q(_p)}, {q(_by)}, 'g')"
+P9_SQL = r"""regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(e, '(set|formulas)\([^)]*\)\s*\.|end_of_list\.|%[^\n]*', ' ', 'g'), '\s+', ' ', 'g')), '\.$', ''),
+  '\b(all|exists) ([A-Za-z]\w*) ', '\1 \2.', 'g'), '\b(all|exists) ([A-Za-z]\w*)\(', '\1 \2.(', 'g')"""
 
 
 @query("E4_prover9_infix", f"SELECT expr_id, trim({P9_SQL}) AS infix FROM {FORMULAS_SQL}")
@@ -1502,13 +1460,16 @@ def j21(spark, d):
     return H.user_analyses(files(spark, d), analyses(spark, d)).select("id", "file_id", "user_id", "verdict", "filename")
 
 
-@query("S12_recent_reports", f"WITH {ANALYSES} SELECT 256 AS kept FROM an LIMIT 1")
+@query("S12_recent_reports", f"WITH {ANALYSES} SELECT id, file_id, verdict, 1::BIGINT AS found FROM an")
 def s12(spark, d):
+    """Every report of the history is found by its id."""
     from quercus.sources.sinks import append_reports, recent_reports
 
     out = Workspace(spark).path("report-history")
     append_reports(analyses(spark, d), out)
-    return recent_reports(spark.read.parquet(out)).agg(F.count(F.lit(1)).cast("int").alias("kept"))
+    history = spark.read.parquet(out)
+    found = recent_reports(history).groupBy("report_id").agg(F.count(F.lit(1)).alias("found"))
+    return history.join(found, "report_id").select("id", "file_id", "verdict", "found")
 
 
 # == streams ======================================================================================================

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ATOMS = "doc string, axiom_no bigint, predicate string, arity bigint"
+ATOMS = "doc string, axiom_no bigint, predicate string, arity bigint, error string"
 TOKEN = re.compile(r"""\s+|;;[^\n]*|(?P<t>[()]|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^\s()'"]+)""", re.S)
 # Heads that wrap axioms, that declare, and that combine formulas.
 WRAPPERS = {"cl:text", "cl:ttl", "cl:comment", "cl:module"}
@@ -68,17 +68,38 @@ def _atoms(doc: str, text: str):
         raise ValueError("unbalanced '('")
 
 
+def _rows(doc: str, text: str):
+    """The atoms of a document, or one row that says why it has none."""
+    try:
+        return [(*r, None) for r in _atoms(doc, text or "")]
+    except ValueError as exc:
+        return [(doc, None, None, None, str(exc))]
+
+
 def _flatten(batches):
     for batch in batches:
-        rows = [r for doc, text in zip(batch["doc"], batch["value"]) for r in _atoms(doc, text)]
-        yield pd.DataFrame(rows, columns=["doc", "axiom_no", "predicate", "arity"])
+        rows = [r for doc, text in zip(batch["doc"], batch["value"]) for r in _rows(doc, text)]
+        frame = pd.DataFrame(rows, columns=["doc", "axiom_no", "predicate", "arity", "error"], dtype=object)
+        yield frame.astype({"axiom_no": "Int64", "arity": "Int64"})
 
 
-def atoms(documents: DataFrame) -> DataFrame:
-    """``documents(doc, value)`` -> one row per predicate use."""
+def parse(documents: DataFrame) -> DataFrame:
+    """``documents(doc, value)`` -> one row per predicate use, or one with ``error`` for a broken document."""
     return documents.select("doc", "value").mapInPandas(_flatten, ATOMS)
 
 
+def atoms(documents: DataFrame) -> DataFrame:
+    """``documents(doc, value)`` -> one row per predicate use of the documents that parse."""
+    return parse(documents).where("error IS NULL").drop("error")
+
+
+def dead_letters(documents: DataFrame) -> DataFrame:
+    """(artifact_id, code, message) of the documents that do not parse."""
+    return parse(documents).where("error IS NOT NULL").select(
+        F.col("doc").alias("artifact_id"), F.lit("E_PARSE").alias("code"), F.col("error").alias("message")
+    )
+
+
 def read_common_logic(spark: SparkSession, path: str) -> DataFrame:
     texts = spark.read.text(path, wholetext=True)
     return atoms(texts.select(F.col("_metadata.file_name").alias("doc"), "value"))
@@ -103,26 +124,60 @@ def arity_mismatches(inventory: DataFrame, signature: DataFrame) -> DataFrame:
     return inventory.join(declared, "predicate").where("arity <> declared").select("predicate", "arity", "declared")
 
 
-# Predicates of the BFO 2020 axiomatization by arity.
-SIGNATURE = {
-    1: "universal particular entity",
-    2: (
-        "temporal-part-of proper-temporal-part-of has-temporal-part has-proper-temporal-part "
-        "occurrent-part-of proper-occurrent-part-of has-occurrent-part has-proper-occurrent-part "
-        "precedes preceded-by occurs-in environs history-of has-history occupies-temporal-region "
-        "occupies-spatiotemporal-region temporally-projects-onto has-first-instant first-instant-of "
-        "has-last-instant last-instant-of exists-at specifically-depends-on "
-        "specifically-depended-on-by inheres-in bearer-of realizes has-realization"
-    ),
-    3: (
-        "instance-of continuant-part-of has-continuant-part proper-continuant-part-of "
-        "has-proper-continuant-part member-part-of has-member-part participates-in has-participant "
-        "located-in location-of occupies-spatial-region spatially-projects-onto "
-        "generically-depends-on concretizes is-concretized-by has-material-basis material-basis-of "
-        "is-carrier-of"
-    ),
-}
+# Predicates of the BFO 2020 axiomatization and their arities.
+SIGNATURE = [
+    ("universal", 1),
+    ("particular", 1),
+    ("entity", 1),
+    ("temporal-part-of", 2),
+    ("proper-temporal-part-of", 2),
+    ("has-temporal-part", 2),
+    ("has-proper-temporal-part", 2),
+    ("occurrent-part-of", 2),
+    ("proper-occurrent-part-of", 2),
+    ("has-occurrent-part", 2),
+    ("has-proper-occurrent-part", 2),
+    ("precedes", 2),
+    ("preceded-by", 2),
+    ("occurs-in", 2),
+    ("environs", 2),
+    ("history-of", 2),
+    ("has-history", 2),
+    ("occupies-temporal-region", 2),
+    ("occupies-spatiotemporal-region", 2),
+    ("temporally-projects-onto", 2),
+    ("has-first-instant", 2),
+    ("first-instant-of", 2),
+    ("has-last-instant", 2),
+    ("last-instant-of", 2),
+    ("exists-at", 2),
+    ("specifically-depends-on", 2),
+    ("specifically-depended-on-by", 2),
+    ("inheres-in", 2),
+    ("bearer-of", 2),
+    ("realizes", 2),
+    ("has-realization", 2),
+    ("instance-of", 3),
+    ("continuant-part-of", 3),
+    ("has-continuant-part", 3),
+    ("proper-continuant-part-of", 3),
+    ("has-proper-continuant-part", 3),
+    ("member-part-of", 3),
+    ("has-member-part", 3),
+    ("participates-in", 3),
+    ("has-participant", 3),
+    ("located-in", 3),
+    ("location-of", 3),
+    ("occupies-spatial-region", 3),
+    ("spatially-projects-onto", 3),
+    ("generically-depends-on", 3),
+    ("concretizes", 3),
+    ("is-concretized-by", 3),
+    ("has-material-basis", 3),
+    ("material-basis-of", 3),
+    ("is-carrier-of", 3),
+]
 
 
 def signature_rows():
-    return [(p, n) for n, names in SIGNATURE.items() for p in names.split()]
+    return list(SIGNATURE)

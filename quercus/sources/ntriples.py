@@ -72,10 +72,21 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return triples, errors
 
 
+def artifact_of_file() -> Column:
+    """The artifact of an input file: its ``artifact_id=`` folder where the writer made one, else the file's name.
+
+    Folder names escape special characters, and file paths escape the folder names once more.
+    """
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "/artifact_id=([^/]*)/", 1)
+    for _ in range(2):
+        folder = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+    return F.when(F.col("_metadata.file_path").contains("/artifact_id="), folder).otherwise(F.col("_metadata.file_name"))
+
+
 def read_ntriples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Every file under ``path`` is one artifact, named after the file."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("artifact_id"), "value")
-    return parse_lines(lines)
+    """Every file, or every ``artifact_id=`` folder of files, under ``path`` is one artifact."""
+    lines = spark.read.text(path)
+    return parse_lines(lines.select(artifact_of_file().alias("artifact_id"), "value"))
 
 
 def line_text() -> Column:

@@ -5,8 +5,6 @@ from pyspark.sql import functions as F
 
 from quercus.sources.ntriples import line_text
 
-REPORTS_KEPT = 256
-
 
 def write_ntriples(triples: DataFrame, path: str, mode: str = "overwrite") -> None:
     """N-Triples text, one folder per artifact; big artifacts get several files."""
@@ -32,13 +30,15 @@ def append_reports(reports: DataFrame, path: str) -> None:
     ).write.mode("append").parquet(path)
 
 
-def recent_reports(history: DataFrame, keep: int = REPORTS_KEPT) -> DataFrame:
-    """The newest reports; older ones are out of reach."""
-    return history.orderBy(F.col("inserted_at").desc(), F.col("report_id").desc()).limit(keep)
+def recent_reports(history: DataFrame, show: int | None = None) -> DataFrame:
+    """Reports, newest first; ``show`` limits a display."""
+    newest = history.orderBy(F.col("inserted_at").desc(), F.col("report_id").desc())
+    return newest if show is None else newest.limit(show)
 
 
-def report_by_id(history: DataFrame, report_id: str, keep: int = REPORTS_KEPT) -> DataFrame:
-    return recent_reports(history, keep).where(F.col("report_id") == report_id)
+def report_by_id(history: DataFrame, report_id: str) -> DataFrame:
+    """One report of the whole history."""
+    return history.where(F.col("report_id") == report_id)
 
 
 def append_analyses(analyses: DataFrame, path: str) -> None:

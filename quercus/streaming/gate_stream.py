@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quercus.plans.gate import check
-from quercus.sources.ntriples import parse_lines
+from quercus.sources.ntriples import artifact_of_file, parse_lines
+from quercus.workspace import Workspace
 
 
 def arriving_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -14,7 +15,7 @@ def arriving_lines(spark: SparkSession, path: str, files_per_batch: int = 1000)
     return (
         spark.readStream.option("maxFilesPerTrigger", files_per_batch)
         .text(path)
-        .select(F.col("_metadata.file_name").alias("artifact_id"), "value")
+        .select(artifact_of_file().alias("artifact_id"), "value")
     )
 
 
@@ -27,7 +28,8 @@ def gate_stream(lines: DataFrame, out: str, checkpoint: str, **options):
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         triples, errors = parse_lines(batch)
-        gate = check(triples.distinct(), **options)
+        triples = Workspace(batch.sparkSession).table(triples.distinct(), "arrived")  # parsed once, read by every stage
+        gate = check(triples, **options)
         for table, df in (("reports", gate.reports()), ("findings", gate.findings), ("errors", errors)):
             df.write.mode("overwrite").parquet(f"{out}/{table}/batch={batch_id}")
 

@@ -15,7 +15,7 @@ from quercus.operators.rules import (
 )
 from quercus.operators.walks import EDGE, closure
 from quercus.plans.gate import check
-from quercus.sources.kernel import Kernel, builtin_kernel, kernel_from_triples
+from quercus.sources.kernel import KERNEL_NS, Kernel, builtin_kernel, kernel_from_triples
 from quercus.workspace import Workspace
 
 
@@ -43,7 +43,7 @@ def test_bad_artifact(run):
     assert codes(run, "bad", "A") == {
         "E_NO_AXIOMS": 1, "E_FLAT": 2, "E_NO_BFO": 1, "E_BLOATED": 1, "E_ANTIPATTERN": 3,
     }
-    assert codes(run, "bad", "B") == {"E_ORPHAN": 50}
+    assert codes(run, "bad", "B") == {"E_ORPHAN": 203}
     assert codes(run, "bad", "C") == {"E_TRIVIAL": 1}
     kinds = run.findings.where("artifact_id = 'bad' AND code = 'E_ANTIPATTERN' AND stage = 'A'")
     assert kinds.where("message LIKE '%privation%'").count() == 3
@@ -101,11 +101,22 @@ def test_competency_sql_and_broken_check(graph, upper, ws):
     t = graph({"good": X.GOOD})
     g = GateInputs(t, counts(t), builtin_kernel(), upper, ws)
     checks = [
-        Competency("labels", "E_COMPETENCY", "no labels", f"SELECT artifact_id, s AS offender FROM triples WHERE p = '{S.LABEL}'"),
+        Competency("labels", "E_COMPETENCY", "no labels", f"SELECT artifact_id, s AS offender FROM {{triples}} WHERE p = '{S.LABEL}'"),
         Competency("broken", "E_COMPETENCY", "broken", "SELECT nothing FROM nowhere"),
+        Competency("late", "E_COMPETENCY", "late", "SELECT artifact_id, raise_error('no') AS offender FROM {triples}"),
+        Competency("under", "E_FLAT", "under", f"SELECT DISTINCT artifact_id, child AS offender FROM {{subclass_star}} WHERE ancestor = '{S.UPPER_PREFIX}0000040'"),
+        Competency("kernel", "E_BLOATED", "whole", f"SELECT DISTINCT artifact_id FROM {{triples}} WHERE s = '{KERNEL_NS}Norm'"),
     ]
     found, errors = competency_findings(g, checks)
-    assert found.count() == 8 and list(errors) == ["broken"]
+    n = {r["code"]: r["count"] for r in found.groupBy("code").count().collect()}
+    assert n["E_COMPETENCY"] == 8 and n["E_FLAT"] >= 2 and n["E_BLOATED"] == 1
+    assert sorted(errors) == ["broken", "late"]
+
+
+def test_every_orphan_is_a_finding(graph, upper, ws):
+    t = graph({"a": [(f"{X.EX}C{i}", S.TYPE, S.CLASS) for i in range(70)]})
+    g = GateInputs(t, counts(t), builtin_kernel(), upper, ws)
+    assert stage_b(g).where("code = 'E_ORPHAN'").count() == 70
 
 
 def test_lint_and_coherence(graph, upper, ws):
@@ -130,6 +141,30 @@ def test_unsatisfiable_by_filler_and_groups(graph, upper, ws):
     assert rows == {"C": "asserted", "D": "inherited", "E": "inherited"}
 
 
+def test_unsatisfiable_by_nested_fillers(graph, upper, ws):
+    ex, some = X.EX, S.owl("someValuesFrom")
+    t = graph({"a": [
+        (ex + "A", S.DISJOINT, ex + "B"), (ex + "X", S.SUBCLASS, ex + "A"), (ex + "X", S.SUBCLASS, ex + "B"),
+        (ex + "Y", S.EQUIVALENT, "_:i"), ("_:i", S.owl("intersectionOf"), "_:l0"), ("_:l0", S.FIRST, ex + "C"), ("_:l0", S.REST, "_:l1"),
+        ("_:l1", S.FIRST, "_:r"), ("_:l1", S.REST, S.NIL), ("_:r", some, ex + "X"),
+        (ex + "Z", S.SUBCLASS, "_:o"), ("_:o", some, "_:r"), (ex + "W", S.SUBCLASS, ex + "C"),
+    ]})
+    rows = {r["cls"][-1]: r["reason"] for r in unsatisfiable_classes(t, upper, ws).collect()}
+    assert rows == {"X": "asserted", "Y": "inherited", "Z": "inherited"}
+
+
+def test_restrictions_reach_a_fixpoint(graph, ws):
+    ex = X.EX
+    t = graph({"a": [
+        (ex + "p", S.TYPE, S.OBJECT_PROPERTY), (ex + "G0", S.SUBCLASS, ex + "G"), (ex + "i", ex + "p", ex + "j"), (ex + "h", ex + "p", ex + "i"),
+        (ex + "F", S.EQUIVALENT, "_:f"), ("_:f", S.owl("onProperty"), ex + "p"), ("_:f", S.owl("someValuesFrom"), ex + "G"),
+        (ex + "E", S.EQUIVALENT, "_:e"), ("_:e", S.owl("onProperty"), ex + "p"), ("_:e", S.owl("someValuesFrom"), ex + "F"),
+        (ex + "j", S.TYPE, ex + "G0"),
+    ]})
+    types = {(r["ind"].rsplit("/")[-1].rsplit("#")[-1], r["cls"].rsplit("/")[-1].rsplit("#")[-1]) for r in entailed_types(t, ws).collect()}
+    assert types == {("j", "G0"), ("j", "G"), ("i", "F"), ("h", "E")}
+
+
 def test_transitive_and_characteristic_rules(graph, upper, ws):
     ex = X.EX
     t = graph({"a": [

@@ -10,7 +10,6 @@ from quercus.operators.expressions import check_expressions
 from quercus.sources import common_logic as CL
 from quercus.sources import formats as FM
 from quercus.sources import ntriples as NT
-from quercus.sources import rdf_files as RF
 from quercus.sources import sinks
 
 
@@ -41,49 +40,6 @@ def test_very_long_literal(spark):
     assert errors.count() == 0 and len(triples.first()["o"]) == 150_000
 
 
-TURTLE = """@prefix ex: <http://x/> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
-ex:A a rdfs:Class ; rdfs:label "one"@en, 'two' ; ex:list ( ex:B 5 ) ; ex:has [ ex:n 1.5 ] . # end
-<http://x/B> ex:flag true ; ex:long \"\"\"a "quoted"
-line\"\"\" .
-"""
-XML = """<?xml version="1.0"?><rdf:RDF xml:base="http://x/o" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"
- xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#">
- <owl:Class rdf:about="#A"><rdfs:label xml:lang="en">a</rdfs:label><rdfs:subClassOf><owl:Restriction>
- <owl:onProperty rdf:resource="#p"/></owl:Restriction></rdfs:subClassOf></owl:Class>
- <owl:AllDisjointClasses><owl:members rdf:parseType="Collection"><rdf:Description rdf:about="#A"/>
- <rdf:Description rdf:about="#B"/></owl:members></owl:AllDisjointClasses></rdf:RDF>"""
-
-
-def parse(spark, name, content):
-    files = spark.createDataFrame([(name, content.encode())], "artifact_id string, content binary").withColumn(
-        "formats", FM.candidate_formats(N.extension(F.col("artifact_id"))))
-    return RF.split_errors(RF.parse_files(files))
-
-
-def test_turtle(spark):
-    triples, errors = parse(spark, "a.ttl", TURTLE)
-    rows = {(r["p"].rsplit("/")[-1], r["o"]) for r in triples.collect() if r["o_kind"] == "literal"}
-    assert errors.count() == 0
-    assert {("long", 'a "quoted"\nline'), ("flag", "true"), ("n", "1.5")} <= rows
-    assert triples.count() == 12
-
-
-def test_rdfxml(spark):
-    triples, errors = parse(spark, "a.owl", XML)
-    assert errors.count() == 0
-    named = {(r["s"], r["p"].rsplit("#")[-1], r["o"]) for r in triples.collect() if r["s_kind"] == "iri"}
-    assert ("http://x/o#A", "type", S.CLASS) in named
-    assert triples.where(F.col("p") == S.FIRST).count() == 2
-    assert triples.where(F.col("s").startswith("_:a.owl/")).count() > 0
-
-
-def test_dead_letters(spark):
-    for name, content in (("broken.owl", "<rdf:RDF><a:b/></rdf:RDF>"), ("x.ttl", "@prefix a: <b> . ...\n"), ("j.jsonld", "{}")):
-        triples, errors = parse(spark, name, content)
-        assert triples.count() == 0
-        assert "tried [" in errors.first()["message"]
-
-
 def test_sniffing(spark):
     texts = {
         "xml": "<?xml version='1.0'?>", "turtle": "# c\n@prefix a: <b> .", "nt": "<a> <b> <c> .\n# x", "json-ld": '{ "@context": 1\n}',
@@ -102,18 +58,28 @@ def test_common_logic(spark):
     assert [sum(n == k for _, n in CL.signature_rows()) for k in (1, 2, 3)] == [3, 28, 19]
 
 
+def test_broken_common_logic_is_a_row(spark):
+    docs = spark.createDataFrame([("good", "(p a)"), ("open", "(p (q"), ("shut", "p)"), ("none", None)], "doc string, value string")
+    assert [(r["doc"], r["predicate"]) for r in CL.atoms(docs).collect()] == [("good", "p")]
+    assert {(r["artifact_id"], r["code"]) for r in CL.dead_letters(docs).collect()} == {("open", "E_PARSE"), ("shut", "E_PARSE")}
+
+
 def test_sinks(spark, graph, tmp_path):
     t = graph({"a": [("http://x/s", S.LABEL, 'say "hi"\n'), ("_:b", S.TYPE, S.CLASS)], "b": [("http://x/s", S.TYPE, S.CLASS)]})
     out = str(tmp_path / "nt")
     sinks.write_ntriples(t, out)
-    back, errors = NT.parse_lines(spark.read.text(out))
+    back, errors = NT.read_ntriples(spark, out)
     assert errors.count() == 0 and back.count() == 3
+    assert {r["artifact_id"] for r in back.collect()} == {"a", "b"}
+    odd = graph({"1 a+b/ü=%": [("http://x/s", S.TYPE, S.CLASS)] * 1})
+    sinks.write_ntriples(odd, out + "2")
+    assert NT.read_ntriples(spark, out + "2")[0].first()["artifact_id"] == "1 a+b/ü=%"
     assert back.where("o_kind = 'literal'").first()["o"] == 'say "hi"\n'
     history = str(tmp_path / "history")
     rows = spark.range(300).withColumn("artifact_id", F.lit("a"))
     sinks.append_reports(rows, history)
     kept = sinks.recent_reports(spark.read.parquet(history))
-    assert kept.count() == 256
+    assert kept.count() == 300 and sinks.recent_reports(spark.read.parquet(history), 256).count() == 256
     one = kept.first()["report_id"]
     assert sinks.report_by_id(spark.read.parquet(history), one).count() == 1
     sinks.write_reports(spark.sql("SELECT 'a' AS artifact_id, map('A', 1) AS stages"), str(tmp_path / "json"))

@@ -65,3 +65,13 @@ def test_symbol_collisions(spark, ws):
 def test_lint_names(theory):
     assert theory.properties.count() == 0
     assert theory.classes.where(F.col("iri").startswith(UP)).count() == 2
+
+
+def test_no_two_symbols_are_alike(spark, ws):
+    labels = ["Red Car", "red_car", "red_car_2", "Red Car 2", "red_car_2_2", "RED-CAR", "red car 2"]
+    rows = [(a, f"http://x/{i}", n, False) for a in "ab" for i, n in enumerate(labels)] + [("a", "http://x/p", "red car", True)]
+    named = spark.createDataFrame(rows, "artifact_id string, iri string, label string, is_property boolean")
+    got = T.symbols(named, ws).collect()
+    assert len(got) == len(rows) == len({(r["artifact_id"], r["sym"]) for r in got})
+    first = {r["iri"]: r["sym"] for r in got if r["artifact_id"] == "a"}
+    assert first["http://x/0"] == "red_car" and first["http://x/2"] == "red_car_2"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quercus import schema as S
 from quercus.operators import walks as W
-from quercus.operators.disjointness import PAIRABLE_MEMBERS, asserted_pairs, disjoint_groups, long_groups
+from quercus.operators.disjointness import asserted_pairs, disjoint_groups, list_members
 from quercus.operators.ranking import grouped_rank
 from quercus.sources.upper import builtin_upper, upper_from_triples
 
@@ -94,12 +94,33 @@ def test_disjoint_lists(graph, ws):
             out += [(f"_:{name}{i}", S.FIRST, m), (f"_:{name}{i}", S.REST, rest)]
         return out
 
-    n = PAIRABLE_MEMBERS + 6
+    n = 90
     t = graph({"a": listing("s", [f"http://ex/{c}" for c in "abc"]) + listing("l", [f"http://ex/{i:03d}" for i in range(n)])})
     groups = disjoint_groups(t, ws)
     assert groups.count() == 3 + n
-    assert {(r["a"][-1], r["b"][-1]) for r in asserted_pairs(groups).collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
-    assert long_groups(groups).count() == n
+    pairs = {(r["a"], r["b"]) for r in asserted_pairs(groups).collect()}
+    assert {(a[-1], b[-1]) for a, b in pairs if len(a) < 12} == {("a", "b"), ("a", "c"), ("b", "c")}
+    assert len(pairs) == 3 + n * (n - 1) // 2
+
+
+def test_long_list_in_few_rounds(spark, ws):
+    n = 5000
+    cells = spark.range(n).selectExpr(
+        "'a' AS artifact_id", "concat('_:c', id) AS s", "'bnode' AS s_kind",
+        f"inline(array(struct('{S.FIRST}' AS p, concat('http://ex/', id) AS o, 'iri' AS o_kind), "
+        f"struct('{S.REST}' AS p, IF(id = {n - 1}, '{S.NIL}', concat('_:c', id + 1)) AS o, 'bnode' AS o_kind)))",
+    ).selectExpr("*", "CAST(NULL AS STRING) AS o_datatype", "CAST(NULL AS STRING) AS o_lang")
+    heads = spark.createDataFrame([("a", "x", "_:c0"), ("a", "tail", "_:c4990")], "artifact_id string, owner string, head string")
+    before = ws._n
+    found = list_members(cells, heads, ws).groupBy("owner").count().collect()
+    assert {r["owner"]: r["count"] for r in found} == {"x": n, "tail": 10}
+    assert ws._n - before <= 2 * 15
+
+
+def test_circular_list(spark, ws, graph):
+    t = graph({"a": [("_:0", S.FIRST, "http://x/0"), ("_:0", S.REST, "_:1"), ("_:1", S.FIRST, "http://x/1"), ("_:1", S.REST, "_:0")]})
+    heads = spark.createDataFrame([("a", "x", "_:1")], "artifact_id string, owner string, head string")
+    assert sorted(r["member"][-1] for r in list_members(t, heads, ws).collect()) == ["0", "1"]
 
 
 def test_grouped_rank_equals_window(spark, ws):
