@@ -14,7 +14,7 @@ and lower-casing normaliser; for any other file every piece, or text, takes the
 
 import json
 import os
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 from quercus.llm.words import chunks, column, ranges
 
 #: Words that a task keeps between chunks.
-KEPT_WORDS = 300_000
-CHUNK_BYTES = 12 << 20
+KEPT_WORDS = 250_000
+CHUNK_BYTES = 8 << 20
 #: Marks that are neither letters, digits, white space, apostrophes nor part of an added token's name.
 MARKS = ".,!?;:%$&*#"
 #: Anything but ASCII and the composed Latin letters up to U+01FF, on which lower-casing is one to one (U+0130 is not).
@@ -44,6 +44,15 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in prints else next(rest)) for b in range(256)]
 
 
+def _described(part) -> str:
+    """The JSON of a tokenizer's component."""
+    return json.dumps(json.loads(part.__getstate__())) if part is not None else ""
+
+
+def _packed(ids) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class Encoder:
     """Encodes arrays of texts; one per task."""
 
@@ -54,21 +63,19 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         if plain_specials:
             self.tokenizer.encode_special_tokens = True
-        with open(vocabulary, encoding="utf-8") as f:
-            parts = json.load(f)
-        steps = json.dumps(parts.get("pre_tokenizer") or {})
+        steps, norm = (_described(x) for x in (self.tokenizer.pre_tokenizer, self.tokenizer.normalizer))
         self.by_piece = '"invert": true' in steps and "\\\\s" in steps and '"ByteLevel"' in steps
-        self.by_word = self.by_piece and '"Lowercase"' in json.dumps(parts.get("normalizer") or {})
+        self.by_word = self.by_piece and '"Lowercase"' in norm
         self.spelling = dict(enumerate(_byte_letters()))
         self.words, self.tails = {}, {}
 
     def _whole(self, texts: list[str]) -> list:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: str):
+    def _word(self, word: str) -> bytes:
         """Ids of a lower-case word of Latin letters; bytes beyond ASCII stand under their letters."""
         spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.spelling)
-        return [t.id for t in self.tokenizer.model.tokenize(spelled)]
+        return _packed([t.id for t in self.tokenizer.model.tokenize(spelled)])
 
     def _known(self, kept: dict, names: list[str], ids_of) -> list:
         if len(kept) > KEPT_WORDS:
@@ -100,8 +107,8 @@ class Encoder:
             rest = np.flatnonzero(~is_plain)
             first[rest] = len(units) + np.arange(len(rest))
             units = units + self._whole(pieces.take(pa.array(rest)).to_pylist())
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        flat = np.fromiter(chain.from_iterable(units), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        flat = np.frombuffer(b"".join(units), np.uint32)
         starts, sizes = np.append(np.cumsum(sizes) - sizes, 0), np.append(sizes, 0)  # unit -1 is empty
         pair = np.stack((first, second), 1).ravel()
         return flat[ranges(starts[pair], sizes[pair])], sizes[first] + sizes[second]
