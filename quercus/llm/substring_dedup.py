@@ -53,7 +53,7 @@ SLOT_BITS = 23
 #: Words used more often in a task's input are numbered first.
 FREQUENT = 12
 #: Text bytes per shard of the corpus.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 11 << 20
 #: Text bytes that a task looks at together.
 MAP_BYTES = 14 << 20
 
@@ -94,7 +94,7 @@ def _segments(words):
 
 
 def _pack(arrays: dict) -> bytes:
-    return zstandard.compress(pickle.dumps(arrays, 5), 1)
+    return zstandard.compress(pickle.dumps(arrays, 5), 3)
 
 
 def _strings(array: pa.Array):
