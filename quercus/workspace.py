@@ -2,9 +2,11 @@
 
 A written table survives lost executors, has exact size statistics (so the
 planner's broadcast decisions rest on real bytes) and can be read back by any
-later job.  The folder is the one the cluster names in ``spark.checkpoint.dir``.
+later job.  The folder is the one the cluster names in ``spark.checkpoint.dir``; a run's own
+sub-folder is removed when the driver ends.
 """
 
+import atexit
 import tempfile
 import uuid
 
@@ -30,6 +32,14 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/quercus-{uuid.uuid4().hex}"
         self._n = 0
+        atexit.register(self.remove)
+
+    def remove(self) -> None:
+        """Delete the run's tables; frames that read them are of no use any more."""
+        atexit.unregister(self.remove)
+        if self._n and self.spark.sparkContext._jsc is not None:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def path(self, name: str) -> str:
         self._n += 1

@@ -132,3 +132,12 @@ def test_grouped_rank_equals_window(spark, ws):
     expected = df.withColumn("rank", F.row_number().over(w).cast("bigint"))
     assert ranked.select("g", "x", "i", "rank").exceptAll(expected).count() == 0
     assert ranked.count() == 4000
+
+
+def test_a_workspace_goes_when_told(spark):
+    ws = W.Workspace(spark)
+    table = ws.table(spark.range(3), "x")
+    assert table.count() == 3
+    ws.remove()
+    path = spark._jvm.org.apache.hadoop.fs.Path(ws.root)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
