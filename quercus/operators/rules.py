@@ -424,15 +424,46 @@ def coherence(artifacts: DataFrame, unsat: DataFrame, inconsistent: DataFrame) -
     )
 
 
-def derivations(inferred: DataFrame) -> DataFrame:
-    """A derivation row per inferred subsumption."""
-    c, a = local_name(F.col("child")), local_name(F.col("ancestor"))
-    return inferred.select(
-        "artifact_id",
-        F.lit("SubClassOf").alias("axiom_type"),
-        F.concat(c, F.lit(" ⊑ "), a).alias("description"),
-        F.lit("scm-sco").alias("rule"),
-        F.lit("rules").alias("origin"),
-        "child",
-        "ancestor",
+def inferred_equivalences(triples: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """(artifact_id, child, ancestor), child < ancestor: classes that subsume each other without saying so."""
+    back = hierarchy.select("artifact_id", F.col("ancestor").alias("child"), F.col("child").alias("ancestor"))
+    key = ["artifact_id", "child", "ancestor"]
+    said = triples.where((F.col("p") == S.EQUIVALENT) & (F.col("s_kind") == "iri") & (F.col("o_kind") == "iri")).select(
+        "artifact_id", F.least("s", "o").alias("child"), F.greatest("s", "o").alias("ancestor")
     )
+    return hierarchy.where("child < ancestor").join(back, key, "left_semi").join(said, key, "left_anti").select(*key)
+
+
+def derivations(inferred: DataFrame, equivalences: DataFrame, ruled: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """A derivation row per inferred axiom, with the rule of its last step and the facts that step rests on.
+
+    ``ruled(artifact_id, child, parent, rule)`` are the rule edges, ``hierarchy`` their closure.
+    Of several last steps the one over the smallest IRI is told.
+    """
+    name = {k: local_name(F.col(k)) for k in ("child", "ancestor", "via")}
+    steps = ruled.select("artifact_id", F.col("child").alias("via"), F.col("parent").alias("ancestor"), "rule")
+    loops = steps.select("artifact_id", F.col("via").alias("child"), "via").distinct()
+    reached = hierarchy.select("artifact_id", "child", F.col("ancestor").alias("via")).union(loops).distinct()
+    last = (
+        reached.join(steps, ["artifact_id", "via"])
+        .groupBy("artifact_id", "child", "ancestor")
+        .agg(F.min(F.struct("via", "rule")).alias("last"))
+    )
+    told = inferred.join(last, ["artifact_id", "child", "ancestor"], "left").select(
+        "artifact_id", "child", "ancestor", F.col("last.via").alias("via"), F.col("last.rule").alias("rule")
+    )
+    step = F.concat(name["via"], F.lit(" ⊑ "), name["ancestor"])
+    through = F.concat(name["child"], F.lit(" ⊑ "), name["via"], F.lit("; "))
+    subsumed = told.select(
+        "artifact_id", F.lit("SubClassOf").alias("axiom_type"),
+        F.concat(name["child"], F.lit(" ⊑ "), name["ancestor"]).alias("description"), "rule",
+        F.concat(F.when(F.col("via") != F.col("child"), through).otherwise(""), step).alias("supporting_facts"),
+        F.lit("rules").alias("origin"), "child", "ancestor",
+    )
+    both = F.concat(name["child"], F.lit(" ⊑ "), name["ancestor"], F.lit("; "), name["ancestor"], F.lit(" ⊑ "), name["child"])
+    equal = equivalences.select(
+        "artifact_id", F.lit("EquivalentClass").alias("axiom_type"),
+        F.concat(name["child"], F.lit(" ≡ "), name["ancestor"]).alias("description"), F.lit("scm-eqc2").alias("rule"),
+        both.alias("supporting_facts"), F.lit("rules").alias("origin"), "child", "ancestor",
+    )
+    return subsumed.union(equal)

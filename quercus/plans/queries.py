@@ -817,9 +817,23 @@ INFERRED = (f"SELECT artifact_id, child, ancestor FROM ruled_clo r WHERE child <
             "AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.artifact_id = r.artifact_id AND e.child = r.child AND e.parent = r.ancestor)")
 
 
-@query("J14_M6_inferred_axioms", sql(f"SELECT artifact_id, 'SubClassOf' AS axiom_type, {local('child')} || ' ⊑ ' || {local('ancestor')} AS description, 'scm-sco' AS rule, 'rules' AS origin, child, ancestor FROM ({INFERRED})", "ruled_clo"))
+DERIVED = f"""inf AS ({INFERRED}), rr AS (SELECT artifact_id, child, parent, min(rule) AS rule FROM (SELECT artifact_id, child, parent, 'scm-sco' AS rule FROM edges
+    UNION ALL SELECT artifact_id, s, o, 'scm-eqc' FROM tbox WHERE p = {q(S.EQUIVALENT)} AND o_kind = 'iri' UNION ALL SELECT artifact_id, o, s, 'scm-eqc' FROM tbox WHERE p = {q(S.EQUIVALENT)} AND o_kind = 'iri') GROUP BY artifact_id, child, parent),
+  last AS (SELECT c.artifact_id, c.child, r.parent AS ancestor, min(r.child) AS via, arg_min(r.rule, r.child) AS rule FROM (SELECT artifact_id, child, ancestor FROM ruled_clo UNION SELECT artifact_id, child, child FROM rr) c
+    JOIN rr r ON r.artifact_id = c.artifact_id AND r.child = c.ancestor GROUP BY c.artifact_id, c.child, r.parent)"""
+
+
+@query("J14_M6_inferred_axioms", sql(f"WITH {DERIVED} SELECT i.artifact_id, 'SubClassOf' AS axiom_type, {local('i.child')} || ' ⊑ ' || {local('i.ancestor')} AS description, l.rule, "
+       f"CASE WHEN l.via <> i.child THEN {local('i.child')} || ' ⊑ ' || {local('l.via')} || '; ' ELSE '' END || {local('l.via')} || ' ⊑ ' || {local('i.ancestor')} AS supporting_facts, 'rules' AS origin, i.child, i.ancestor "
+       "FROM inf i JOIN last l ON l.artifact_id = i.artifact_id AND l.child = i.child AND l.ancestor = i.ancestor "
+       f"UNION ALL SELECT c.artifact_id, 'EquivalentClass', {local('c.child')} || ' ≡ ' || {local('c.ancestor')}, 'scm-eqc2', {local('c.child')} || ' ⊑ ' || {local('c.ancestor')} || '; ' || {local('c.ancestor')} || ' ⊑ ' || {local('c.child')}, 'rules', c.child, c.ancestor "
+       "FROM ruled_clo c JOIN ruled_clo b ON b.artifact_id = c.artifact_id AND b.child = c.ancestor AND b.ancestor = c.child WHERE c.child < c.ancestor AND NOT EXISTS "
+       f"(SELECT 1 FROM tbox t WHERE t.artifact_id = c.artifact_id AND t.p = {q(S.EQUIVALENT)} AND least(t.s, t.o) = c.child AND greatest(t.s, t.o) = c.ancestor)", "ruled_clo"))
 def j14(spark, d):
-    return M.derivations(M.inferred_subsumptions(tbox(spark, d), Workspace(spark)))
+    ws, t = Workspace(spark), tbox(spark, d)
+    ruled = ws.table(M.rule_edges(t, ws), "ruled")
+    hierarchy = ws.table(W.closure(ruled.select(*W.EDGE), ws).where("child <> ancestor"), "hierarchy")
+    return M.derivations(M.inferred_subsumptions(t, ws, hierarchy), M.inferred_equivalences(t, hierarchy), ruled, hierarchy)
 
 
 @query("J15_hierarchy_diff", sql(f"SELECT DISTINCT artifact_id, {local('child')} AS name, {local('ancestor')} AS parent FROM ruled_clo r WHERE child <> ancestor AND NOT EXISTS "

@@ -11,7 +11,8 @@ from quercus.operators.gate import (
 )
 from quercus.operators.lint import straddle_lint
 from quercus.operators.rules import (
-    coherence, entailed_assertions, entailed_types, inconsistent_individuals, rule_edges, unsatisfiable_classes,
+    coherence, derivations, entailed_assertions, entailed_types, inconsistent_individuals, inferred_equivalences,
+    inferred_subsumptions, rule_edges, unsatisfiable_classes,
 )
 from quercus.operators.walks import EDGE, closure
 from quercus.plans.gate import check
@@ -197,6 +198,21 @@ def test_class_expression_rules(graph, ws):
     }
 
 
+def test_derivations_tell_their_last_step(graph, ws):
+    ex = X.EX
+    t = graph({"a": [
+        (ex + "A", S.SUBCLASS, ex + "B"), (ex + "B", S.SUBCLASS, ex + "C"), (ex + "P", S.EQUIVALENT, ex + "Q"), (ex + "Q", S.EQUIVALENT, ex + "R"),
+    ]})
+    ruled = ws.table(rule_edges(t, ws), "ruled")
+    up = closure(ruled.select("artifact_id", "child", "parent"), ws).where("child <> ancestor")
+    rows = derivations(inferred_subsumptions(t, ws, up), inferred_equivalences(t, up), ruled, up).collect()
+    facts = {(r["axiom_type"], r["description"]): (r["rule"], r["supporting_facts"]) for r in rows}
+    assert facts["SubClassOf", "A ⊑ C"] == ("scm-sco", "A ⊑ B; B ⊑ C")
+    assert facts["SubClassOf", "P ⊑ Q"] == ("scm-eqc", "P ⊑ Q")
+    assert facts["SubClassOf", "P ⊑ R"] == ("scm-eqc", "P ⊑ Q; Q ⊑ R")
+    assert [k[1] for k in facts if k[0] == "EquivalentClass"] == ["P ≡ R"]
+
+
 def test_individual_rules(graph, ws):
     ex = X.EX
     prop = lambda *names: [(ex + n, S.TYPE, S.OBJECT_PROPERTY) for n in names]

@@ -41,9 +41,14 @@ def test_filters_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(p)" in text and "o_lang" not in text.split("ReadSchema")[1].split("\n")[0]
 
 
-def test_first_n_is_limited_before_the_shuffle(spark):
-    for name in ("W4_orphan_findings", "GD_W5_competency", "W7_capped_inferences"):
-        assert "WindowGroupLimit" in plan_of(Q.QUERIES[name](spark, SMALL))
+def test_findings_gather_no_artifact_in_a_task(spark):
+    for name in ("W4_orphan_findings", "GD_W5_competency"):
+        assert "Window" not in plan_of(Q.QUERIES[name](spark, SMALL))
+
+
+def test_first_n_is_ranked_in_slices(spark):
+    windows = [x for x in plan_of(Q.QUERIES["W7_capped_inferences"](spark, SMALL)).split("\n") if "row_number" in x and "Window" in x]
+    assert windows and all("_slice" in x for x in windows)
 
 
 def test_newest_rows_need_no_full_sort(spark):
