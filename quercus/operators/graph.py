@@ -115,17 +115,17 @@ def quality_violations(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     wrong = tied.where(suggests("immaterial", dst))
     by_edge = _violation(
         wrong.where(suggests("quality", src)), rule, "edge", src, rel, dst,
-        f("Quality '%s' cannot point to ImmaterialEntity '%s' - qualities must be associated with MaterialEntities", src, dst),
+        f("'%s' reads as a quality and '%s' as immaterial; a quality needs a material bearer", src, dst),
     )
     by_property = _violation(
         tied.where((F.lower(src) == "inheres_in") & F.lower(dst).isin("immaterialentity", "voidspace")),
         rule, "property", F.lit("inheres_in property"), rel, dst,
-        f("The 'inheres_in' property cannot have range '%s' - it should point to MaterialEntity", dst),
+        f("inheres_in leads to '%s', which is nothing material", dst),
     )
     quality_nodes = node_rows.select("artifact_id", path_name(F.col("name")).alias("src")).where(suggests("quality", src))
     by_node = _violation(
         wrong.join(quality_nodes, ["artifact_id", "src"]), rule, "node", src, rel, dst,
-        f("Quality instance '%s' violates BFO constraint by relating to ImmaterialEntity '%s'", src, dst),
+        f("the node '%s' reads as a quality and is tied to the immaterial '%s'", src, dst),
     )
     return by_edge.union(by_property).union(by_node)
 
@@ -139,14 +139,14 @@ def _bearing(edge_rows, relations, subject, allowed, rule, prop, text):
 def role_violations(edge_rows: DataFrame) -> DataFrame:
     return _bearing(
         edge_rows, ["borne_by", "has_bearer"], "role", "independent", "role_borne_independent", "borne_by",
-        "Role '%s' should be borne by an IndependentContinuant, not '%s'",
+        "'%s' reads as a role, and its bearer '%s' is no independent continuant",
     )
 
 
 def disposition_violations(edge_rows: DataFrame) -> DataFrame:
     return _bearing(
         edge_rows, ["realizes", "realized_in"], "disposition", "process", "disposition_realizes_process", "realized_in",
-        "Disposition '%s' should be realized in a Process, not '%s'",
+        "'%s' reads as a disposition, and '%s', where it is realised, is no process",
     )
 
 
@@ -157,7 +157,7 @@ def disjoint_name_violations(node_rows: DataFrame) -> DataFrame:
     def clash(a: str, b: str) -> Column:
         return F.when(
             suggests_class(a, name) & suggests_class(b, name),
-            F.format_string(f"Entity '%s' cannot be both {a} and {b} (disjoint classes)", name),
+            F.format_string(f"'%s' reads as {a} and as {b}, which exclude each other", name),
         )
 
     texts = F.filter(F.array(*[clash(a, b) for a, b in DISJOINT_NAMES]), lambda t: t.isNotNull())
@@ -172,7 +172,7 @@ def instance_violations(triples: DataFrame) -> DataFrame:
     bad = assertions(triples).where(
         (path_name(F.col("p")) == "inheres_in") & suggests("quality", src) & suggests("immaterial", dst)
     )
-    text = "Instance violation: Quality '%s' cannot inhere in ImmaterialEntity '%s' - violates BFO constraint"
+    text = "the individual '%s' reads as a quality and inheres in the immaterial '%s'"
     return _violation(
         bad, "quality_inheres_material_instance", "instance", src, F.lit("inheres_in"), dst,
         F.format_string(text, src, dst),

@@ -164,23 +164,23 @@ TEMPLATES = {
 }
 FRAME = {
     "prover9": {
-        "head": ["% FOL export of an OWL ontology for Prover9 / Mace4.", None, "set(prolog_style_variables).", "", "formulas(assumptions)."],
-        "note": "% Continuants: instance_of(x, C, t)   Occurrents: instance_of_at(x, O)",
-        "aligned": "% Aligned to the BFO background: all instantiation is ternary instance_of(x, C, t).",
-        "sub": "  % --- Subsumptions (SubClassOf) ---",
-        "dis": "  % --- Disjointness ---",
+        "head": ["% The artifact's classes as a first-order theory; input for a prover or a model finder.", None, "set(prolog_style_variables).", "", "formulas(assumptions)."],
+        "note": "% Membership has a time, instance_of(x, C, t), but for occurrents: instance_of_at(x, C).",
+        "aligned": "% Membership has a time throughout: instance_of(x, C, t).",
+        "sub": "  % what falls under what",
+        "dis": "  % what excludes what",
         "tail": "end_of_list.",
     },
     "clif": {
-        "head": [";; FOL export of an OWL ontology in Common Logic Interchange Format.", None, "(cl-text ontology-export"],
-        "note": ";; Continuants: (instance_of x C t)   Occurrents: (instance_of_at x O)",
-        "aligned": ";; Aligned to the BFO background: all instantiation is ternary (instance_of x C t).",
-        "sub": "  ;; --- Subsumptions (SubClassOf) ---",
-        "dis": "  ;; --- Disjointness ---",
+        "head": [";; The artifact's classes as a first-order theory in Common Logic.", None, "(cl-text ontology-export"],
+        "note": ";; Membership has a time, (instance_of x C t), but for occurrents: (instance_of_at x C).",
+        "aligned": ";; Membership has a time throughout: (instance_of x C t).",
+        "sub": "  ;; what falls under what",
+        "dis": "  ;; what excludes what",
         "tail": ")",
     },
 }
-MISMATCH = "  % NOTE category mismatch between sub and super"
+MISMATCH = "  % the two differ in kind"
 
 
 def _with_class(df: DataFrame, classes: DataFrame, key: str, tag: str) -> DataFrame:
