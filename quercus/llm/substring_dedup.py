@@ -173,11 +173,11 @@ def _route(table: pa.Table, shards: int):
     shard = (mixed(anchor[sent]) % np.uint64(shards)).astype(np.int64)
     by = np.argsort(shard, kind="stable")
     sent, shard = sent[by], shard[by]
-    bounds = np.searchsorted(shard, np.arange(shards + 1))
     via = (doc[decided] * 2654435761 >> 7) % shards  # decided spans ride along, evenly dealt
     ride = np.argsort(via, kind="stable")
     decided, via = decided[ride], via[ride]
-    rides = np.searchsorted(via, np.arange(shards + 1))
+    present = np.union1d(shard, via)  # of very many shards a task's input meets a few
+    bounds, rides = (np.append(np.searchsorted(x, present), len(x)) for x in (shard, via))
     # a shard's words: frequent ones first, in order of appearance, then the others by spelling, which compresses well
     uses = np.bincount(words.codes, minlength=len(words.vocab))
     spelled = np.zeros(len(words.vocab), np.int64)
@@ -185,14 +185,15 @@ def _route(table: pa.Table, shards: int):
     place = np.where(uses > FREQUENT, np.arange(len(words.vocab)), len(words.vocab) + spelled)
     remap = np.zeros(len(words.vocab), np.int64)
     names, blobs = [], []
-    for s in range(shards):
-        mine, aside = sent[bounds[s] : bounds[s + 1]], decided[rides[s] : rides[s + 1]]
-        if not len(mine) and not len(aside):
-            continue
+    for k, s in enumerate(present.tolist()):
+        mine, aside = sent[bounds[k] : bounds[k + 1]], decided[rides[k] : rides[k + 1]]
         codes = words.codes[ranges(first[mine], count[mine] + WINDOW - 1)]
-        used = np.zeros(len(words.vocab), bool)
-        used[codes] = True
-        local = np.flatnonzero(used)
+        if len(codes) * 8 < len(words.vocab):
+            local = np.unique(codes)
+        else:
+            used = np.zeros(len(words.vocab), bool)
+            used[codes] = True
+            local = np.flatnonzero(used)
         local = local[np.argsort(place[local])]
         remap[local] = np.arange(len(local))
         codes = remap[codes].astype(np.uint32)
