@@ -7,6 +7,7 @@ sub-folder is removed when the driver ends.
 """
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -32,11 +33,15 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/quercus-{uuid.uuid4().hex}"
         self._n = 0
-        atexit.register(self.remove)
+        atexit.register(self._at_end)
+
+    def _at_end(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have gone first
+            self.remove()
 
     def remove(self) -> None:
         """Delete the run's tables; frames that read them are of no use any more."""
-        atexit.unregister(self.remove)
+        atexit.unregister(self._at_end)
         if self._n and self.spark.sparkContext._jsc is not None:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
