@@ -1,12 +1,8 @@
-import pathlib
 import random
-import sys
 
 import pytest
 from pyspark.sql import types as T
 
-sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
-
 # extra columns carry names that the operators use inside
 DOCS = T.StructType(
     [

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from llm_helpers import SF_ACCURACY
+from .llm_helpers import SF_ACCURACY
 
 from quercus.llm import quality, toxicity
 from quercus.llm.labelled import Isotonic, held_out, sample

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from llm_helpers import blank_words, folded_words
+from .llm_helpers import blank_words, folded_words
 
 from quercus.llm import bm25, decontamination, jaccard_join, substring_dedup
 from quercus.llm.fm_index import FMIndex

@@ -1,8 +1,8 @@
 """The pipeline's stages on the small tables, each against a plain reading of its contract."""
 
 import pytest
-from llm_helpers import SF_SMALL as SF
-from llm_helpers import blank_words, folded_words
+from .llm_helpers import SF_SMALL as SF
+from .llm_helpers import blank_words, folded_words
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
