@@ -10,6 +10,7 @@ import pytest
 from .llm_helpers import blank_words, folded_words
 
 from quercus.llm import bm25, decontamination, jaccard_join, substring_dedup
+from quercus.llm.components import components
 from quercus.llm.fm_index import FMIndex
 
 
@@ -275,3 +276,23 @@ def test_bm25(ws, make, odd_rows, monkeypatch):
 def test_bm25_empty(ws, make):
     docs = make([])
     assert bm25.search(bm25.build_index(docs, ws), docs, ws).count() == 0
+
+
+def test_components(spark, ws):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(40) if i % 13] + [(100, 100 + k) for k in range(1, 200)] + [(500, 150)]
+    edges += [(rng.randrange(600, 700), rng.randrange(600, 700)) for _ in range(60)]
+    rng.shuffle(edges)
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = components(spark.createDataFrame(edges, "u long, v long"), ws).collect()
+    assert {r.u: r.v for r in got} == {x: find(x) for x in parent if find(x) != x}
+    assert components(spark.createDataFrame([], "u long, v long"), ws).count() == 0
