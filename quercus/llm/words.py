@@ -91,6 +91,8 @@ def chunks(batches, column: str = "text", most: int = CHUNK_BYTES):
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held = None
+    pa.default_memory_pool().release_unused()  # an idle worker keeps no buffers of its last task
 
 
 def column(table: pa.Table, name: str) -> pa.Array:
