@@ -33,6 +33,8 @@ HASHES = 96
 #: Sets and words in a block of a bucket.
 BLOCK_SETS = 384
 BLOCK_WORDS = 400_000
+#: Parts that the copies of a text are dealt to.
+PARTS = 64
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -290,7 +292,10 @@ def links(documents: DataFrame, ws: Workspace, threshold: float = THRESHOLD, rec
 def _classed(documents: DataFrame, ws: Workspace, threshold: float) -> DataFrame:
     """(doc_id, node, class_id, n_links) of the rows with an id."""
     docs, texts = links(documents, ws, threshold)
-    return docs.join(texts, "node").select(
+    # a text with very many copies meets its links part by part
+    docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+    parts = docs.select("node", "part").distinct().join(texts, "node")
+    return docs.join(parts, ["node", "part"]).select(
         "doc_id",
         "node",
         F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
