@@ -82,7 +82,7 @@ def build_index(documents: DataFrame, ws: Workspace) -> DataFrame:
     return ws.table(rows.mapInArrow(_index_shards, INDEX), "fm-index")
 
 
-def windows(items: pa.Array, texts: pa.Array, width: int):
+def windows(texts: pa.Array, width: int):
     """Distinct windows of a block as (item number, word codes right-aligned, length), and the vocabulary."""
     words = split(texts, fold=True)
     sizes = np.diff(words.offsets)
@@ -92,7 +92,9 @@ def windows(items: pa.Array, texts: pa.Array, width: int):
     length = np.minimum(sizes, width)[item]
     at = words.offsets[item] + nth
     lanes = np.arange(width)[None, :] - (width - length)[:, None]
-    patterns = np.where(lanes >= 0, words.codes[np.maximum(at[:, None] + lanes, 0)] + 1, 0) if len(item) else np.zeros((0, width), np.int64)
+    if not len(item):
+        return item, np.zeros((0, width), np.int64), length, words.vocab
+    patterns = np.where(lanes >= 0, words.codes[np.maximum(at[:, None] + lanes, 0)] + 1, 0)
     return item, patterns.astype(np.int64), length, words.vocab
 
 
@@ -101,7 +103,7 @@ def _searcher(block, width: int):
 
     def search(batches):
         texts_ = pa.array(texts, pa.large_string())
-        item, patterns, length, vocab = windows(None, texts_, width)
+        item, patterns, length, vocab = windows(texts_, width)
         for batch in batches:
             for row in range(batch.num_rows):
                 blob = zstandard.decompress(batch.column("index")[row].as_py())

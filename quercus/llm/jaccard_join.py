@@ -146,7 +146,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def verify(band: int, blocks, nodes, copies, bands, sets, split_: bool, threshold: float):
+def verify(band: int, blocks, copies, bands, sets, split_: bool, threshold: float):
     """Links of one work unit: per text its linked documents, and its root. ``blocks``: which block each text is of."""
     size = np.array([len(s) for s in sets])
     common = intersections(sets)
@@ -177,7 +177,7 @@ def _verifier(threshold: float):
         bands = (bands.chunk(0) if isinstance(bands, pa.ChunkedArray) else bands).flatten().to_numpy().reshape(len(nodes), -1)
         left, right = rows.column("left")[0].as_py(), rows.column("right")[0].as_py()
         keep, links, root = verify(
-            rows.column("band")[0].as_py(), rows.column("block").to_numpy(), nodes, rows.column("copies").to_numpy(), bands, sets,
+            rows.column("band")[0].as_py(), rows.column("block").to_numpy(), rows.column("copies").to_numpy(), bands, sets,
             left != right, threshold,
         )
         return pa.record_batch(
