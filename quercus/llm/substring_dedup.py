@@ -7,6 +7,13 @@ of its word pairs, a run of neighbouring windows with one anchor is a *segment*,
 segment goes to the shard of its anchor. Each window thus lies in one shard, equal windows
 in the same one, and the work grows with the text.
 
+Frequent word pairs anchor nothing, or a shard would grow with the commonest pair: a first pass
+counts pairs and longer grams over the whole input (a task leaves out grams so rare in it that
+all that is left out stays under half the bound), and a window is anchored at the smallest hash of its pairs
+that are not frequent, without one at that of its longer grams that are not, else at the hash of all its
+words. The table of frequent grams is the same for every task, so equal windows still meet. A pair that is not frequent
+brings a shard at most 24 words for each time it occurs, about a quarter of an average shard.
+
 In a shard an FM-index over the segments is searched backwards through its wavelet matrix by
 every segment in turn. The search extends to the left; at full length it drops the
 rightmost word (the parent interval, from the boundaries of 12-word prefixes) before it takes
@@ -43,12 +50,15 @@ from quercus.workspace import Workspace
 
 #: Words of a window.
 WINDOW = 13
-#: Words of an anchor.
-ANCHOR = 2
+#: Words of an anchor, and of the longer one of windows that hold frequent pairs only.
+ANCHORS = (2, 6)
+#: A gram is frequent if it occurs more than once for so many bytes of an average shard.
+OFTEN = 256
 #: A longer run of windows with one anchor is cut, so that no search is long.
 RUN = 64
 #: Words of a run that has to be common before a window over it is indexed, and bits of the table of runs.
 PROBE = 3
+#: At least; a shard of more words has as many slots as words.
 SLOT_BITS = 23
 #: Words used more often in a task's input are numbered first.
 FREQUENT = 12
@@ -58,21 +68,44 @@ SHARD_BYTES = 11 << 20
 MAP_BYTES = 14 << 20
 
 SPANS = "doc_id long, text_key long, start int, stop int"
+NONE = np.uint64((1 << 64) - 1)
 
 
-def _segments(words):
+def _lowest(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every ``width`` neighbours, by doubling."""
+    span = 1
+    while span * 2 <= width:
+        values = np.minimum(values[:-span], values[span:])
+        span *= 2
+    if width > span:
+        values = np.minimum(values[: len(values) - (width - span)], values[width - span :])
+    return values
+
+
+def _anchors(h: np.ndarray, frequent: dict, whole: np.ndarray) -> np.ndarray:
+    """The anchor of every window; ``frequent`` holds the sorted hashes of frequent grams by their words."""
+    anchor, open_ = whole.copy(), np.ones(len(whole), bool)
+    for width in ANCHORS:
+        values, often = grams(h, width), frequent[width]
+        if len(often):
+            values[often[np.minimum(np.searchsorted(often, values), len(often) - 1)] == values] = NONE
+        low = _lowest(values, WINDOW - width + 1)
+        found = open_ & (low != NONE)
+        anchor[found] = low[found]
+        open_ &= ~found
+        if not open_.any():
+            break
+    return anchor
+
+
+def _segments(words, frequent):
     """Runs of windows with one anchor: first word, number of windows, anchor; and window hashes."""
     h = words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
-    n, width = len(h), WINDOW - ANCHOR + 1
+    n = len(h)
     if n < WINDOW:
         return None
-    low = grams(h, ANCHOR)
-    span = 1
-    while span * 2 <= width:  # minimum over `width` anchors by doubling
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    if width > span:
-        low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
+    whole = grams(h, WINDOW)
+    low = _anchors(h, frequent, whole)
     sizes = np.diff(words.offsets)
     valid = np.zeros(n + 1, np.int64)
     many = np.maximum(sizes - WINDOW + 1, 0)
@@ -90,7 +123,7 @@ def _segments(words):
     piece = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)
     first = np.repeat(starts, runs) + piece * RUN
     count = np.minimum(np.repeat(ends, runs) - first, RUN)
-    return first, count, low[first], grams(h, WINDOW)
+    return first, count, low[first], whole
 
 
 def _pack(arrays: dict) -> bytes:
@@ -138,17 +171,46 @@ def _unfolded(shared, rest, text: bytes):
     return lengths, out.tobytes()
 
 
-def _router(shards: int):
+def _counter(share: float):
+    """Grams that a chunk holds more than ``share`` times a byte of its text."""
+
+    def run(batches):
+        for table in chunks(batches, most=MAP_BYTES):
+            text = column(table, "text")
+            words, least = split(text), share * (pc.sum(pc.binary_length(text)).as_py() or 0)
+            if len(words.codes) < WINDOW:
+                continue
+            h = words.hashes()[words.codes]
+            for width in ANCHORS:
+                gram, n = np.unique(grams(h, width), return_counts=True)
+                often = n > least
+                gram, n = gram[often].view(np.int64), n[often]
+                yield pa.record_batch([pa.array(np.full(len(n), width, np.int32)), pa.array(gram), pa.array(n)], names=["width", "gram", "n"])
+
+    return run
+
+
+def frequent_grams(rows: DataFrame, size: int, shards: int) -> dict:
+    """Sorted hashes of the frequent grams by their words: all that occur ``size / shards / OFTEN`` times, none under half of it."""
+    least = size / shards / OFTEN / 2
+    counted = rows.mapInArrow(_counter(least / max(size, 1)), "width int, gram long, n long")
+    # what occurs so often are at most 2 * OFTEN grams of each length for a shard's bytes
+    found = counted.groupBy("width", "gram").agg(F.sum("n").alias("n")).where(F.col("n") > least).select("width", "gram").toArrow()
+    width, gram = (column(found, c).to_numpy(zero_copy_only=False) for c in ("width", "gram"))
+    return {w: np.sort(gram[width == w].astype(np.int64).view(np.uint64)) for w in ANCHORS}
+
+
+def _router(shards: int, frequent):
     def route(batches):
         for table in chunks(batches, most=MAP_BYTES):
-            yield from _route(table, shards)
+            yield from _route(table, shards, frequent.value)
 
     return route
 
 
-def _route(table: pa.Table, shards: int):
+def _route(table: pa.Table, shards: int, frequent: dict):
     words = split(column(table, "text"))
-    found = _segments(words)
+    found = _segments(words, frequent)
     if found is None:
         return
     first, count, anchor, whole = found
@@ -278,11 +340,12 @@ def _matching(codes, sigma, counts, starts, ids, keys):
     run = slot[: len(slot) - PROBE + 1].copy()
     for k in range(1, PROBE):
         run = run * np.uint64(0x9E3779B97F4A7C15) + slot[k : len(slot) - PROBE + 1 + k]
-    slot = (run * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+    bits = max(SLOT_BITS, len(run).bit_length())
+    slot = (run * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - bits)).astype(np.int32)
     del run
-    last = np.zeros(1 << SLOT_BITS, np.int64)
+    last = np.zeros(1 << bits, np.int64)
     last[slot] = owner[: len(slot)]
-    shared = np.zeros(1 << SLOT_BITS, bool)
+    shared = np.zeros(1 << bits, bool)
     shared[slot[last[slot] != owner[: len(slot)]]] = True
     dead = np.concatenate((np.zeros(1, np.int32), np.cumsum(~shared[slot], dtype=np.int32)))
     del owner, last, shared, slot
@@ -357,14 +420,20 @@ def _matching(codes, sigma, counts, starts, ids, keys):
         yield _span_batch(ids[seg], keys[seg], starts[seg] + begin - at[seg], starts[seg] + end - at[seg])
 
 
-def repeated_spans(documents: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, text_key, start, stop): words [start, stop) lie in windows that start in a document with a smaller id."""
+def routed(documents: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
+    """(shard, segments) rows, and the number of shards."""
     spark = documents.sparkSession
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(-(-size // shard_bytes), spark.sparkContext.defaultParallelism)
     rows = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    routed = rows.mapInArrow(_router(shards), "shard int, segments binary")
-    return routed.repartitionById(shards, "shard").mapInArrow(_search_shards, SPANS)
+    frequent = spark.sparkContext.broadcast(frequent_grams(rows.select("text"), size, shards))
+    return rows.mapInArrow(_router(shards, frequent), "shard int, segments binary"), shards
+
+
+def repeated_spans(documents: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(doc_id, text_key, start, stop): words [start, stop) lie in windows that start in a document with a smaller id."""
+    segments, shards = routed(documents, shard_bytes)
+    return segments.repartitionById(shards, "shard").mapInArrow(_search_shards, SPANS)
 
 
 def _with_spans(documents: DataFrame, *columns: str) -> DataFrame:

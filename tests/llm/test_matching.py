@@ -2,11 +2,14 @@
 
 import hashlib
 import math
+import pickle
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
+import zstandard
 from .llm_helpers import blank_words, folded_words
 
 from quercus.llm import bm25, decontamination, jaccard_join, substring_dedup
@@ -157,6 +160,40 @@ def test_deduplicated_text(make, odd_rows):
     assert sorted(got, key=str) == sorted(expected, key=str)
 
 
+def words_of_shards(documents):
+    """Words of each shard, from its segments."""
+    found = Counter()
+    for row in substring_dedup.routed(documents)[0].collect():
+        x = pickle.loads(zstandard.decompress(row.segments))
+        found[row.shard] += int(x["count"].sum()) + len(x["count"]) * (substring_dedup.WINDOW - 1)
+    return found
+
+
+def test_frequent_pair_fills_no_shard(make):
+    """One pair has the smallest hash and stands in every window."""
+    hashes = lambda w: np.array([xxhash.xxh3_64_intdigest(x) for x in w], np.uint64)
+    pair = min((("the", f"e{i}") for i in range(20000)), key=lambda p: substring_dedup.grams(hashes(p), 2)[0])
+    rng = random.Random(3)
+    rows = [(i, " ".join(w for _ in range(40) for w in (*pair, *(f"r{rng.randrange(10**6)}" for _ in range(8))))) for i in range(300)]
+    found = words_of_shards(make(rows))
+    assert max(found.values()) < 2 * sum(found.values()) / len(found)
+
+
+def test_windows_of_frequent_pairs(make):
+    """Few words, so that pairs, and in one passage longer grams, are all frequent: equal windows still meet, in several shards."""
+    rng = random.Random(5)
+    passage = " ".join(rng.choice("abcd") for _ in range(40))
+    rows = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(200)))) for i in range(150)]
+    rows += [(i, f"{passage} u{i} " * 3) for i in range(150, 400)]
+    docs = make(rows).repartition(5)
+    frequent = substring_dedup.frequent_grams(docs.select("text"), sum(len(t) for _, t in rows), 8)
+    assert all(len(frequent[w]) for w in substring_dedup.ANCHORS)
+    got = substring_dedup.digest(docs).collect()
+    expected = [(i, len(w), len(w) - len(kept), sha(" ".join(kept))) for i, _, w, kept in kept_words(rows)]
+    assert sorted(map(tuple, got)) == sorted(expected)
+    assert len(words_of_shards(docs)) > 1
+
+
 def test_substring_dedup_empty(make):
     assert substring_dedup.digest(make([])).count() == 0
 
