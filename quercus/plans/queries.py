@@ -1529,12 +1529,11 @@ def t3(spark, d):
 
 @query("T1_gate_stream", sql(f"SELECT artifact_id, 'fail' AS verdict, classes FROM ({TBOX_COUNTS})", "tbox"))
 def t1(spark, d):
-    from quercus.streaming.gate_stream import gate_stream
+    from quercus.streaming.gate_stream import current, gate_stream
 
     ws = Workspace(spark)
     drop, out = ws.path("arriving"), ws.path("checked")
     lines = tbox(spark, d).select("artifact_id", NT.line_text().alias("value"))
-    lines.write.partitionBy("artifact_id").text(drop)
-    arriving = spark.readStream.schema("value string, artifact_id string").text(drop).select("artifact_id", "value")
-    gate_stream(arriving, out, ws.path("gate-state")).awaitTermination()
-    return spark.read.parquet(f"{out}/reports").select("artifact_id", "verdict", "counts.classes")
+    lines.repartition(3).write.partitionBy("artifact_id").text(drop)  # 25 artifacts of three files, in two batches
+    gate_stream(spark, drop, out, ws.path("gate-state"), files_per_batch=40).awaitTermination()
+    return current(spark, out, "reports").select("artifact_id", "verdict", "counts.classes")

@@ -7,6 +7,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quercus.plans.gate import check
 from quercus.sources.ntriples import artifact_of_file, parse_lines
+from quercus.sources.tables import constant_table
 from quercus.workspace import Workspace
 
 
@@ -19,28 +20,44 @@ def arriving_lines(spark: SparkSession, path: str, files_per_batch: int = 1000)
     )
 
 
-def gate_stream(lines: DataFrame, out: str, checkpoint: str, **options):
-    """Check each micro-batch of artifacts and append reports, findings and dead letters.
+def gate_stream(spark: SparkSession, path: str, out: str, checkpoint: str, files_per_batch: int = 1000, **options):
+    """Check the artifacts that files dropped into ``path`` belong to; write reports, findings and dead letters.
+
+    An artifact's files may arrive in several micro-batches. A batch reads all the files so far of the
+    artifacts that it touches, so the last batch that touches an artifact has checked it whole; ``current``
+    gives the rows of that batch.
 
     ``checkpoint`` is the stream's own folder, on storage all executors reach.
 
     Output folders carry the batch number, so a replayed batch overwrites itself.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        triples, errors = parse_lines(batch)
-        triples = Workspace(batch.sparkSession).table(triples.distinct(), "arrived")  # parsed once, read by every stage
+        session = batch.sparkSession
+        touched = [r["artifact_id"] for r in batch.select("artifact_id").distinct().collect()]  # one per file at most
+        lines = session.read.text(path).select(artifact_of_file().alias("artifact_id"), "value")
+        triples, errors = parse_lines(lines.where(F.col("artifact_id").isin(touched)))
+        triples = Workspace(session).table(triples.distinct(), "arrived")  # parsed once, read by every stage
         gate = check(triples, **options)
-        for table, df in (("reports", gate.reports()), ("findings", gate.findings), ("errors", errors)):
+        names = constant_table(session, "artifact_id string", [(a,) for a in touched])
+        # the artifacts come last: until then their rows of an earlier batch stay current
+        for table, df in (("reports", gate.reports()), ("findings", gate.findings), ("errors", errors), ("artifacts", names)):
             df.write.mode("overwrite").parquet(f"{out}/{table}/batch={batch_id}")
 
     return (
-        lines.writeStream.foreachBatch(run)
+        arriving_lines(spark, path, files_per_batch)
+        .writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def current(spark: SparkSession, out: str, table: str) -> DataFrame:
+    """Rows of ``reports``, ``findings`` or ``errors``, each artifact's from the last batch that checked it."""
+    last = spark.read.parquet(f"{out}/artifacts").groupBy("artifact_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{out}/{table}").join(last, ["artifact_id", "batch"]).drop("batch")
+
+
 def verdict_windows(verdicts: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
     """Verdict counts per tumbling window of ``ts``; rows later than ``late`` are dropped."""
     return (

@@ -282,3 +282,33 @@ def test_empty_kernel(graph, upper, ws):
     t = graph({"coherent": X.COHERENT})
     g = GateInputs(t, counts(t), Kernel({}, frozenset()), upper, ws)
     assert stage_b(g).count() == 0
+
+
+def test_stream_checks_artifacts_whole(spark, graph, tmp_path):
+    """Files of one artifact that come in different batches, or in a later run, count as one artifact."""
+    from quercus.sources.ntriples import line_text
+    from quercus.streaming.gate_stream import current, gate_stream
+
+    drop, out, state = (str(tmp_path / n) for n in ("drop", "out", "state"))
+    triples = graph({"a#1": X.COHERENT, "b": X.STRADDLE, "c": X.BARE})
+    lines = triples.select("artifact_id", line_text().alias("value"))
+    run = check(triples)
+
+    def rows(reports, findings):
+        return (
+            sorted((r["artifact_id"], r["verdict"], r["counts"]["classes"], r["counts"]["axioms"]) for r in reports.collect()),
+            sorted(map(str, findings.select("artifact_id", "code").collect())),
+        )
+
+    classes = lines.value.contains("Class>")
+    lines.where(classes).coalesce(1).write.partitionBy("artifact_id").text(drop)
+    lines.where(~classes).repartition(3).write.mode("append").partitionBy("artifact_id").text(drop)
+    gate_stream(spark, drop, out, state, files_per_batch=5).awaitTermination()
+    assert spark.read.parquet(out + "/artifacts").select("batch").distinct().count() > 1
+    expected = rows(run.reports(), run.findings)
+    assert rows(current(spark, out, "reports"), current(spark, out, "findings")) == expected
+    more = spark.createDataFrame([("b", "<http://x/Late> <" + S.TYPE + "> <" + S.CLASS + "> ."), ("b", "broken")], "artifact_id string, value string")
+    more.coalesce(1).write.mode("append").partitionBy("artifact_id").text(drop)
+    gate_stream(spark, drop, out, state, files_per_batch=5).awaitTermination()
+    found = {r["artifact_id"]: r["counts"]["classes"] for r in current(spark, out, "reports").collect()}
+    assert found == {"a#1": 4, "b": 4, "c": 3} and current(spark, out, "errors").count() == 1
