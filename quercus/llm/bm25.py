@@ -14,7 +14,8 @@ No document that belongs in the result is passed over.
 Words are lower-cased runs of 0-9, a-z and non-ASCII. A query term counts as often as the query
 holds it. Ties rank by doc_id (scores are compared to nine decimals). Defined cases: a query
 without words, or none of whose words occurs, has no rows; a null or empty document is never
-found; rows that repeat are found each; rows without an id are searched but ask nothing.
+found; rows that repeat are found each; rows without an id are searched but ask nothing. Two texts
+under one id are two queries: each has its own ranks and its own k rows, under the id they share.
 """
 
 import pickle
@@ -26,6 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quercus.llm.decontamination import text_key
 from quercus.llm.words import chunks, column, ranges, split
 from quercus.workspace import Workspace
 
@@ -42,6 +44,7 @@ SLACK = 1e-4
 NO_ID = -(1 << 63)
 
 INDEX = "index binary, docs long, words long"
+FOUND = "query_id long, text_key long, doc_id long, score double"
 
 
 def _ipc(array: pa.Array) -> bytes:
@@ -195,12 +198,12 @@ def _searcher(queries, vocab: list[str], idf: np.ndarray, average: float, k: int
             shard = Shard(state, terms_, average)
             for at in range(0, len(queries), GROUP):
                 shard.search(queries[at : at + GROUP], idf, found[at : at + GROUP])
-        for (query, _, _), best in zip(queries, found, strict=True):
+        for ((query, key), _, _), best in zip(queries, found, strict=True):
             if len(best.ids):
                 n = len(best.ids)
                 yield pa.record_batch(
-                    [pa.array([query] * n, pa.int64()), pa.array(best.ids), pa.array(best.scores)],
-                    names=["query_id", "doc_id", "score"],
+                    [pa.array([query] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(best.ids), pa.array(best.scores)],
+                    names=["query_id", "text_key", "doc_id", "score"],
                 )
 
     return run
@@ -219,7 +222,8 @@ def search(index: DataFrame, queries: DataFrame, ws: Workspace, k: int = TOP, bl
     spark = index.sparkSession
     total = index.agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")).first()
     n, average = total["docs"] or 0, (total["words"] or 0) / max(1, total["docs"] or 0)
-    rows = queries.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL AND doc_id IS NOT NULL").distinct()
+    rows = queries.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    rows = rows.where("text IS NOT NULL AND doc_id IS NOT NULL").distinct()
     # a task takes several shards, so that its threshold carries over and few lists are merged
     shards = index.select("index").coalesce(max(1, spark.sparkContext.defaultParallelism))
     out = None
@@ -234,14 +238,14 @@ def search(index: DataFrame, queries: DataFrame, ws: Workspace, k: int = TOP, bl
             df[r["term"]] = r["df"]
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         asked = []
-        for i, query in enumerate(block.column("doc_id").to_pylist()):
+        for i, query in enumerate(zip(block.column("doc_id").to_pylist(), block.column("text_key").to_pylist(), strict=True)):
             terms, counts = np.unique(words.codes[words.offsets[i] : words.offsets[i + 1]], return_counts=True)
             asked.append((query, terms.astype(np.int64), counts.astype(np.float64)))
-        part = shards.mapInArrow(_searcher(asked, vocab, idf, average, k), "query_id long, doc_id long, score double")
+        part = shards.mapInArrow(_searcher(asked, vocab, idf, average, k), FOUND)
         part = ws.table(part, "best")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = spark.createDataFrame([], "query_id long, doc_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), "doc_id")
+        out = spark.createDataFrame([], FOUND)
+    order = Window.partitionBy("query_id", "text_key").orderBy(F.desc(F.round("score", DIGITS)), "doc_id")
     ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), F.round("score", DIGITS).alias("score"))

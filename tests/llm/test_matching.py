@@ -310,6 +310,15 @@ def test_bm25(ws, make, odd_rows, monkeypatch):
         assert all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(sorted(got[query]), best, strict=True))
 
 
+def test_bm25_texts_of_one_id_ask_each(ws, make, odd_rows):
+    """Two texts under one id get the rows that each would get alone."""
+    index = bm25.build_index(make(odd_rows), ws)
+    texts = [t for i, t in odd_rows if i in (64, 200)]
+    apart = [tuple(r) for t in texts for r in bm25.search(index, make([(72, t)]), ws).collect()]
+    got = bm25.search(index, make([(72, t) for t in texts]), ws).collect()
+    assert len(apart) == 20 and sorted(map(tuple, got), key=str) == sorted(apart, key=str)
+
+
 def test_bm25_empty(ws, make):
     docs = make([])
     assert bm25.search(bm25.build_index(docs, ws), docs, ws).count() == 0
