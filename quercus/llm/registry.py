@@ -4,7 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quercus.llm import bm25, decontamination, jaccard_join, packing, quality, substring_dedup, token_counts, token_orc, toxicity, warc
+from quercus.llm import alignment, bm25, decontamination, hard_negatives, jaccard_join, packing, quality, sharding, substring_dedup
+from quercus.llm import token_counts, token_orc, toxicity, warc
 from quercus.workspace import Workspace
 
 
@@ -68,6 +69,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of two tokenizers aligned in every document, with the counts of their links."""
+    return alignment.digest(table(spark, sf_dir, "documents"), Workspace(spark))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for every anchor and positive, by bounds on segments."""
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), Workspace(spark))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to 40 shards of near equal bytes and read back."""
+    documents, ws = table(spark, sf_dir, "documents"), Workspace(spark)
+    path = ws.path("shards")
+    sharding.write(documents, path, ws)
+    return sharding.digest(spark, path, sharding.document_type(documents))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op2_packing": op2_packing,
@@ -79,5 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_bm25": op9_bm25,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_cross_tokenizer": op11_cross_tokenizer,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_sharding": op13_sharding,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_hard_negatives": hard_negatives.ORACLE}
