@@ -35,9 +35,10 @@ from quercus.llm.tokens import _byte_letters
 from quercus.llm.words import chunks, column, ranges
 from quercus.workspace import Workspace
 
-CHUNK_BYTES = 8 << 20
-#: Units that are handed to the tokenizers in one string.
+CHUNK_BYTES = 5 << 20
+#: Units that are handed to the tokenizers in one string, and such strings at a time.
 JOINED = 50
+STRINGS = 200
 #: Units that are aligned at once.
 UNITS = 2000
 #: Links of a group that are listed one by one; the ids of longer groups are counted first.
@@ -195,13 +196,23 @@ class Aligner:
             else:
                 runs.append([name])
             lone = not inner
-        texts, bad = list(map("".join, runs)), np.zeros(len(names), bool)
+        bad, pieces, at = np.zeros(len(names), bool), [(np.zeros(0, np.int64),) * 4], 0
+        for some in range(0, len(runs), STRINGS):
+            block = runs[some : some + STRINGS]
+            pieces.append(self._encoded_runs(block, bad, at))
+            at += sum(map(len, block))
         unit_bytes = np.fromiter((len(n.encode()) for n in names), np.int64, len(names))
-        lists = self.encode(texts) if texts else ([], [])
+        unit_bytes[bad] = 0
+        return Aligned(*map(np.concatenate, zip(*pieces, strict=True)), unit_bytes), bad
+
+    def _encoded_runs(self, runs: list[list[str]], bad: np.ndarray, at: int):
+        """Both tokenizers' ids of runs of units in a row, and the bytes of each; marks the units that do not come back, from number ``at`` on."""
+        texts = list(map("".join, runs))
+        lists = self.encode(texts)
         data, wanted = "".join(texts).encode(), np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
         flat = [self._flat(k, x) for k, x in enumerate(lists)]
         if not all(joined == data and np.array_equal(sizes, wanted) for _, _, joined, sizes in flat):
-            again, at = ([], []), 0
+            again = ([], [])
             for run, text, *ids in zip(runs, texts, *lists, strict=True):
                 parts = [(text, *ids)] if self._gives_back(text, *ids) else list(zip(run, *self.encode(run), strict=True))
                 for i, (part, *own) in enumerate(parts):
@@ -210,9 +221,8 @@ class Aligner:
                     for k in (0, 1):
                         again[k].append(own[k])
                 at += len(run)
-            unit_bytes[bad] = 0
             flat = [self._flat(k, x) for k, x in enumerate(again)]
-        return Aligned(flat[0][0], flat[1][0], flat[0][1], flat[1][1], unit_bytes), bad
+        return flat[0][0], flat[1][0], flat[0][1], flat[1][1]
 
     def cut(self, texts: pa.Array):
         """(code of every unit, first unit of each text, distinct units)."""
