@@ -134,17 +134,18 @@ def write(documents: DataFrame, path: str, ws: Workspace, shards: int = SHARDS,
     laid.select("document", "shard").write.partitionBy("shard").parquet(path)
 
 
-def read(spark: SparkSession, path: str, document_type) -> DataFrame:
-    """(document, shard, slot): the shards' rows; slots of a shard count from 0 without gaps."""
+def read(spark: SparkSession, path: str, document_type, *columns) -> DataFrame:
+    """(document, shard, slot): the shards' rows; slots of a shard count from 0 without gaps.
+
+    With ``columns``, expressions over ``document``, these come back in its place, and are all that meets the files' rows.
+    """
     stored = spark.read.schema(f"document {document_type}, shard int").parquet(path)
-    rows = stored.select(
-        "document", "shard", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")
-    )
-    files = stored.select("shard", F.col("_metadata.file_name").alias("file")).groupBy("shard", "file").agg(F.count(F.lit(1)).alias("rows"))
+    file, row = F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")
+    rows = stored.select(F.struct(*columns).alias("kept") if columns else F.struct("document").alias("kept"), "shard", file, row)
+    files = stored.select("shard", file).groupBy("shard", "file").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy("shard").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("shard", "file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
-    # digests of rows are small, so they may meet the files' rows in any kind of join
-    return rows.join(files, ["shard", "file"]).select("document", "shard", (F.col("base") + F.col("row")).alias("slot"))
+    return rows.join(files, ["shard", "file"]).select("kept.*", "shard", (F.col("base") + F.col("row")).alias("slot"))
 
 
 def document_type(documents: DataFrame) -> str:
@@ -154,8 +155,9 @@ def document_type(documents: DataFrame) -> str:
 
 def digest(spark: SparkSession, path: str, document_type: str) -> DataFrame:
     """Per row of the shards its size, checksum, shard and slot."""
-    return read(spark, path, document_type).select(
-        F.col("document.doc_id").alias("doc_id"), _size(F.col("document.text")).alias("size"),
-        F.crc32(F.coalesce(F.col("document.text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    text = F.col("document.text")
+    rows = read(
+        spark, path, document_type, F.col("document.doc_id").alias("doc_id"), _size(text).alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
     )
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
