@@ -319,7 +319,7 @@ def novelty_examples(novel: DataFrame, classes_shown: int = 5, ancestors_shown:
 def stage_c(g: GateInputs) -> DataFrame:
     ruled = g.ws.table(rule_edges(g.triples, g.ws, g.edges).select(*EDGE), "ruled")
     entailed = g.ws.table(closure(ruled, g.ws), "entailed")
-    unsat = g.ws.table(unsatisfiable_classes(g.triples, g.upper, g.ws, ruled, entailed), "unsat")
+    unsat = g.ws.table(unsatisfiable_classes(g.triples, g.upper, g.ws, g.edges), "unsat")
     empty = _finding(
         unsat.where(~F.col("cls").endswith("Nothing")), "C", "E_INCONSISTENT",
         F.concat(F.lit("Class is unsatisfiable (equivalent to owl:Nothing): "), "cls"), F.col("cls"),

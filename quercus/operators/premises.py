@@ -7,8 +7,9 @@ from quercus import schema as S
 from quercus.functions.formulas import PREMISE_TERM
 from quercus.functions.names import local_name
 from quercus.operators.counts import CHARACTERISTICS
-from quercus.operators.disjointness import asserted_pairs, disjoint_groups
+from quercus.operators.disjointness import PAIRED, asserted_pairs, disjoint_groups, property_chains, sized
 from quercus.operators.profile import entities
+from quercus.operators.ranking import grouped_rank
 from quercus.operators.rules import assertions
 from quercus.workspace import Workspace
 
@@ -149,19 +150,32 @@ def _compared(names: Column, sign: str) -> Column:
     return F.flatten(later)
 
 
+CARDINALITIES = {
+    S.owl("minCardinality"): "min", S.owl("minQualifiedCardinality"): "min",
+    S.owl("maxCardinality"): "max", S.owl("maxQualifiedCardinality"): "max",
+    S.owl("cardinality"): "exact", S.owl("qualifiedCardinality"): "exact",
+}
+#: Bounds up to this are spelled out with a variable each; larger ones are written with a counting quantifier.
+SPELLED = 8
+
+
+def cardinality_errors(triples: DataFrame) -> DataFrame:
+    """(artifact_id, node, value, error): cardinality literals that are no whole number from 0 on; they give no premise."""
+    bad = triples.where(F.col("p").isin(*CARDINALITIES) & ~F.coalesce(F.expr("try_cast(o AS INT)") >= 0, F.lit(False)))
+    return bad.select("artifact_id", F.col("s").alias("node"), F.col("o").alias("value"), F.lit("E_LITERAL").alias("error"))
+
+
 def cardinality_premises(triples: DataFrame) -> DataFrame:
-    """Min / max / exact cardinality restrictions spelled out as formulas."""
-    kinds = {
-        S.owl("minCardinality"): "min", S.owl("minQualifiedCardinality"): "min",
-        S.owl("maxCardinality"): "max", S.owl("maxQualifiedCardinality"): "max",
-        S.owl("cardinality"): "exact", S.owl("qualifiedCardinality"): "exact",
-    }
+    """Min / max / exact cardinality restrictions as formulas, spelled out up to ``SPELLED``.
+
+    A literal that is no whole number from 0 on gives no premise, see ``cardinality_errors``.
+    """
     kind = F.lit(None).cast("string")
-    for iri, k in kinds.items():
+    for iri, k in CARDINALITIES.items():
         kind = F.when(F.col("p") == iri, k).otherwise(kind)
-    bounds = triples.where(F.col("p").isin(*kinds)).select(
-        "artifact_id", F.col("s").alias("node"), kind.alias("kind"), F.col("o").cast("int").alias("n")
-    )
+    bounds = triples.where(F.col("p").isin(*CARDINALITIES)).select(
+        "artifact_id", F.col("s").alias("node"), kind.alias("kind"), F.expr("try_cast(o AS INT)").alias("n")
+    ).where("n >= 0")
     on = triples.where(F.col("p") == S.owl("onProperty")).select(
         "artifact_id", F.col("s").alias("node"), local_name(F.col("o")).alias("prop")
     )
@@ -170,7 +184,8 @@ def cardinality_premises(triples: DataFrame) -> DataFrame:
     )
     rows = bounds.join(on, ["artifact_id", "node"]).join(users, ["artifact_id", "node"])
     cls, prop, n = F.col("cls"), F.col("prop"), F.col("n")
-    ys, more, zs = _numbered(n, "y"), _numbered(n + 1, "y"), _numbered(n + 1, "z")
+    few = F.least(n, F.lit(SPELLED))
+    ys, more, zs = _numbered(few, "y"), _numbered(few + 1, "y"), _numbered(few + 1, "z")
 
     def at_least(names):
         return F.concat(
@@ -186,8 +201,11 @@ def cardinality_premises(triples: DataFrame) -> DataFrame:
 
     has = F.concat(F.lit("∀x: "), cls, F.lit("(x) → "))
     nothing = F.concat(has, F.lit("¬∃y: "), prop, F.lit("(x,y)"))
+    sign = F.when(F.col("kind") == "min", "≥").when(F.col("kind") == "max", "≤").otherwise("=")
+    counted = F.concat(has, F.lit("∃"), sign, n.cast("string"), F.lit(" y: "), prop, F.lit("(x,y)"))
     fol = (
-        F.when(F.col("kind") == "min", F.concat(has, at_least(ys)))
+        F.when(n > SPELLED, counted)
+        .when(F.col("kind") == "min", F.concat(has, at_least(ys)))
         .when(n == 0, nothing)
         .when(F.col("kind") == "max", F.concat(has, at_most(more)))
         .otherwise(F.concat(has, F.lit("("), at_least(ys), F.lit(" ∧ "), at_most(zs), F.lit(")")))
@@ -238,13 +256,33 @@ def axiom_premises(triples: DataFrame, ws: Workspace) -> DataFrame:
              f("A thing is a %s if and only if it is a %s", s, o)),
         cardinality_premises(triples),
     ]
-    pairs = asserted_pairs(disjoint_groups(triples, ws))
+    groups = sized(ws.table(disjoint_groups(triples, ws), "groups"))
+    pairs = asserted_pairs(groups.where(F.col("size") <= PAIRED))
     turned = pairs.select("artifact_id", F.inline(F.array(
         F.struct(local_name(F.col("a")).alias("m"), local_name(F.col("b")).alias("n")),
         F.struct(local_name(F.col("b")).alias("m"), local_name(F.col("a")).alias("n")),
     )))
     parts.append(rows(turned, "DisjointClasses", f("∀x,t: ¬(instance_of(x,%s,t) ∧ instance_of(x,%s,t))", "m", "n"),
                       f("No instance can be both a %s and a %s", "m", "n")))
+    long = groups.where(F.col("size") > PAIRED)
+    if not long.isEmpty():  # a premise a member: it keeps off what the members before it come to
+        placed = grouped_rank(long, ["artifact_id", "group_id"], ["member"], ws, "place")
+        code = F.hex(F.xxhash64("group_id"))
+        before, now = (F.concat(F.lit("g"), code, F.lit("_"), (F.col("place") - k).cast("string")) for k in (1, 0))
+        name = local_name(F.col("member"))
+        start = f("∀x,t: instance_of(x,%s,t) → one_of(x,%s,t)", name, now)
+        rest = f("∀x,t: (instance_of(x,%1$s,t) → one_of(x,%3$s,t) ∧ ¬one_of(x,%2$s,t)) ∧ (one_of(x,%2$s,t) → one_of(x,%3$s,t))", name, before, now)
+        parts.append(rows(placed, "DisjointClasses", F.when(F.col("place") == 1, start).otherwise(rest),
+                          f("No instance of %s is one of the members listed before it", name)))
+    chains = property_chains(triples, ws)
+    link = F.struct("position", f("%s(x%s,x%s)", local_name(F.col("p")), F.col("position").cast("string"), (F.col("position") + 1).cast("string")).alias("text"))
+    spelled = chains.groupBy("artifact_id", "chain", "q", "n").agg(F.array_sort(F.collect_list(link)).alias("links"))
+    names = F.array_join(F.transform("links", lambda x: F.substring_index(x["text"], "(", 1)), " and then ")
+    body = F.array_join(F.transform("links", lambda x: x["text"]), " ∧ ")
+    q, end = local_name(F.col("q")), F.col("n").cast("string")
+    several = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n")), lambda i: F.concat(F.lit("x"), i.cast("string"))), ",")
+    parts.append(rows(spelled, "PropertyChain", f("∀%s: (%s) → %s(x0,x%s)", several, body, q, end),
+                      f("Following %s leads along %s", names, q)))
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from quercus import schema as S
 from quercus.functions.names import is_upper, local_name, short_name
-from quercus.operators.disjointness import disjoint_groups, list_members
+from quercus.operators.disjointness import list_members, property_chains
 from quercus.operators.lint import straddle_pairs
+from quercus.operators.normal_forms import VALUE, expression_hierarchy, is_blank, normal_forms, saturated
 from quercus.operators.walks import EDGE, closure, propagate, subclass_edges
 from quercus.sources.upper import Upper
 from quercus.workspace import Workspace
@@ -85,82 +86,55 @@ def inferred_subsumptions(triples: DataFrame, ws: Workspace, hierarchy: DataFram
     )
 
 
-def unsatisfiable_classes(
-    triples: DataFrame,
-    upper: Upper,
-    ws: Workspace,
-    ruled: DataFrame | None = None,
-    hierarchy: DataFrame | None = None,
-) -> DataFrame:
+def unsatisfiable_classes(triples: DataFrame, upper: Upper, ws: Workspace, base: DataFrame | None = None) -> DataFrame:
     """(artifact_id, cls, reason): classes that no individual can belong to.
 
-    A class is empty when it falls under both sides of an upper disjointness or
-    under two members of an asserted disjoint group; subclasses inherit that, and
-    so do classes that require a filler from an empty class.  ``ruled`` and
-    ``hierarchy`` (the closure of ``ruled``) are reused when the caller has them;
-    otherwise the walk only carries the categories and group members that matter.
+    On the saturated normal forms (``normal_forms``): a node is empty when it falls under both sides of an upper
+    disjointness, under two members of an asserted disjoint group, under a class and its complement, or under owl:Nothing.
+    What lies under an empty node is empty, and so is what requires a link to one, and a union of nothing but empty
+    nodes.  ``base`` stands for the named subclass edges, if they are not the artifact's own only.
     """
-    edges = ws.table(rule_edges(triples, ws).select(*EDGE), "rule-edges") if ruled is None else ruled
-    none = F.lit(None).cast("string")
-    groups = ws.table(disjoint_groups(triples, ws), "disjoint-groups")
-    if hierarchy is None:
-        members = groups.select("artifact_id", F.col("member").alias("parent")).distinct()
-        wanted = edges.join(members.withColumn("hit", F.lit(True)), ["artifact_id", "parent"], "left")
-        links = wanted.select(
-            *EDGE, F.when(F.col("hit") | is_upper(F.col("parent")), F.col("parent")).alias("value")
-        )
-        hierarchy = propagate(links, ws).withColumnsRenamed({"node": "child", "value": "ancestor"})
-        hierarchy = ws.table(hierarchy, "under")
-    under_upper = hierarchy.where(is_upper(F.col("ancestor"))).select(
-        "artifact_id", F.col("child").alias("cls"), F.col("ancestor").alias("upper_iri")
-    )
+    forms = normal_forms(triples, ws, base)
+    tops = forms.told.where(is_upper(F.col("parent")) | (F.col("parent") == S.NOTHING)).select("artifact_id", F.col("parent").alias("value"))
+    edges, facts = saturated(forms, ws, tops.union(forms.apart.select("artifact_id", "member")))
+    under_upper = facts.where(is_upper(F.col("value"))).select("artifact_id", F.col("node").alias("cls"), F.col("value").alias("upper_iri"))
     clash = straddle_pairs(under_upper, upper).select("artifact_id", "cls", F.lit("upper").alias("reason"))
-    inside = hierarchy.join(groups.withColumnRenamed("member", "ancestor"), ["artifact_id", "ancestor"]).select(
-        "artifact_id", "child", "group_id", "ancestor"
-    )
-    itself = groups.select("artifact_id", F.col("member").alias("child"), "group_id", F.col("member").alias("ancestor"))
     own = (
-        inside.union(itself)
-        .distinct()
-        .groupBy("artifact_id", F.col("child").alias("cls"), "group_id")
+        facts.join(forms.apart.withColumnRenamed("member", "value"), ["artifact_id", "value"])
+        .groupBy("artifact_id", F.col("node").alias("cls"), "group_id")
         .agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .select("artifact_id", "cls", F.lit("asserted").alias("reason"))
     )
-    direct = clash.union(own).distinct()
-    fillers = required_fillers(triples, ws)
-    links = (
-        edges.union(fillers)
-        .withColumn("value", none)
-        .union(direct.select("artifact_id", F.col("cls").alias("child"), none.alias("parent"), F.lit("x").alias("value")))
-    )
-    spread = propagate(links, ws).select("artifact_id", F.col("node").alias("cls"))
+    nothing = facts.where(F.col("value") == S.NOTHING).select("artifact_id", F.col("node").alias("cls"), F.lit("asserted").alias("reason"))
+    direct = ws.table(clash.union(own).union(nothing).distinct(), "direct")
+    needs = edges.select(*EDGE).union(forms.some.select("artifact_id", "node", "target"))
+    seeds = direct.select("artifact_id", "cls")
+    while True:
+        spread = ws.table(_needing(needs, seeds, ws), "empty")
+        if not forms.rows["joins"]:
+            break
+        gone = forms.joins.join(spread.withColumnRenamed("cls", "member"), ["artifact_id", "member"], "left_semi")
+        whole = gone.groupBy("artifact_id", F.col("node").alias("cls"), "n").agg(F.count(F.lit(1)).alias("m")).where("m = n")
+        path, n = ws.write(whole.select("artifact_id", "cls").join(spread, ["artifact_id", "cls"], "left_anti"), "empty-unions")
+        if n == 0:
+            break
+        seeds = seeds.union(triples.sparkSession.read.schema(seeds.schema).parquet(path))
     reasons = direct.groupBy("artifact_id", "cls").agg(F.max("reason").alias("reason"))
     return (
         spread.join(reasons, ["artifact_id", "cls"], "left")
-        .where(~is_upper(F.col("cls")) & ~F.col("cls").startswith("_:"))
+        .where(~is_upper(F.col("cls")) & ~is_blank(F.col("cls")) & (F.col("cls") != S.NOTHING))
         .select("artifact_id", "cls", F.coalesce("reason", F.lit("inherited")).alias("reason"))
     )
 
 
-def required_fillers(triples: DataFrame, ws: Workspace) -> DataFrame:
-    """(artifact_id, child, parent): nothing can be a child if nothing can be a parent.
-
-    Class expressions (blank nodes) take part like classes: a class needs the expressions it
-    falls under, an intersection its members, a restriction its filler, to any depth.
-    """
-    uses = triples.where(F.col("p").isin(S.SUBCLASS, S.EQUIVALENT) & (F.col("o_kind") == "bnode"))
-    some = triples.where(F.col("p") == S.owl("someValuesFrom"))
-    direct = uses.union(some).where(F.col("o_kind").isin("iri", "bnode")).select(
-        "artifact_id", F.col("s").alias("child"), F.col("o").alias("parent")
-    )
-    heads = triples.where((F.col("p") == S.owl("intersectionOf")) & (F.col("s_kind") == "bnode")).select(
-        "artifact_id", F.col("s").alias("owner"), F.col("o").alias("head")
+def _needing(needs: DataFrame, seeds: DataFrame, ws: Workspace) -> DataFrame:
+    """(artifact_id, cls): the seeds and every child that has one of them above it."""
+    none = F.lit(None).cast("string")
+    links = needs.withColumn("value", none).union(
+        seeds.select("artifact_id", F.col("cls").alias("child"), none.alias("parent"), F.lit("x").alias("value"))
     )
-    if not heads.isEmpty():
-        members = list_members(triples, heads, ws).where("member_kind IN ('iri', 'bnode')")
-        direct = direct.union(members.select("artifact_id", "owner", "member"))
-    return direct.distinct()
+    return propagate(links, ws).select("artifact_id", F.col("node").alias("cls"))
 
 
 def justified(unsat: DataFrame, findings: DataFrame) -> DataFrame:
@@ -236,8 +210,8 @@ def entailed_assertions(triples: DataFrame, ws: Workspace) -> DataFrame:
 
     Property-level rules are closed first (a small table), so sub-, equivalent,
     inverse and symmetric properties cost one join.  Transitive properties are
-    closed by the walk, and their new facts go through the property rules again
-    until nothing changes.
+    closed by the walk (prp-trp), property chains of any length are composed link by link (prp-spo2),
+    and their new facts go through the property rules again until nothing changes.
     """
     spark = triples.sparkSession
     paths = ws.table(property_paths(triples, ws), "property-paths")
@@ -247,6 +221,8 @@ def entailed_assertions(triples: DataFrame, ws: Workspace) -> DataFrame:
         .distinct(),
         "transitive",
     )
+    linked = triples.where(F.col("p") == S.owl("propertyChainAxiom"))
+    chains = None if linked.isEmpty() else ws.table(property_chains(triples, ws), "chains")
     key = ["artifact_id", "s", "p", "o"]
     base = assertions(triples)
 
@@ -259,25 +235,32 @@ def entailed_assertions(triples: DataFrame, ws: Workspace) -> DataFrame:
             F.when(F.col("flip"), "prp-inv").otherwise("prp-spo1").alias("rule"),
         )
 
-    first = base.withColumn("rule", F.lit("asserted")).union(rewrite(base))
-    if transitive.isEmpty():
-        return first.groupBy(*key).agg(F.min("rule").alias("rule"))
-    known = ws.table(first.groupBy(*key).agg(F.min("rule").alias("rule")), "assertions")
-    while True:
+    def closed(known):
         links = known.join(transitive, ["artifact_id", "p"]).select(
             "artifact_id",
             F.concat_ws(" ", "p", "s").alias("child"),
             F.concat_ws(" ", "p", "o").alias("parent"),
             F.concat_ws(" ", "p", "o").alias("value"),
         )
-        chained = propagate(links, ws).select(
+        return propagate(links, ws).select(
             "artifact_id",
             F.substring_index("node", " ", -1).alias("s"),
             F.substring_index("node", " ", 1).alias("p"),
             F.substring_index("value", " ", -1).alias("o"),
             F.lit("prp-trp").alias("rule"),
         )
-        grown = chained.union(rewrite(chained.select(*key))).groupBy(*key).agg(F.max("rule").alias("rule"))
+
+    first = base.withColumn("rule", F.lit("asserted")).union(rewrite(base))
+    walked = not transitive.isEmpty()
+    if not walked and chains is None:
+        return first.groupBy(*key).agg(F.min("rule").alias("rule"))
+    known = ws.table(first.groupBy(*key).agg(F.min("rule").alias("rule")), "assertions")
+    while True:
+        new = [closed(known)] if walked else []
+        if chains is not None:
+            new.append(composed(known, chains, ws))
+        found = new[0].union(new[1]) if len(new) > 1 else new[0]
+        grown = found.union(rewrite(found.select(*key))).groupBy(*key).agg(F.max("rule").alias("rule"))
         path, n = ws.write(grown.join(known, key, "left_anti"), "assertions")
         if n == 0:
             return known
@@ -285,25 +268,56 @@ def entailed_assertions(triples: DataFrame, ws: Workspace) -> DataFrame:
         known = known.union(fresh.select(known.columns))
 
 
+def composed(known: DataFrame, chains: DataFrame, ws: Workspace) -> DataFrame:
+    """(artifact_id, s, p, o, rule): what property chains make of the known assertions, a link more in every round."""
+    spark = known.sparkSession
+    schema = "artifact_id string, chain string, s string, o string"
+    step = chains.select("artifact_id", "chain", "position", "p")
+    hops = known.select("artifact_id", "p", F.col("s").alias("o"), F.col("o").alias("next"))
+    reached = known.join(step.where("position = 0"), ["artifact_id", "p"]).select("artifact_id", "chain", "s", "o").distinct()
+    done, position = [], 0
+    while True:
+        path, n = ws.write(reached, "composed")
+        if n == 0:
+            break
+        position += 1
+        reached = spark.read.schema(schema).parquet(path)
+        ends = chains.where((F.col("position") == 0) & (F.col("n") == position)).select("artifact_id", "chain", "q")
+        done.append(reached.join(ends, ["artifact_id", "chain"]).select("artifact_id", "s", F.col("q").alias("p"), "o"))
+        onward = reached.join(step.where(F.col("position") == position), ["artifact_id", "chain"])
+        reached = onward.join(hops, ["artifact_id", "p", "o"]).select("artifact_id", "chain", "s", F.col("next").alias("o")).distinct()
+    out = known.select("artifact_id", "s", "p", "o").limit(0)
+    for part in done:
+        out = out.union(part)
+    return out.distinct().withColumn("rule", F.lit("prp-spo2"))
+
+
 def entailed_types(
-    triples: DataFrame, ws: Workspace, properties: DataFrame | None = None, hierarchy: DataFrame | None = None
+    triples: DataFrame, ws: Workspace, properties: DataFrame | None = None, reasoned=None, wanted: DataFrame | None = None
 ) -> DataFrame:
     """(artifact_id, ind, cls, rule): asserted and entailed types of named individuals.
 
-    prp-dom / prp-rng on entailed assertions (pre-aggregated to distinct subject or
-    object per property), ``someValuesFrom`` / ``hasValue`` on the subclass side,
-    then cax-sco through the closed hierarchy.
+    On the normal forms: cax-sco through the saturated hierarchy of classes and expressions, prp-dom / prp-rng on entailed
+    assertions (pre-aggregated to distinct subject or object per property), cls-svf1 and cls-hv2 where an assertion leads into
+    a filler or to a value, whichever side of an axiom the expression stands on, and cls-int1 for individuals
+    in all members of an intersection. Only what is new goes round again.
+
+    ``reasoned`` is an ``expression_hierarchy`` to be reused. With ``wanted`` (artifact_id, cls) only types among these come
+    back, expressions included, and others are not carried along; without, all named classes.
     """
-    if hierarchy is None:
-        hierarchy = closure(rule_edges(triples, ws).select(*EDGE), ws)
+    forms, edges, hierarchy = reasoned or expression_hierarchy(triples, ws)
     props = entailed_assertions(triples, ws) if properties is None else properties
-    declared = triples.where((F.col("p") == S.TYPE) & (F.col("s_kind") == "iri") & (F.col("o_kind") == "iri"))
+    declared = triples.where((F.col("p") == S.TYPE) & (F.col("s_kind") == "iri") & F.col("o_kind").isin("iri", "bnode"))
     own = declared.where(
         ~F.col("o").startswith(S.OWL) & ~F.col("o").startswith(S.RDFS)
     ).select("artifact_id", F.col("s").alias("ind"), F.col("o").alias("cls"), F.lit("asserted").alias("rule"))
-    scope = triples.where(F.col("p").isin(S.DOMAIN, S.RANGE) & (F.col("o_kind") == "iri")).select(
-        "artifact_id", F.col("s").alias("p"), F.col("o").alias("cls"), (F.col("p") == S.DOMAIN).alias("domain")
+    some = forms.some.where("p <> ''").select("artifact_id", "p", "filler", F.col("node").alias("result"))
+    scope = triples.where(F.col("p").isin(S.DOMAIN, S.RANGE) & F.col("o_kind").isin("iri", "bnode")).select(
+        "artifact_id", F.col("s").alias("p"), F.col("o").alias("cls"), (F.col("p") == S.DOMAIN).alias("domain"),
+        F.when(F.col("p") == S.DOMAIN, "prp-dom").otherwise("prp-rng").alias("rule"),
     )
+    # whatever a link leads to is a thing
+    anything = some.where(F.col("filler") == S.THING).select("artifact_id", "p", "result", F.lit(True), F.lit("cls-svf2"))
     ends = props.select(
         "artifact_id", "p",
         F.inline(F.array(
@@ -311,84 +325,91 @@ def entailed_types(
             F.struct(F.col("o").alias("ind"), F.lit(False).alias("domain")),
         )),
     ).distinct()
-    scoped = ends.join(scope, ["artifact_id", "p", "domain"]).select(
-        "artifact_id", "ind", "cls", F.when(F.col("domain"), "prp-dom").otherwise("prp-rng").alias("rule")
-    )
-    some, has = restrictions(triples)
-    above = hierarchy.select("artifact_id", F.col("child").alias("cls"), "ancestor")
+    scoped = ends.join(scope.union(anything), ["artifact_id", "p", "domain"]).select("artifact_id", "ind", "cls", "rule")
+    # a type that an expression brings with its axiom keeps the expression's rule
+    said = forms.told.where(is_blank(F.col("child"))).select("artifact_id", F.col("child").alias("cls"), F.col("parent").alias("ancestor"), F.lit(True).alias("said"))
+    above = hierarchy.where("child <> ancestor").select("artifact_id", F.col("child").alias("cls"), "ancestor").join(
+        said, ["artifact_id", "cls", "ancestor"], "left"
+    )
+    carried = None
+    if wanted is not None:
+        carried = ws.table(wanted.union(forms.asked()).distinct(), "wanted").toDF("artifact_id", "cls")
+        above = above.join(carried.withColumnRenamed("cls", "ancestor"), ["artifact_id", "ancestor"], "left_semi")
+    above = ws.table(above.select("artifact_id", "cls", "ancestor", "said"), "above")
     key = ["artifact_id", "ind", "cls"]
 
     def lifted(direct):
         up = direct.join(above, ["artifact_id", "cls"]).select(
-            "artifact_id", "ind", F.col("ancestor").alias("cls"), F.lit("cax-sco").alias("rule")
+            "artifact_id", "ind", F.col("ancestor").alias("cls"),
+            F.when(F.col("said") & F.col("rule").startswith("cls-"), F.col("rule")).otherwise("cax-sco").alias("rule"),
         )
-        return direct.union(up).groupBy(*key).agg(F.min("rule").alias("rule"))
-
-    by_value = props.join(has, ["artifact_id", "p"]).where("o = filler").select(
+        if carried is not None:
+            direct = direct.join(carried, ["artifact_id", "cls"], "left_semi").select(*key, "rule")
+        # an expression's own rule tells more than the hierarchy, and an assertion more than both
+        order = F.when(F.col("rule").startswith("cls-"), F.concat(F.lit("b "), "rule")).otherwise(F.col("rule"))
+        best = direct.union(up).groupBy(*key).agg(F.min(order).alias("rule"))
+        return best.withColumn("rule", F.regexp_replace("rule", "^b ", ""))
+
+    def told(types):
+        if wanted is None:
+            return types.where(~is_blank(F.col("cls")) & (F.col("cls") != S.THING))
+        return types.join(wanted, ["artifact_id", "cls"], "left_semi").select(*key, "rule")
+
+    has = some.where(F.col("filler").startswith(VALUE))
+    by_value = props.join(has, ["artifact_id", "p"]).where(F.concat(F.lit(VALUE), "o") == F.col("filler")).select(
         "artifact_id", F.col("s").alias("ind"), F.col("result").alias("cls"), F.lit("cls-hv2").alias("rule")
     )
     first = lifted(own.union(scoped).union(by_value))
-    some = ws.table(some, "restrictions")
-    if some.isEmpty():
-        return first
-    # a new type may be the filler that another restriction waits for: only what is new goes round again
+    if not forms.rows["some"] + forms.rows["meets"]:
+        return told(first)
+    # a new type may be the filler or the member that another expression waits for
     linked = ws.table(props.join(some, ["artifact_id", "p"]).select("artifact_id", "s", "o", "filler", "result"), "restricted")
+    meets = forms.meets.select("artifact_id", F.col("member").alias("cls"), F.col("node").alias("whole"), "n")
     known = delta = ws.table(first, "types")
     while True:
         hit = linked.join(
             delta.select("artifact_id", F.col("ind").alias("o"), F.col("cls").alias("filler")), ["artifact_id", "o", "filler"]
         ).select("artifact_id", F.col("s").alias("ind"), F.col("result").alias("cls"), F.lit("cls-svf1").alias("rule"))
-        path, n = ws.write(lifted(hit.distinct()).join(known, key, "left_anti"), "types")
+        touched = delta.join(meets, ["artifact_id", "cls"]).select("artifact_id", "ind", "whole").distinct()
+        met = known.join(meets, ["artifact_id", "cls"]).join(touched, ["artifact_id", "ind", "whole"], "left_semi")
+        met = met.groupBy("artifact_id", "ind", F.col("whole").alias("cls"), "n").agg(F.count(F.lit(1)).alias("m")).where("m = n")
+        found = hit.distinct().union(met.select(*key, F.lit("cls-int1")))
+        path, n = ws.write(lifted(found).join(known, key, "left_anti"), "types")
         if n == 0:
-            return known
+            return told(known)
         delta = triples.sparkSession.read.schema(known.schema).parquet(path)
         known = known.union(delta.select(known.columns))
 
 
-def restrictions(triples: DataFrame):
-    """(artifact_id, p, result, filler) of the restrictions equivalent to a named class: cls-svf1, cls-hv2."""
-    on = triples.where(F.col("p") == S.owl("onProperty")).select(
-        "artifact_id", F.col("s").alias("node"), F.col("o").alias("p")
-    )
-    named = triples.where(
-        (F.col("p") == S.EQUIVALENT) & (F.col("s_kind") == "iri") & (F.col("o_kind") == "bnode")
-    ).select("artifact_id", F.col("s").alias("result"), F.col("o").alias("node"))
-    shaped = on.join(named, ["artifact_id", "node"])
-
-    def of(p):
-        filler = triples.where((F.col("p") == S.owl(p)) & (F.col("o_kind") == "iri")).select(
-            "artifact_id", F.col("s").alias("node"), F.col("o").alias("filler")
-        )
-        return shaped.join(filler, ["artifact_id", "node"]).select("artifact_id", "p", "result", "filler")
-
-    return of("someValuesFrom"), of("hasValue")
-
-
-def inconsistent_individuals(
-    triples: DataFrame, upper: Upper, ws: Workspace, hierarchy: DataFrame | None = None
-) -> DataFrame:
+def inconsistent_individuals(triples: DataFrame, upper: Upper, ws: Workspace) -> DataFrame:
     """(artifact_id, ind, rule): individuals the rules find contradictory.
 
-    cax-dw: typed to both sides of a disjointness, upper or asserted;
-    prp-irp / prp-asyp: irreflexive and asymmetric properties.
+    cax-dw: typed to both sides of a disjointness, upper or asserted; cls-com: to a class and its complement;
+    cls-nothing2: to owl:Nothing; prp-irp / prp-asyp: irreflexive and asymmetric properties. Only types that can clash are carried.
     """
     props = ws.table(entailed_assertions(triples, ws), "entailed-assertions")
+    forms, edges, hierarchy = expression_hierarchy(triples, ws)
+    hierarchy = ws.table(hierarchy, "hierarchy")
+    nodes = edges.select("artifact_id", F.col("parent").alias("cls")).union(
+        triples.where((F.col("p") == S.TYPE) | F.col("p").isin(S.DOMAIN, S.RANGE)).select("artifact_id", "o")
+    )
+    tops = nodes.where(is_upper(F.col("cls")) | (F.col("cls") == S.NOTHING))
+    wanted = ws.table(tops.union(forms.apart.select("artifact_id", "member")).distinct(), "clashing")
     types = ws.table(
-        entailed_types(triples, ws, props, hierarchy).select("artifact_id", "ind", "cls"), "entailed-types"
+        entailed_types(triples, ws, props, (forms, edges, hierarchy), wanted).select("artifact_id", "ind", "cls"), "entailed-types"
     )
     under = types.where(is_upper(F.col("cls"))).select(
         "artifact_id", F.col("ind").alias("cls"), F.col("cls").alias("upper_iri")
     )
     by_upper = straddle_pairs(under, upper).select("artifact_id", F.col("cls").alias("ind"), F.lit("cax-dw").alias("rule"))
     by_group = (
-        types.join(
-            disjoint_groups(triples, ws).withColumnRenamed("member", "cls"), ["artifact_id", "cls"]
-        )
+        types.join(forms.apart.withColumnRenamed("member", "cls"), ["artifact_id", "cls"])
         .groupBy("artifact_id", "ind", "group_id")
         .agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("artifact_id", "ind", F.lit("cax-dw").alias("rule"))
+        .select("artifact_id", "ind", F.when(F.col("group_id").startswith("not "), "cls-com").otherwise("cax-dw").alias("rule"))
     )
+    by_nothing = types.where(F.col("cls") == S.NOTHING).select("artifact_id", "ind", F.lit("cls-nothing2").alias("rule"))
 
     def marked(kind):
         return triples.where((F.col("p") == S.TYPE) & (F.col("o") == S.owl(kind))).select(
@@ -403,7 +424,7 @@ def inconsistent_individuals(
         asym.select("artifact_id", "p", F.col("o").alias("s"), F.col("s").alias("o")),
         ["artifact_id", "p", "s", "o"], "left_semi",
     ).select("artifact_id", F.col("s").alias("ind"), F.lit("prp-asyp").alias("rule"))
-    return by_upper.union(by_group).union(loops).union(both).distinct()
+    return by_upper.union(by_group).union(by_nothing).union(loops).union(both).distinct()
 
 
 def coherence(artifacts: DataFrame, unsat: DataFrame, inconsistent: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quercus import schema as S
 from quercus.functions.names import is_upper, local_name, logic_symbol
-from quercus.operators.disjointness import asserted_pairs, disjoint_groups
+from quercus.operators.disjointness import PAIRED, asserted_pairs, disjoint_groups, pair_counts, sized, within_groups
 from quercus.operators.lint import straddle_pairs
 from quercus.operators.ranking import first_per_group, grouped_rank
 from quercus.operators.walks import entry_points, propagate, subclass_edges
@@ -19,7 +19,8 @@ from quercus.workspace import Workspace
 class Theory:
     classes: DataFrame  # artifact_id, iri, label, sym, kind
     subsumptions: DataFrame  # artifact_id, sub, sup
-    disjoints: DataFrame  # artifact_id, a, b, origin
+    disjoints: DataFrame  # artifact_id, a, b, origin: pairs of groups of at most PAIRED members, and of the upper ontology
+    chains: DataFrame  # artifact_id, group_id, symbol, iri, place, occurrents, size: longer groups, occurrents first
     groups: DataFrame  # artifact_id, group_id, member: asserted groups of any length
     properties: DataFrame  # artifact_id, iri, label, sym
 
@@ -105,21 +106,46 @@ def build_theory(triples: DataFrame, upper: Upper, ws: Workspace) -> Theory:
         .join(known.withColumnRenamed("iri", "parent"), ["artifact_id", "parent"], "left_semi")
         .select("artifact_id", F.col("child").alias("sub"), F.col("parent").alias("sup"))
     )
-    asserted = asserted_pairs(groups)
+    by_size = sized(groups)
+    asserted = asserted_pairs(by_size.where(F.col("size") <= PAIRED))
     referenced = referenced_categories(edges)
     # One pseudo-class per artifact: its set of categories is at most the upper ontology.
     clashing = straddle_pairs(referenced.withColumn("cls", F.lit("")), upper).select("artifact_id", "a", "b")
+    beyond = clashing.join(within_groups(clashing, groups), ["artifact_id", "a", "b"], "left_anti")
     return Theory(
         classes=classes,
         subsumptions=subs,
-        disjoints=asserted.withColumn("origin", F.lit("asserted")).union(
-            clashing.join(asserted, ["artifact_id", "a", "b"], "left_anti").withColumn("origin", F.lit("bfo"))
-        ),
+        disjoints=asserted.withColumn("origin", F.lit("asserted")).union(beyond.withColumn("origin", F.lit("bfo"))),
+        chains=chains(by_size.where(F.col("size") > PAIRED), classes, ws),
         groups=groups,
         properties=named.where("is_property").drop("is_property"),
     )
 
 
+def chains(long: DataFrame, classes: DataFrame, ws: Workspace) -> DataFrame:
+    """Members of long groups in a row, occurrents first, with the group's symbol and its number of occurrents."""
+    if long.isEmpty():
+        return long.select(
+            "artifact_id", "group_id", F.lit("").alias("symbol"), F.col("member").alias("iri"), F.lit(0).cast("bigint").alias("place"),
+            F.lit(0).cast("bigint").alias("occurrents"), "size",
+        )
+    known = classes.select("artifact_id", F.col("iri").alias("member"), (F.col("kind") != "occurrent").alias("lasting"))
+    kinds = long.join(known, ["artifact_id", "member"])
+    names = grouped_rank(long.select("artifact_id", "group_id").distinct(), ["artifact_id"], ["group_id"], ws, "number")
+    occurrents = kinds.groupBy("artifact_id", "group_id").agg(F.count_if(~F.col("lasting")).alias("occurrents"))
+    placed = grouped_rank(kinds, ["artifact_id", "group_id"], ["lasting", "member"], ws, "place").drop("_n")
+    named = names.select("artifact_id", "group_id", F.concat(F.lit("g"), F.col("number").cast("string")).alias("symbol"))
+    found = placed.join(occurrents, ["artifact_id", "group_id"]).join(named, ["artifact_id", "group_id"])
+    columns = ["artifact_id", "group_id", "symbol", F.col("member").alias("iri"), "place", "occurrents", "size"]
+    return ws.table(found.select(*columns), "chains")
+
+
+def disjoint_pairs(theory: Theory) -> DataFrame:
+    """(artifact_id, a, b, origin): every pair, those of long groups spelled out too."""
+    pairs = asserted_pairs(theory.groups).withColumn("origin", F.lit("asserted"))
+    return pairs.union(theory.disjoints.where("origin = 'bfo'"))
+
+
 def referenced_categories(edges: DataFrame) -> DataFrame:
     """(artifact_id, upper_iri): upper categories that are somebody's direct parent."""
     return edges.where(is_upper(F.col("parent"))).select("artifact_id", F.col("parent").alias("upper_iri")).distinct()
@@ -134,10 +160,11 @@ def stats(theory: Theory) -> DataFrame:
         ],
     )
     out = kinds
-    for df, name in (
-        (theory.subsumptions, "subsumptions"), (theory.disjoints, "disjoint_axioms"), (theory.properties, "properties")
-    ):
+    extra = theory.disjoints.where("origin = 'bfo'").groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pair_counts(theory.groups).union(extra).groupBy("artifact_id").agg(F.sum("n").alias("disjoint_axioms"))
+    for df, name in ((theory.subsumptions, "subsumptions"), (theory.properties, "properties")):
         out = out.join(df.groupBy("artifact_id").agg(F.count(F.lit(1)).alias(name)), "artifact_id", "left")
+    out = out.join(pairs, "artifact_id", "left")
     zero = F.lit(0).cast("bigint")
     return out.select(
         *kinds.columns,
@@ -162,6 +189,24 @@ TEMPLATES = {
         ("dis", 3): "  (forall (x t) (not (and (instance_of x %1$s t) (instance_of x %2$s t))))",
     },
 }
+# Lines of a chain. %1$s is a class, %2$s what the members before it come to, %3$s what they come to with it;
+# "first" begins a chain, "with" joins it, and "apart" also keeps off what came before.
+CHAIN = {
+    "prover9": {
+        ("first", 2): "  all X (instance_of_at(X,%1$s) -> one_of_at(X,%3$s)).",
+        ("apart", 2): "  all X ((instance_of_at(X,%1$s) -> (one_of_at(X,%3$s) & -one_of_at(X,%2$s))) & (one_of_at(X,%2$s) -> one_of_at(X,%3$s))).",
+        ("first", 3): "  all X all T (instance_of(X,%1$s,T) -> one_of(X,%3$s,T)).",
+        ("with", 3): "  all X all T ((instance_of(X,%1$s,T) | one_of(X,%2$s,T)) -> one_of(X,%3$s,T)).",
+        ("apart", 3): "  all X all T ((instance_of(X,%1$s,T) -> (one_of(X,%3$s,T) & -one_of(X,%2$s,T))) & (one_of(X,%2$s,T) -> one_of(X,%3$s,T))).",
+    },
+    "clif": {
+        ("first", 2): "  (forall (x) (if (instance_of_at x %1$s) (one_of_at x %3$s)))",
+        ("apart", 2): "  (forall (x) (and (if (instance_of_at x %1$s) (and (one_of_at x %3$s) (not (one_of_at x %2$s)))) (if (one_of_at x %2$s) (one_of_at x %3$s))))",
+        ("first", 3): "  (forall (x t) (if (instance_of x %1$s t) (one_of x %3$s t)))",
+        ("with", 3): "  (forall (x t) (if (or (instance_of x %1$s t) (one_of x %2$s t)) (one_of x %3$s t)))",
+        ("apart", 3): "  (forall (x t) (and (if (instance_of x %1$s t) (and (one_of x %3$s t) (not (one_of x %2$s t)))) (if (one_of x %2$s t) (one_of x %3$s t))))",
+    },
+}
 FRAME = {
     "prover9": {
         "head": ["% The artifact's classes as a first-order theory; input for a prover or a model finder.", None, "set(prolog_style_variables).", "", "formulas(assumptions)."],
@@ -201,6 +246,33 @@ def _line(syntax: str, family: str, align: bool) -> Column:
     return F.when(_arity(align) == 2, two).otherwise(three)
 
 
+def _chain_lines(theory: Theory, syntax: str, align: bool) -> DataFrame:
+    """Long groups, a line per member and predicate: every member keeps off what all members before it come to.
+
+    Two occurrents exclude each other in the binary predicate and any other two members in the ternary one, as
+    pairs do; so occurrents have a binary chain, and a ternary one that they join before the others keep off it.
+    """
+    rows = _with_class(theory.chains, theory.classes, "iri", "l")
+    occurrent = F.lit(False) if align else F.col("place") <= F.col("occurrents")
+    name = lambda at: F.concat_ws("_", "symbol", (F.col("place") - at).cast("string"))
+
+    def line(kind, arity):
+        return F.format_string(CHAIN[syntax][kind, arity], F.col("sym_l"), name(1), name(0))
+
+    binary = F.when(F.col("place") == 1, line("first", 2)).otherwise(line("apart", 2))
+    ternary = F.when(F.col("place") == 1, line("first", 3)).when(occurrent, line("with", 3)).otherwise(line("apart", 3))
+    mark = F.lit("  % asserted" if syntax == "prover9" else "  ;; asserted")
+    cells = F.array(
+        F.struct(F.lit("2").alias("arity"), F.when(occurrent & (F.col("occurrents") > 1), binary).alias("text")),
+        F.struct(F.lit("3").alias("arity"), F.when(~occurrent | (F.col("occurrents") < F.col("size")), ternary).alias("text")),
+    )
+    return rows.select("artifact_id", "group_id", "place", F.inline(cells)).where("text IS NOT NULL").select(
+        "artifact_id", F.lit(4).alias("section"),
+        F.concat_ws(" ", F.lit("~"), "group_id", "arity", F.lpad(F.col("place").cast("string"), 12, "0")).alias("sort_key"),
+        F.concat("text", mark).alias("line"),
+    )
+
+
 def render(theory: Theory, syntax: str = "prover9", align_bfo: bool = False) -> DataFrame:
     """The theory as text lines (artifact_id, section, sort_key, line).
 
@@ -227,6 +299,7 @@ def render(theory: Theory, syntax: str = "prover9", align_bfo: bool = False) ->
         "artifact_id", F.lit(4).alias("section"), F.concat_ws(" ", "a", "b").alias("sort_key"),
         F.concat(_line(syntax, "dis", align_bfo), note).alias("line"),
     )
+    dis_lines = dis_lines.union(_chain_lines(theory, syntax, align_bfo))
     fixed = [frame["aligned" if align_bfo else "note"] if t is None else t for t in frame["head"]]
     shell = [(0, f"{i:02d}", t) for i, t in enumerate(fixed)] + [(5, "", frame["tail"])]
     artifacts = theory.classes.select("artifact_id").distinct()
@@ -241,7 +314,7 @@ def render(theory: Theory, syntax: str = "prover9", align_bfo: bool = False) ->
         constant(artifacts, shell)
         .union(constant(theory.subsumptions.select("artifact_id").distinct(), [(1, "", frame["sub"])]))
         .union(sub_lines)
-        .union(constant(theory.disjoints.select("artifact_id").distinct(), [(3, "", frame["dis"])]))
+        .union(constant(dis_lines.select("artifact_id").distinct(), [(3, "", frame["dis"])]))
         .union(dis_lines)
     )
 

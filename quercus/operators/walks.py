@@ -1,9 +1,11 @@
-"""Walks over the class hierarchy, as semi-naive equi-joins.
+"""Walks over the class hierarchy, as equi-joins over shortcuts that double.
 
 ``propagate`` is the one iterative operator.  Facts travel from parent to child
 until nothing new turns up.  Most nodes of a real hierarchy have no children, so
 the loop runs over the *backbone* only (nodes that are somebody's parent); the
-leaves are served by a single join after it has settled.  Each round is a
+leaves are served by a single join after it has settled.  Round k moves every fact
+known so far 2^k steps down at once, along shortcuts that the round before made of two
+of its own, so a hierarchy of depth n takes log2(n) rounds, whatever its size.  Each round is a
 written table, so lineage stays flat and the planner sees real sizes.
 """
 
@@ -15,8 +17,7 @@ from quercus.functions.names import is_upper
 from quercus.sources.kernel import Kernel
 from quercus.workspace import Workspace
 
-SMALL_BACKBONE_ROWS = 200_000
-FACT = "artifact_id string, node string, value string"
+ROUND = "artifact_id string, node string, other string"
 EDGE = ["artifact_id", "child", "parent"]
 
 
@@ -78,18 +79,13 @@ def propagate(links: DataFrame, ws: Workspace) -> DataFrame:
     flagged = links.join(parents, ["artifact_id", "child"], "left").select(
         *EDGE, "value", F.coalesce("inner", F.lit(False)).alias("inner")
     )
-    size = Observation()
-    path, _ = ws.write(
-        flagged.observe(size, F.count_if("inner").alias("inner")), "links", partition_by="inner"
-    )
+    path, _ = ws.write(flagged, "links", partition_by="inner")
     stored = spark.read.schema(links.select(*EDGE, "value").schema.add("inner", "boolean")).parquet(path)
-    backbone = _settle(stored.where("inner"), size.get["inner"], ws)
+    backbone = _settle(stored.where("inner"), ws)
     leaves = stored.where("NOT inner")
     own = leaves.where("value IS NOT NULL").select(
         "artifact_id", F.col("child").alias("node"), "value"
     )
-    if backbone is None:
-        return own.distinct()
     inherited = (
         leaves.where("parent IS NOT NULL")
         .select("artifact_id", F.col("child"), F.col("parent").alias("node"))
@@ -99,58 +95,38 @@ def propagate(links: DataFrame, ws: Workspace) -> DataFrame:
     return backbone.union(own.union(inherited).distinct())
 
 
-def _settle(inner: DataFrame, n_links: int, ws: Workspace):
-    """Run the loop over the backbone; None when it holds no fact.
+def _settle(inner: DataFrame, ws: Workspace):
+    """Run the loop over the backbone.
 
-    Rows carry ``far``: the fact sits at the end of its chain of joins, so its
-    children have not been looked at yet.  Only those go into the next round.
+    After round k all facts within 2^(k+1) - 1 steps are known. A fact that is farther away has one on its way
+    that round k would have found, so a round without news is the last one; so is one that no shortcut outlasts.
+    On a circle shortcuts never end, on a tree every node has one at most; their number is bounded by the backbone's own closure.
+    A round writes its news and the next shortcuts in one job.
     """
-    if n_links == 0:
-        return None
     spark = inner.sparkSession
-    steps = inner.where("parent IS NOT NULL").select(*EDGE)
-    # A small backbone is cheap to descend several steps per job.  A big one goes one
-    # step at a time: in a longer chain the facts that ran out of children would all
-    # meet on a null key.
-    hops, levels = (3, 2) if n_links <= SMALL_BACKBONE_ROWS else (1, 1)
-    delta = inner.where("value IS NOT NULL").select(
-        "artifact_id", F.col("child").alias("node"), "value", F.lit(True).alias("far")
-    )
-    rounds = []
+    told = inner.where("value IS NOT NULL").select("artifact_id", F.col("child").alias("node"), "value").distinct()
+    jump = inner.where("parent IS NOT NULL").select("artifact_id", F.col("parent").alias("node"), F.col("child").alias("below")).distinct()
+    rounds, seen = [], told
     while True:
-        new = delta
-        for _ in range(levels):
-            new = _descend(new, steps, hops)
-        if rounds:
-            seen = spark.read.schema(FACT).parquet(*rounds)
-            new = new.join(seen, ["artifact_id", "node", "value"], "left_anti")
-        far = Observation()
-        path, n = ws.write(new.observe(far, F.count_if("far").alias("n")), "round")
-        if n:
+        moved = seen.join(jump, ["artifact_id", "node"]).select("artifact_id", F.col("below").alias("node"), "value").distinct()
+        news = moved.join(seen, ["artifact_id", "node", "value"], "left_anti").select("artifact_id", "node", F.col("value").alias("other"), F.lit(True).alias("fact"))
+        second = jump.select("artifact_id", F.col("node").alias("below"), F.col("below").alias("beyond"))
+        twice = jump.join(second, ["artifact_id", "below"]).select("artifact_id", "node", F.col("beyond").alias("other")).distinct()
+        found = Observation()
+        both = news.union(twice.withColumn("fact", F.lit(False)))
+        path, n = ws.write(both.observe(found, F.count_if("fact").alias("facts")), "round", partition_by="fact")
+        facts = found.get["facts"] if n else 0
+        if facts:
             rounds.append(path)
-        if far.get["n"] == 0:
-            break
-        delta = spark.read.schema(FACT + ", far boolean").parquet(path).where("far")
-    return spark.read.schema(FACT).parquet(*rounds) if rounds else None
-
-
-def _descend(facts: DataFrame, steps: DataFrame, hops: int) -> DataFrame:
-    """Far facts moved up to ``hops`` steps down in one chain of joins; the others kept."""
-    out = facts.select("artifact_id", "value", "node", F.when(F.col("far"), F.col("node")).alias("n0"))
-    for i in range(hops):
-        step = steps.select(
-            "artifact_id", F.col("parent").alias(f"n{i}"), F.col("child").alias(f"n{i + 1}")
-        )
-        out = out.join(step, ["artifact_id", f"n{i}"], "left")
-    reached = [F.struct(F.col("node"), F.lit(False).alias("far"))] + [
-        F.struct(F.col(f"n{i}").alias("node"), F.lit(i == hops).alias("far")) for i in range(1, hops + 1)
-    ]
-    return (
-        out.select("artifact_id", "value", F.inline(F.array(*reached)))
-        .where("node IS NOT NULL")
-        .groupBy("artifact_id", "node", "value")
-        .agg(F.bool_or("far").alias("far"))
-    )
+            seen = told.union(_part(spark, rounds, True).toDF("artifact_id", "node", "value"))
+        if facts == 0 or facts == n:
+            return seen
+        jump = _part(spark, [path], False).toDF("artifact_id", "node", "below")
+
+
+def _part(spark, paths, fact: bool) -> DataFrame:
+    """Facts or shortcuts of written rounds."""
+    return spark.read.schema(ROUND).parquet(*[f"{p}/fact={str(fact).lower()}" for p in paths])
 
 
 def entry_points(edges: DataFrame, ws: Workspace) -> DataFrame:
@@ -179,9 +155,11 @@ def closure(edges: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def reaches(edges: DataFrame, targets, ws: Workspace) -> DataFrame:
-    """(artifact_id, cls, target): classes under any of a few target classes, reflexive rows left out."""
-    hit = F.col("parent").isin(list(targets))
-    links = edges.withColumn("value", F.when(hit, F.col("parent")))
+    """(artifact_id, cls, target): classes that are, or fall under, one of a few target classes."""
+    wanted = list(targets)
+    links = edges.withColumn("value", F.when(F.col("parent").isin(wanted), F.col("parent")))
+    itself = edges.select("artifact_id", F.explode(F.array("child", "parent")).alias("child")).where(F.col("child").isin(wanted)).distinct()
+    links = links.union(itself.select("artifact_id", "child", F.lit(None).cast("string"), "child"))
     return propagate(links, ws).select(
         "artifact_id", F.col("node").alias("cls"), F.col("value").alias("target")
     )

@@ -28,9 +28,9 @@ def analyse(triples: DataFrame, upper: Upper, ws: Workspace) -> Analysis:
     findings = ws.table(lint_findings(entry_points(subclass_edges(triples), ws), upper), "findings")
     ruled = ws.table(rule_edges(triples, ws).select(*EDGE), "ruled")
     hierarchy = ws.table(closure(ruled, ws), "hierarchy")
-    unsat = ws.table(unsatisfiable_classes(triples, upper, ws, ruled, hierarchy), "unsat")
+    unsat = ws.table(unsatisfiable_classes(triples, upper, ws), "unsat")
     inferred = ws.table(inferred_subsumptions(triples, ws, hierarchy), "inferred")
-    bad = inconsistent_individuals(triples, upper, ws, hierarchy)
+    bad = inconsistent_individuals(triples, upper, ws)
     status = coherence(triples.select("artifact_id").distinct(), unsat, bad)
     rows = profile(triples).join(status, "artifact_id")
     zero = F.lit(0).cast("bigint")

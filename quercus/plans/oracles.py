@@ -297,11 +297,24 @@ FRAGMENTS = {
     "ruled_clo": (_closure("ruled_clo", "ruled"), ["ruled"]),
     "ruled_k": ("ruled_k AS (SELECT * FROM ruled UNION SELECT * FROM edges_k)", ["ruled", "edges_k"]),
     "ruled_k_clo": (_closure("ruled_k_clo", "ruled_k"), ["ruled_k"]),
-    "filler": (
-        "filler AS (SELECT DISTINCT u.artifact_id, u.s AS child, f.o AS parent FROM tbox u JOIN tbox f ON u.artifact_id = f.artifact_id "
-        f"AND u.o = f.s WHERE u.p = {q(S.SUBCLASS)} AND u.o_kind = 'bnode' AND f.p = {q(OWL + 'someValuesFrom')})",
+    # restrictions that parts lie under, and the class of what their links lead to
+    "linked": (
+        "linked AS (SELECT DISTINCT u.artifact_id, u.s AS cls, n.o AS prop, f.o AS filler, '_:to ' || n.o || ' ' || f.o AS target "
+        "FROM tbox u JOIN tbox n ON u.artifact_id = n.artifact_id AND u.o = n.s JOIN tbox f ON u.artifact_id = f.artifact_id AND u.o = f.s "
+        f"WHERE u.p = {q(S.SUBCLASS)} AND u.o_kind = 'bnode' AND n.p = {q(OWL + 'onProperty')} AND f.p = {q(OWL + 'someValuesFrom')})",
         ["tbox"],
     ),
+    "filler": ("filler AS (SELECT artifact_id, cls AS child, target AS parent FROM linked)", ["linked"]),
+    "scoped": (
+        "scoped AS (SELECT l.artifact_id, CASE WHEN d.p = " + q(S.DOMAIN) + " THEN l.cls ELSE l.target END AS child, d.o AS parent FROM linked l "
+        f"JOIN tbox d ON l.artifact_id = d.artifact_id AND l.prop = d.s WHERE d.p IN ({q(S.DOMAIN)}, {q(S.RANGE)}) "
+        "UNION SELECT artifact_id, target, filler FROM linked)",
+        ["linked"],
+    ),
+    "sat": ("sat AS (SELECT * FROM ruled UNION SELECT * FROM scoped)", ["ruled", "scoped"]),
+    "sat_clo": (_closure("sat_clo", "sat"), ["sat"]),
+    "sat_k": ("sat_k AS (SELECT * FROM ruled_k UNION SELECT * FROM scoped)", ["ruled_k", "scoped"]),
+    "sat_k_clo": (_closure("sat_k_clo", "sat_k"), ["sat_k"]),
 }
 
 
@@ -321,7 +334,7 @@ def _empty(name, clo, edges):
     )
     final = (
         f"{name} AS (SELECT s.artifact_id, s.cls, coalesce(max(d.reason), 'inherited') AS reason FROM {name}_spread s LEFT JOIN "
-        f"{name}_direct d ON s.artifact_id = d.artifact_id AND s.cls = d.cls WHERE NOT {IS_UP.format('s.cls')} GROUP BY s.artifact_id, s.cls)"
+        f"{name}_direct d ON s.artifact_id = d.artifact_id AND s.cls = d.cls WHERE NOT {IS_UP.format('s.cls')} AND NOT starts_with(s.cls, '_:') GROUP BY s.artifact_id, s.cls)"
     )
     return {
         f"{name}_direct": (direct, [clo, "up_clash", "dis_group"]),
@@ -330,7 +343,7 @@ def _empty(name, clo, edges):
     }
 
 
-FRAGMENTS |= _empty("empty", "ruled_clo", "ruled") | _empty("empty_k", "ruled_k_clo", "ruled_k")
+FRAGMENTS |= _empty("empty", "sat_clo", "sat") | _empty("empty_k", "sat_k_clo", "sat_k")
 
 
 def sql(body: str, *needs: str) -> str:

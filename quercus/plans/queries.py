@@ -335,7 +335,8 @@ def j2(spark, d):
 TARGETS = [KERNEL_NS + "Agent", KERNEL_NS + "LegalEvent", EX + "size/S3"]
 
 
-@query("J3_reaches", sql(f"SELECT artifact_id, child AS cls, ancestor AS target FROM clo_k WHERE ancestor IN ({', '.join(map(q, TARGETS))})", "clo_k"))
+@query("J3_reaches", sql(f"SELECT artifact_id, child AS cls, ancestor AS target FROM clo_k WHERE ancestor IN ({', '.join(map(q, TARGETS))}) "
+       f"UNION SELECT artifact_id, node, node FROM (SELECT artifact_id, child AS node FROM edges_k UNION SELECT artifact_id, parent FROM edges_k) WHERE node IN ({', '.join(map(q, TARGETS))})", "clo_k"))
 def j3(spark, d):
     ws = Workspace(spark)
     return W.reaches(W.grounding_edges(tbox(spark, d), builtin_kernel()), TARGETS, ws)
@@ -909,6 +910,72 @@ def m4(spark, d):
     return M.inconsistent_individuals(abox(spark, d), builtin_upper(), Workspace(spark))
 
 
+# class expressions of every form: what has to follow is known from a part's key, not from another reasoner
+EXPR_PART = f"forms AS (SELECT DISTINCT 'expr-' || p_brand AS artifact_id, CAST(p_partkey AS VARCHAR) AS key, p_partkey % 12 AS form FROM part)"
+
+
+def _of_forms(columns, rows):
+    """SQL rows of (form, values) pairs, over the parts of each form; a value is SQL text over ``key``."""
+    return " UNION ALL ".join(f"SELECT artifact_id, {', '.join(f'{v} AS {c}' for c, v in zip(columns, values, strict=True))} FROM forms WHERE form = {form}" for form, values in rows)
+
+
+def _made(mark):
+    return f"'http://example.org/expr#{mark}' || key"
+
+
+EXPR_EMPTY = [
+    *[(form, (_made("P"), f"'{reason}'")) for form, reason in ((0, "asserted"), (1, "asserted"), (2, "inherited"), (3, "asserted"), (4, "asserted"), (5, "inherited"), (6, "asserted"),
+                                                                (8, "inherited"), (9, "asserted"), (10, "inherited"))],
+    (8, (_made("L"), "'asserted'")), (8, (_made("M"), "'asserted'")), (10, (_made("L"), "'asserted'")),
+]
+EXPR_TYPES = [
+    (form, (_made(who), f"'http://example.org/expr#{cls}'", f"'{rule}'"))
+    for form, who, rule, names in (
+        (0, "I", "asserted", "Hot Wet"), (0, "I", "cls-int1", "HotWet"), (1, "I", "asserted", "Hot Wet Allowed"), (1, "I", "cls-int1", "HotWet"),
+        (2, "I", "cls-svf1", "Carrier"), (2, "I", "cls-svf2", "Any"), (2, "J", "asserted", "Wet"),
+        (3, "I", "cls-svf1", "Holder"), (3, "I", "cls-svf2", "Any"), (3, "J", "asserted", "Hot"),
+        (4, "I", "cls-svf1", "Linked"), (4, "J", "cls-svf1", "Linked"), (4, "L", "asserted", "Core"),
+        (5, "I", "prp-dom", "Active"), (5, "J", "prp-rng", "Passive"),
+        (6, "I", "cls-svf1", "Carrier Holder Deep"), (6, "I", "cls-svf2", "Any"), (6, "J", "asserted", "Hot Wet"), (6, "J", "cls-int1", "HotWet"),
+        (7, "I", "cls-hv2", "Fixed"), (7, "I", "cls-svf2", "Any"), (8, "I", "cax-sco", "Carrier Any"), (0, "M", "prp-rng", "End"), (11, "I", "asserted", "Hot Cold"),
+    )
+    for cls in names.split()
+]
+EXPR_BAD = [(1, (_made("I"), "'cax-dw'")), (9, (_made("I"), "'prp-irp'")), (10, (_made("I"), "'prp-asyp'")), (10, (_made("J"), "'prp-asyp'")), (11, (_made("I"), "'cax-dw'"))]
+
+
+EXPR_LINKS = [
+    (form, (_made(a), f"'http://example.org/expr#{p}'", _made(b), f"'{rule}'"))
+    for form, a, p, b, rule in (
+        (0, "I", "first", "J", "asserted"), (0, "J", "second", "L", "asserted"), (0, "L", "third", "M", "asserted"), (0, "I", "whole", "M", "prp-spo2"),
+        (2, "I", "has", "J", "asserted"), (3, "I", "part", "J", "asserted"), (3, "I", "has", "J", "prp-spo1"),
+        (4, "I", "inside", "J", "asserted"), (4, "J", "inside", "L", "asserted"), (4, "I", "inside", "L", "prp-trp"),
+        (5, "I", "touches", "J", "asserted"), (6, "I", "has", "J", "asserted"), (9, "I", "beside", "I", "asserted"),
+        (10, "I", "above", "J", "asserted"), (10, "J", "above", "I", "asserted"),
+    )
+] + [(7, (_made("I"), "'http://example.org/expr#has'", "'http://example.org/expr#fixed'", "'asserted'"))]
+
+
+@query("M2_expression_assertions", f"WITH {EXPR_PART} " + _of_forms(("s", "p", "o", "rule"), EXPR_LINKS))
+def m2_expression_links(spark, d):
+    return M.entailed_assertions(load(spark, d, "expr"), Workspace(spark))
+
+
+@query("M2_expression_types", f"WITH {EXPR_PART} " + _of_forms(("ind", "cls", "rule"), EXPR_TYPES))
+def m2_expressions(spark, d):
+    return M.entailed_types(load(spark, d, "expr"), Workspace(spark))
+
+
+@query("M3_expression_unsatisfiable", f"WITH {EXPR_PART} " + _of_forms(("cls", "reason"), EXPR_EMPTY))
+def m3_expressions(spark, d):
+    return M.unsatisfiable_classes(load(spark, d, "expr"), builtin_upper(), Workspace(spark))
+
+
+@query("M4_expression_individuals", f"WITH {EXPR_PART} " + _of_forms(("ind", "rule"), EXPR_BAD))
+def m4_expressions(spark, d):
+    return M.inconsistent_individuals(load(spark, d, "expr"), builtin_upper(), Workspace(spark))
+
+
 @query("M5_coherence", sql(f"WITH {ABOX_EDGES}, {ENTAILED}, {TYPES}, {BAD_IND} SELECT a.artifact_id, coalesce(b.n, 0) AS inconsistent_individuals, coalesce(u.n, 0) AS unsatisfiable_classes, "
        "CASE WHEN b.n > 0 THEN 'inconsistent' WHEN u.n > 0 THEN 'incoherent' ELSE 'coherent' END AS coherence_status, 'rules' AS method FROM (SELECT DISTINCT artifact_id FROM triples) a "
        "LEFT JOIN (SELECT artifact_id, count(*) AS n FROM bad GROUP BY artifact_id) b USING (artifact_id) LEFT JOIN (SELECT artifact_id, count(*) AS n FROM empty GROUP BY artifact_id) u USING (artifact_id)", "triples", "up_clash", "empty"))
@@ -938,6 +1005,28 @@ def s13(spark, d):
     return spark.read.parquet(out).select("artifact_id", "classes", "axiom_count")
 
 
+@query("L2_property_chains", "SELECT DISTINCT 'expr-' || p_brand AS artifact_id, 'PropertyChain' AS premise_type, '∀x0,x1,x2,x3: (first(x0,x1) ∧ second(x1,x2) ∧ third(x2,x3)) → whole(x0,x3)' AS fol, "
+       "'Following first and then second and then third leads along whole' AS description FROM part")
+def l2_chains(spark, d):
+    return PR.axiom_premises(load(spark, d, "expr"), Workspace(spark)).where("premise_type = 'PropertyChain'")
+
+
+EXPR_LISTED = "listed AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY iri) AS i, count(*) OVER (PARTITION BY artifact_id) AS n FROM (SELECT DISTINCT 'expr-' || p_brand AS artifact_id, 'd' || p_partkey AS sym, 'http://example.org/expr#D' || p_partkey AS iri FROM part))"
+
+
+@query("A9_long_list_pairs", f"WITH {EXPR_LISTED} SELECT artifact_id, CAST(any_value(n) * (any_value(n) - 1) // 2 + 6 AS BIGINT) AS n FROM listed GROUP BY artifact_id")
+def a9_long(spark, d):
+    return D.pair_counts(D.disjoint_groups(load(spark, d, "expr"), Workspace(spark)))
+
+
+@query("F7_long_list_lines", f"WITH {EXPR_LISTED} SELECT artifact_id, CASE WHEN i = 1 THEN '  all X all T (instance_of(X,' || sym || ',T) -> one_of(X,g1_1,T)).' "
+       "ELSE '  all X all T ((instance_of(X,' || sym || ',T) -> (one_of(X,g1_' || i || ',T) & -one_of(X,g1_' || (i - 1) || ',T))) & (one_of(X,g1_' || (i - 1) || ',T) -> one_of(X,g1_' || i || ',T))).' END || '  % asserted' AS line "
+       "FROM listed WHERE n > 16")
+def f7_long(spark, d):
+    lines = TH.render(TH.build_theory(load(spark, d, "expr"), builtin_upper(), Workspace(spark)))
+    return lines.where("section = 4 AND line LIKE '%one_of%'").select("artifact_id", "line")
+
+
 # == theory ========================================================================================
 
 TH_CLASSES = f"""tc AS (SELECT DISTINCT artifact_id, iri FROM (SELECT artifact_id, s AS iri FROM tbox WHERE p = {q(S.TYPE)} AND o = {q(S.CLASS)} AND s_kind = 'iri' UNION ALL SELECT artifact_id, child FROM edges UNION ALL SELECT artifact_id, parent FROM edges)
@@ -967,7 +1056,7 @@ def f3(spark, d):
 
 @query("F4_F5_disjoint_pairs", sql(f"WITH {TH_CLASSES} SELECT artifact_id, a, b, origin FROM tdis", *TH_NEEDS))
 def f4(spark, d):
-    return theory(spark, d).disjoints
+    return TH.disjoint_pairs(theory(spark, d))
 
 
 @query("F6_properties", sql(f"WITH {TH_CLASSES} SELECT artifact_id, iri, label, sym FROM symd WHERE isp = 1", *TH_NEEDS))
@@ -1239,8 +1328,7 @@ def e5_pages(spark, d):
     return pages.select("expr_id", F.explode(X.terms(F.col("expression"))).alias("term"))
 
 
-@query("E6_free_variables", f"SELECT expr_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(e, {q(X.ARGUMENT)}, 1), lambda a : NOT list_contains("
-       f"flatten(list_transform(regexp_extract_all(e, {q(X.BOUND)}, 1), lambda b : list_transform(string_split(b, ','), lambda v : trim(v)))), a)))), ',') AS free FROM {FORMULAS_SQL}")
+@query("E6_free_variables", "SELECT p_partkey AS expr_id, CASE p_type WHEN 'PROMO' THEN 'x,y' WHEN 'STANDARD' THEN 'x' ELSE '' END AS free FROM part")
 def e6(spark, d):
     return expressions(spark, d).select("expr_id", F.array_join(X.free_variables(F.col("expression")), ",").alias("free"))
 
@@ -1267,6 +1355,23 @@ def j17_words(spark, d):
     return E.match_terms(words)
 
 
+# formulas with a part's name, and what is free in them
+SCOPED = [
+    ("forall x ({n}(x)) & {n}(x)", "x"), ("forall x ({n}(x) & P(x))", ""), ("all x. P(x) -> {n}(x)", "x"), ("exists x exists y ({n}(x,y)) | P(y)", "y"),
+    ("-(forall z1 (P(z1) & exists y {n}(y,z1))) & R(y,z1)", "y,z1"), ("forall x x = y", "y"), ("forall x (exists x ({n}(x)) & P(x))", ""),
+    ("(forall x {n}(x)) & (exists y (P(y))) & R(x,y)", "x,y"), ("{n}(x1) & forall x1, x2 (R(x1,x2)) & P(x2)", "x1,x2"),
+    ("forall x -{n}(x) | P(x)", "x"), ("(forall (x t) (if ({n} x t) (part_of x y)))", "y"),
+]
+SCOPED_CASE = "CASE p_partkey % " + str(len(SCOPED)) + " " + " ".join(f"WHEN {i} THEN {{{i}}}" for i in range(len(SCOPED))) + " END"
+
+
+@query("E6_scopes", "SELECT p_partkey AS expr_id, " + SCOPED_CASE.format(*[f"'{free}'" for _, free in SCOPED]) + " AS free FROM part")
+def e6_scopes(spark, d):
+    text = SCOPED_CASE.format(*["'" + t.format(n="' || replace(p_name, ' ', '_') || '") + "'" for t, _ in SCOPED])
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("expr_id"), F.expr(text).alias("expression"))
+    return rows.select("expr_id", F.array_join(X.free_variables(F.col("expression")), ",").alias("free"))
+
+
 @query("E7_verdicts", f"""WITH {_terms_sql(f'SELECT * FROM {FORMULAS_SQL}')}, {MATCH_SQL}, fv AS ({ORACLES['E6_free_variables']}), si AS ({ORACLES['L5_surface_issues']}),
   per AS (SELECT expr_id, string_agg(DISTINCT label, ', ' ORDER BY label) FILTER (WHERE match = 'exact' AND kind = 'class') AS c, string_agg(DISTINCT label, ', ' ORDER BY label) FILTER (WHERE match = 'exact' AND kind = 'relation') AS r, string_agg(DISTINCT term, ', ' ORDER BY term) FILTER (WHERE match = 'none') AS u FROM matched GROUP BY expr_id)
   SELECT s.expr_id, si.issues = '' AS parsed, si.issues = '' AND fv.free = '' AS well_formed, u IS NULL AS bfo_compatible, si.issues = '' AND fv.free = '' AND u IS NULL AS valid, coalesce(c, '') AS classes_used, coalesce(r, '') AS relations_used, coalesce(u, '') AS unknown_terms,

@@ -1,13 +1,14 @@
 """The star-schema tables seen as an RDF corpus.
 
-Two kinds of artifact come out of them: one class-level artifact per part brand
-(``tbox``) and one individual-level artifact per customer nation (``abox``).
+Three kinds of artifact come out of them: one class-level artifact per part brand
+(``tbox``), one individual-level artifact per customer nation (``abox``), and one with class
+expressions of every form per brand (``expr``), whose SQL says by key what has to follow.
 Every source row takes part; each source table is scanned once and its triples
 are laid out with ``inline``.  The SQL twin of these rules is in
 ``plans/oracles.py``.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quercus import schema as S
@@ -210,18 +211,126 @@ def abox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.union(ordered).union(contents).union(items).union(declared).union(segments)
 
 
+EXPR = EX + "expr#"
+#: What becomes of a part's class in ``expressions``: the last number of its key modulo this.
+FORMS = 12
+
+
+def _list(name, members, owner, p, owner_kind="bnode"):
+    """Triples of an RDF list of nodes: (node text, kind) pairs under ``owner``."""
+    cells = [f"concat('_:{name}{i}', key)" for i in range(len(members))] + [_iri(S.NIL)]
+    rows = [(owner, p, cells[0], "bnode", owner_kind)]
+    for i, (member, kind) in enumerate(members):
+        rows.append((cells[i], S.FIRST, member, kind, "bnode"))
+        rows.append((cells[i], S.REST, cells[i + 1], "iri" if i + 1 == len(members) else "bnode", "bnode"))
+    return rows
+
+
+def expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts with class expressions of every form, one per brand; a part's key says what its class and thing are told.
+
+    0 under owl:Nothing, 1 under a class and its complement, 2 some link to two disjoint classes at once,
+    3 under the members of an intersection that is disjoint from a third class, 4 under what some link of a subproperty
+    makes it and a class disjoint from that, 5 and 6 against a property's range and domain, 7 satisfiable,
+    8 a union of empty classes, 9 against what a transitive property links to in two steps, 10 at least one link to
+    an empty class, 11 under a union of others.
+    """
+    e = lambda n: _iri(EXPR + n)
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_partkey").cast("string").alias("key")).distinct()
+    cls, thing, other = (f"concat('{EXPR}{mark}', key)" for mark in ("P", "I", "J"))
+    extra = [f"concat('{EXPR}{mark}', key)" for mark in ("L", "M")]
+    x, y = "concat('_:x', key)", "concat('_:y', key)"
+
+    def restricted(node, prop, filler, kind="iri", how="someValuesFrom"):
+        return [(node, S.owl("onProperty"), e(prop), "iri", "bnode"), (node, S.owl(how), filler, kind, "bnode")]
+
+    def some(prop, filler, kind="iri"):
+        return [(cls, S.SUBCLASS, x, "bnode", "iri"), *restricted(x, prop, filler, kind)]
+
+    def sub(*names):
+        return [(cls, S.SUBCLASS, e(n), "iri", "iri") for n in names]
+
+    def typed(who, *names):
+        return [(who, S.TYPE, e(n), "iri", "iri") for n in names]
+
+    def link(a, prop, b):
+        return [(a, EXPR + prop, b, "iri", "iri")]
+
+    nothing = [(n, S.SUBCLASS, _iri(S.NOTHING), "iri", "iri") for n in extra]
+    union = [(cls, S.EQUIVALENT, x, "bnode", "iri")]
+    by_form = {
+        0: [(cls, S.SUBCLASS, _iri(S.NOTHING), "iri", "iri"), *typed(thing, "Hot", "Wet"),
+            *link(thing, "first", other), *link(other, "second", extra[0]), *link(extra[0], "third", extra[1])],
+        1: [*sub("Wet"), (cls, S.SUBCLASS, x, "bnode", "iri"), (x, S.owl("complementOf"), e("Wet"), "iri", "bnode"), *typed(thing, "Hot", "Wet", "Allowed")],
+        2: [*some("has", y, "bnode"), *_list("l", [(e("Hot"), "iri"), (e("Cold"), "iri")], y, S.owl("intersectionOf")), *link(thing, "has", other), *typed(other, "Wet")],
+        3: [*sub("Hot", "Wet", "Allowed"), *link(thing, "part", other), *typed(other, "Hot")],
+        4: [*sub("Still"), *some("part", e("Wet")), *link(thing, "inside", other), *link(other, "inside", extra[0]), *typed(extra[0], "Core")],
+        5: [*some("touches", e("Loud")), *link(thing, "touches", other)],
+        6: [*sub("Idle"), *some("touches", e("Wet")), *link(thing, "has", other), *typed(other, "Hot", "Wet")],
+        7: [*sub("Hot"), *some("has", e("Wet")), *link(thing, "has", e("fixed"))],
+        8: [*nothing, *union, *_list("l", [(n, "iri") for n in extra], x, S.owl("unionOf")), (thing, S.TYPE, y, "bnode", "iri"), *restricted(y, "has", e("Wet"))],
+        9: [*sub("Loose"), *some("inside", extra[0]), (extra[0], S.SUBCLASS, y, "bnode", "iri"), *restricted(y, "inside", e("Core")), *link(thing, "beside", thing)],
+        10: [*nothing[:1], (cls, S.SUBCLASS, x, "bnode", "iri"), *restricted(x, "has", "'1'", "literal", "minQualifiedCardinality"), (x, S.owl("onClass"), extra[0], "iri", "bnode"),
+             *link(thing, "above", other), *link(other, "above", thing)],
+        11: [(cls, S.SUBCLASS, x, "bnode", "iri"), *_list("l", [(e("Hot"), "iri"), (e("Wet"), "iri")], x, S.owl("unionOf")), *typed(thing, "Hot", "Cold")],
+    }
+    artifact = "concat('expr-', p_brand)"
+    # literals and cells have their kinds beside them; every form is one filtered array
+    rows = [
+        _t(s_, p, o, kind, s_kind, when=f"p_partkey % {FORMS} = {form}") for form, told in by_form.items() for s_, p, o, kind, s_kind in told
+    ]
+    parts = _lay_out(part, artifact, [_t(cls, S.TYPE, _iri(S.CLASS)), *rows])
+    fixed = [(e(n), S.TYPE, _iri(S.OBJECT_PROPERTY), "iri", "iri") for n in ("has", "part", "inside", "touches", "beside", "above", "first", "second", "third", "whole")]
+    for a, p, b in (
+        ("part", S.SUBPROPERTY, "has"), ("touches", S.DOMAIN, "Active"), ("touches", S.RANGE, "Passive"), ("Hot", S.DISJOINT, "Cold"),
+        ("HotWet", S.DISJOINT, "Allowed"), ("Carrier", S.DISJOINT, "Still"), ("Passive", S.DISJOINT, "Loud"), ("Active", S.DISJOINT, "Idle"),
+        ("Linked", S.DISJOINT, "Loose"), ("whole", S.RANGE, "End"),
+    ):
+        fixed.append((e(a), p, e(b), "iri", "iri"))
+    for n, kind in (("inside", "TransitiveProperty"), ("beside", "IrreflexiveProperty"), ("above", "AsymmetricProperty")):
+        fixed.append((e(n), S.TYPE, _iri(S.owl(kind)), "iri", "iri"))
+    for mark, axiom, named, prop, filler, how in (
+        ("a", S.SUBCLASS, "Carrier", "has", e("Wet"), "someValuesFrom"), ("b", S.EQUIVALENT, "Holder", "has", e("Hot"), "someValuesFrom"),
+        ("d", S.SUBCLASS, "Deep", "has", e("HotWet"), "someValuesFrom"), ("f", S.EQUIVALENT, "Fixed", "has", e("fixed"), "hasValue"),
+        ("g", S.EQUIVALENT, "Any", "has", _iri(S.THING), "someValuesFrom"),
+    ):
+        node = f"concat('_:{mark}', key)"
+        fixed += [(node, axiom, e(named), "iri", "bnode"), *restricted(node, prop, filler, "iri", how)]
+    node = "concat('_:c', key)"
+    fixed += [(e("Linked"), S.EQUIVALENT, node, "bnode", "iri"), *restricted(node, "inside", e("Core"))]
+    fixed += [(e("HotWet"), S.EQUIVALENT, y, "bnode", "iri"), *_list("h", [(e("Hot"), "iri"), (e("Wet"), "iri")], y, S.owl("intersectionOf"))]
+    fixed += _list("w", [(e(n), "iri") for n in ("first", "second", "third")], e("whole"), S.owl("propertyChainAxiom"), "iri")
+    # one long list of disjoint classes, a member per part
+    every, cell = _iri("_:all"), "concat('_:q', key)"
+    order = Window.partitionBy("p_brand").orderBy("p_partkey")
+    listed = part.withColumn("next", F.lead("key").over(order)).withColumn("head", F.lag("key").over(order).isNull())
+    member = f"concat('{EXPR}D', key)"
+    long = _lay_out(
+        listed, artifact,
+        [
+            _t(member, S.TYPE, _iri(S.CLASS)), _t(cell, S.FIRST, member, s_kind="bnode"),
+            _t(cell, S.REST, "concat('_:q', next)", "bnode", "bnode", when="next IS NOT NULL"),
+            _t(cell, S.REST, _iri(S.NIL), "iri", "bnode", when="next IS NULL"),
+            _t(every, S.TYPE, _iri(S.owl("AllDisjointClasses")), "iri", "bnode", when="head"),
+            _t(every, S.owl("members"), cell, "bnode", "bnode", when="head"),
+        ],
+    )
+    brands = part.select("p_brand").distinct().withColumn("key", F.regexp_replace("p_brand", "[^A-Za-z0-9]", "-"))
+    return parts.union(long).union(_lay_out(brands, artifact, [_t(s_, p, o, kind, s_kind) for s_, p, o, kind, s_kind in fixed]))
+
+
 _LOADED = {}
 
 
 def load(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
-    """The ``tbox`` or ``abox`` triples as a written table, loaded once per session.
+    """The ``tbox``, ``abox`` or ``expr`` triples as a written table, loaded once per session.
 
     Rows are sorted by predicate inside each file, so that class-level operators
     skip the row groups of assertions.
     """
     key = (spark.sparkContext.applicationId, sf_dir, family)
     if key not in _LOADED:
-        rows = {"tbox": tbox, "abox": abox}[family](spark, sf_dir)
+        rows = {"tbox": tbox, "abox": abox, "expr": expressions}[family](spark, sf_dir)
         _LOADED[key] = Workspace(spark).table(rows.sortWithinPartitions("p", "o"), family)
     return _LOADED[key]
 

@@ -10,6 +10,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +65,13 @@ class Workspace:
         """Materialise ``df`` and hand back a scan of the written table."""
         path, _ = self.write(df, name)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def sized_tables(self, **frames: DataFrame) -> dict:
+        """Materialise frames that do not rest on each other, side by side: name -> (scan of the written table, rows)."""
+
+        def one(item):
+            path, n = self.write(item[1], item[0])
+            return item[0], (self.spark.read.schema(item[1].schema).parquet(path), n)
+
+        with ThreadPoolExecutor(max(1, len(frames))) as pool:
+            return dict(pool.map(one, frames.items()))

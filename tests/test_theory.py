@@ -75,3 +75,86 @@ def test_no_two_symbols_are_alike(spark, ws):
     assert len(got) == len(rows) == len({(r["artifact_id"], r["sym"]) for r in got})
     first = {r["iri"]: r["sym"] for r in got if r["artifact_id"] == "a"}
     assert first["http://x/0"] == "red_car" and first["http://x/2"] == "red_car_2"
+
+
+def long_list(n, occurrents=0):
+    """A disjoint list of n classes, the first ones occurrents."""
+    ex = X.EX
+    rows = [("_:d", S.TYPE, S.owl("AllDisjointClasses")), ("_:d", S.owl("members"), "_:c0")]
+    for i in range(n):
+        rows += [(f"_:c{i}", S.FIRST, f"{ex}C{i}"), (f"_:c{i}", S.REST, f"_:c{i + 1}" if i + 1 < n else S.NIL)]
+    for i in range(occurrents):
+        rows.append((f"{ex}C{i}", S.SUBCLASS, UP + "0000015"))
+    return rows
+
+
+def implied(lines, arity):
+    """What the chain lines of a theory make of each class: (classes it clashes with)."""
+    import re
+
+    name = "one_of_at" if arity == 2 else "one_of"
+    holder = "instance_of_at" if arity == 2 else "instance_of"
+    into, off, onward = {}, {}, {}
+    for line in lines:
+        if f"{holder}(" not in line or f" {name}(" not in line and f"({name}(" not in line and f"-{name}(" not in line:
+            continue
+        cls = re.search(holder + r"\(X,([^,)]+)", line)[1]
+        places = re.findall(r"(-?)" + name + r"\(X,([^,)]+)", line)
+        into[cls] = places[-1][1]
+        off[cls] = {p for sign, p in places if sign}
+        before = [p for sign, p in places if p != into[cls]]
+        if before:
+            onward[before[0]] = into[cls]
+    clash = set()
+    for a in into:
+        reached, at = set(), into[a]
+        while at and at not in reached:
+            reached.add(at)
+            at = onward.get(at)
+        clash |= {frozenset((a, b)) for b in into if b != a and off[b] & reached}
+    return clash
+
+
+def test_long_lists_are_chains_that_say_the_same(graph, upper, ws):
+    for n, occurrents in ((20, 0), (20, 7), (20, 1), (20, 20)):
+        theory = T.build_theory(graph({"a": long_list(n, occurrents)}), upper, ws)
+        lines = [r["line"] for r in T.render(theory).where("section = 4").collect()]
+        assert len(lines) <= 2 * n and theory.disjoints.where("origin = 'asserted'").isEmpty()
+        kinds = {f"c{i}": i < occurrents for i in range(n)}
+        pairs = {frozenset((a, b)) for a in kinds for b in kinds if a < b}
+        both = {p for p in pairs if all(kinds[c] for c in p)}
+        assert implied(lines, 2) == both and implied(lines, 3) == pairs - both
+        aligned = [r["line"] for r in T.render(theory, align_bfo=True).where("section = 4").collect()]
+        assert len(aligned) == n and implied(aligned, 3) == pairs
+        clif = [r["line"] for r in T.render(theory, "clif").where("section = 4").collect()]
+        assert len(clif) == len(lines) and all(c.count("(") == c.count(")") for c in clif)
+
+
+def test_a_list_of_thousands(graph, upper, ws):
+    n = 5000
+    rows = long_list(n) + [(X.EX + "E", S.SUBCLASS, X.EX + "C1"), (X.EX + "E", S.SUBCLASS, X.EX + "C4000")]
+    theory = T.build_theory(graph({"a": rows}), upper, ws)
+    assert T.render(theory).where("section = 4").count() == n
+    assert T.stats(theory).first()["disjoint_axioms"] == n * (n - 1) // 2
+    assert [r["label"] for r in T.empty_classes(theory, upper, ws).where("verdict = 'unsatisfiable'").collect()] == ["E"]
+
+
+def test_pair_counts_take_overlaps_out(spark):
+    import itertools
+    import random
+
+    from quercus.operators.disjointness import asserted_pairs, pair_counts
+
+    rng = random.Random(6)
+    rows = []
+    for a in range(20):
+        for g in range(rng.randrange(1, 7)):
+            members = rng.sample(range(9), rng.choice([2, 2, 3, 4, 6]))
+            rows += [(f"a{a}", f"g{g}", f"m{m}") for m in members]
+    rows += [("same", g, f"m{m}") for g in "xyz" for m in range(5)]
+    groups = spark.createDataFrame(rows, "artifact_id string, group_id string, member string")
+    want = {}
+    for (a, _), members in itertools.groupby(sorted(rows), lambda r: r[:2]):
+        want.setdefault(a, set()).update(itertools.combinations([m[2] for m in members], 2))
+    assert {r["artifact_id"]: r["n"] for r in pair_counts(groups).collect()} == {a: len(p) for a, p in want.items()}
+    assert asserted_pairs(groups).count() == sum(map(len, want.values()))

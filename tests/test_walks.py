@@ -51,10 +51,22 @@ def test_closure_of_cycle_and_long_chain(spark, ws):
     assert got(W.closure(edges_of(spark, chain), ws)) == brute_closure(chain)
 
 
-def test_large_backbone_path_agrees(spark, ws, monkeypatch):
-    monkeypatch.setattr(W, "SMALL_BACKBONE_ROWS", 0)
-    pairs = {(i, i // 2) for i in range(1, 40)}
-    assert got(W.closure(edges_of(spark, pairs), ws)) == brute_closure(pairs)
+def test_long_chain_takes_few_rounds(spark, ws):
+    """A chain of 5,000 classes, one fact at its top and one half way down."""
+    n = 5000
+    links = spark.range(n).selectExpr(
+        "'a' AS artifact_id", "concat('n', id + 1) AS child", "concat('n', id) AS parent",
+        f"CASE WHEN id = 0 THEN 'top' WHEN id = {n // 2} THEN 'middle' END AS value",
+    )
+    before = ws._n
+    found = W.propagate(links, ws).groupBy("value").count().collect()
+    assert {r["value"]: r["count"] for r in found} == {"top": n, "middle": n // 2}
+    assert ws._n - before <= 1 + 14  # the links, and a table of facts and shortcuts each round
+
+
+def test_reaches_is_reflexive(spark, ws):
+    found = W.reaches(edges_of(spark, {(1, 2), (2, 3), (4, 4), (5, 6)}), ["n3", "n4", "n5", "n9"], ws)
+    assert {(r["cls"], r["target"]) for r in found.collect()} == {("n1", "n3"), ("n2", "n3"), ("n3", "n3"), ("n4", "n4"), ("n5", "n5")}
 
 
 def test_flat_and_empty_hierarchies(spark, ws):
