@@ -8,11 +8,12 @@ segment goes to the shard of its anchor. Each window thus lies in one shard, equ
 in the same one, and the work grows with the text.
 
 Frequent word pairs anchor nothing, or a shard would grow with the commonest pair: a first pass
-counts pairs and longer grams over the whole input (a task leaves out grams so rare in it that
+counts the different windows that begin or end with a pair or longer gram over the whole input (a chunk's copies of a
+window count once, so a passage that many documents hold keeps its anchors; a task leaves out grams so rare in it that
 all that is left out stays under half the bound), and a window is anchored at the smallest hash of its pairs
 that are not frequent, without one at that of its longer grams that are not, else at the hash of all its
 words. The table of frequent grams is the same for every task, so equal windows still meet. A pair that is not frequent
-brings a shard at most 24 words for each time it occurs, about a quarter of an average shard.
+brings a shard few words for each window that it begins or ends.
 
 In a shard an FM-index over the segments is searched backwards through its wavelet matrix by
 every segment in turn. The search extends to the left; at full length it drops the
@@ -52,7 +53,7 @@ from quercus.workspace import Workspace
 WINDOW = 13
 #: Words of an anchor, and of the longer one of windows that hold frequent pairs only.
 ANCHORS = (2, 6)
-#: A gram is frequent if it occurs more than once for so many bytes of an average shard.
+#: A gram is frequent if it begins or ends more than one window for so many bytes of an average shard.
 OFTEN = 256
 #: A longer run of windows with one anchor is cut, so that no search is long.
 RUN = 64
@@ -171,8 +172,26 @@ def _unfolded(shared, rest, text: bytes):
     return lengths, out.tobytes()
 
 
+def _in_contexts(words):
+    """(width, grams): every gram once for each of the chunk's different windows that begin or end with it.
+
+    The words of a passage that many documents hold stand in the same windows, however often; only where a copy
+    meets other words do its grams count for each copy, and there they do begin or end different windows.
+    """
+    h, sizes = words.hashes()[words.codes], np.diff(words.offsets)
+    whole = grams(h, WINDOW)
+    many = np.maximum(sizes - WINDOW + 1, 0)
+    start = ranges(words.offsets[:-1], many)
+    if not len(start):
+        return
+    start = start[np.unique(whole[start], return_index=True)[1]]
+    for width in ANCHORS:
+        values = grams(h, width)
+        yield width, np.concatenate((values[start], values[start + WINDOW - width]))
+
+
 def _counter(share: float):
-    """Grams that a chunk holds more than ``share`` times a byte of its text."""
+    """Grams that begin or end more than ``share`` different windows for a byte of a chunk's text."""
 
     def run(batches):
         for table in chunks(batches, most=MAP_BYTES):
@@ -180,9 +199,8 @@ def _counter(share: float):
             words, least = split(text), share * (pc.sum(pc.binary_length(text)).as_py() or 0)
             if len(words.codes) < WINDOW:
                 continue
-            h = words.hashes()[words.codes]
-            for width in ANCHORS:
-                gram, n = np.unique(grams(h, width), return_counts=True)
+            for width, gram in _in_contexts(words):
+                gram, n = np.unique(gram, return_counts=True)
                 often = n > least
                 gram, n = gram[often].view(np.int64), n[often]
                 yield pa.record_batch([pa.array(np.full(len(n), width, np.int32)), pa.array(gram), pa.array(n)], names=["width", "gram", "n"])
@@ -191,15 +209,27 @@ def _counter(share: float):
 
 
 def frequent_grams(rows: DataFrame, size: int, shards: int) -> dict:
-    """Sorted hashes of the frequent grams by their words: all that occur ``size / shards / OFTEN`` times, none under half of it."""
+    """Sorted hashes of the frequent grams by their words: all that begin or end ``size / shards / OFTEN`` windows, none under half of it."""
     least = size / shards / OFTEN / 2
     counted = rows.mapInArrow(_counter(least / max(size, 1)), "width int, gram long, n long")
-    # what occurs so often are at most 2 * OFTEN grams of each length for a shard's bytes
+    # what counts so often are at most 4 * OFTEN grams of each length for a shard's bytes
     found = counted.groupBy("width", "gram").agg(F.sum("n").alias("n")).where(F.col("n") > least).select("width", "gram").toArrow()
     width, gram = (column(found, c).to_numpy(zero_copy_only=False) for c in ("width", "gram"))
     return {w: np.sort(gram[width == w].astype(np.int64).view(np.uint64)) for w in ANCHORS}
 
 
+def _merged(decided, doc, begin, count):
+    """Of decided segments, in order of their places, the first of each run that leaves no word out, and the run's words."""
+    if not len(decided):
+        return decided, decided
+    stop = begin[decided] + count[decided] + WINDOW - 1
+    head = np.ones(len(decided), bool)
+    head[1:] = (doc[decided][1:] != doc[decided][:-1]) | (begin[decided][1:] > stop[:-1])
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(decided)) - 1
+    return decided[first], stop[last] - begin[decided[first]]
+
+
 def _router(shards: int, frequent):
     def route(batches):
         for table in chunks(batches, most=MAP_BYTES):
@@ -230,14 +260,14 @@ def _route(table: pa.Table, shards: int, frequent: dict):
     later = np.zeros(len(order), bool)
     later[order] = ids[doc[order]] > smallest[group]
     begin = first - words.offsets[doc]
-    decided = np.flatnonzero(later)
+    decided, span = _merged(np.flatnonzero(later), doc, begin, count)
     sent = np.flatnonzero(~later)
     shard = (mixed(anchor[sent]) % np.uint64(shards)).astype(np.int64)
     by = np.argsort(shard, kind="stable")
     sent, shard = sent[by], shard[by]
     via = (doc[decided] * 2654435761 >> 7) % shards  # decided spans ride along, evenly dealt
     ride = np.argsort(via, kind="stable")
-    decided, via = decided[ride], via[ride]
+    decided, span, via = decided[ride], span[ride], via[ride]
     present = np.union1d(shard, via)  # of very many shards a task's input meets a few
     bounds, rides = (np.append(np.searchsorted(x, present), len(x)) for x in (shard, via))
     # a shard's words: frequent ones first, in order of appearance, then the others by spelling, which compresses well
@@ -248,7 +278,7 @@ def _route(table: pa.Table, shards: int, frequent: dict):
     remap = np.zeros(len(words.vocab), np.int64)
     names, blobs = [], []
     for k, s in enumerate(present.tolist()):
-        mine, aside = sent[bounds[k] : bounds[k + 1]], decided[rides[k] : rides[k + 1]]
+        mine, aside, words_of = sent[bounds[k] : bounds[k + 1]], decided[rides[k] : rides[k + 1]], span[rides[k] : rides[k + 1]]
         codes = words.codes[ranges(first[mine], count[mine] + WINDOW - 1)]
         if len(codes) * 8 < len(words.vocab):
             local = np.unique(codes)
@@ -272,7 +302,7 @@ def _route(table: pa.Table, shards: int, frequent: dict):
                     "doc": np.diff(at[: len(mine)], prepend=0).astype(np.int32),
                     "ids": ids[docs],
                     "keys": keys[docs],
-                    "decided": (at[len(mine) :].astype(np.int32), begin[aside].astype(np.int32), count[aside].astype(np.uint8)),
+                    "decided": (at[len(mine) :].astype(np.int32), begin[aside].astype(np.int32), words_of.astype(np.int32)),
                 }
             )
         )
@@ -306,9 +336,9 @@ def _search(blobs):
     for i, blob in enumerate(blobs):
         x = pickle.loads(zstandard.decompress(blob))
         blobs[i] = None
-        doc, begin, count = x["decided"]
+        doc, begin, many = x["decided"]
         if len(doc):
-            yield _span_batch(x["ids"][doc], x["keys"][doc], begin, begin + count.astype(np.int64) + WINDOW - 1)
+            yield _span_batch(x["ids"][doc], x["keys"][doc], begin, begin + many)
         lengths, text = _unfolded(*x["vocab"])
         offsets.append(size + np.cumsum(lengths, dtype=np.int64))
         size += len(text)

@@ -276,23 +276,28 @@ def _model(rows, names, idf, totals) -> Model:
     return model
 
 
-def scored(documents: DataFrame, labels: DataFrame, ws: Workspace, modulus: int = 5, remainder: int = 0) -> DataFrame:
-    """``documents`` with their score and evidence (_quercus_score, _quercus_evidence), the doc_ids of the nearest labelled examples."""
+#: Text bytes of whole rows that a task scores together.
+SCORED_BYTES = 8 << 20
+
+
+def scored(documents: DataFrame, labels: DataFrame, ws: Workspace, modulus: int = 5, remainder: int = 0, evidence: bool = True) -> DataFrame:
+    """``documents`` with their score (_quercus_score) and, if asked for, evidence (_quercus_evidence): doc_ids of the nearest labelled examples."""
     model = fit(documents, labels, ws, held_out(modulus, remainder))
     shared = documents.sparkSession.sparkContext.broadcast(model)
     names = documents.columns
 
     def run(batches):
-        for table in chunks(batches):
+        for table in chunks(batches, most=SCORED_BYTES):
             texts = column(table, "text")
             if shared.value is None:
                 score, near = np.zeros(len(texts)), [[] for _ in range(len(texts))]
             else:
                 score, near = shared.value.score(texts)
-            for batch in table.append_column("_quercus_score", pa.array(score)).append_column("_quercus_evidence", pa.array(near, pa.list_(pa.int64()))).to_batches():
-                yield batch
+            table = table.append_column("_quercus_score", pa.array(score))
+            yield from (table.append_column("_quercus_evidence", pa.array(near, pa.list_(pa.int64()))) if evidence else table).to_batches()
 
-    return documents.select(*names).mapInArrow(run, documents.selectExpr("*", "0D AS _quercus_score", "array(0L) AS _quercus_evidence").schema)
+    added = ["0D AS _quercus_score", *["array(0L) AS _quercus_evidence"] * evidence]
+    return documents.select(*names).mapInArrow(run, documents.selectExpr("*", *added).schema)
 
 
 def digest(documents: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame:
@@ -308,4 +313,4 @@ def digest(documents: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame:
 
 def kept(documents: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame:
     """``documents`` that score below ``REJECT``."""
-    return scored(documents, labels, ws).where(F.col("_quercus_score") < REJECT).select(*documents.columns)
+    return scored(documents, labels, ws, evidence=False).where(F.col("_quercus_score") < REJECT).select(*documents.columns)

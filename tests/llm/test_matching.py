@@ -342,3 +342,21 @@ def test_components(spark, ws):
     got = components(spark.createDataFrame(edges, "u long, v long"), ws).collect()
     assert {r.u: r.v for r in got} == {x: find(x) for x in parent if find(x) != x}
     assert components(spark.createDataFrame([], "u long, v long"), ws).count() == 0
+
+
+def test_a_hot_passage_is_few_spans(spark, make):
+    """A passage of 60 words in many documents, at the start, the end or inside: a few rows for each copy, not one for each window."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(4000)}"
+    passage = " ".join(word() for _ in range(60))
+    rows = []
+    for i in range(900):
+        own = [f"u{i}x{k}" for k in range(80)]
+        at = rng.choice([0, len(own), rng.randrange(len(own))])
+        rows.append((i, " ".join([*own[:at], *([passage] if i % 2 else []), *own[at:]])))
+    copies = sum(i % 2 for i, _ in rows)
+    spans = substring_dedup.repeated_spans(make(rows).repartition(3)).collect()
+    assert len(spans) <= 10 * copies
+    assert {r.doc_id for r in spans} == {i for i, _ in rows if i % 2} - {1}
+    gone = {r.doc_id: r.n_removed for r in substring_dedup.digest(make(rows).repartition(3)).collect()}
+    assert all(gone[i] == (60 if i % 2 and i > 1 else 0) for i, _ in rows)
