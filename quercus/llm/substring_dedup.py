@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from quercus.llm.decontamination import cut, text_key
 from quercus.llm.fm_index import FMIndex
-from quercus.llm.words import chunks, column, covered, grams, joined, mixed, ranges, split
+from quercus.llm.words import chunks, column, covered, grams, hand_back, joined, mixed, ranges, split
 from quercus.workspace import Workspace
 
 #: Words of a window.
@@ -64,9 +64,9 @@ SLOT_BITS = 23
 #: Words used more often in a task's input are numbered first.
 FREQUENT = 12
 #: Text bytes per shard of the corpus.
-SHARD_BYTES = 11 << 20
+SHARD_BYTES = 8 << 20
 #: Text bytes that a task looks at together.
-MAP_BYTES = 14 << 20
+MAP_BYTES = 9 << 20
 
 SPANS = "doc_id long, text_key long, start int, stop int"
 NONE = np.uint64((1 << 64) - 1)
@@ -204,6 +204,7 @@ def _counter(share: float):
                 often = n > least
                 gram, n = gram[often].view(np.int64), n[often]
                 yield pa.record_batch([pa.array(np.full(len(n), width, np.int32)), pa.array(gram), pa.array(n)], names=["width", "gram", "n"])
+            hand_back()
 
     return run
 
@@ -234,6 +235,7 @@ def _router(shards: int, frequent):
     def route(batches):
         for table in chunks(batches, most=MAP_BYTES):
             yield from _route(table, shards, frequent.value)
+            hand_back()
 
     return route
 
@@ -328,6 +330,7 @@ def _search_shards(batches):
             held.setdefault(s, []).append(blob)
     for s in sorted(held):
         yield from _search(held.pop(s))
+        hand_back()
 
 
 def _search(blobs):

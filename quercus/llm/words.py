@@ -6,6 +6,7 @@ table maps separators to blanks, Arrow splits on blanks and dictionary-encodes t
 A null text has no words.
 """
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -95,6 +96,14 @@ def chunks(batches, column: str = "text", most: int = CHUNK_BYTES):
     pa.default_memory_pool().release_unused()  # an idle worker keeps no buffers of its last task
 
 
+def hand_back() -> None:
+    """Give freed memory back to the system, where the C library can: an idle worker keeps none of its last task's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def column(table: pa.Table, name: str) -> pa.Array:
     """A column of a chunk as one array."""
     col = table.column(name).combine_chunks()
