@@ -3,6 +3,7 @@
 Findings: (artifact_id, stage, code, message, iri, suggested_rewrite).
 """
 
+import copy
 from dataclasses import dataclass, field
 from typing import Callable
 
@@ -98,6 +99,14 @@ class GateInputs:
             found.join(self.classes, ["artifact_id", "cls"], "left_semi"), "entries"
         )
 
+    def among(self, artifacts: DataFrame) -> "GateInputs":
+        """The same inputs for some artifacts only; nothing is walked again."""
+        out = copy.copy(self)
+        for name in ("triples", "counts", "classes", "edges", "entries", "reach"):
+            table = getattr(self, name)
+            setattr(out, name, table.join(artifacts, "artifact_id", "left_semi").select(table.columns))
+        return out
+
     @property
     def spark(self):
         return self.triples.sparkSession
@@ -250,7 +259,7 @@ def mistyped(
     demands = (
         under.withColumnRenamed("target", "category")
         .join(kernel.category_table(spark), "category")
-        .join(upper.clash_sides(spark).withColumnsRenamed({"category": "required", "other": "upper_iri"}), "required")
+        .join(upper.clash_sides(spark, ANCHOR_IRIS).withColumnsRenamed({"category": "required", "other": "upper_iri"}), "required")
         .where(F.col("upper_iri").isin(ANCHOR_IRIS))
     )
     return demands.join(entries, ["artifact_id", "cls", "upper_iri"]).select(
@@ -316,20 +325,41 @@ def novelty_examples(novel: DataFrame, classes_shown: int = 5, ancestors_shown:
     )
 
 
+def plainly_novel(g: GateInputs) -> DataFrame:
+    """(artifact_id): artifacts whose entry points alone show an entailed subsumption that is not asserted.
+
+    Where no upper category is anybody's child in the artifact, a class is asserted to fall under its entry points and
+    no other upper category; so any further ancestor of an entry point is news. No closure is needed to see it.
+    """
+    spark = g.entries.sparkSession
+    above = g.upper.ancestor_table(spark).where("iri <> ancestor").select(F.col("iri").alias("upper_iri"), "ancestor")
+    onward = g.edges.where(is_upper(F.col("child"))).select("artifact_id").distinct()
+    further = g.entries.join(above, "upper_iri").where(~F.col("ancestor").endswith("Thing")).select("artifact_id", "cls", F.col("ancestor").alias("upper_iri"))
+    news = further.join(g.entries, ["artifact_id", "cls", "upper_iri"], "left_anti").select("artifact_id").distinct()
+    return news.join(onward, "artifact_id", "left_anti")
+
+
 def stage_c(g: GateInputs) -> DataFrame:
-    ruled = g.ws.table(rule_edges(g.triples, g.ws, g.edges).select(*EDGE), "ruled")
-    entailed = g.ws.table(closure(ruled, g.ws), "entailed")
+    """Unsatisfiable classes, and artifacts of which nothing follows that they do not say.
+
+    Most artifacts are decided on the second question by ``plainly_novel``; closures are only made of the others.
+    """
     unsat = g.ws.table(unsatisfiable_classes(g.triples, g.upper, g.ws, g.edges), "unsat")
     empty = _finding(
         unsat.where(~F.col("cls").endswith("Nothing")), "C", "E_INCONSISTENT",
         F.concat(F.lit("Class is unsatisfiable (equivalent to owl:Nothing): "), "cls"), F.col("cls"),
     )
-    novel = novel_subsumptions(entailed, g.edges, g.classes, g.upper, g.ws)
-    vacuous = (
-        g.counts.select("artifact_id")
-        .join(novel, "artifact_id", "left_anti")
-        .join(unsat, "artifact_id", "left_anti")
+    path, n = g.ws.write(
+        g.counts.select("artifact_id").join(plainly_novel(g), "artifact_id", "left_anti").join(unsat, "artifact_id", "left_anti"), "undecided"
     )
+    if n == 0:
+        return empty
+    open_ = g.spark.read.schema("artifact_id string").parquet(path)
+    own = lambda df: df.join(open_, "artifact_id", "left_semi").select(df.columns)
+    edges = own(g.edges)
+    ruled = g.ws.table(rule_edges(own(g.triples), g.ws, edges).select(*EDGE), "ruled")
+    entailed = g.ws.table(closure(ruled, g.ws), "entailed")
+    vacuous = open_.join(novel_subsumptions(entailed, edges, own(g.classes), g.upper, g.ws), "artifact_id", "left_anti")
     text = (
         "The artifact is consistent only vacuously: the reasoner entailed no subsumption that was "
         "not already asserted. A coherent-but-empty artifact fails."

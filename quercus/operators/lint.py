@@ -44,9 +44,8 @@ def straddle_pairs(entries: DataFrame, upper: Upper) -> DataFrame:
 
     One shuffle: the entry points of a class (never more than the upper ontology
     has categories) are gathered by a map-side-combined set, and only classes
-    with two or more go on to the broadcast clash table.
+    with two or more go on to be asked about.
     """
-    spark = entries.sparkSession
     gathered = (
         entries.groupBy("artifact_id", "cls")
         .agg(F.collect_set("upper_iri").alias("cats"))
@@ -55,7 +54,7 @@ def straddle_pairs(entries: DataFrame, upper: Upper) -> DataFrame:
     paired = gathered.select("artifact_id", "cls", "cats", F.explode("cats").alias("a")).select(
         "artifact_id", "cls", "a", F.explode(F.filter("cats", lambda c: c > F.col("a"))).alias("b")
     )
-    return paired.join(upper.clash_table(spark), ["a", "b"])
+    return upper.clashing(paired)
 
 
 def lint_findings(entries: DataFrame, upper: Upper) -> DataFrame:

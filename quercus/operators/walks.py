@@ -53,7 +53,7 @@ def grounding_edges(triples: DataFrame, kernel: Kernel) -> DataFrame:
     """
     spark = triples.sparkSession
     edges = subclass_edges(triples)
-    if not kernel.edges:
+    if not kernel.size:
         return edges
     mentioned = edges.select("artifact_id", F.explode(F.array("child", "parent")).alias("start")).union(
         declared_classes(triples)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quercus.operators.lint import lint_findings
 from quercus.operators.profile import profile
+from quercus.operators.repair import delta_guard, quarantine, straddle_edges, without_edges
 from quercus.operators.rules import (
     coherence, inconsistent_individuals, inferred_subsumptions, justified, rule_edges, unsatisfiable_classes,
 )
@@ -38,3 +39,38 @@ def analyse(triples: DataFrame, upper: Upper, ws: Workspace) -> Analysis:
         n = df.groupBy("artifact_id").agg(F.count(F.lit(1)).alias(name))
         rows = rows.join(n, "artifact_id", "left").withColumn(name, F.coalesce(name, zero))
     return Analysis(rows, findings, justified(unsat, findings), inferred)
+
+
+@dataclass
+class Published:
+    lineage: DataFrame  # parent_id, artifact_id (null where refused), removed, refused (why, else null)
+    triples: DataFrame  # the new versions only
+    analysis: Analysis  # of the new versions only
+
+
+#: What the id of a fixed version ends in.
+FIXED = ".autofixed"
+
+
+def publish_fixes(triples: DataFrame, findings: DataFrame, upper: Upper, ws: Workspace) -> Published:
+    """Fix every straddle that an own edge causes, publish each changed artifact as a new version, and analyse those anew.
+
+    Artifacts without a removable edge get no version and are not read again. A fix that would lose more axioms than it
+    logs is refused. Nothing of an old analysis is carried over, so whatever rested on a removed edge is gone.
+    """
+    removed = ws.table(straddle_edges(findings, triples), "removed")
+    changed = ws.table(removed.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("removed")), "changed")
+    before = triples.join(changed, "artifact_id", "left_semi").select(triples.columns)
+    after = ws.table(without_edges(before, removed), "after")
+    refused = delta_guard(before, after, quarantine(removed)).groupBy("artifact_id").agg(F.min("message").alias("refused"))
+    lineage = ws.table(
+        changed.join(refused, "artifact_id", "left").select(
+            F.col("artifact_id").alias("parent_id"),
+            F.when(F.col("refused").isNull(), F.concat("artifact_id", F.lit(FIXED))).alias("artifact_id"), "removed", "refused",
+        ),
+        "lineage",
+    )
+    going = lineage.where("refused IS NULL").select(F.col("parent_id").alias("artifact_id"), F.col("artifact_id").alias("version"))
+    fixed = after.join(going, "artifact_id").withColumn("artifact_id", F.col("version")).select(triples.columns)
+    fixed = ws.table(fixed, "versions")
+    return Published(lineage, fixed, analyse(fixed, upper, ws))

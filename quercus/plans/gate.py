@@ -117,14 +117,11 @@ def check(
     if not all_stages:
         # The costly stages only see artifacts that got through A and B.
         findings = ws.table(findings, "findings-ab")
-        alive = counts.join(findings, "artifact_id", "left_anti").select("artifact_id")
-        if alive.isEmpty():
+        path, n = ws.write(counts.join(findings, "artifact_id", "left_anti").select("artifact_id"), "alive")
+        if n == 0:
             kept, stages = halt(counts.select("artifact_id"), findings, all_stages, baseline is not None)
             return GateRun(counts, kept, stages, kernel.version, {})
-        g = GateInputs(
-            triples.join(alive, "artifact_id", "left_semi"),
-            counts.join(alive, "artifact_id", "left_semi"), kernel, upper, ws,
-        )
+        g = g.among(spark.read.schema("artifact_id string").parquet(path))
     found, errors = competency_findings(g, competency)
     findings = findings.union(stage_c(g)).union(found)
     if baseline is not None:

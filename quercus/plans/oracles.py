@@ -343,6 +343,32 @@ def _empty(name, clo, edges):
     }
 
 
+# the hierarchy without the edges that a fix removes
+FRAGMENTS |= {
+    "gone": (
+        "gone AS (SELECT DISTINCT l.artifact_id, l.class_iri AS cls, l.drop_iri FROM lint l JOIN edges e ON e.artifact_id = l.artifact_id "
+        "AND e.child = l.class_iri AND e.parent = l.drop_iri)",
+        ["lint", "edges"],
+    ),
+    "edges_f": (
+        "edges_f AS (SELECT * FROM edges e WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.artifact_id = e.artifact_id AND g.cls = e.child AND g.drop_iri = e.parent))",
+        ["edges", "gone"],
+    ),
+    "walk_f": (_walk("walk_f", "edges_f"), ["edges_f"]),
+    "entry_f": (_entry("entry_f", "walk_f"), ["walk_f"]),
+    "pairs_f": (
+        "pairs_f AS (SELECT DISTINCT l.artifact_id, l.cls, c.a, c.b FROM entry_f l JOIN entry_f r ON l.artifact_id = r.artifact_id "
+        f"AND l.cls = r.cls JOIN up_clash c ON l.upper_iri = c.a AND r.upper_iri = c.b WHERE NOT {IS_UP.format('l.cls')})",
+        ["entry_f", "up_clash"],
+    ),
+    "sat_f": (
+        "sat_f AS (SELECT * FROM edges_f UNION SELECT artifact_id, s, o FROM tbox WHERE p = "
+        f"{q(S.EQUIVALENT)} AND o_kind = 'iri' UNION SELECT artifact_id, o, s FROM tbox WHERE p = {q(S.EQUIVALENT)} AND o_kind = 'iri' UNION SELECT * FROM scoped)",
+        ["edges_f", "scoped"],
+    ),
+    "sat_f_clo": (_closure("sat_f_clo", "sat_f"), ["sat_f"]),
+}
+FRAGMENTS |= _empty("empty_f", "sat_f_clo", "sat_f")
 FRAGMENTS |= _empty("empty", "sat_clo", "sat") | _empty("empty_k", "sat_k_clo", "sat_k")
 
 

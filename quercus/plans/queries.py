@@ -370,6 +370,67 @@ def j7(spark, d):
     return L.straddle_pairs(used, builtin_upper()).select("artifact_id", "a", "b")
 
 
+# Upper ontology and kernel of any size, out of the parts: categories in a tree of four children each, siblings 0 and 1 of every third parent disjoint.
+def _part_tree(spark, d, prefix):
+    part = read(spark, d, "part").select("p_partkey", "p_name", "p_type").distinct()
+    child = F.concat(F.lit(prefix), F.col("p_partkey").cast("string"))
+    up = F.floor(F.col("p_partkey") / 4).cast("string")
+    cells = lambda *rows: F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o"), F.lit(k).alias("o_kind")) for p, o, k in rows])
+    base = [(S.TYPE, F.lit(S.CLASS), "iri"), (S.LABEL, F.col("p_name"), "literal")]
+    return part, child, up, cells, base
+
+
+def _as_triples(rows):
+    none = F.lit(None).cast("string")
+    return rows.select(F.lit("u").alias("artifact_id"), "s", F.lit("iri").alias("s_kind"), "p", "o", "o_kind", none.alias("o_datatype"), none.alias("o_lang"))
+
+
+@query("S7_upper_of_parts", f"""WITH RECURSIVE anc(k, a) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT k, a // 4 FROM anc WHERE a // 4 > 0),
+  known AS (SELECT DISTINCT anc.k, anc.a FROM anc JOIN part ON p_partkey = anc.a), n AS (SELECT k, count(*) AS depth FROM known GROUP BY k),
+  side AS (SELECT k, a // 4 AS g, a % 4 AS m FROM known WHERE (a // 4) % 3 = 0 AND a // 4 > 0 AND a % 4 IN (0, 1) AND EXISTS (SELECT 1 FROM part WHERE p_partkey = a // 4 * 4) AND EXISTS (SELECT 1 FROM part WHERE p_partkey = a // 4 * 4 + 1)),
+  pair AS (SELECT DISTINCT l.p_partkey AS x, r.p_partkey AS y FROM part l JOIN part r ON r.p_partkey = l.p_partkey + 1 + l.p_size),
+  hit AS (SELECT DISTINCT x, y FROM pair JOIN side l ON l.k = x JOIN side r ON r.k = y AND r.g = l.g AND r.m <> l.m)
+  SELECT least('{UP}' || x, '{UP}' || y) AS a, greatest('{UP}' || x, '{UP}' || y) AS b,
+  CASE WHEN i.depth = j.depth THEN greatest('{UP}' || x, '{UP}' || y) WHEN i.depth < j.depth THEN '{UP}' || x ELSE '{UP}' || y END AS drop_iri FROM hit JOIN n i ON i.k = x JOIN n j ON j.k = y""")
+def s7(spark, d):
+    from quercus.sources.upper import upper_from_triples
+
+    part, child, up, cells, base = _part_tree(spark, d, UP)
+    rows = part.select(child.alias("s"), F.inline(cells(*base, (S.SUBCLASS, F.concat(F.lit(UP), up), "iri"))))
+    key = F.col("p_partkey")
+    first = part.where((key % 4 == 0) & (key > 3) & (F.floor(key / 4) % 3 == 0)).select(child.alias("s"), F.lit(S.DISJOINT).alias("p"), F.concat(F.lit(UP), (key + 1).cast("string")).alias("o"), F.lit("iri").alias("o_kind"))
+    exists = part.select(child.alias("o"))
+    upper = upper_from_triples(spark, _as_triples(rows.union(first.join(exists, "o", "left_semi").select("s", "p", "o", "o_kind"))))
+    asked = read(spark, d, "part").select((F.col("p_partkey") + 1 + F.col("p_size")).alias("y"), F.col("p_partkey").alias("x")).join(part.select(F.col("p_partkey").alias("y")), "y")
+    x, y = (F.concat(F.lit(UP), F.col(c).cast("string")) for c in "xy")
+    return upper.clashing(asked.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()).select("a", "b", "drop_iri")
+
+
+def part_kernel(spark, d):
+    from quercus.sources.kernel import kernel_from_triples
+
+    part, child, up, cells, base = _part_tree(spark, d, "urn:parts#P")
+    anchor = F.concat(F.lit(UP), F.when(F.col("p_partkey") % 2 == 0, "0000040").otherwise("0000003"))
+    label = F.when(F.col("p_partkey") % 10 == 2, F.concat(F.lit("A Contradiction of "), "p_name")).otherwise(F.col("p_name"))
+    top = F.when(F.col("p_partkey") < 4, anchor).otherwise(F.concat(F.lit("urn:parts#P"), up))
+    rows = part.select(child.alias("s"), F.inline(cells(base[0], (S.LABEL, label, "literal"), (S.SUBCLASS, top, "iri"))))
+    version = part.limit(1).select(F.lit("urn:parts").alias("s"), F.lit(S.owl("versionInfo")).alias("p"), F.lit("parts/1").alias("o"), F.lit("literal").alias("o_kind"))
+    return kernel_from_triples(spark, _as_triples(rows.union(version)))
+
+
+@query("S8_kernel_categories", f"SELECT 'urn:parts#P' || p_partkey AS category, CASE WHEN p_partkey % 10 = 2 THEN 'A Contradiction of ' ELSE '' END || p_name AS category_label, "
+       f"'{UP}' || CASE WHEN p_partkey % 2 = 0 THEN '0000040' ELSE '0000003' END AS required FROM part WHERE p_partkey < 4")
+def s8(spark, d):
+    return part_kernel(spark, d).category_table(spark)
+
+
+@query("A15_kernel_totals", """WITH RECURSIVE below(k) AS (SELECT p_partkey FROM part WHERE p_partkey // 4 > 0 AND (p_partkey // 4) % 10 = 2 AND p_partkey // 4 IN (SELECT p_partkey FROM part)
+  UNION SELECT p_partkey FROM part JOIN below ON p_partkey // 4 = k)
+  SELECT (SELECT count(*) FROM part) AS classes, (SELECT count(*) FROM part WHERE p_partkey < 4) AS categories, (SELECT count(DISTINCT k) FROM below) AS contradiction_types, 'parts/1' AS version""")
+def a15(spark, d):
+    return part_kernel(spark, d).totals()
+
+
 # The message wording is rebuilt here from the labels and ancestor roots.
 LINT_SQL = f"""SELECT l.artifact_id, class_iri, class_name, category_a, category_b, category_a_iri, category_b_iri, drop_iri,
   CASE WHEN list_sort([category_a, category_b]) = ['disposition', 'quality'] THEN class_name || ' is placed under both Quality and Disposition, which are disjoint. Pick one. If ' || class_name ||
@@ -801,9 +862,22 @@ def r4_status(spark, d):
     return R.repair(tbox(spark, d), builtin_upper(), Workspace(spark)).status.select("artifact_id", "status")
 
 
-@query("R6_relint_after_fix")
+@query("R6_relint_after_fix", sql("SELECT artifact_id, cls AS class_iri, a AS category_a_iri, b AS category_b_iri FROM pairs_f", "pairs_f"))
 def r6(spark, d):
-    return L.straddle_lint(fixed(spark, d)[0], builtin_upper(), Workspace(spark))
+    found = L.straddle_lint(fixed(spark, d)[0], builtin_upper(), Workspace(spark))
+    return found.select("artifact_id", "class_iri", "category_a_iri", "category_b_iri")
+
+
+@query("R6_published_versions", sql("SELECT g.artifact_id AS parent_id, g.artifact_id || '.autofixed' AS artifact_id, g.removed, coalesce(l.n, 0) AS lint_findings, coalesce(u.n, 0) AS unsatisfiable_classes, "
+       "CASE WHEN u.n > 0 THEN 'incoherent' ELSE 'coherent' END AS coherence_status FROM (SELECT artifact_id, count(*) AS removed FROM gone GROUP BY artifact_id) g "
+       "LEFT JOIN (SELECT artifact_id, count(*) AS n FROM pairs_f GROUP BY artifact_id) l USING (artifact_id) LEFT JOIN (SELECT artifact_id, count(*) AS n FROM empty_f GROUP BY artifact_id) u USING (artifact_id)",
+       "gone", "pairs_f", "empty_f"))
+def r6_versions(spark, d):
+    from quercus.plans.analysis import publish_fixes
+
+    out = publish_fixes(tbox(spark, d), lint(spark, d), builtin_upper(), Workspace(spark))
+    rows = out.analysis.rows.select("artifact_id", "lint_findings", "unsatisfiable_classes", "coherence_status")
+    return out.lineage.select("parent_id", "artifact_id", "removed").join(rows, "artifact_id")
 
 
 # == rules ======================================================================================

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from quercus import schema as S
 from quercus.functions.names import short_name
 from quercus.sources.tables import constant_table
-from quercus.sources.upper import _bounded
 
 KERNEL_NS = "urn:kernel#"
 
@@ -105,8 +104,37 @@ def builtin_kernel() -> Kernel:
     )
 
 
-def kernel_from_triples(spark: SparkSession, triples: DataFrame) -> Kernel:
-    """Read a kernel out of its own (single-artifact) triples; bounded like an upper ontology."""
+@dataclass(frozen=True)
+class StoredKernel:
+    """A kernel of any size, as tables."""
+
+    classes: DataFrame  # iri, label
+    edges: DataFrame  # child, parent
+    categories: DataFrame  # category, category_label, required: non-OBO classes right under an anchor
+    contradictions: DataFrame  # iri: everything below a class whose label speaks of a contradiction
+    upward: DataFrame  # start, child, parent: every kernel edge met when walking up from start
+    size: int
+    version: str = UNVERSIONED
+
+    def upward_table(self, spark) -> DataFrame:
+        return self.upward
+
+    def category_table(self, spark) -> DataFrame:
+        return self.categories
+
+    def totals(self) -> DataFrame:
+        """(classes, categories, contradiction_types, version) in one row."""
+        count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).withColumn("version", F.lit(self.version))
+        out = count(self.classes, "classes").join(count(self.categories, "categories"), "version")
+        return out.join(count(self.contradictions, "contradiction_types"), "version")
+
+
+def kernel_from_triples(spark: SparkSession, triples: DataFrame, ws=None) -> StoredKernel:
+    """Read a kernel of any size out of its own (single-artifact) triples."""
+    from quercus.operators.walks import closure
+    from quercus.workspace import Workspace
+
+    ws = ws or Workspace(spark)
     iri = F.col("s_kind") == "iri"
     classes = triples.where(
         iri & (F.col("p") == S.TYPE) & F.col("o").isin(S.CLASS, S.RDFS_CLASS)
@@ -114,13 +142,20 @@ def kernel_from_triples(spark: SparkSession, triples: DataFrame) -> Kernel:
     labels = triples.where(F.col("p") == S.LABEL).groupBy(F.col("s").alias("iri")).agg(
         F.min("o").alias("label")
     )
-    named = classes.distinct().join(labels, "iri", "left").select(
-        "iri", F.coalesce("label", short_name(F.col("iri"))).alias("label")
+    path, size = ws.write(
+        classes.distinct().join(labels, "iri", "left").select("iri", F.coalesce("label", short_name(F.col("iri"))).alias("label")), "kernel-classes"
     )
-    edges = triples.where(iri & (F.col("p") == S.SUBCLASS) & (F.col("o_kind") == "iri"))
+    named = spark.read.schema("iri string, label string").parquet(path)
+    edges = triples.where(iri & (F.col("p") == S.SUBCLASS) & (F.col("o_kind") == "iri")).select(F.col("s").alias("child"), F.col("o").alias("parent"))
+    edges = ws.table(edges.distinct(), "kernel-edges")
+    above = ws.table(closure(edges.select(F.lit("").alias("artifact_id"), "child", "parent"), ws).select("child", "ancestor"), "kernel-above")
+    found = edges.where(F.col("parent").isin(ANCHOR_IRIS) & ~F.col("child").startswith(S.OBO)).join(named.withColumnRenamed("iri", "child"), "child")
+    roots = named.where(F.lower("label").contains("contradiction")).select(F.col("iri").alias("ancestor"))
+    below = above.join(roots, "ancestor", "left_semi").select(F.col("child").alias("iri")).distinct()
+    starts = above.select(F.col("child").alias("start"), F.col("ancestor").alias("child")).union(edges.select("child", "child"))
+    upward = starts.distinct().join(edges, "child").select("start", "child", "parent").distinct()
     version = triples.where(F.col("p") == S.owl("versionInfo")).agg(F.min("o")).first()[0]
-    return Kernel(
-        labels={r["iri"]: r["label"] for r in _bounded(named, "kernel classes")},
-        edges=frozenset(tuple(r) for r in _bounded(edges.select("s", "o").distinct(), "kernel edges")),
-        version=version or UNVERSIONED,
-    )
+    return StoredKernel(
+        named, edges, found.select(F.col("child").alias("category"), F.col("label").alias("category_label"), F.col("parent").alias("required")),
+        below, ws.table(upward, "kernel-upward"), size, version or UNVERSIONED,
+    )

@@ -1,8 +1,10 @@
 """The upper ontology: category tree, labels, disjointness and their closures.
 
-An upper ontology is a fixed vocabulary of a few dozen classes, so its tables
-are constants that every plan may broadcast.  ``upper_from_triples`` accepts
-another one and refuses anything that is not that small.
+The built-in upper ontology is a fixed vocabulary of a few dozen classes, so its tables
+are constants that every plan may broadcast (``Upper``).  Any other one, of whatever size, is read by
+``upper_from_triples`` into written tables (``StoredUpper``) that answer the same questions: ancestors come from a walk, and
+whether two categories clash is asked for the pairs at hand, by the disjoint groups they fall under, so no table of
+all clashing pairs is ever made.
 """
 
 from dataclasses import dataclass
@@ -15,8 +17,6 @@ from pyspark.sql import functions as F
 from quercus import schema as S
 from quercus.sources.tables import constant_table
 
-MAX_UPPER_ROWS = 4096
-
 CONTINUANT = S.UPPER_PREFIX + "0000002"
 OCCURRENT = S.UPPER_PREFIX + "0000003"
 MATERIAL = S.UPPER_PREFIX + "0000040"
@@ -155,12 +155,64 @@ class Upper:
             rows,
         )
 
-    def clash_sides(self, spark) -> DataFrame:
-        """Both directions: category -> category it clashes with."""
+    def clashing(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a < b, and what else they carry) that clash, with labels, wording case and the side to drop."""
+        return pairs.join(self.clash_table(pairs.sparkSession), ["a", "b"])
+
+    def clash_sides(self, spark, among=None) -> DataFrame:
+        """Both directions: category -> category it clashes with; ``among`` is for upper ontologies that have to be asked."""
         rows = sorted({p for a, b in self.clashes for p in ((a, b), (b, a))})
         return constant_table(spark, "category string, other string", rows)
 
 
+@dataclass(frozen=True)
+class StoredUpper:
+    """An upper ontology of any size, as tables."""
+
+    labels: DataFrame  # iri, label
+    edges: DataFrame  # child, parent
+    ancestors: DataFrame  # iri, ancestor: itself included
+    sides: DataFrame  # iri, group_id, member: members of disjoint groups that a category falls under
+
+    def label_table(self, spark) -> DataFrame:
+        return self.labels
+
+    def edge_table(self, spark) -> DataFrame:
+        return self.edges
+
+    def ancestor_table(self, spark) -> DataFrame:
+        return self.ancestors
+
+    def clashing(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a < b, and what else they carry) that clash, with labels, wording case and the side to drop."""
+        asked = pairs.select("a", "b").distinct()
+        left = asked.join(self.sides.select(F.col("iri").alias("a"), "group_id", F.col("member").alias("x")), "a")
+        both = left.join(self.sides.select(F.col("iri").alias("b"), "group_id", F.col("member").alias("y")), ["b", "group_id"])
+        found = both.where("x <> y").select("a", "b").distinct()
+        under = lambda n: F.bool_or(F.col("ancestor") == n)
+        told = self.ancestors.groupBy("iri").agg(
+            F.count(F.lit(1)).alias("depth"), under(CONTINUANT).alias("c"), under(OCCURRENT).alias("o"),
+            under(MATERIAL).alias("m"), under(IMMATERIAL).alias("i"),
+        ).join(self.labels, "iri")
+        for side in ("a", "b"):
+            known = told.select(F.col("iri").alias(side), *[F.col(n).alias(f"{n}_{side}") for n in ("label", "depth", "c", "o", "m", "i")])
+            found = found.join(known, side)
+        split = lambda x, y: (F.col(f"{x}_a") & F.col(f"{y}_b")) | (F.col(f"{y}_a") & F.col(f"{x}_b"))
+        names = F.array_sort(F.array(F.lower("label_a"), F.lower("label_b")))
+        case = (
+            F.when(names == F.array(F.lit("disposition"), F.lit("quality")), "quality_disposition")
+            .when(split("c", "o"), "continuant_occurrent").when(split("m", "i"), "material_immaterial").otherwise("generic")
+        )
+        drop = F.when(F.col("depth_a") == F.col("depth_b"), F.greatest("a", "b")).when(F.col("depth_a") < F.col("depth_b"), F.col("a")).otherwise(F.col("b"))
+        return pairs.join(found.select("a", "b", "label_a", "label_b", case.alias("clash_case"), drop.alias("drop_iri")), ["a", "b"])
+
+    def clash_sides(self, spark, among=None) -> DataFrame:
+        """Both directions between the categories ``among``, a list whose pairs are asked for."""
+        pairs = constant_table(spark, "a string, b string", combinations(sorted(among or ()), 2))
+        found = self.clashing(pairs)
+        return found.select(F.col("a").alias("category"), F.col("b").alias("other")).union(found.select("b", "a"))
+
+
 def builtin_upper() -> Upper:
     full = lambda n: S.UPPER_PREFIX + n
     return Upper(
@@ -172,17 +224,13 @@ def builtin_upper() -> Upper:
     )
 
 
-def _bounded(df: DataFrame, what: str):
-    rows = df.limit(MAX_UPPER_ROWS + 1).collect()
-    if len(rows) > MAX_UPPER_ROWS:
-        raise ValueError(f"{what}: more than {MAX_UPPER_ROWS} rows is not an upper vocabulary")
-    return rows
-
-
-def upper_from_triples(spark: SparkSession, triples: DataFrame) -> Upper:
-    """Read an upper ontology out of its own (single-artifact) triples."""
+def upper_from_triples(spark: SparkSession, triples: DataFrame, ws=None) -> StoredUpper:
+    """Read an upper ontology of any size out of its own (single-artifact) triples."""
     from quercus.operators.disjointness import disjoint_groups
+    from quercus.operators.walks import closure
+    from quercus.workspace import Workspace
 
+    ws = ws or Workspace(spark)
     is_up = lambda c: F.col(c).startswith(S.UPPER_PREFIX)
     classes = triples.where((F.col("p") == S.TYPE) & (F.col("o") == S.CLASS) & is_up("s")).select(
         F.col("s").alias("iri")
@@ -191,23 +239,16 @@ def upper_from_triples(spark: SparkSession, triples: DataFrame) -> Upper:
         F.min("o").alias("label")
     )
     fallback = F.initcap(F.replace(F.substring_index("iri", "/", -1), F.lit("_"), F.lit(" ")))
-    named = classes.distinct().join(labels, "iri", "left").select(
-        "iri", F.coalesce("label", fallback).alias("label")
-    )
-    edges = triples.where((F.col("p") == S.SUBCLASS) & is_up("s") & is_up("o")).select("s", "o")
-    members = {}
-    listed = disjoint_groups(triples).where(is_up("member")).select("group_id", "member")
-    for group, member in _bounded(listed, "upper disjointness"):
-        members.setdefault(group, set()).add(member)
-    parents = {}
-    for c, p in _bounded(edges.distinct(), "upper edges"):
-        parents[c] = parents.get(c, ()) + (p,)
-    pairs = {pair for group in members.values() for pair in combinations(sorted(group), 2)}
-    return Upper(
-        labels={r["iri"]: r["label"] for r in _bounded(named, "upper classes")},
-        parents=parents,
-        disjoint=frozenset(pairs),
+    named = ws.table(
+        classes.distinct().join(labels, "iri", "left").select("iri", F.coalesce("label", fallback).alias("label")), "upper-classes"
     )
+    edges = triples.where((F.col("p") == S.SUBCLASS) & is_up("s") & is_up("o")).select(F.col("s").alias("child"), F.col("o").alias("parent"))
+    edges = ws.table(edges.distinct(), "upper-edges")
+    above = closure(edges.select(F.lit("").alias("artifact_id"), "child", "parent"), ws).select(F.col("child").alias("iri"), "ancestor")
+    ancestors = ws.table(above.union(named.select("iri", F.col("iri").alias("ancestor"))).distinct(), "upper-ancestors")
+    listed = disjoint_groups(triples, ws).where(is_up("member")).select("group_id", "member")
+    sides = ancestors.join(listed.withColumnRenamed("member", "ancestor"), "ancestor").select("iri", "group_id", F.col("ancestor").alias("member"))
+    return StoredUpper(named, edges, ancestors, ws.table(sides, "upper-sides"))
 
 
 # The second, hand-kept vocabulary for formulas: (key, IRI id), classes then relations.

@@ -12,20 +12,41 @@ from quercus.workspace import Workspace
 
 
 def arriving_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of (artifact_id, value) lines of N-Triples files dropped into a folder."""
+    """Stream of (artifact_id, file, value) lines of N-Triples files dropped into a folder."""
     return (
         spark.readStream.option("maxFilesPerTrigger", files_per_batch)
         .text(path)
-        .select(artifact_of_file().alias("artifact_id"), "value")
+        .select(artifact_of_file().alias("artifact_id"), F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("file"), "value")
     )
 
 
+#: Folders that the manifest of arrived files is dealt to, by artifact.
+BUCKETS = 64
+MANIFEST = "artifact_id string, file string, bucket int, batch long"
+
+
+def _arrived(session: SparkSession, manifest: str, batch: DataFrame, batch_id: int):
+    """Note the batch's files; return the artifacts that it touches and all of their files so far."""
+    bucket = F.pmod(F.xxhash64("artifact_id"), F.lit(BUCKETS)).cast("int")
+    files = batch.select("artifact_id", "file").distinct().select("artifact_id", "file", bucket.alias("bucket"), F.lit(batch_id).alias("batch"))
+    files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(manifest)
+    # at most a row per file of the batch, then the files of these artifacts
+    mine = session.read.schema(MANIFEST).parquet(manifest).where(F.col("batch") == batch_id)
+    touched = {r["artifact_id"]: r["bucket"] for r in mine.select("artifact_id", "bucket").distinct().collect()}
+    folders = [f"{manifest}/bucket={b}" for b in sorted(set(touched.values()))]
+    if not folders:
+        return [], []
+    names = constant_table(session, "artifact_id string", [(a,) for a in touched])
+    known = session.read.schema(MANIFEST).option("basePath", manifest).parquet(*folders)
+    return sorted(touched), [r["file"] for r in known.join(names, "artifact_id", "left_semi").select("file").distinct().collect()]
+
+
 def gate_stream(spark: SparkSession, path: str, out: str, checkpoint: str, files_per_batch: int = 1000, **options):
     """Check the artifacts that files dropped into ``path`` belong to; write reports, findings and dead letters.
 
     An artifact's files may arrive in several micro-batches. A batch reads all the files so far of the
-    artifacts that it touches, so the last batch that touches an artifact has checked it whole; ``current``
-    gives the rows of that batch.
+    artifacts that it touches, which a manifest dealt by artifact names, so the last batch that touches an artifact
+    has checked it whole; ``current`` gives the rows of that batch. The drop folder is listed by the stream's source only.
 
     ``checkpoint`` is the stream's own folder, on storage all executors reach.
 
@@ -33,15 +54,21 @@ def gate_stream(spark: SparkSession, path: str, out: str, checkpoint: str, files
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        touched = [r["artifact_id"] for r in batch.select("artifact_id").distinct().collect()]  # one per file at most
-        lines = session.read.text(path).select(artifact_of_file().alias("artifact_id"), "value")
-        triples, errors = parse_lines(lines.where(F.col("artifact_id").isin(touched)))
-        triples = Workspace(session).table(triples.distinct(), "arrived")  # parsed once, read by every stage
-        gate = check(triples, **options)
-        names = constant_table(session, "artifact_id string", [(a,) for a in touched])
-        # the artifacts come last: until then their rows of an earlier batch stay current
-        for table, df in (("reports", gate.reports()), ("findings", gate.findings), ("errors", errors), ("artifacts", names)):
-            df.write.mode("overwrite").parquet(f"{out}/{table}/batch={batch_id}")
+        touched, files = _arrived(session, f"{out}/manifest", batch, batch_id)
+        if not touched:
+            return
+        ws = Workspace(session)
+        try:
+            lines = session.read.text(files).select(artifact_of_file().alias("artifact_id"), "value")
+            triples, errors = parse_lines(lines)
+            triples = ws.table(triples.distinct(), "arrived")  # parsed once, read by every stage
+            gate = check(triples, ws=ws, **options)
+            names = constant_table(session, "artifact_id string", [(a,) for a in touched])
+            # the artifacts come last: until then their rows of an earlier batch stay current
+            for table, df in (("reports", gate.reports()), ("findings", gate.findings), ("errors", errors), ("artifacts", names)):
+                df.write.mode("overwrite").parquet(f"{out}/{table}/batch={batch_id}")
+        finally:
+            ws.remove()  # a batch's tables end with it
 
     return (
         arriving_lines(spark, path, files_per_batch)

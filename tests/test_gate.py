@@ -239,7 +239,11 @@ def test_kernel_from_triples(spark, graph):
     rows = [(c, S.TYPE, S.CLASS) for c in kernel.labels] + [(c, S.LABEL, n) for c, n in kernel.labels.items()]
     rows += [(c, S.SUBCLASS, p) for c, p in kernel.edges] + [("urn:k", S.owl("versionInfo"), "kernel/0.1")]
     again = kernel_from_triples(spark, graph({"k": rows}))
-    assert again == kernel
+    assert again.size == 10 and again.version == "kernel/0.1"
+    assert {tuple(r) for r in again.category_table(spark).collect()} == {tuple(r) for r in kernel.category_table(spark).collect()}
+    assert {tuple(r) for r in again.upward_table(spark).collect()} == {tuple(r) for r in kernel.upward_table(spark).collect()}
+    assert {r["iri"] for r in again.contradictions.collect()} == kernel.contradiction_types
+    assert again.totals().first().asDict() == {"version": "kernel/0.1", "classes": 10, "categories": 7, "contradiction_types": 3}
 
 
 def test_fix_and_requests(graph, spark, upper, ws):
@@ -312,3 +316,30 @@ def test_stream_checks_artifacts_whole(spark, graph, tmp_path):
     gate_stream(spark, drop, out, state, files_per_batch=5).awaitTermination()
     found = {r["artifact_id"]: r["counts"]["classes"] for r in current(spark, out, "reports").collect()}
     assert found == {"a#1": 4, "b": 4, "c": 3} and current(spark, out, "errors").count() == 1
+
+
+def test_trivial_artifacts_with_and_without_entry_points(graph, upper, ws):
+    """Entry points decide most artifacts; one that says its categories' ancestors itself, and one without any, need the closure."""
+    from quercus.operators.gate import plainly_novel, stage_c
+
+    own = X.cls(X.EX + "A", UP + "0000001")
+    spelled = X.cls(X.EX + "A", UP + "0000002") + [(UP + "0000002", S.SUBCLASS, UP + "0000001")]
+    rising = X.cls(X.EX + "A", UP + "0000004") + [(UP + "0000019", S.SUBCLASS, UP + "0000020")]
+    flat = X.cls(X.EX + "A", X.EX + "B") + X.cls(X.EX + "B")
+    equal = X.cls(X.EX + "A") + X.cls(X.EX + "B") + [(X.EX + "A", S.EQUIVALENT, X.EX + "B")]
+    t = graph({"root": own, "spelled": spelled, "rising": rising, "flat": flat, "equal": equal, "coherent": X.COHERENT})
+    g = GateInputs(t, counts(t), builtin_kernel(), upper, ws)
+    assert {r["artifact_id"] for r in plainly_novel(g).collect()} == {"coherent"}
+    found = {r["artifact_id"] for r in stage_c(g).where("code = 'E_TRIVIAL'").collect()}
+    assert found == {"root", "spelled", "flat"}
+
+
+def test_fixes_are_published_as_versions(graph, upper, ws):
+    from quercus.plans.analysis import publish_fixes
+
+    t = graph({"straddle": X.STRADDLE, "coherent": X.COHERENT})
+    out = publish_fixes(t, straddle_lint(t, upper, ws), upper, ws)
+    assert [(r["parent_id"], r["artifact_id"], r["removed"], r["refused"]) for r in out.lineage.collect()] == [("straddle", "straddle.autofixed", 1, None)]
+    row = out.analysis.rows.first()
+    assert row["artifact_id"] == "straddle.autofixed" and row["lint_findings"] == 0 and row["coherence_status"] == "coherent"
+    assert out.triples.count() == t.where("artifact_id = 'straddle'").count() - 1

@@ -89,13 +89,63 @@ def test_upper_sizes(spark, upper):
     assert (UP + "0000016", UP + "0000019") in upper.clashes
 
 
-def test_upper_from_triples(spark, graph):
-    u = builtin_upper()
+def upper_rows(u):
     rows = [(i, S.TYPE, S.CLASS) for i in u.labels] + [(i, S.LABEL, n) for i, n in u.labels.items()]
     rows += [(c, S.SUBCLASS, p) for c, ps in u.parents.items() for p in ps]
-    rows += [(a, S.DISJOINT, b) for a, b in u.disjoint]
-    again = upper_from_triples(spark, graph({"bfo": rows}))
-    assert again.labels == u.labels and again.clashes == u.clashes
+    return rows + [(a, S.DISJOINT, b) for a, b in u.disjoint]
+
+
+def test_upper_from_triples(spark, graph, ws):
+    u = builtin_upper()
+    again = upper_from_triples(spark, graph({"bfo": upper_rows(u)}), ws)
+    assert {r["iri"]: r["label"] for r in again.labels.collect()} == u.labels
+    assert again.ancestors.count() == 157 and again.edges.count() == 35
+    pairs = spark.createDataFrame([(a, b, 1) for a in u.labels for b in u.labels if a < b], "a string, b string, n int")
+    key = lambda df: sorted(map(str, df.select("a", "b", "n", "label_a", "label_b", "clash_case", "drop_iri").collect()))
+    assert key(again.clashing(pairs)) == key(u.clashing(pairs)) and again.clashing(pairs).count() == 506
+    among = sorted(u.labels)[:12]
+    sides = {tuple(r) for r in again.clash_sides(spark, among).collect()}
+    assert sides == {tuple(r) for r in u.clash_sides(spark).collect() if r[0] in among and r[1] in among}
+
+
+def test_a_large_upper_ontology(spark, ws):
+    """20,000 categories in a tree, with disjoint siblings: read as tables, and the lint runs on it."""
+    from quercus.operators.lint import straddle_lint
+
+    n = 20_000
+    name = f"concat('{UP}', lpad(id, 7, '0'))"
+    rows = spark.range(1, n).selectExpr(
+        "'u' AS artifact_id", f"{name} AS s", "'iri' AS s_kind",
+        f"inline(array(struct('{S.TYPE}' AS p, '{S.CLASS}' AS o), struct('{S.SUBCLASS}', concat('{UP}', lpad(id div 4, 7, '0')))))",
+        "'iri' AS o_kind", "CAST(NULL AS STRING) AS o_datatype", "CAST(NULL AS STRING) AS o_lang",
+    )
+    apart = spark.range(1, n // 4).where("id % 3 = 0").selectExpr(
+        "'u' AS artifact_id", f"concat('{UP}', lpad(id * 4, 7, '0')) AS s", "'iri' AS s_kind", f"'{S.DISJOINT}' AS p",
+        f"concat('{UP}', lpad(id * 4 + 1, 7, '0')) AS o", "'iri' AS o_kind", "CAST(NULL AS STRING) AS o_datatype", "CAST(NULL AS STRING) AS o_lang",
+    )
+    big = upper_from_triples(spark, rows.union(apart), ws)
+    assert big.labels.count() == n - 1
+
+    def up(i):
+        out = {i}
+        while i:
+            i //= 4
+            out.add(i)
+        return out - {0}
+
+    def clash(a, b):
+        return any(x // 4 == y // 4 and (x // 4) % 3 == 0 and x // 4 and {x % 4, y % 4} == {0, 1} and x // 4 < n // 4 for x in up(a) for y in up(b))
+
+    rng = random.Random(1)
+    triples, want = [], set()
+    for i in range(400):
+        g = rng.randrange(3, n // 64, 3)
+        a, b = rng.choice([(16 * g + rng.randrange(4), 16 * g + 4 + rng.randrange(4)), (rng.randrange(1, n), rng.randrange(1, n))])
+        triples += [(f"http://ex/c{i}", f"{UP}{a:07d}"), (f"http://ex/c{i}", f"{UP}{b:07d}")]
+        if clash(a, b):
+            want.add(f"http://ex/c{i}")
+    t = spark.createDataFrame([("a", s, "iri", S.SUBCLASS, o, "iri", None, None) for s, o in triples], S.TRIPLES)
+    assert len(want) > 50 and {r["class_iri"] for r in straddle_lint(t, big, ws).collect()} == want
 
 
 def test_disjoint_lists(graph, ws):
