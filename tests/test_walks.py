@@ -116,7 +116,7 @@ def test_a_large_upper_ontology(spark, ws):
     name = f"concat('{UP}', lpad(id, 7, '0'))"
     rows = spark.range(1, n).selectExpr(
         "'u' AS artifact_id", f"{name} AS s", "'iri' AS s_kind",
-        f"inline(array(struct('{S.TYPE}' AS p, '{S.CLASS}' AS o), struct('{S.SUBCLASS}', concat('{UP}', lpad(id div 4, 7, '0')))))",
+        f"inline(array(struct('{S.TYPE}' AS p, '{S.CLASS}' AS o), struct('{S.SUBCLASS}' AS p, concat('{UP}', lpad(id div 4, 7, '0')) AS o)))",
         "'iri' AS o_kind", "CAST(NULL AS STRING) AS o_datatype", "CAST(NULL AS STRING) AS o_lang",
     )
     apart = spark.range(1, n // 4).where("id % 3 = 0").selectExpr(
