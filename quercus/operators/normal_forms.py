@@ -32,7 +32,7 @@ from quercus.workspace import Workspace
 
 NODE = ("iri", "bnode")
 #: Nodes of our own making; they start like blank nodes, so no result shows them.
-TARGET, VALUE, LEAST = "_:to ", "_:is ", "_:min "
+SOME, TARGET, VALUE, LEAST = "_:some ", "_:to ", "_:is ", "_:min "
 AT_LEAST = ("minCardinality", "cardinality", "minQualifiedCardinality", "qualifiedCardinality")
 
 
@@ -132,7 +132,7 @@ def normal_forms(triples: DataFrame, ws: Workspace, base: DataFrame | None = Non
 
 
 def _existentials(triples: DataFrame):
-    """∃-nodes, and the edges to those that a cardinality asks for.
+    """∃-nodes, one for every property and filler, and the edges between them and the expressions that stand for them.
 
     A restriction without a property is kept under the empty name: it needs its filler, and no more follows from it.
     """
@@ -154,11 +154,16 @@ def _existentials(triples: DataFrame):
         least.select("artifact_id", "made", "filler", F.col("node").alias("at"))
     )
     p = F.coalesce("on", F.lit(""))
-    nodes = found.join(on.withColumnRenamed("node", "at"), ["artifact_id", "at"], "left").select(
-        "artifact_id", "node", p.alias("p"), "filler", F.concat(F.lit(TARGET), F.concat_ws(" ", p, "filler")).alias("target")
+    placed = found.join(on.withColumnRenamed("node", "at"), ["artifact_id", "at"], "left").select("artifact_id", "node", p.alias("p"), "filler")
+    # nodes of one property and filler are one class: rules see it once, however many restrictions spell it
+    one = F.when(F.col("p") == "", F.col("node")).otherwise(F.concat(F.lit(SOME), F.concat_ws(" ", "p", "filler")))
+    merged = placed.select("artifact_id", "node", one.alias("one"), "p", "filler")
+    nodes = merged.select(
+        "artifact_id", F.col("one").alias("node"), "p", "filler", F.concat(F.lit(TARGET), F.concat_ws(" ", "p", "filler")).alias("target")
     )
     both = least.select("artifact_id", "node", "made").union(least.where("same").select("artifact_id", "made", "node"))
-    return nodes.distinct(), both
+    both = both.union(merged.select("artifact_id", "node", "one")).union(merged.select("artifact_id", "one", "node"))
+    return nodes.distinct(), both.distinct()
 
 
 def _senses(triples: DataFrame, some: DataFrame, paths: DataFrame) -> DataFrame:
