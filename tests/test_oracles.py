@@ -26,9 +26,12 @@ def test_fixed_corpus_has_no_direct_straddle(spark):
     """After the fix, what is still flagged is inherited: no flagged edge sits on the class itself."""
     from pyspark.sql import functions as F
 
+    from quercus.operators.lint import straddle_lint
     from quercus.operators.repair import direct_edges, straddle_edges
     from quercus.plans.queries import fixed
+    from quercus.sources.upper import builtin_upper
+    from quercus.workspace import Workspace
 
-    left = QUERIES["R6_relint_after_fix"](spark, SMALL)
+    left = straddle_lint(fixed(spark, SMALL)[0], builtin_upper(), Workspace(spark))
     assert straddle_edges(left, fixed(spark, SMALL)[0]).count() == 0
     assert direct_edges(fixed(spark, SMALL)[0]).where(F.col("cls") == "").count() == 0
