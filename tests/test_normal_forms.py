@@ -217,3 +217,14 @@ def test_cardinalities_of_any_kind(graph):
         "C4": "∀x: C4(x) → ∃=9 y: p(x,y)", "C5": "∀x: C5(x) → ¬∃y: p(x,y)",
     }
     assert {(r["node"].rsplit(":")[-1], r["value"]) for r in cardinality_errors(t).collect()} == {("r2", "two"), ("r3", "-1")}
+
+
+def test_restrictions_that_say_the_same_are_not_related_pair_by_pair(graph, ws):
+    """200 restrictions of one property and filler: none of them is listed above the others."""
+    n = 200
+    triples = [(EX + "A", S.TYPE, S.CLASS), (EX + "D", S.TYPE, S.CLASS), (EX + "p", S.DOMAIN, EX + "D")]
+    for i in range(n):
+        triples += [(f"{EX}c{i}", S.SUBCLASS, f"_:r{i}"), (f"_:r{i}", S.owl("onProperty"), EX + "p"), (f"_:r{i}", S.owl("someValuesFrom"), EX + "A")]
+    hierarchy = expression_hierarchy(graph({"a": triples}), ws)[2]
+    assert hierarchy.where(f"ancestor = '{EX}D' AND child LIKE '{EX}c%'").count() == n
+    assert hierarchy.count() <= 6 * n

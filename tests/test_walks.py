@@ -64,6 +64,32 @@ def test_long_chain_takes_few_rounds(spark, ws):
     assert ws._n - before <= 1 + 14  # the links, and a table of facts and shortcuts each round
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_closure_of_equivalences_in_chains_and_hubs(spark, ws, seed):
+    rng = random.Random(seed)
+    alike = [(rng.randrange(40), rng.randrange(40)) for _ in range(25)] + [(50 + i, 51 + i) for i in range(9)] + [(70, 60 + i) for i in range(8)]
+    pairs = {(a, b) for a, b in alike} | {(b, a) for a, b in alike} | {(rng.randrange(75), rng.randrange(75)) for _ in range(30)}
+    found = W.closure(edges_of(spark, pairs), ws).collect()
+    assert {(r["child"], r["ancestor"]) for r in found} == brute_closure(pairs) and len(found) == len(brute_closure(pairs))
+
+
+def test_many_classes_equivalent_to_one_write_no_squares(spark, ws):
+    """A hub and 600 classes that are its equals, one fact above the hub."""
+    n, sizes, write = 600, [], ws.write
+    hub = spark.range(n).selectExpr("concat('n', id) AS node").selectExpr(
+        "'a' AS artifact_id", "inline(array(named_struct('child', node, 'parent', 'hub'), named_struct('child', 'hub', 'parent', node)))", "CAST(NULL AS STRING) AS value")
+    links = hub.union(spark.sql("SELECT 'a', 'hub', CAST(NULL AS STRING), 'x'"))
+
+    def counted(*args, **kw):
+        out = write(*args, **kw)
+        sizes.append(out[1])
+        return out
+
+    ws.write = counted
+    assert W.propagate(links, ws).where("value = 'x'").select("node").distinct().count() == n + 1
+    assert max(sizes) <= 4 * n  # the square would be 360,000
+
+
 def test_reaches_is_reflexive(spark, ws):
     found = W.reaches(edges_of(spark, {(1, 2), (2, 3), (4, 4), (5, 6)}), ["n3", "n4", "n5", "n9"], ws)
     assert {(r["cls"], r["target"]) for r in found.collect()} == {("n1", "n3"), ("n2", "n3"), ("n3", "n3"), ("n4", "n4"), ("n5", "n5")}
