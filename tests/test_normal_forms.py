@@ -228,3 +228,20 @@ def test_restrictions_that_say_the_same_are_not_related_pair_by_pair(graph, ws):
     hierarchy = expression_hierarchy(graph({"a": triples}), ws)[2]
     assert hierarchy.where(f"ancestor = '{EX}D' AND child LIKE '{EX}c%'").count() == n
     assert hierarchy.count() <= 6 * n
+
+
+def test_intersections_of_the_same_members_are_one(graph, ws):
+    """80 fillers that are the intersection of A and B: no edges between each two of them."""
+    n = 80
+    triples = [(EX + "A", S.TYPE, S.CLASS), (EX + "N", S.EQUIVALENT, "_:n")]
+    for i, owner in enumerate(["_:n", *[f"_:y{i}" for i in range(n)]]):
+        triples += [(owner, S.owl("intersectionOf"), f"_:h{i}"), (f"_:h{i}", S.FIRST, EX + "A"), (f"_:h{i}", S.REST, f"_:t{i}"),
+                    (f"_:t{i}", S.FIRST, EX + "B"), (f"_:t{i}", S.REST, S.NIL)]
+    for i in range(n):
+        triples += [(f"{EX}c{i}", S.SUBCLASS, f"_:r{i}"), (f"_:r{i}", S.owl("onProperty"), EX + "p"), (f"_:r{i}", S.owl("someValuesFrom"), f"_:y{i}")]
+    triples += [(EX + "M", S.SUBCLASS, EX + "A"), (EX + "M", S.SUBCLASS, EX + "B"), (EX + "Q", S.EQUIVALENT, "_:q"), ("_:q", S.owl("onProperty"), EX + "p"),
+                ("_:q", S.owl("someValuesFrom"), EX + "N")]
+    _, edges, hierarchy = expression_hierarchy(graph({"a": triples}), ws)
+    assert hierarchy.where(f"ancestor = '{EX}Q' AND child LIKE '{EX}c%'").count() == n
+    assert hierarchy.where(f"ancestor = '{EX}N' AND child = '{EX}M'").count() == 1
+    assert edges.count() < 20 * n  # every two of them would be 6,400
