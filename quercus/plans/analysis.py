@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quercus.operators.lint import lint_findings
+from quercus.operators.normal_forms import normal_forms
 from quercus.operators.profile import profile
 from quercus.operators.repair import delta_guard, quarantine, straddle_edges, without_edges
 from quercus.operators.rules import (
@@ -26,12 +27,21 @@ class Analysis:
 
 def analyse(triples: DataFrame, upper: Upper, ws: Workspace) -> Analysis:
     """Lists that grow with an artifact stay in their own tables next to ``rows``."""
-    findings = ws.table(lint_findings(entry_points(subclass_edges(triples), ws), upper), "findings")
-    ruled = ws.table(rule_edges(triples, ws).select(*EDGE), "ruled")
-    hierarchy = ws.table(closure(ruled, ws), "hierarchy")
-    unsat = ws.table(unsatisfiable_classes(triples, upper, ws), "unsat")
-    inferred = ws.table(inferred_subsumptions(triples, ws, hierarchy), "inferred")
-    bad = inconsistent_individuals(triples, upper, ws)
+
+    def entailed():
+        ruled = ws.table(rule_edges(triples, ws).select(*EDGE), "ruled")
+        hierarchy = ws.table(closure(ruled, ws), "hierarchy")
+        return ws.table(inferred_subsumptions(triples, ws, hierarchy), "inferred")
+
+    # none of these rests on another but by the normal forms; each is a row of small jobs
+    forms = normal_forms(triples, ws)
+    done = ws.beside(
+        findings=lambda: ws.table(lint_findings(entry_points(subclass_edges(triples), ws), upper), "findings"),
+        inferred=entailed,
+        unsat=lambda: ws.table(unsatisfiable_classes(triples, upper, ws, forms=forms), "unsat"),
+        bad=lambda: inconsistent_individuals(triples, upper, ws, forms),
+    )
+    findings, inferred, unsat, bad = (done[k] for k in ("findings", "inferred", "unsat", "bad"))
     status = coherence(triples.select("artifact_id").distinct(), unsat, bad)
     rows = profile(triples).join(status, "artifact_id")
     zero = F.lit(0).cast("bigint")

@@ -230,6 +230,21 @@ def test_restrictions_that_say_the_same_are_not_related_pair_by_pair(graph, ws):
     assert hierarchy.count() <= 6 * n
 
 
+def test_restrictions_of_like_meaning_are_a_star_from_the_start(graph, ws):
+    """A walk writes its equals once: no round of joins has to find their smallest."""
+    triples, names, write = [(EX + "A", S.TYPE, S.CLASS)], [], ws.write
+    for i in range(5):
+        triples += [(f"{EX}c{i}", S.SUBCLASS, f"_:r{i}"), (f"_:r{i}", S.owl("onProperty"), EX + "p"), (f"_:r{i}", S.owl("someValuesFrom"), EX + "A")]
+
+    def named(df, name, *args, **kw):
+        names.append(name)
+        return write(df, name, *args, **kw)
+
+    ws.write = named
+    expression_hierarchy(graph({"a": triples}), ws)[2].count()
+    assert names.count("alike") <= names.count("links")
+
+
 def test_intersections_of_the_same_members_are_one(graph, ws):
     """80 fillers that are the intersection of A and B: no edges between each two of them."""
     n = 80

@@ -73,6 +73,15 @@ def test_closure_of_equivalences_in_chains_and_hubs(spark, ws, seed):
     assert {(r["child"], r["ancestor"]) for r in found} == brute_closure(pairs) and len(found) == len(brute_closure(pairs))
 
 
+def test_an_ended_list_takes_no_further_round(graph, ws):
+    cells = [t for i in range(4) for t in ((f"_:l{i}", S.FIRST, f"urn:m{i}"), (f"_:l{i}", S.REST, f"_:l{i + 1}" if i < 3 else S.NIL))]
+    t = graph({"a": cells})
+    before = ws._n
+    found = list_members(t, t.where(f"s = '_:l0' AND p = '{S.FIRST}'").selectExpr("artifact_id", "'x' AS owner", "s AS head"), ws)
+    assert {(r["member"], r["position"]) for r in found.collect()} == {(f"urn:m{i}", i) for i in range(4)}
+    assert ws._n - before <= 6  # cells and jumps of three rounds
+
+
 def test_many_classes_equivalent_to_one_write_no_squares(spark, ws):
     """A hub and 600 classes that are its equals, one fact above the hub."""
     n, sizes, write = 600, [], ws.write
