@@ -4,7 +4,8 @@ import pytest
 from conftest import SMALL
 
 from quercus.plans import queries as Q
-from quercus.workspace import Workspace
+from quercus.plans.starmap import abox
+from quercus.workspace import TASK_ROWS, Workspace, dealt
 
 
 def plan_of(df):
@@ -53,3 +54,17 @@ def test_first_n_is_ranked_in_slices(spark):
 
 def test_newest_rows_need_no_full_sort(spark):
     assert "TakeOrderedAndProject" in plan_of(Q.QUERIES["W2_newest_twenty"](spark, SMALL))
+
+
+def test_load_deals_by_rows(spark):
+    """Joins of the load are not put together by bytes, so a task's rows do not grow with the tables."""
+    assert dealt(spark.range(10), 30 * TASK_ROWS, "id").rdd.getNumPartitions() == 30
+    plan = plan_of(abox(spark, SMALL))
+    for key in ("o_custkey", "l_orderkey", "l_partkey"):
+        assert any(f"hashpartitioning({key}#" in line and "REPARTITION_BY_NUM" in line for line in plan.splitlines())
+
+
+def test_shapes_are_constants(spark):
+    """Individuals are not shuffled by their few classes to meet the shapes."""
+    plan = plan_of(Q.QUERIES["GDx_shapes"](spark, SMALL))
+    assert "ExistingRDD" not in plan and "hashpartitioning(cls#" not in plan
