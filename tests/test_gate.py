@@ -7,7 +7,7 @@ from quercus import schema as S
 from quercus.operators import repair as R
 from quercus.operators.counts import counts
 from quercus.operators.gate import (
-    Competency, GateInputs, competency_findings, delta_findings, novel_subsumptions, stage_b,
+    Competency, competency_findings, delta_findings, GateInputs, novel_subsumptions, stage_a, stage_b,
 )
 from quercus.operators.lint import straddle_lint
 from quercus.operators.rules import (
@@ -343,3 +343,11 @@ def test_fixes_are_published_as_versions(graph, upper, ws):
     row = out.analysis.rows.first()
     assert row["artifact_id"] == "straddle.autofixed" and row["lint_findings"] == 0 and row["coherence_status"] == "coherent"
     assert out.triples.count() == t.where("artifact_id = 'straddle'").count() - 1
+
+
+def test_gate_inputs_are_written_when_asked_for(graph, upper, ws, monkeypatch):
+    names, write = [], Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, df, name, partition_by=None: names.append(name) or write(self, df, name, partition_by))
+    g = GateInputs.of(graph({"good": X.GOOD}), builtin_kernel(), upper, ws)
+    assert sorted(names) == ["classes", "counts", "edges"]
+    assert stage_a(g).count() == 0 and "entries" in names and "reach" not in names

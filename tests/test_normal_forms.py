@@ -10,6 +10,7 @@ from quercus import schema as S
 from quercus.operators.normal_forms import expression_hierarchy
 from quercus.operators.premises import axiom_premises, cardinality_errors, cardinality_premises
 from quercus.operators.rules import entailed_assertions, entailed_types, inconsistent_individuals, unsatisfiable_classes
+from quercus.workspace import Workspace
 
 O = S.owl  # noqa: E741
 
@@ -260,3 +261,31 @@ def test_intersections_of_the_same_members_are_one(graph, ws):
     assert hierarchy.where(f"ancestor = '{EX}Q' AND child LIKE '{EX}c%'").count() == n
     assert hierarchy.where(f"ancestor = '{EX}N' AND child = '{EX}M'").count() == 1
     assert edges.count() < 20 * n  # every two of them would be 6,400
+
+
+def names_written(monkeypatch):
+    names, write = [], Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, df, name, partition_by=None: names.append(name) or write(self, df, name, partition_by))
+    return names
+
+
+def test_emptiness_is_not_walked_over_the_classes(graph, upper, ws, monkeypatch):
+    x, y, z, u = "_:x", "_:y", "_:z", "_:u"
+    t = [(EX + "E", S.SUBCLASS, S.NOTHING), (EX + "A", S.SUBCLASS, x), *some(x, "p", EX + "E"), (EX + "B", S.SUBCLASS, EX + "A"), (EX + "F", S.SUBCLASS, EX + "G")]
+    names = names_written(monkeypatch)
+    plain = {(short(r["cls"]), r["reason"]) for r in unsatisfiable_classes(graph({"a": t}), upper, ws).collect()}
+    assert plain == {("E", "asserted"), ("A", "inherited"), ("B", "inherited")}
+    assert names.count("links") == 2, "one walk over the properties, one over the classes"
+    # a link to what links to something empty, a union of both, and a link to the union
+    t += [(EX + "C", S.SUBCLASS, y), *some(y, "p", EX + "B"), (u, S.EQUIVALENT, EX + "U"), *listed(u, O("unionOf"), [EX + "C", EX + "E"])]
+    t += [(EX + "D", S.SUBCLASS, z), *some(z, "q", EX + "U"), (EX + "H", S.SUBCLASS, EX + "D")]
+    found = {short(r["cls"]) for r in unsatisfiable_classes(graph({"a": t}), upper, ws).collect()}
+    assert found == set("EABCUDH")
+
+
+def test_only_telling_properties_are_asserted(graph, upper, ws, monkeypatch):
+    t = [(EX + p, S.TYPE, S.OBJECT_PROPERTY) for p in ("p", "q")] + [(EX + "p", S.DOMAIN, S.NOTHING), (EX + "q", S.SUBPROPERTY, EX + "p"), (EX + "i", EX + "q", EX + "j")]
+    kept, table = {}, Workspace.table
+    monkeypatch.setattr(Workspace, "table", lambda self, df, name: kept.setdefault(name, table(self, df, name)))
+    assert [short(r["ind"]) for r in inconsistent_individuals(graph({"a": t}), upper, ws).collect()] == ["i"]
+    assert {short(r["p"]) for r in kept["entailed-assertions"].collect()} == {"p"}
