@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from conftest import UP
@@ -8,8 +9,13 @@ from pyspark.sql import functions as F
 from quercus import schema as S
 from quercus.operators import walks as W
 from quercus.operators.disjointness import asserted_pairs, disjoint_groups, list_members
+from quercus.operators.gate import GateInputs, first_novel, novelty
 from quercus.operators.ranking import grouped_rank
+from quercus.operators.rules import first_inferred, rule_edges
+from quercus.operators.walks import ancestors_once, closure
+from quercus.sources.kernel import builtin_kernel
 from quercus.sources.upper import builtin_upper, upper_from_triples
+from quercus.workspace import Workspace
 
 
 def edges_of(spark, pairs):
@@ -238,3 +244,35 @@ def test_a_workspace_goes_when_told(spark):
     ws.remove()
     path = spark._jvm.org.apache.hadoop.fs.Path(ws.root)
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_a_closure_that_is_not_spelled_out(spark, ws):
+    rng = random.Random(7)
+    for n, m in ((6, 9), (9, 20), (5, 4)):
+        pairs = {(f"c{rng.randrange(n)}", f"c{rng.randrange(n)}") for _ in range(m)} | {("c0", "c1"), ("c1", "c0")}
+        edges = spark.createDataFrame([("a", c, p) for c, p in pairs], "artifact_id string, child string, parent string")
+        full = {(r["child"], r["ancestor"]) for r in closure(edges, ws).collect() if r["child"] != r["ancestor"]}
+        once = ancestors_once(edges, ws)
+        assert {(r["child"], r["ancestor"]) for r in once.rows().collect()} == full
+        some = spark.createDataFrame([("a", "c0"), ("a", "c3")], "artifact_id string, child string")
+        assert {(r["child"], r["ancestor"]) for r in once.rows(some).collect()} == {x for x in full if x[0] in ("c0", "c3")}
+        assert {r["child"]: r["n"] for r in once.counts().where("n > 0").collect()} == Counter(c for c, _ in full)
+
+
+def test_equals_are_counted_not_paired(spark, graph, upper, ws, monkeypatch):
+    n, rows, write = 60, [], Workspace.write
+    t = graph({"a": [(f"urn:c{i:03d}", S.EQUIVALENT, "urn:hub") for i in range(n)] + [(f"urn:c{i:03d}", S.TYPE, S.CLASS) for i in range(n)]})
+
+    def counted(self, df, name, partition_by=None):
+        path, k = write(self, df, name, partition_by)
+        rows.append(k)
+        return path, k
+
+    monkeypatch.setattr(Workspace, "write", counted)
+    got = first_inferred(t, 100, ws).collect()
+    assert len(got) == 100 and {r["total"] for r in got} == {n * (n + 1)}
+    assert [(r["child"], r["ancestor"]) for r in sorted(got)][:2] == [("urn:c000", "urn:c001"), ("urn:c000", "urn:c002")]
+    g = GateInputs.of(t, builtin_kernel(), upper, ws)
+    news = novelty(rule_edges(t, ws, g.edges), g)
+    assert {r["n"] for r in news.counts().collect()} == {n} and first_novel(news, ws).count() == 5 * n
+    assert max(rows) <= 6 * n, "no table holds every pair of equals"
