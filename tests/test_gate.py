@@ -1,3 +1,5 @@
+from threading import Event
+
 import fixtures as X
 import pytest
 from conftest import UP
@@ -351,3 +353,23 @@ def test_gate_inputs_are_written_when_asked_for(graph, upper, ws, monkeypatch):
     g = GateInputs.of(graph({"good": X.GOOD}), builtin_kernel(), upper, ws)
     assert sorted(names) == ["classes", "counts", "edges"]
     assert stage_a(g).count() == 0 and "entries" in names and "reach" not in names
+
+
+def test_expressions_are_read_beside_the_edges(graph, upper, ws, monkeypatch):
+    """The edges wait for the property paths here: reasoning begins without them, and all who need them take the same table."""
+    names, read, in_time, write = [], Event(), [], Workspace.write
+
+    def noted(self, df, name, partition_by=None):
+        names.append(name)
+        if name == "edges":
+            in_time.append(read.wait(60))
+        out = write(self, df, name, partition_by)
+        if name == "paths":
+            read.set()
+        return out
+
+    monkeypatch.setattr(Workspace, "write", noted)
+    g = GateInputs.of(graph({"good": X.GOOD, "bad": X.STRADDLE}), builtin_kernel(), upper, ws, "unsat", "entries", "reach")
+    assert in_time == [True]
+    assert all(names.count(n) == 1 for n in ("classes", "counts", "edges", "entries", "reach", "unsat"))
+    assert {r["artifact_id"] for r in g.unsat.collect()} == {"bad"}
