@@ -2,8 +2,10 @@
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from quercus.plans import queries as Q
+from quercus.plans import starmap
 from quercus.plans.starmap import abox
 from quercus.workspace import TASK_ROWS, Workspace, dealt
 
@@ -68,3 +70,17 @@ def test_shapes_are_constants(spark):
     """Individuals are not shuffled by their few classes to meet the shapes."""
     plan = plan_of(Q.QUERIES["GDx_shapes"](spark, SMALL))
     assert "ExistingRDD" not in plan and "hashpartitioning(cls#" not in plan
+
+
+def fullest(df):
+    """Rows of the task that holds most."""
+    return df.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+
+
+def test_a_source_file_of_few_bytes_is_laid_out_by_many_tasks(spark, monkeypatch):
+    whole = sorted(map(tuple, starmap.tbox(spark, SMALL).collect()))
+    monkeypatch.setattr("quercus.workspace.TASK_ROWS", 100)
+    rows = starmap.tbox(spark, SMALL)
+    assert sorted(map(tuple, rows.collect())) == whole
+    classes = rows.where(F.col("s").startswith(starmap.EX + "part/"))
+    assert classes.count() > 500 and fullest(classes) <= 200
