@@ -4,11 +4,15 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from quercus import schema as S
+from quercus.operators.counts import counts, individuals
 from quercus.plans import queries as Q
 from quercus.plans import starmap
 from quercus.plans.starmap import abox
 from quercus.workspace import TASK_ROWS, Workspace, dealt
 
+X_ = "http://x/"
+
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -84,3 +88,13 @@ def test_a_source_file_of_few_bytes_is_laid_out_by_many_tasks(spark, monkeypatch
     assert sorted(map(tuple, rows.collect())) == whole
     classes = rows.where(F.col("s").startswith(starmap.EX + "part/"))
     assert classes.count() > 500 and fullest(classes) <= 200
+
+
+def test_individuals_of_one_type_are_dealt_to_many_tasks(graph, ws, monkeypatch):
+    monkeypatch.setattr("quercus.workspace.TASK_ROWS", 100)
+    told = [(X_ + "K", S.TYPE, S.CLASS), (X_ + "m", S.TYPE, S.NAMED_INDIVIDUAL), (X_ + "n", S.TYPE, X_ + "Elsewhere")]
+    t = graph({"a": told + [(f"{X_}i{n}", S.TYPE, X_ + "K") for n in range(2000)] * 2, "b": [(X_ + "i0", S.TYPE, X_ + "K")]})
+    found = individuals(t, ws)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, individuals(t).collect())) and found.count() == 2001
+    assert fullest(found) <= 200
+    assert {r["artifact_id"]: r["individuals"] for r in counts(t, ws).collect()} == {"a": 2001, "b": 0}
