@@ -4,6 +4,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quercus import schema as S
+from quercus.workspace import dealt, spread
+
+#: How many triples a row of these tables gives at most, without property values.
+ROW_TRIPLES = 6
 
 
 def _rows(df: DataFrame, *triples) -> DataFrame:
@@ -37,6 +41,9 @@ def tables_to_triples(
     individuals(artifact_id, id, name, description, class_id, property_values map<bigint,string>).
     Entity IRIs are ``base`` + artifact + '#' + name.
     """
+    rows = (classes.count() + properties.count() + individuals.count()) * ROW_TRIPLES
+    classes, individuals = (spread(t, ROW_TRIPLES, "artifact_id", "id") for t in (classes, individuals))
+
     def iri(name):
         return F.concat(F.lit(base), F.col("artifact_id"), F.lit("#"), F.col(name))
 
@@ -94,6 +101,7 @@ def tables_to_triples(
     )
     out = class_rows.union(prop_rows).union(ind_rows).union(link_rows).union(value_rows)
     literal = F.col("o_kind") == "literal"
+    out = dealt(out, rows, "artifact_id", "s")  # equal triples meet in one task, which holds few
     return out.select(
         "artifact_id", "s", F.lit("iri").alias("s_kind"), "p", "o", "o_kind",
         F.when(literal, S.XSD + "string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang"),

@@ -9,6 +9,7 @@ from quercus.operators.counts import counts, individuals
 from quercus.plans import queries as Q
 from quercus.plans import starmap
 from quercus.plans.starmap import abox
+from quercus.sources.relational import tables_to_triples
 from quercus.workspace import TASK_ROWS, Workspace, dealt
 
 X_ = "http://x/"
@@ -98,3 +99,14 @@ def test_individuals_of_one_type_are_dealt_to_many_tasks(graph, ws, monkeypatch)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, individuals(t).collect())) and found.count() == 2001
     assert fullest(found) <= 200
     assert {r["artifact_id"]: r["individuals"] for r in counts(t, ws).collect()} == {"a": 2001, "b": 0}
+
+
+def test_triples_of_tables_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr("quercus.workspace.TASK_ROWS", 100)
+    n = spark.range(1000).select(F.lit("a").alias("artifact_id"), "id", F.concat(F.lit("n"), "id").alias("name"), F.lit("").alias("description"))
+    classes = n.select("*", F.lit(None).cast("string").alias("upper_id"), F.lit(1).cast("bigint").alias("parent_id")).coalesce(1)
+    none = n.where("id < 0")
+    properties = none.select("*", F.lit("data").alias("property_type"), F.col("id").alias("domain_class_id"), F.col("id").alias("range_class_id"))
+    things = none.select("*", F.col("id").alias("class_id"), F.create_map("id", "name").alias("property_values"))
+    rows = tables_to_triples(classes.union(classes), properties, things, X_)
+    assert rows.count() == 4000 and fullest(rows) <= 300
