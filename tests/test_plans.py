@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quercus import schema as S
 from quercus.operators.counts import counts, individuals
+from quercus.operators.rules import entailed_assertions, entailed_types
 from quercus.plans import queries as Q
 from quercus.plans import starmap
 from quercus.plans.starmap import abox
@@ -110,3 +111,13 @@ def test_triples_of_tables_are_dealt_to_many_tasks(spark, monkeypatch):
     things = none.select("*", F.col("id").alias("class_id"), F.create_map("id", "name").alias("property_values"))
     rows = tables_to_triples(classes.union(classes), properties, things, X_)
     assert rows.count() == 4000 and fullest(rows) <= 300
+
+
+def test_rules_of_assertions_and_types_are_picked_without_sorting(graph, ws, plans):
+    link = [(X_ + "p", S.TYPE, S.OBJECT_PROPERTY), (X_ + "q", S.TYPE, S.OBJECT_PROPERTY), (X_ + "p", S.SUBPROPERTY, X_ + "q"), (X_ + "q", S.DOMAIN, X_ + "K")]
+    t = graph({"a": link + [(X_ + "K", S.SUBCLASS, X_ + "L"), (X_ + "i", X_ + "p", X_ + "j"), (X_ + "i", X_ + "q", X_ + "j"), (X_ + "i", S.TYPE, X_ + "L")]})
+    props = entailed_assertions(t, ws)
+    types = entailed_types(t, ws, props)
+    assert {(r["p"], r["rule"]) for r in props.collect()} == {(X_ + "p", "asserted"), (X_ + "q", "asserted")}
+    assert {(r["cls"], r["rule"]) for r in types.collect()} == {(X_ + "K", "prp-dom"), (X_ + "L", "asserted")}
+    assert "SortAggregate" not in plan_of(props) + plan_of(types)
