@@ -289,3 +289,15 @@ def test_only_telling_properties_are_asserted(graph, upper, ws, monkeypatch):
     monkeypatch.setattr(Workspace, "table", lambda self, df, name: kept.setdefault(name, table(self, df, name)))
     assert [short(r["ind"]) for r in inconsistent_individuals(graph({"a": t}), upper, ws).collect()] == ["i"]
     assert {short(r["p"]) for r in kept["entailed-assertions"].collect()} == {"p"}
+
+
+def test_links_do_not_meet_every_filler_of_their_property(graph, ws, monkeypatch):
+    """60 links and 60 restrictions of one property, each to a class of its own: links times restrictions are never rows."""
+    n, t = 60, [(EX + "p", S.TYPE, S.OBJECT_PROPERTY), (EX + "q", S.TYPE, S.OBJECT_PROPERTY), (EX + "q", S.SUBPROPERTY, EX + "p")]
+    for i in range(n):
+        t += [(f"_:r{i}", S.SUBCLASS, f"{EX}F{i}"), *some(f"_:r{i}", "p", f"{EX}G{i}"), (f"{EX}i{i}", EX + ("q" if i % 2 else "p"), f"{EX}j{i}"), (f"{EX}j{i}", S.TYPE, f"{EX}G{i}")]
+    t += [("_:s", S.SUBCLASS, EX + "E"), *some("_:s", "p", EX + "F0"), (EX + "k", EX + "p", EX + "i0")]
+    written, table = [], Workspace.table
+    monkeypatch.setattr(Workspace, "table", lambda self, df, name: written.append((name, made := table(self, df, name))) or made)
+    assert types(graph({"a": t}), ws) == {*((f"j{i}", f"G{i}") for i in range(n)), *((f"i{i}", f"F{i}") for i in range(n)), ("k", "E")}
+    assert max(df.count() for name, df in written if name in ("restricted", "types")) < 4 * n
