@@ -315,3 +315,23 @@ def test_classes_are_not_listed_under_every_union(graph, upper, ws, monkeypatch)
     rows = {short(r["cls"]): r["reason"] for r in unsatisfiable_classes(graph({"a": t}), upper, ws).collect()}
     assert rows == {"E": "asserted", "B": "asserted", "A": "inherited", "U": "inherited", "W": "inherited", "V": "inherited"}
     assert max(df.count() for name, df in written if name == "under") < 10 * n
+
+
+def test_types_make_no_assertions_that_tell_nothing(graph, ws, monkeypatch):
+    """Domains and ranges are read off the links as they stand, rewritten to the telling properties only, and no table of all assertions is made."""
+    t = [(EX + p, S.TYPE, S.OBJECT_PROPERTY) for p in ("p", "q", "r")]
+    t += [(EX + "p", S.DOMAIN, EX + "D"), (EX + "p", S.RANGE, EX + "R"), (EX + "q", S.SUBPROPERTY, EX + "p"), (EX + "r", O("inverseOf"), EX + "p"), (EX + "D", S.SUBCLASS, EX + "C")]
+    t += [(EX + "i", EX + "q", EX + "j"), (EX + "i", EX + "p", EX + "j"), (EX + "k", EX + "r", EX + "l"), (EX + "i", S.TYPE, EX + "D"), (EX + "i", EX + "q", EX + "j")]
+    want = {("i", "D", "asserted"), ("i", "C", "cax-sco"), ("j", "R", "prp-rng"), ("l", "D", "prp-dom"), ("l", "C", "cax-sco"), ("k", "R", "prp-rng")}
+
+    def found(triples):
+        rows = [(short(r["ind"]), short(r["cls"]), r["rule"]) for r in entailed_types(graph({"a": triples}), ws).collect()]
+        assert len(rows) == len(set(rows))
+        return set(rows)
+
+    with monkeypatch.context() as m:
+        m.setattr("quercus.operators.rules.entailed_assertions", lambda *_: pytest.fail("all assertions were made"))
+        assert found(t) == want
+    # links of a transitive property are found by all of them
+    t += [(EX + "t", S.TYPE, S.OBJECT_PROPERTY), (EX + "t", S.TYPE, O("TransitiveProperty")), (EX + "t", S.SUBPROPERTY, EX + "p"), (EX + "m", EX + "t", EX + "n")]
+    assert found(t) == want | {("m", "D", "prp-dom"), ("m", "C", "cax-sco"), ("n", "R", "prp-rng")}
