@@ -335,3 +335,14 @@ def test_types_make_no_assertions_that_tell_nothing(graph, ws, monkeypatch):
     # links of a transitive property are found by all of them
     t += [(EX + "t", S.TYPE, S.OBJECT_PROPERTY), (EX + "t", S.TYPE, O("TransitiveProperty")), (EX + "t", S.SUBPROPERTY, EX + "p"), (EX + "m", EX + "t", EX + "n")]
     assert found(t) == want | {("m", "D", "prp-dom"), ("m", "C", "cax-sco"), ("n", "R", "prp-rng")}
+
+
+def test_individuals_clash_without_every_filler_of_their_property(graph, upper, ws, monkeypatch):
+    """30 links and 30 restrictions of one property, each to a class of its own, that make their subjects clash."""
+    n, t = 30, [(EX + "p", S.TYPE, S.OBJECT_PROPERTY), (EX + "F", S.DISJOINT, EX + "H")]
+    for i in range(n):
+        t += [(f"_:r{i}", S.SUBCLASS, EX + "F"), *some(f"_:r{i}", "p", f"{EX}G{i}"), (f"{EX}i{i}", EX + "p", f"{EX}j{i}"), (f"{EX}j{i}", S.TYPE, f"{EX}G{i}"), (f"{EX}i{i}", S.TYPE, EX + "H")]
+    written, table = [], Workspace.table
+    monkeypatch.setattr(Workspace, "table", lambda self, df, name: written.append((name, made := table(self, df, name))) or made)
+    assert {(short(r["ind"]), r["rule"]) for r in inconsistent_individuals(graph({"a": t}), upper, ws).collect()} == {(f"i{i}", "cax-dw") for i in range(n)}
+    assert max(df.count() for name, df in written if name in ("restricted", "types")) < 6 * n
